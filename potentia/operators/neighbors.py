@@ -71,8 +71,9 @@ def _stack(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(np.float64, copy=False)
 
 
-def _knn_partition(batches, bc, k: int, exclude_self: bool, with_weight: bool):
-    ids, mat, wts = bc.value
+def _knn_partition(batches, bc, k: int, exclude_self: bool, with_weight: bool, group: bool = False):
+    ids, mat, wts = bc.value[:3]
+    groups = bc.value[3] if group else None
     n = ids.shape[0]
     for pdf in batches:
         if len(pdf) == 0:
@@ -86,6 +87,9 @@ def _knn_partition(batches, bc, k: int, exclude_self: bool, with_weight: bool):
             dist = _sq_dists(qb, mat)
             if exclude_self:
                 dist[idb[:, None] == ids[None, :]] = np.inf
+            if group:
+                qg = pdf["group"].to_numpy()[s:s + step]
+                dist[qg[:, None] != groups[None, :]] = np.inf
             r, c, rk = _topk_rows(dist, k)
             out = {"src": idb[r], "dst": ids[c], "d2": dist[r, c], "rank": rk.astype(np.int32)}
             if with_weight:
@@ -100,25 +104,30 @@ def _collect_index(index: DataFrame, max_bytes: int):
     n, d = int(stats["n"]), int(stats["d"] or 0)
     if n * max(d, 1) * 8 > max_bytes:
         return None, n, d
-    cols = ["id", "x"] + (["weight"] if "weight" in index.columns else [])
+    cols = ["id", "x"] + [c for c in ("weight", "group") if c in index.columns]
     pdf = index.select(*cols).toPandas()
     pdf = pdf.sort_values("id", kind="stable")
     ids = pdf["id"].to_numpy(dtype=np.int64)
     mat = _stack(pdf["x"]) if n else np.zeros((0, d))
     wts = pdf["weight"].to_numpy(dtype=np.float64) if "weight" in pdf else np.ones(n)
+    if "group" in pdf:
+        return (ids, mat, wts, pdf["group"].to_numpy()), n, d
     return (ids, mat, wts), n, d
 
 
 def knn(queries: DataFrame, index: DataFrame, k: int, *, exclude_self: bool = False,
         with_weight: bool = False, max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-        cells: int | None = None, probes: int = 3) -> DataFrame:
+        cells: int | None = None, probes: int = 3, group: bool = False) -> DataFrame:
     """The k nearest ``index`` rows of every ``queries`` row.
 
-    Both inputs carry ``id BIGINT, x ARRAY<DOUBLE>`` (and ``weight`` if ``with_weight``).
+    Both inputs carry ``id BIGINT, x ARRAY<DOUBLE>`` (and ``weight`` if ``with_weight``;
+    ``group`` if ``group=True``, which restricts matches to equal groups, e.g. per label).
     Output: ``src, dst, d2, rank`` (+ ``src_weight, dst_weight``), ties by smaller id.
     """
     spark = queries.sparkSession
     payload, n, d = _collect_index(index, max_broadcast_bytes)
+    if payload is None and group:
+        raise ValueError("group-restricted kNN needs a broadcastable index")
     if payload is None:
         return knn_cells(queries, index, k, exclude_self=exclude_self, with_weight=with_weight,
                          cells=cells, probes=probes, max_broadcast_bytes=max_broadcast_bytes)
@@ -126,10 +135,10 @@ def knn(queries: DataFrame, index: DataFrame, k: int, *, exclude_self: bool = Fa
     schema = "src long, dst long, d2 double, rank int"
     if with_weight:
         schema += ", src_weight double, dst_weight double"
-    cols = ["id", "x"] + (["weight"] if with_weight else [])
+    cols = ["id", "x"] + (["weight"] if with_weight else []) + (["group"] if group else [])
 
     def run(batches):
-        return _knn_partition(batches, bc, k, exclude_self, with_weight)
+        return _knn_partition(batches, bc, k, exclude_self, with_weight, group)
 
     return queries.select(*cols).mapInPandas(run, schema)
 

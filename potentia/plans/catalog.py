@@ -100,3 +100,645 @@ def q_nearest(spark, sf):
     pts = li(spark, sf)
     cents = P.sample_k(pts, 100, 7).select(F.col("id").alias("centroid_id"), "x")
     return N.nearest(pts, cents).select("id", "centroid_id", F.round("d2", 12).alias("d2"))
+
+
+# ----------------------------------------------------------------------- shared derived tables
+REF4 = [0.5, 0.5, 0.5, 0.5]  # fixed reference point for the 4-D lineitem distance queries
+REF4_SQL = "[0.5, 0.5, 0.5, 0.5]"
+
+
+def part2(spark, sf):
+    """2-D part points: (p_size / 50, p_retailprice / 1000)."""
+    p = load(spark, sf, "part")
+    return p.select(F.col("p_partkey").alias("id"),
+                    F.array(F.col("p_size") / F.lit(50.0), F.col("p_retailprice") / F.lit(1000.0)).alias("x"),
+                    F.col("p_retailprice").alias("weight"))
+
+
+PART2_SQL = ("SELECT p_partkey AS id, [p_size / 50.0, p_retailprice / 1000.0] AS x, "
+             "p_retailprice AS weight FROM part")
+
+
+def centroids100(spark, sf):
+    return P.sample_k(li(spark, sf), 100, 7).select(F.col("id").alias("centroid_id"), "x")
+
+
+def assigned(spark, sf):
+    pts = li(spark, sf)
+    return N.nearest(pts, centroids100(spark, sf))
+
+
+ASSIGN_SQL = f"""
+pts AS ({S.LINEITEM_POINTS}),
+cents AS ({CENTROID_SAMPLE_SQL}),
+dd AS (SELECT p.id, c.centroid_id, {S.d2('p.x', 'c.x')} AS d2 FROM pts p, cents c),
+asg AS (SELECT id, centroid_id, d2 FROM (SELECT id, centroid_id, d2,
+          row_number() OVER (PARTITION BY id ORDER BY d2, centroid_id) AS rk FROM dd) WHERE rk = 1)"""
+
+
+# ----------------------------------------------------------------------- projections (P*)
+@register("l2_normalize_P1", f"""
+WITH pts AS ({S.EMB_POINTS}),
+u AS (SELECT id, list_transform(x, lambda v: v / {S.norm('x')}) AS y FROM pts)
+SELECT id, round(y[1], 9) AS y0, round(y[64], 9) AS y63, round({S.norm('y')}, 9) AS norm FROM u
+""")
+def q_p1(spark, sf):
+    from potentia.functions import vec
+    u = emb(spark, sf).select("id", vec.l2_normalize("x").alias("y"))
+    return u.select("id", F.round(F.col("y")[0], 9).alias("y0"), F.round(F.col("y")[63], 9).alias("y63"),
+                    F.round(vec.norm("y"), 9).alias("norm"))
+
+
+@register("scale_P2", f"""
+WITH pts AS ({S.EMB_POINTS})
+SELECT id, round(list_transform(x, lambda v: v * {1 / 255.0!r})[1], 12) AS y0,
+       round(list_sum(list_transform(x, lambda v: v * {1 / 255.0!r})), 9) AS ysum FROM pts
+""")
+def q_p2(spark, sf):
+    from potentia.functions import vec
+    u = emb(spark, sf).select("id", vec.scale("x", 1 / 255.0).alias("y"))
+    return u.select("id", F.round(F.col("y")[0], 12).alias("y0"),
+                    F.round(F.aggregate("y", F.lit(0.0), lambda a, b: a + b), 9).alias("ysum"))
+
+
+@register("normalize_weights_P3", f"""
+WITH p AS ({PART2_SQL})
+SELECT id, round(weight / (SELECT sum(weight) FROM p), 15) AS weight FROM p
+""")
+def q_p3(spark, sf):
+    return P.normalize_weights(part2(spark, sf)).select("id", F.round("weight", 15).alias("weight"))
+
+
+@register("distances_P4_P8", f"""
+WITH pts AS ({S.LINEITEM_POINTS})
+SELECT id, round({S.d2('x', REF4_SQL)}, 12) AS d2, round(sqrt({S.d2('x', REF4_SQL)}), 12) AS l2,
+       round({S.l1('x', REF4_SQL)}, 12) AS l1, round({S.linf('x', REF4_SQL)}, 12) AS linf,
+       round(1 - {S.dotp('x', REF4_SQL)} / ({S.norm('x')} * {S.norm(REF4_SQL)}), 12) AS cos_d
+FROM pts
+""")
+def q_p4(spark, sf):
+    from potentia.functions import vec
+    r = F.array(*[F.lit(v) for v in REF4])
+    return li(spark, sf).select("id", F.round(vec.sq_dist("x", r), 12).alias("d2"),
+                                F.round(vec.euclidean("x", r), 12).alias("l2"),
+                                F.round(vec.manhattan("x", r), 12).alias("l1"),
+                                F.round(vec.chebyshev("x", r), 12).alias("linf"),
+                                F.round(vec.cosine_distance("x", r), 12).alias("cos_d"))
+
+
+@register("kernels_P9_P12", f"""
+WITH pts AS ({S.LINEITEM_POINTS}),
+d AS (SELECT id, {S.d2('x', REF4_SQL)} AS d2 FROM pts)
+SELECT id, round(exp(-d2 / (2.0 * 0.3 * 0.3)), 12) AS gauss,
+       CAST(CASE WHEN d2 <= 0.3 * 0.3 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS radial,
+       round(least(greatest((d2 - 0.05) / 0.5, 0.0), 1.0), 12) AS accept_p,
+       round(-0.2 * ln(exp(-d2 / (2.0 * 0.3 * 0.3))), 12) AS vdist
+FROM d
+""")
+def q_p9(spark, sf):
+    from potentia.functions import vec
+    r = F.array(*[F.lit(v) for v in REF4])
+    d = li(spark, sf).select("id", vec.sq_dist("x", r).alias("d2"))
+    g = vec.gaussian_kernel("d2", 0.3)
+    return d.select("id", F.round(g, 12).alias("gauss"), vec.radial_kernel("d2", 0.3).alias("radial"),
+                    F.round(vec.accept_probability("d2", 0.05, 0.5), 12).alias("accept_p"),
+                    F.round(vec.voltage_to_distance(g), 12).alias("vdist"))
+
+
+@register("dimension_P14", f"""
+SELECT CAST(count(*) AS BIGINT) AS n, CAST(min(len(embedding)) AS INTEGER) AS d FROM embeddings
+""")
+def q_p14(spark, sf):
+    pts = emb(spark, sf)
+    return pts.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("x")).alias("d"))
+
+
+@register("coords_P15", f"""
+WITH p AS ({PART2_SQL})
+SELECT id, x[1] AS cx, coalesce(x[2], 0.0) AS cy, coalesce(x[3], 0.0) AS cz FROM p
+""")
+def q_p15(spark, sf):
+    from potentia.functions import vec
+    return part2(spark, sf).select("id", vec.coord("x", 0).alias("cx"), vec.coord("x", 1).alias("cy"),
+                                   vec.coord("x", 2).alias("cz"))
+
+
+@register("wide_long_P16", f"""
+WITH l AS (SELECT vec_id AS id, CAST(embedding[i] AS DOUBLE) AS v, i - 1 AS problem_id
+           FROM embeddings, range(1, 65) t(i))
+SELECT id, CAST(count(*) AS INTEGER) AS n, round(first(v ORDER BY problem_id), 9) AS v_first,
+       round(first(v ORDER BY problem_id DESC), 9) AS v_last FROM l GROUP BY id
+""")
+def q_p16(spark, sf):
+    from potentia.operators import voltage as V
+    lng = emb(spark, sf).select("id", F.posexplode("x").alias("problem_id", "v"))
+    w = V.wide(lng)
+    return w.select("id", F.size("v").alias("n"), F.round(F.col("v")[0], 9).alias("v_first"),
+                    F.round(F.element_at("v", -1), 9).alias("v_last"))
+
+
+# ----------------------------------------------------------------------- filters (F*)
+@register("subset_F1", f"""
+WITH p AS ({PART2_SQL}),
+s AS (SELECT * FROM p WHERE id IN (SELECT p_partkey FROM part WHERE p_size < 10))
+SELECT id, round(weight / (SELECT sum(weight) FROM s), 15) AS weight FROM s
+""")
+def q_f1(spark, sf):
+    ids = load(spark, sf, "part").where(F.col("p_size") < 10).select(F.col("p_partkey").alias("id"))
+    return P.subset(part2(spark, sf), ids).select("id", F.round("weight", 15).alias("weight"))
+
+
+@register("lookup_F2", f"""
+WITH pts AS ({S.EMB_POINTS}) SELECT id, label, round(x[1], 9) AS x0 FROM pts WHERE id = 42
+""")
+def q_f2(spark, sf):
+    return P.lookup(emb(spark, sf), 42).select("id", "label", F.round(F.col("x")[0], 9).alias("x0"))
+
+
+@register("box_F3", f"""
+WITH pts AS ({S.LINEITEM_POINTS})
+SELECT id FROM pts WHERE x[1] >= 0.2 AND x[1] <= 0.6 AND x[2] >= 0.0 AND x[2] <= 0.5
+  AND x[3] >= 0.0 AND x[3] <= 0.5 AND x[4] >= 0.0 AND x[4] <= 0.5
+""")
+def q_f3(spark, sf):
+    return P.in_box(li(spark, sf), [0.2, 0.0, 0.0, 0.0], [0.6, 0.5, 0.5, 0.5]).select("id")
+
+
+@register("threshold_F4", f"""
+WITH pts AS ({S.LINEITEM_POINTS}) SELECT id, x[1] > 0.8 AS high FROM pts WHERE x[1] < 0.3 OR x[1] > 0.8
+""")
+def q_f4(spark, sf):
+    x0 = F.col("x")[0]
+    return li(spark, sf).where((x0 < 0.3) | (x0 > 0.8)).select("id", (x0 > 0.8).alias("high"))
+
+
+@register("label_filter_F5", f"""
+SELECT vec_id AS id, label FROM embeddings WHERE label IN (1, 3, 5)
+""")
+def q_f5(spark, sf):
+    return emb(spark, sf).where(F.col("label").isin(1, 3, 5)).select("id", "label")
+
+
+@register("ignore_F6", f"""
+WITH p AS ({PART2_SQL})
+SELECT id FROM p WHERE id NOT IN (SELECT p_partkey FROM part WHERE p_size = 25)
+""")
+def q_f6(spark, sf):
+    ign = load(spark, sf, "part").where(F.col("p_size") == 25).select(F.col("p_partkey").alias("id"))
+    return P.exclude(part2(spark, sf), ign).select("id")
+
+
+@register("accept_filter_F7", f"""
+WITH pts AS ({S.LINEITEM_POINTS}),
+d AS (SELECT id, {S.d2('x', REF4_SQL)} AS d2 FROM pts),
+a AS (SELECT id FROM d WHERE {rand.sql_uniform('id', 11)} < least(greatest((d2 - 0.05) / 0.5, 0.0), 1.0)
+        AND d2 > 0)
+SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS rk FROM a) WHERE rk <= 500
+""")
+def q_f7(spark, sf):
+    from potentia.operators import cluster as C
+    r = F.array(*[F.lit(v) for v in REF4])
+    from potentia.functions import vec
+    d = li(spark, sf).select("id", vec.sq_dist("x", r).alias("d2"))
+    return C.accept(d, shift=0.05, z=0.5, seed=11, room=500).select("id")
+
+
+@register("sample_F8", f"""
+SELECT c_custkey AS id FROM customer ORDER BY {rand.sql_uniform('c_custkey', 5)}, c_custkey LIMIT 25
+""")
+def q_f8(spark, sf):
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    return P.sample_k(c, 25, 5)
+
+
+@register("weighted_sample_F9", f"""
+WITH p AS ({PART2_SQL})
+SELECT id FROM p WHERE weight > 0 ORDER BY -ln({rand.sql_uniform_open('id', 3)}) / weight, id LIMIT 10
+""")
+def q_f9(spark, sf):
+    return P.weighted_sample(part2(spark, sf), 10, 3).select("id")
+
+
+@register("drop_furthest_F10", f"""
+WITH p AS ({PART2_SQL}),
+c AS (SELECT avg(x[1]) AS c0, avg(x[2]) AS c1 FROM p),
+d AS (SELECT id, sqrt({S.d2('x', '[c.c0, c.c1]')}) AS dist FROM p, c),
+far AS (SELECT id FROM d ORDER BY dist DESC, id DESC LIMIT 50)
+SELECT id FROM p WHERE id NOT IN (SELECT id FROM far)
+""")
+def q_f10(spark, sf):
+    return P.drop_furthest(part2(spark, sf), 50, 2).select("id")
+
+
+@register("beyond_median_F11", f"""
+WITH p AS ({PART2_SQL}),
+c AS (SELECT quantile_cont(x[1], 0.5) AS c0, quantile_cont(x[2], 0.5) AS c1 FROM p),
+d AS (SELECT id, sqrt({S.d2('x', '[c.c0, c.c1]')}) AS dist FROM p, c)
+SELECT id, round(dist, 12) AS dist FROM d WHERE dist > (SELECT quantile_cont(dist, 0.5) FROM d)
+""")
+def q_f11(spark, sf):
+    r = P.beyond_median_distance(part2(spark, sf), 2)
+    return r.select("id", F.round("dist", 12).alias("dist"))
+
+
+# ----------------------------------------------------------------------- joins (J*)
+@register("knn_centroids_J2", f"""
+WITH {ASSIGN_SQL.strip()},
+r AS (SELECT id, centroid_id, d2, row_number() OVER (PARTITION BY id ORDER BY d2, centroid_id) AS rank FROM dd)
+SELECT id AS src, centroid_id AS dst, round(d2, 12) AS d2, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
+""")
+def q_j2(spark, sf):
+    c = centroids100(spark, sf).withColumnRenamed("centroid_id", "id")
+    r = N.knn(li(spark, sf), c, 5)
+    return r.select("src", "dst", F.round("d2", 12).alias("d2"), "rank")
+
+
+@register("all_pairs_J4", """
+SELECT a.s_suppkey AS id1, b.s_suppkey AS id2,
+       round((a.s_acctbal / 1000.0 - b.s_acctbal / 1000.0) * (a.s_acctbal / 1000.0 - b.s_acctbal / 1000.0), 12) AS d2
+FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey
+""")
+def q_j4(spark, sf):
+    s = load(spark, sf, "supplier")
+    pts = s.select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / F.lit(1000.0)).alias("x"))
+    return N.all_pairs(pts).select("id1", "id2", F.round("d2", 12).alias("d2"))
+
+
+@register("radius_join_J5", f"""
+WITH p AS ({PART2_SQL})
+SELECT a.id AS id1, b.id AS id2, round({S.d2('a.x', 'b.x')}, 12) AS d2
+FROM p a JOIN p b ON a.id < b.id WHERE {S.d2('a.x', 'b.x')} <= 0.02 * 0.02
+""")
+def q_j5(spark, sf):
+    return N.radius_join_grid(part2(spark, sf), 0.02).select("id1", "id2", F.round("d2", 12).alias("d2"))
+
+
+@register("closest_to_J6", f"""
+WITH p AS ({PART2_SQL}),
+c AS (SELECT id, {S.d2('x', '[0.5, 0.95]')} AS dist FROM p
+      WHERE id NOT IN (SELECT p_partkey FROM part WHERE p_size = 25))
+SELECT id, round(dist, 12) AS dist FROM c ORDER BY dist, id LIMIT 1
+""")
+def q_j6(spark, sf):
+    ign = load(spark, sf, "part").where(F.col("p_size") == 25).select(F.col("p_partkey").alias("id"))
+    r = N.closest_to(part2(spark, sf), [0.5, 0.95], ignore=ign)
+    return r.select("id", F.round("dist", 12).alias("dist"))
+
+
+@register("cell_members_J7", f"""
+WITH {ASSIGN_SQL.strip()}
+SELECT id FROM asg WHERE centroid_id = (SELECT min(centroid_id) FROM cents)
+""")
+def q_j7(spark, sf):
+    cents = centroids100(spark, sf)
+    first = cents.agg(F.min("centroid_id")).first()[0]
+    return N.members(N.nearest(li(spark, sf), cents), first).select("id")
+
+
+@register("landmark_by_key_J8", """
+WITH k AS (SELECT * FROM (VALUES (0, 'Customer#000000007'), (1, 'Customer#000000042'),
+                                 (2, 'Customer#000000100')) t(problem_id, c_name))
+SELECT k.problem_id, min(c.c_custkey) AS id, 1.0::DOUBLE AS voltage
+FROM k JOIN customer c ON c.c_name = k.c_name GROUP BY k.problem_id
+""")
+def q_j8(spark, sf):
+    from potentia.operators import landmarks as L
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("label"))
+    r = L.by_key(c, ["Customer#000000007", "Customer#000000042", "Customer#000000100"])
+    return r.select(F.col("problem_id").cast("int"), "id", "voltage")
+
+
+@register("exact_cells_knn_J9", f"""
+WITH pts AS ({S.EMB_POINTS}),
+pairs AS (SELECT a.id AS src, b.id AS dst, {S.d2('a.x', 'b.x')} AS d2 FROM pts a JOIN pts b ON a.id <> b.id),
+r AS (SELECT src, dst, d2, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM pairs)
+SELECT src, dst, round(d2, 10) AS d2, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10
+""")
+def q_j9(spark, sf):
+    pts = emb(spark, sf)
+    r = N.knn_cells(pts, pts, 10, exclude_self=True, cells=12, probes=2)
+    return r.select("src", "dst", F.round("d2", 10).alias("d2"), F.col("rank").cast("int").alias("rank"))
+
+
+EMB_GRAPH_SQL = f"""
+pts AS ({S.EMB_POINTS}),
+cnt AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM pts),
+{S.knn_edges_cte(10)}"""
+
+
+def emb_graph(spark, sf, r=0.01, k=10):
+    from potentia.operators import graph as G
+    return G.knn_graph(emb(spark, sf), k, r)
+
+
+@register("matvec_J10", f"""
+WITH {EMB_GRAPH_SQL.strip()}
+SELECT e.src, round(sum(e.w * p.x[1]), 15) AS wv FROM edges e JOIN pts p ON p.id = e.dst GROUP BY e.src
+""")
+def q_j10(spark, sf):
+    from potentia.operators import graph as G
+    g = emb_graph(spark, sf)
+    v = emb(spark, sf).select(F.lit(0).alias("problem_id"), "id", F.col("x")[0].alias("v"))
+    return G.matvec(g.edges, v).select("src", F.round("wv", 15).alias("wv"))
+
+
+@register("hops_J11", f"""
+WITH RECURSIVE {EMB_GRAPH_SQL.strip()},
+firsts AS (SELECT label, min(id) AS id FROM pts GROUP BY label),
+h AS (SELECT id AS source, id, 0 AS hops FROM firsts
+      UNION ALL
+      SELECT h.source, e.dst, h.hops + 1 FROM h JOIN edges e ON e.src = h.id WHERE h.hops < 3)
+SELECT source, id, CAST(min(hops) AS INTEGER) AS hops FROM h GROUP BY source, id
+""")
+def q_j11(spark, sf):
+    from potentia.operators import graph as G, landmarks as L
+    pts = emb(spark, sf)
+    g = G.knn_graph(pts, 10, 0.01)
+    return G.hops(g.edges, L.first_per_label(pts).select("id"), 3).select("source", "id", F.col("hops").cast("int"))
+
+
+@register("free_nodes_J12", f"""
+WITH pts AS ({S.EMB_POINTS}),
+firsts AS (SELECT label, min(id) AS id FROM pts GROUP BY label),
+lm AS (SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS problem_id, id FROM firsts)
+SELECT l.problem_id, p.id FROM pts p, lm l WHERE p.id <> l.id
+""")
+def q_j12(spark, sf):
+    from potentia.operators import graph as G, landmarks as L
+    pts = emb(spark, sf)
+    return G.free_nodes(pts.select("id"), L.first_per_label(pts)).select("problem_id", "id")
+
+
+@register("neighbour_cells_J13", f"""
+WITH {ASSIGN_SQL.strip()},
+r AS (SELECT id, centroid_id, row_number() OVER (PARTITION BY id ORDER BY d2, centroid_id) AS rk FROM dd),
+t AS (SELECT id, min(centroid_id) AS c1, max(centroid_id) AS c2 FROM r WHERE rk <= 2 GROUP BY id)
+SELECT DISTINCT c1, c2 FROM t
+""")
+def q_j13(spark, sf):
+    return N.neighbour_cells(li(spark, sf), centroids100(spark, sf))
+
+
+# ----------------------------------------------------------------------- aggregations (A*)
+@register("cell_counts_A1", f"""
+WITH {ASSIGN_SQL.strip()}
+SELECT c.centroid_id, CAST(count(a.id) AS BIGINT) AS n FROM cents c LEFT JOIN asg a USING (centroid_id)
+GROUP BY c.centroid_id
+""")
+def q_a1(spark, sf):
+    from potentia.operators import cluster as C
+    cents = centroids100(spark, sf)
+    return C.cell_counts(N.nearest(li(spark, sf), cents), cents)
+
+
+@register("cell_means_A2_C3", f"""
+WITH {ASSIGN_SQL.strip()}
+SELECT a.centroid_id, CAST(count(*) AS BIGINT) AS n, round(avg(p.x[1]), 9) AS m0, round(avg(p.x[2]), 9) AS m1,
+       round(avg(p.x[3]), 9) AS m2, round(avg(p.x[4]), 9) AS m3
+FROM asg a JOIN pts p USING (id) GROUP BY a.centroid_id
+""")
+def q_a2(spark, sf):
+    from potentia.operators import cluster as C
+    m = C.assign_average(li(spark, sf), centroids100(spark, sf), 4)
+    return m.select("centroid_id", "n", *[F.round(F.col("x")[i], 9).alias(f"m{i}") for i in range(4)])
+
+
+@register("running_mean_A3_A4", f"""
+WITH {ASSIGN_SQL.strip()},
+s AS (SELECT a.centroid_id, count(*) AS m, sum(p.x[1]) AS s0, sum(a.d2) AS sd2 FROM asg a JOIN pts p USING (id)
+      GROUP BY a.centroid_id)
+SELECT c.centroid_id, round((c.x[1] * 1 + coalesce(s.s0, 0)) / (1 + coalesce(s.m, 0)), 9) AS x0,
+       CAST(1 + coalesce(s.m, 0) AS BIGINT) AS n,
+       round((SELECT sum(d2) FROM asg) / (SELECT count(*) FROM asg), 12) AS mean_d2
+FROM cents c LEFT JOIN s USING (centroid_id)
+""")
+def q_a3(spark, sf):
+    from potentia.operators import cluster as C
+    cents = centroids100(spark, sf).withColumn("n", F.lit(1).cast("long"))
+    r = C.refine(li(spark, sf), cents, 4).persist()
+    tot = r.agg((F.sum("batch_d2") / F.sum("batch_n")).alias("m")).first()["m"]
+    return r.select("centroid_id", F.round(F.col("x")[0], 9).alias("x0"), "n",
+                    F.round(F.lit(tot), 12).alias("mean_d2"))
+
+
+@register("class_means_A5", f"""
+WITH pts AS ({S.EMB_POINTS})
+SELECT label, CAST(count(*) AS BIGINT) AS n, round(avg(x[1]), 9) AS m0, round(avg(x[64]), 9) AS m63
+FROM pts GROUP BY label
+""")
+def q_a5(spark, sf):
+    m = P.mean_center(emb(spark, sf), 64, by=["label"])
+    return m.select("label", "n", F.round(F.col("center")[0], 9).alias("m0"),
+                    F.round(F.col("center")[63], 9).alias("m63"))
+
+
+@register("degrees_A6", f"""
+WITH {EMB_GRAPH_SQL.strip()}
+SELECT src AS id, round(sum(w) * 1e6, 9) AS deg_e6, round((SELECT sum(w) FROM edges) * 1e3, 12) AS total_e3
+FROM edges GROUP BY src
+""")
+def q_a6(spark, sf):
+    g = emb_graph(spark, sf)
+    return g.nodes.select("id", F.round(F.col("deg") * 1e6, 9).alias("deg_e6"),
+                          F.round(F.lit(g.total_w) * 1e3, 12).alias("total_e3"))
+
+
+KV_SQL = f"""
+p AS ({PART2_SQL}),
+lmk AS (SELECT * FROM (VALUES (0, 0.1, 0.95), (1, 0.5, 1.5), (2, 0.9, 1.9)) t(problem_id, a, b)),
+kv AS (SELECT l.problem_id, p.id, exp(-{S.d2('p.x', '[l.a, l.b]')} / (2.0 * 0.2 * 0.2)) AS v FROM p, lmk l)"""
+
+
+def kernel_voltages(spark, sf):
+    """Voltage-like table: Gaussian kernel of every 2-D part point to three fixed anchors."""
+    from potentia.functions import vec
+    anchors = [(0, 0.1, 0.95), (1, 0.5, 1.5), (2, 0.9, 1.9)]
+    pts = part2(spark, sf)
+    outs = None
+    for pid, a, b in anchors:
+        t = F.array(F.lit(a), F.lit(b))
+        o = pts.select(F.lit(pid).alias("problem_id"), "id", vec.gaussian_kernel(vec.sq_dist("x", t), 0.2).alias("v"))
+        outs = o if outs is None else outs.unionByName(o)
+    return outs
+
+
+@register("argmax_A7", f"""
+WITH {KV_SQL.strip()},
+r AS (SELECT id, problem_id, v, row_number() OVER (PARTITION BY id ORDER BY v DESC, problem_id) AS rk FROM kv)
+SELECT id, problem_id, round(v, 12) AS v_max FROM r WHERE rk = 1
+""")
+def q_a7(spark, sf):
+    from potentia.operators import evaluate as E
+    r = E.argmax_problem(kernel_voltages(spark, sf))
+    return r.select("id", "problem_id", F.round("v_max", 12).alias("v_max"))
+
+
+@register("pairwise_min_max_A9_C5", f"""
+WITH pts AS ({S.LINEITEM_POINTS}),
+buf AS (SELECT * FROM pts ORDER BY id LIMIT 300),
+d AS (SELECT {S.d2('a.x', 'b.x')} AS d2 FROM buf a JOIN buf b ON a.id <> b.id)
+SELECT round(min(d2) FILTER (WHERE d2 > 0), 12) AS min_d2, round(max(d2), 12) AS max_d2 FROM d
+""")
+def q_a9(spark, sf):
+    buf = li(spark, sf).orderBy("id").limit(300)
+    r = N.pairwise_min_max(buf)
+    return r.select(F.round("min_d2", 12).alias("min_d2"), F.round("max_d2", 12).alias("max_d2"))
+
+
+@register("voltage_summary_A11", f"""
+WITH {KV_SQL.strip()},
+r AS (SELECT problem_id, v, row_number() OVER (PARTITION BY problem_id ORDER BY v, id) - 1 AS i,
+             count(*) OVER (PARTITION BY problem_id) AS n FROM kv)
+SELECT problem_id, round(stddev_pop(v), 12) AS std, round(min(v), 12) AS min, round(max(v), 12) AS max,
+       round(max(v) FILTER (WHERE i = floor(n / 2)), 12) AS median
+FROM r GROUP BY problem_id
+""")
+def q_a11(spark, sf):
+    from potentia.operators import evaluate as E
+    r = E.voltage_summary(kernel_voltages(spark, sf))
+    return r.select("problem_id", *[F.round(c, 12).alias(c) for c in ("std", "min", "max", "median")])
+
+
+@register("histogram_A12", """
+WITH b AS (SELECT c_acctbal,
+  CAST(least(floor((c_acctbal - (-1000.0)) / (11000.0 / 100)), 99) AS INTEGER) AS bin FROM customer
+  WHERE c_acctbal >= -1000.0 AND c_acctbal <= 10000.0)
+SELECT bin, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY bin
+""")
+def q_a12(spark, sf):
+    from potentia.operators import evaluate as E
+    return E.histogram(load(spark, sf, "customer"), "c_acctbal", -1000.0, 10000.0, 100)
+
+
+@register("largest_cell_A13", f"""
+WITH {ASSIGN_SQL.strip()}
+SELECT CAST(max(n) AS BIGINT) AS largest FROM (SELECT centroid_id, count(*) AS n FROM asg GROUP BY centroid_id)
+""")
+def q_a13(spark, sf):
+    from potentia.operators import cluster as C
+    c = C.cell_counts(assigned(spark, sf))
+    return c.agg(F.max("n").cast("long").alias("largest"))
+
+
+@register("centers_A14", f"""
+WITH p AS ({PART2_SQL})
+SELECT round(avg(x[1]), 12) AS mean0, round(avg(x[2]), 12) AS mean1,
+       round(quantile_cont(x[1], 0.5), 12) AS med0, round(quantile_cont(x[2], 0.5), 12) AS med1 FROM p
+""")
+def q_a14(spark, sf):
+    pts = part2(spark, sf)
+    m = P.mean_center(pts, 2).select("center")
+    md = P.median_center(pts, 2).select(F.col("center").alias("med"))
+    mr, mdr = m.first()["center"], md.first()["med"]
+    spark_ = pts.sparkSession
+    return spark_.createDataFrame([(round(mr[0], 12), round(mr[1], 12), round(mdr[0], 12), round(mdr[1], 12))],
+                                  "mean0 double, mean1 double, med0 double, med1 double")
+
+
+@register("slope_A15", """
+SELECT round(regr_slope(l_extendedprice, l_quantity), 9) AS slope FROM lineitem
+""")
+def q_a15(spark, sf):
+    return load(spark, sf, "lineitem").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 9).alias("slope"))
+
+
+# ----------------------------------------------------------------------- windows, sets (W*, U*)
+@register("top_per_cell_W1_C10", f"""
+WITH {ASSIGN_SQL.strip()},
+r AS (SELECT centroid_id, id, d2, row_number() OVER (PARTITION BY centroid_id ORDER BY d2, id) AS rank FROM asg)
+SELECT centroid_id, id, round(d2, 12) AS d2, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
+""")
+def q_w1(spark, sf):
+    from potentia.operators import cluster as C
+    r = C.top_per_cell(assigned(spark, sf), 5)
+    return r.select("centroid_id", "id", F.round("d2", 12).alias("d2"), F.col("rank").cast("int"))
+
+
+@register("neighbour_lists_W2", f"""
+WITH pts AS ({S.EMB_POINTS}),
+pairs AS (SELECT a.id AS src, b.id AS dst, {S.d2('a.x', 'b.x')} AS d2 FROM pts a JOIN pts b ON a.id <> b.id),
+r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM pairs)
+SELECT src, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY rank) AS neighbours FROM r WHERE rank <= 10 GROUP BY src
+""")
+def q_w2(spark, sf):
+    r = N.self_knn(emb(spark, sf), 10)
+    lst = r.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "dst"))).alias("l"))
+    return lst.select("src", F.array_join(F.transform("l", lambda s: s["dst"].cast("string")), ",").alias("neighbours"))
+
+
+@register("voltage_rank_W3", f"""
+WITH {KV_SQL.strip()}
+SELECT problem_id, id, CAST(row_number() OVER (PARTITION BY problem_id ORDER BY round(v, 12), id) AS INTEGER) AS rank
+FROM kv
+""")
+def q_w3(spark, sf):
+    from pyspark.sql import Window
+    w = Window.partitionBy("problem_id").orderBy(F.round("v", 12), "id")
+    return kernel_voltages(spark, sf).select("problem_id", "id", F.row_number().over(w).alias("rank"))
+
+
+@register("rank_distribution_W4", f"""
+WITH pts AS ({S.EMB_POINTS}),
+pairs AS (SELECT a.id AS src, b.id AS dst, {S.d2('a.x', 'b.x')} AS d2 FROM pts a JOIN pts b ON a.id <> b.id),
+r AS (SELECT src, d2, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rank FROM pairs),
+s AS (SELECT rank, sqrt(d2) AS dist FROM r WHERE rank IN (1, 10))
+SELECT CAST(rank AS INTEGER) AS rank, CAST(least(floor((dist - 0.0) / (2.0 / 20)), 19) AS INTEGER) AS bin,
+       CAST(count(*) AS BIGINT) AS n FROM s WHERE dist >= 0.0 AND dist <= 2.0 GROUP BY 1, 2
+""")
+def q_w4(spark, sf):
+    from potentia.operators import evaluate as E
+    r = N.self_knn(emb(spark, sf), 10).where(F.col("rank").isin(1, 10)).withColumn("dist", F.sqrt("d2"))
+    return E.histogram(r, "dist", 0.0, 2.0, 20, by=["rank"])
+
+
+@register("permutation_W5", f"""
+SELECT c_custkey AS id, round({rand.sql_uniform('c_custkey', 99)}, 15) AS sort_key FROM customer
+""")
+def q_w5(spark, sf):
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    return c.select("id", F.round(rand.uniform("id", 99), 15).alias("sort_key")).orderBy("sort_key")
+
+
+@register("furthest_W6", f"""
+WITH pts AS ({S.LINEITEM_POINTS})
+SELECT id, round({S.d2('x', REF4_SQL)}, 12) AS d2 FROM pts ORDER BY {S.d2('x', REF4_SQL)} DESC, id LIMIT 10
+""")
+def q_w6(spark, sf):
+    from potentia.functions import vec
+    r = F.array(*[F.lit(v) for v in REF4])
+    d = li(spark, sf).select("id", vec.sq_dist("x", r).alias("d2"))
+    return d.orderBy(F.col("d2").desc(), "id").limit(10).select("id", F.round("d2", 12).alias("d2"))
+
+
+@register("symmetrize_U1", f"""
+WITH pts AS ({S.EMB_POINTS}),
+cnt AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM pts),
+{S.knn_edges_cte(10).strip()}
+SELECT src, dst FROM und
+""")
+def q_u1(spark, sf):
+    from potentia.operators import graph as G
+    nb = N.self_knn(emb(spark, sf), 10)
+    return G.symmetrize(nb.select("src", "dst"))
+
+
+@register("stack_batches_U3", """
+SELECT CAST(floor(event_id / 1000) AS BIGINT) AS batch_no, CAST(count(*) AS BIGINT) AS n,
+       round(sum(value), 6) AS total FROM events GROUP BY 1
+""")
+def q_u3(spark, sf):
+    ev = load(spark, sf, "events").withColumn("batch_no", F.floor(F.col("event_id") / 1000).cast("long"))
+    parts = [ev.where(F.col("batch_no") == b) for b in range(int(ev.agg(F.max("batch_no")).first()[0]) + 1)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@register("set_difference_U4", """
+SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 10)
+""")
+def q_u4(spark, sf):
+    p = load(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    used = load(spark, sf, "lineitem").where(F.col("l_quantity") > 10).select(F.col("l_partkey").alias("id"))
+    return P.exclude(p, used)
