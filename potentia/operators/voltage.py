@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from potentia.operators.graph import Graph
-from potentia.session import cut_lineage
+from potentia.session import checkpoint_with_sums, cut_lineage
 
 
 def _problem_ids(landmarks: DataFrame) -> list[int]:
@@ -24,9 +24,17 @@ def _problem_ids(landmarks: DataFrame) -> list[int]:
 
 
 def _per_problem(nodes: DataFrame, pids: list[int]) -> DataFrame:
+    """Nodes for every problem; graphs that already differ per problem carry ``problem_id``."""
+    if "problem_id" in nodes.columns:
+        return nodes.where(F.col("problem_id").isin([int(p) for p in pids]))
     return nodes.withColumn("problem_id", F.explode(F.array(*[F.lit(int(p)) for p in pids])))
 
 
+def _edge_keys(edges: DataFrame) -> list[str]:
+    """Join keys of the edge table against per-problem node values."""
+    return ["dst", "problem_id"] if "problem_id" in edges.columns else ["dst"]
+
+
 def _literal_map(values: dict[int, float]):
     items = []
     for k, v in values.items():
@@ -35,7 +43,7 @@ def _literal_map(values: dict[int, float]):
 
 
 def jacobi(graph: Graph, landmarks: DataFrame, *, max_iters: int = 10, tol: float | None = None,
-           stop_when_growing: bool = True, checkpoint_every: int = 5) -> DataFrame:
+           stop_when_growing: bool = True) -> DataFrame:
     """V2: ``v <- P v`` with landmarks reset after every sweep, starting from 0 V.
 
     Each problem stops at ``max_iters``, when its step norm falls to ``tol``, or (as the
@@ -44,11 +52,13 @@ def jacobi(graph: Graph, landmarks: DataFrame, *, max_iters: int = 10, tol: floa
     """
     pids = _problem_ids(landmarks)
     fixed = landmarks.select("problem_id", "id", F.col("voltage").alias("fixed"))
-    base = (_per_problem(graph.nodes.select("id", (F.lit(1.0) / (F.col("deg") + F.col("g"))).alias("inv")), pids)
+    pk = ["problem_id"] if "problem_id" in graph.nodes.columns else []
+    base = (_per_problem(graph.nodes.select(*pk, "id", (F.lit(1.0) / (F.col("deg") + F.col("g"))).alias("inv")), pids)
             .join(fixed, ["problem_id", "id"], "left"))
     state = base.select("problem_id", "id", "inv", "fixed", F.coalesce("fixed", F.lit(0.0)).alias("v"))
     state = cut_lineage(state)
-    edges = graph.edges.select("src", "dst", "w")
+    keys = _edge_keys(graph.edges)
+    edges = graph.edges.select("src", *keys, "w")
     # step norm before the first sweep: |v0 - 0| (as the original loop initialises it)
     prev = {r["problem_id"]: r["s"] for r in
             state.groupBy("problem_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("s")).collect()}
@@ -58,15 +68,14 @@ def jacobi(graph: Graph, landmarks: DataFrame, *, max_iters: int = 10, tol: floa
         if not active:
             break
         cur = state.where(F.col("problem_id").isin(active)) if len(active) < len(pids) else state
-        s = (edges.join(cur.select("problem_id", F.col("id").alias("dst"), "v"), "dst")
+        s = (edges.join(cur.select("problem_id", F.col("id").alias("dst"), "v"), keys)
              .groupBy("problem_id", F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("v")).alias("wv")))
         nxt = (cur.join(s, ["problem_id", "id"], "left")
                .select("problem_id", "id", "inv", "fixed",
                        F.coalesce("fixed", F.coalesce("wv", F.lit(0.0)) * F.col("inv")).alias("v"),
                        F.col("v").alias("v_old")))
-        nxt = cut_lineage(nxt) if it % checkpoint_every == 0 else nxt.persist()
-        steps = {r["problem_id"]: r["s"] for r in nxt.groupBy("problem_id").agg(
-            F.sqrt(F.sum((F.col("v") - F.col("v_old")) * (F.col("v") - F.col("v_old")))).alias("s")).collect()}
+        nxt, sums = checkpoint_with_sums(nxt, active, {"ss": (F.col("v") - F.col("v_old")) * (F.col("v") - F.col("v_old"))})
+        steps = {p: sums[p]["ss"] ** 0.5 for p in active}
         state = nxt.drop("v_old")
         still = []
         for p in active:
@@ -87,75 +96,84 @@ def jacobi(graph: Graph, landmarks: DataFrame, *, max_iters: int = 10, tol: floa
     return out
 
 
-def conjugate_gradient(graph: Graph, landmarks: DataFrame, *, tol: float = 1e-12, max_iters: int = 500,
-                       checkpoint_every: int = 5) -> DataFrame:
+def _matvec_into(st: DataFrame, edges: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
+    """Add ``out = (A col)`` where ``A = diag - W`` restricted to the rows present in ``st``."""
+    wv = (edges.join(st.select("problem_id", F.col("id").alias("dst"), col), keys)
+          .groupBy("problem_id", F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col(col)).alias("_wv")))
+    return (st.join(wv, ["problem_id", "id"], "left")
+            .withColumn(out, F.col("diag") * F.col(col) - F.coalesce("_wv", F.lit(0.0))).drop("_wv"))
+
+
+def conjugate_gradient(graph: Graph, landmarks: DataFrame, *, tol: float = 1e-12, max_iters: int = 500) -> DataFrame:
     """V1: exact voltages by Jacobi-preconditioned conjugate gradient on the SPD system
 
         (deg_i + g_i) v_i - sum_{j free} w_ij v_j = sum_{c fixed} w_ic v_c      (i free)
 
-    Unknowns are the free nodes only (landmarks never enter the Krylov space). Per round:
-    one edge join + grouped sum for ``A p`` and two per-problem scalar sums; alpha/beta go back
-    as a literal map keyed by ``problem_id``. Problems converge (relative residual <= tol) and
-    freeze independently. Returns ``problem_id, id, v`` for every node and problem.
+    Unknowns are the free nodes only (landmarks never enter the Krylov space). The
+    single-reduction (Chronopoulos-Gear) form is used: per round one edge join + grouped sum
+    for ``A u`` and one per-problem reduction of (r.u, Au.u, r.r), i.e. one Spark job per round.
+    alpha/beta return to the executors as a literal map keyed by ``problem_id``; problems
+    converge (relative residual <= tol) and freeze independently.
+    Returns ``problem_id, id, v`` for every node and problem.
     """
     pids = _problem_ids(landmarks)
     fixed = landmarks.select("problem_id", "id", F.col("voltage").alias("fixed"))
-    edges = graph.edges.select("src", "dst", "w")
-    free = (_per_problem(graph.nodes.select("id", (F.col("deg") + F.col("g")).alias("diag")), pids)
+    keys = _edge_keys(graph.edges)
+    edges = graph.edges.select("src", *keys, "w")
+    pk = ["problem_id"] if "problem_id" in graph.nodes.columns else []
+    free = (_per_problem(graph.nodes.select(*pk, "id", (F.col("deg") + F.col("g")).alias("diag")), pids)
             .join(fixed.select("problem_id", "id"), ["problem_id", "id"], "left_anti"))
-    b = (edges.join(fixed.select("problem_id", F.col("id").alias("dst"), "fixed"), "dst")
+    b = (edges.join(fixed.select("problem_id", F.col("id").alias("dst"), "fixed"), keys)
          .groupBy("problem_id", F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("fixed")).alias("b")))
     st = (free.join(b, ["problem_id", "id"], "left")
-          .select("problem_id", "id", "diag", F.lit(0.0).alias("x"), F.coalesce("b", F.lit(0.0)).alias("r")))
-    st = st.withColumn("p", F.col("r") / F.col("diag"))
-    st = cut_lineage(st)
-    sums = {r["problem_id"]: (r["rz"], r["rr"]) for r in st.groupBy("problem_id").agg(
-        F.sum(F.col("r") * F.col("r") / F.col("diag")).alias("rz"),
-        F.sum(F.col("r") * F.col("r")).alias("rr")).collect()}
-    rz = {p: sums.get(p, (0.0, 0.0))[0] for p in pids}
-    bnorm = {p: sums.get(p, (0.0, 0.0))[1] ** 0.5 for p in pids}
-    active = [p for p in pids if bnorm[p] > 0 and rz[p] > 0]
-    done: list[DataFrame] = [st.where(~F.col("problem_id").isin(active)).select("problem_id", "id", "x")] \
-        if len(active) < len(pids) else []
+          .select("problem_id", "id", "diag", F.lit(0.0).alias("x"), F.coalesce("b", F.lit(0.0)).alias("r"),
+                  F.lit(0.0).alias("p"), F.lit(0.0).alias("s")))
+    st = st.withColumn("u", F.col("r") / F.col("diag"))
+    sums = {"gamma": F.col("r") * F.col("u"), "delta": F.col("w") * F.col("u"), "rr": F.col("r") * F.col("r")}
+
+    def step(df, ids):
+        out, got = checkpoint_with_sums(df, ids, sums)
+        return out, {p: (got[p]["gamma"], got[p]["delta"], got[p]["rr"]) for p in ids}
+
+    st, red = step(_matvec_into(st, edges, keys, "u", "w"), pids)
+    bnorm = {p: red.get(p, (0.0, 0.0, 0.0))[2] ** 0.5 for p in pids}
+    active = [p for p in pids if bnorm[p] > 0 and red.get(p, (0, 0, 0))[1] > 0]
+    done: list[DataFrame] = []
     if len(active) < len(pids):
+        done.append(st.where(~F.col("problem_id").isin(active)).select("problem_id", "id", "x"))
         st = st.where(F.col("problem_id").isin(active))
+    gamma = {p: red[p][0] for p in active}
+    alpha = {p: red[p][0] / red[p][1] for p in active}
+    beta = {p: 0.0 for p in active}
     it = 0
     while active and it < max_iters:
         it += 1
-        ap = (edges.join(st.select("problem_id", F.col("id").alias("dst"), "p"), "dst")
-              .groupBy("problem_id", F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("p")).alias("wp")))
-        st = (st.join(ap, ["problem_id", "id"], "left")
-              .withColumn("ap", F.col("diag") * F.col("p") - F.coalesce("wp", F.lit(0.0))).drop("wp"))
-        st = st.persist()
-        pap = {r["problem_id"]: r["s"] for r in
-               st.groupBy("problem_id").agg(F.sum(F.col("p") * F.col("ap")).alias("s")).collect()}
-        alpha = {p: (rz[p] / pap[p] if pap.get(p) else 0.0) for p in active}
         a = _literal_map(alpha)[F.col("problem_id")]
-        st2 = st.select("problem_id", "id", "diag", "p",
-                        (F.col("x") + a * F.col("p")).alias("x"),
-                        (F.col("r") - a * F.col("ap")).alias("r"))
-        st2 = cut_lineage(st2) if it % checkpoint_every == 0 else st2.persist()
-        st.unpersist()
-        res = {r["problem_id"]: (r["rz"], r["rr"]) for r in st2.groupBy("problem_id").agg(
-            F.sum(F.col("r") * F.col("r") / F.col("diag")).alias("rz"),
-            F.sum(F.col("r") * F.col("r")).alias("rr")).collect()}
-        beta = {}
+        bb = _literal_map(beta)[F.col("problem_id")]
+        p_new = F.col("u") + bb * F.col("p")
+        s_new = F.col("w") + bb * F.col("s")
+        nxt = st.select("problem_id", "id", "diag", p_new.alias("p"), s_new.alias("s"), "x", "r")
+        nxt = nxt.select("problem_id", "id", "diag", "p", "s", (F.col("x") + a * F.col("p")).alias("x"),
+                         (F.col("r") - a * F.col("s")).alias("r"))
+        nxt = nxt.withColumn("u", F.col("r") / F.col("diag"))
+        st, red = step(_matvec_into(nxt, edges, keys, "u", "w"), active)
         still = []
         for p in active:
-            rz_new, rr = res.get(p, (0.0, 0.0))
-            if rr ** 0.5 <= tol * bnorm[p] or rz_new == 0:
+            g_new, delta, rr = red.get(p, (0.0, 0.0, 0.0))
+            if rr ** 0.5 <= tol * bnorm[p] or g_new == 0:
+                continue
+            b_new = g_new / gamma[p]
+            denom = delta - b_new * g_new / alpha[p]
+            if denom == 0:
                 continue
-            beta[p] = rz_new / rz[p]
-            rz[p] = rz_new
+            beta[p], alpha[p], gamma[p] = b_new, g_new / denom, g_new
             still.append(p)
         if len(still) < len(active):
             froze = [p for p in active if p not in still]
-            done.append(st2.where(F.col("problem_id").isin(froze)).select("problem_id", "id", "x"))
-        if still:
-            bb = _literal_map(beta)[F.col("problem_id")]
-            st = (st2.where(F.col("problem_id").isin(still))
-                  .select("problem_id", "id", "diag", "x", "r",
-                          (F.col("r") / F.col("diag") + bb * F.col("p")).alias("p")))
+            done.append(st.where(F.col("problem_id").isin(froze)).select("problem_id", "id", "x"))
+            st = st.where(F.col("problem_id").isin(still))
+            alpha = {p: alpha[p] for p in still}
+            beta = {p: beta[p] for p in still}
         active = still
     if active:  # max_iters reached: keep the last iterate
         done.append(st.select("problem_id", "id", "x"))

@@ -736,9 +736,308 @@ def q_u3(spark, sf):
 
 
 @register("set_difference_U4", """
-SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 10)
+SELECT p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)
 """)
 def q_u4(spark, sf):
     p = load(spark, sf, "part").select(F.col("p_partkey").alias("id"))
-    used = load(spark, sf, "lineitem").where(F.col("l_quantity") > 10).select(F.col("l_partkey").alias("id"))
+    used = load(spark, sf, "lineitem").where(F.col("l_quantity") > 45).select(F.col("l_partkey").alias("id"))
     return P.exclude(p, used)
+
+
+# ----------------------------------------------------------------------- graph construction (G*)
+@register("knn_edges_G1", f"""
+WITH {EMB_GRAPH_SQL.strip()}
+SELECT src, dst, round(w * 1e9, 9) AS w_e9 FROM edges
+""")
+def q_g1(spark, sf):
+    g = emb_graph(spark, sf)
+    return g.edges.select("src", "dst", F.round(F.col("w") * 1e9, 9).alias("w_e9"))
+
+
+EMB_NODES_SQL = f"""{EMB_GRAPH_SQL.strip()},
+tot AS (SELECT sum(w) AS t FROM edges),
+deg AS (SELECT src AS id, sum(w) AS deg FROM edges GROUP BY src),
+gnodes AS (SELECT d.id, d.deg, t.t / (0.01 * c.n * c.n) AS g FROM deg d, tot t, cnt c),
+nodes AS (SELECT id, 1.0 / (deg + g) AS inv FROM gnodes)"""
+
+
+@register("ground_transition_G2_G3", f"""
+WITH {EMB_NODES_SQL}
+SELECT e.src, e.dst, round(e.w / (n.deg + n.g), 12) AS p, round(n.g / (n.deg + n.g), 12) AS p_ground
+FROM edges e JOIN gnodes n ON n.id = e.src
+""")
+def q_g2(spark, sf):
+    from potentia.operators import graph as G
+    g = emb_graph(spark, sf)
+    p, pg = G.transition(g)
+    return (p.join(pg.withColumnRenamed("id", "src"), "src")
+            .select("src", "dst", F.round("p", 12).alias("p"), F.round("p_ground", 12).alias("p_ground")))
+
+
+SUPP1_SQL = "SELECT s_suppkey AS id, [s_acctbal / 1000.0] AS x FROM supplier"
+
+
+def supp1(spark, sf):
+    s = load(spark, sf, "supplier")
+    return s.select(F.col("s_suppkey").alias("id"), F.array(F.col("s_acctbal") / F.lit(1000.0)).alias("x"),
+                    F.lit(1.0).alias("weight"))
+
+
+GAUSS_SQL = f"""
+sp AS ({SUPP1_SQL}),
+ge AS (SELECT a.id AS src, b.id AS dst, exp(-{S.d2('a.x', 'b.x')} / (2.0 * 0.5 * 0.5)) AS w
+       FROM sp a JOIN sp b ON a.id <> b.id),
+gk AS (SELECT * FROM ge WHERE w > 0.01)"""
+
+
+def gauss_edges(spark, sf):
+    from potentia.operators import graph as G
+    return G.kernel_edges(supp1(spark, sf), "gaussian", 0.5, min_w=0.01)
+
+
+@register("kernel_edges_G4", f"""
+WITH {GAUSS_SQL.strip()}
+SELECT src, dst, round(w, 12) AS w FROM gk
+""")
+def q_g4(spark, sf):
+    return gauss_edges(spark, sf).select("src", "dst", F.round("w", 12).alias("w"))
+
+
+@register("count_weighted_G5", f"""
+WITH {ASSIGN_SQL.strip()},
+cn AS (SELECT centroid_id, CAST(count(*) AS DOUBLE) AS n FROM asg GROUP BY centroid_id),
+ce AS (SELECT a.centroid_id AS src, b.centroid_id AS dst, exp(-{S.d2('a.x', 'b.x')} / (2.0 * 0.1 * 0.1)) AS w
+       FROM cents a JOIN cents b ON a.centroid_id <> b.centroid_id)
+SELECT ce.src, ce.dst, round(ce.w * s.n * d.n, 6) AS w FROM ce JOIN cn s ON s.centroid_id = ce.src
+JOIN cn d ON d.centroid_id = ce.dst WHERE ce.w > 1e-6
+""")
+def q_g5(spark, sf):
+    from potentia.operators import cluster as C, graph as G
+    cents = centroids100(spark, sf)
+    cnt = C.cell_counts(N.nearest(li(spark, sf), cents))
+    e = G.kernel_edges(cents.select(F.col("centroid_id").alias("id"), "x"), "gaussian", 0.1, min_w=1e-6)
+    return G.count_weighted(e, cnt).select("src", "dst", F.round("w", 6).alias("w"))
+
+
+@register("universal_ground_G6", f"""
+WITH {GAUSS_SQL.strip()},
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM sp)
+SELECT sp.id, round(coalesce(d.deg, 0.0), 12) AS deg, round(0.1 / n.n, 15) AS g
+FROM sp LEFT JOIN (SELECT src, sum(w) AS deg FROM gk GROUP BY src) d ON d.src = sp.id, n
+""")
+def q_g6(spark, sf):
+    from potentia.operators import graph as G
+    g = G.universal_ground(gauss_edges(spark, sf), supp1(spark, sf), 0.1)
+    return g.nodes.select("id", F.round("deg", 12).alias("deg"), F.round("g", 15).alias("g"))
+
+
+@register("row_stochastic_G8", f"""
+WITH {GAUSS_SQL.strip()}
+SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 12) AS w FROM gk
+""")
+def q_g8(spark, sf):
+    from potentia.operators import graph as G
+    return G.row_stochastic(gauss_edges(spark, sf)).select("src", "dst", F.round("w", 12).alias("w"))
+
+
+@register("literal_rescale_G9", f"""
+WITH {EMB_GRAPH_SQL.strip()},
+r AS (SELECT src, dst, w, sum(w) OVER (PARTITION BY src) AS s FROM edges)
+SELECT src, dst, round(w * (1.0 - s) / s, 12) AS w FROM r
+""")
+def q_g9(spark, sf):
+    from potentia.operators import graph as G
+    return G.literal_rescale(emb_graph(spark, sf).edges).select("src", "dst", F.round("w", 12).alias("w"))
+
+
+COS_SQL = f"""
+pts AS ({S.EMB_POINTS}),
+u AS (SELECT id, list_transform(x, lambda v: v / {S.norm('x')}) AS x FROM pts),
+pairs AS (SELECT a.id AS src, b.id AS dst, {S.d2('a.x', 'b.x')} AS d2 FROM u a JOIN u b ON a.id <> b.id),
+knn AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rk
+        FROM pairs) WHERE rk <= 9),
+ce AS (SELECT src, dst FROM knn UNION SELECT dst, src FROM knn),
+cdeg AS (SELECT src AS id, CAST(count(*) AS DOUBLE) AS deg FROM ce GROUP BY src)"""
+
+
+@register("cosine_graph_G10", f"""
+WITH {COS_SQL.strip()}
+SELECT id, deg FROM cdeg
+""")
+def q_g10(spark, sf):
+    from potentia.operators import graph as G
+    _, nodes = G.cosine_knn_graph(emb(spark, sf), 9)
+    return nodes.select("id", "deg")
+
+
+@register("laplacian_G11", f"""
+WITH {COS_SQL.strip()}
+SELECT ce.src AS i, ce.dst AS j, round(-1.0 / sqrt(a.deg * b.deg), 12) AS value
+FROM ce JOIN cdeg a ON a.id = ce.src JOIN cdeg b ON b.id = ce.dst
+UNION ALL SELECT id, id, 1.0 FROM cdeg
+""")
+def q_g11(spark, sf):
+    from potentia.operators import graph as G
+    e, nodes = G.cosine_knn_graph(emb(spark, sf), 9)
+    return G.normalized_laplacian(e, nodes).select("i", "j", F.round("value", 12).alias("value"))
+
+
+# ----------------------------------------------------------------------- landmarks (L*)
+@register("add_landmarks_L1", f"""
+WITH pts AS ({S.EMB_POINTS}),
+firsts AS (SELECT label, min(id) AS id FROM pts GROUP BY label),
+lm AS (SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS problem_id, id FROM firsts),
+far AS (SELECT 0 AS problem_id, max(id) AS id FROM pts)
+SELECT DISTINCT problem_id, id, 1.0::DOUBLE AS voltage FROM (SELECT * FROM lm UNION ALL SELECT * FROM far)
+""")
+def q_l1(spark, sf):
+    from potentia.operators import landmarks as L
+    pts = emb(spark, sf)
+    base = L.first_per_label(pts).select("problem_id", "id", "voltage")
+    extra = pts.agg(F.max("id").alias("id")).select(F.lit(0).alias("problem_id"), "id", F.lit(1.0).alias("voltage"))
+    return L.add(base, extra)
+
+
+@register("closest_landmark_L2", f"""
+WITH p AS ({PART2_SQL})
+SELECT 0 AS problem_id, id, 1.0::DOUBLE AS voltage FROM p ORDER BY {S.d2('x', '[0.2, 1.0]')}, id LIMIT 1
+""")
+def q_l2(spark, sf):
+    from potentia.operators import landmarks as L
+    return L.closest_to(part2(spark, sf), [0.2, 1.0])
+
+
+@register("box_landmarks_L3", f"""
+WITH p AS ({PART2_SQL})
+SELECT 0 AS problem_id, id, 0.0::DOUBLE AS voltage FROM p
+WHERE x[1] >= 0.0 AND x[1] <= 0.2 AND x[2] >= 0.9 AND x[2] <= 1.0
+""")
+def q_l3(spark, sf):
+    from potentia.operators import landmarks as L
+    return L.in_box(part2(spark, sf), [0.0, 0.9], [0.2, 1.0], voltage=0.0)
+
+
+@register("first_per_label_L4", f"""
+WITH pts AS ({S.EMB_POINTS}), firsts AS (SELECT label, min(id) AS id FROM pts GROUP BY label)
+SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS problem_id, id, 1.0::DOUBLE AS voltage, label
+FROM firsts
+""")
+def q_l4(spark, sf):
+    from potentia.operators import landmarks as L
+    return L.first_per_label(emb(spark, sf))
+
+
+@register("class_mean_landmarks_L5", f"""
+WITH pts AS ({S.EMB_POINTS}),
+m AS (SELECT label, list_transform(range(1, 65), lambda i: avg_i) AS dummy FROM pts GROUP BY label LIMIT 0),
+cm AS (SELECT p.label, [{", ".join(f"avg(x[{i + 1}])" for i in range(64))}] AS c FROM pts p GROUP BY p.label),
+d AS (SELECT p.label, p.id, {S.d2('p.x', 'cm.c')} AS d2 FROM pts p JOIN cm USING (label)),
+best AS (SELECT label, id FROM (SELECT label, id, row_number() OVER (PARTITION BY label ORDER BY d2, id) AS rk FROM d)
+         WHERE rk = 1)
+SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS problem_id, id, 1.0::DOUBLE AS voltage, label
+FROM best
+""".replace("m AS (SELECT label, list_transform(range(1, 65), lambda i: avg_i) AS dummy FROM pts GROUP BY label LIMIT 0),\n", ""))
+def q_l5(spark, sf):
+    from potentia.operators import landmarks as L
+    return L.closest_to_class_mean(emb(spark, sf), 64)
+
+
+@register("random_landmarks_L6", f"""
+WITH s AS (SELECT vec_id AS id FROM embeddings ORDER BY {rand.sql_uniform('vec_id', 21)}, vec_id LIMIT 5)
+SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS problem_id, id, 1.0::DOUBLE AS voltage FROM s
+""")
+def q_l6(spark, sf):
+    from potentia.operators import landmarks as L
+    return L.random_k(emb(spark, sf), 5, 21)
+
+
+# ----------------------------------------------------------------------- voltage solves (V*, A10)
+EMB_LM_SQL = """
+firsts AS (SELECT label, min(id) AS id FROM pts GROUP BY label),
+lm AS (SELECT CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS problem_id, id, 1.0::DOUBLE AS voltage
+       FROM firsts)"""
+
+
+def emb_cg(spark, sf):
+    from potentia.operators import graph as G, landmarks as L, voltage as V
+    pts = emb(spark, sf)
+    g = G.knn_graph(pts, 10, 0.01).persist()
+    lms = L.first_per_label(pts)
+    return V.conjugate_gradient(g, lms, tol=1e-13)
+
+
+V1_SQL = f"""
+WITH RECURSIVE {EMB_NODES_SQL},
+{EMB_LM_SQL.strip()},
+{S.jacobi_state('edges', 'nodes', 'lm', 300).strip()}"""
+
+
+@register("exact_voltages_V1", V1_SQL + """
+SELECT problem_id, id, round(v, 6) AS v FROM state WHERE it = 300
+""")
+def q_v1(spark, sf):
+    return emb_cg(spark, sf).select("problem_id", "id", F.round("v", 6).alias("v"))
+
+
+@register("voltage_map_V3", V1_SQL + """
+SELECT id, CAST(count(*) AS INTEGER) AS n, round(first(v ORDER BY problem_id), 6) AS v_first,
+       round(first(v ORDER BY problem_id DESC), 6) AS v_last FROM state WHERE it = 300 GROUP BY id
+""")
+def q_v3(spark, sf):
+    from potentia.operators import voltage as V
+    w = V.wide(emb_cg(spark, sf))
+    return w.select("id", F.size("v").alias("n"), F.round(F.col("v")[0], 6).alias("v_first"),
+                    F.round(F.element_at("v", -1), 6).alias("v_last"))
+
+
+@register("hop_mean_A10", f"""
+WITH RECURSIVE {EMB_NODES_SQL},
+{EMB_LM_SQL.strip()},
+{S.jacobi_state('edges', 'nodes', 'lm', 300).strip()},
+h AS (SELECT problem_id, id AS source, id, 0 AS hops FROM lm
+      UNION ALL
+      SELECT h.problem_id, h.source, e.dst, h.hops + 1 FROM h JOIN edges e ON e.src = h.id WHERE h.hops < 2),
+hs AS (SELECT DISTINCT problem_id, id FROM h)
+SELECT hs.problem_id, round(avg(s.v), 6) AS mean_v, CAST(count(*) AS BIGINT) AS n
+FROM hs JOIN state s ON s.it = 300 AND s.problem_id = hs.problem_id AND s.id = hs.id GROUP BY hs.problem_id
+""")
+def q_a10(spark, sf):
+    from potentia.operators import graph as G, landmarks as L
+    from potentia.operators import tune as T
+    pts = emb(spark, sf)
+    g = G.knn_graph(pts, 10, 0.01).persist()
+    lms = L.first_per_label(pts)
+    from potentia.operators import voltage as V
+    v = V.conjugate_gradient(g, lms, tol=1e-13)
+    h = G.hops(g.edges, lms.select("id"), 2)
+    hood = h.join(lms.select("problem_id", F.col("id").alias("source")), "source").select("problem_id", "id").distinct()
+    return T.neighbourhood_mean(v, hood).select("problem_id", F.round("mean_v", 6).alias("mean_v"), "n")
+
+
+def centroid_problem(spark, sf):
+    from potentia.operators import graph as G, voltage as V
+    cents = centroids100(spark, sf)
+    cp = cents.select(F.col("centroid_id").alias("id"), "x", F.lit(1.0).alias("weight"))
+    g = G.knn_graph(cp, 5, 0.01).persist()
+    first = cents.agg(F.min("centroid_id")).first()[0]
+    lms = spark.createDataFrame([(0, int(first), 1.0)], "problem_id int, id long, voltage double")
+    return cents, V.conjugate_gradient(g, lms, tol=1e-13)
+
+
+@register("out_of_sample_V7", f"""
+WITH RECURSIVE {ASSIGN_SQL.strip()},
+cpts AS (SELECT centroid_id AS id, x FROM cents),
+cnt AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM cpts),
+{S.knn_edges_cte(5, pts='cpts').strip()},
+tot AS (SELECT sum(w) AS t FROM edges),
+deg AS (SELECT src AS id, sum(w) AS deg FROM edges GROUP BY src),
+nodes AS (SELECT d.id, 1.0 / (d.deg + t.t / (0.01 * c.n * c.n)) AS inv FROM deg d, tot t, cnt c),
+lm AS (SELECT 0 AS problem_id, min(id) AS id, 1.0::DOUBLE AS voltage FROM cpts),
+{S.jacobi_state('edges', 'nodes', 'lm', 300).strip()}
+SELECT a.id, round(s.v, 6) AS v FROM asg a JOIN state s ON s.it = 300 AND s.id = a.centroid_id
+""")
+def q_v7(spark, sf):
+    from potentia.operators import voltage as V
+    cents, cv = centroid_problem(spark, sf)
+    asg = N.nearest(li(spark, sf), cents)
+    return V.out_of_sample(asg, cv).select("id", F.round("v", 6).alias("v"))

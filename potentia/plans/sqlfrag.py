@@ -43,3 +43,22 @@ knn AS (SELECT src, dst, d2, rk FROM (SELECT src, dst, d2,
           row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rk FROM pairs) WHERE rk <= {k}),
 und AS (SELECT src, dst FROM knn UNION SELECT dst AS src, src AS dst FROM knn),
 edges AS (SELECT src, dst, ((1.0 / {n_cte}.n) * (1.0 / {n_cte}.n)) / {float(k)!r} AS w FROM und, {n_cte})"""
+
+
+def jacobi_state(edges: str, nodes: str, lm: str, iters: int) -> str:
+    """Recursive CTE ``state(it, problem_id, id, v)``: ``iters`` Jacobi sweeps from 0 V.
+
+    ``nodes(id, inv)`` holds 1/(deg+g); ``lm(problem_id, id, voltage)`` the fixed nodes.
+    """
+    return f"""
+state AS (
+  SELECT 0 AS it, pr.problem_id, n.id, CAST(coalesce(l.voltage, 0.0) AS DOUBLE) AS v
+  FROM {nodes} n CROSS JOIN (SELECT DISTINCT problem_id FROM {lm}) pr
+  LEFT JOIN {lm} l ON l.problem_id = pr.problem_id AND l.id = n.id
+  UNION ALL
+  SELECT s.it + 1, s.problem_id, e.src,
+         CAST(coalesce(max(l.voltage), sum(e.w * s.v) * max(n.inv)) AS DOUBLE)
+  FROM state s JOIN {edges} e ON e.dst = s.id JOIN {nodes} n ON n.id = e.src
+       LEFT JOIN {lm} l ON l.problem_id = s.problem_id AND l.id = e.src
+  WHERE s.it < {iters}
+  GROUP BY s.it, s.problem_id, e.src)"""
