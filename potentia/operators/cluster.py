@@ -260,3 +260,101 @@ def intrinsic_dimension(points: DataFrame, d: int, ks: list[int], seed: int) ->
         out = out.unionByName(r)
     _ = spark
     return out.agg((F.lit(-1.0) / F.regr_slope(F.log("dist"), F.log("k"))).alias("dimension"))
+
+
+# ----------------------------------------------------------------------------- mean shift
+def _within_partition(batches, bc, r2: float):
+    import numpy as np
+    import pandas as pd
+    ids, mat = bc.value
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        q = np.stack(pdf["x"].to_numpy()).astype(float)
+        qids = pdf["id"].to_numpy(dtype=np.int64)
+        step = max(1, 4_000_000 // max(ids.shape[0], 1))
+        for s in range(0, q.shape[0], step):
+            dist = N._sq_dists(q[s:s + step], mat)
+            r, c = np.nonzero(dist <= r2)
+            yield pd.DataFrame({"src": qids[s:s + step][r], "dst": ids[c]})
+
+
+def mean_shift(points: DataFrame, bandwidth: float, *, max_iter: int = 50, tol: float = 1e-6,
+               max_points: int = 50_000) -> DataFrame:
+    """Flat-kernel mean shift. Every point starts a mode; each step moves a mode to the
+    mean of the points within ``bandwidth`` (a broadcast-index radius search over a bounded
+    point set), until no mode moves more than ``tol``. Converged modes closer than the
+    bandwidth merge, the one with more points in reach kept (ties: lower id).
+    Returns ``mode_id, x, n`` (n = points within bandwidth of the mode)."""
+    import numpy as np
+    spark = points.sparkSession
+    pdf = points.select("id", "x").toPandas().sort_values("id")
+    if len(pdf) > max_points:
+        raise ValueError(f"mean_shift is bounded to {max_points} points")
+    ids = pdf["id"].to_numpy(dtype=np.int64)
+    mat = np.stack(pdf["x"].to_numpy()).astype(float)
+    bc = spark.sparkContext.broadcast((ids, mat))
+    modes = points.select("id", "x")
+    r2 = float(bandwidth) ** 2
+    xs = points.select(F.col("id").alias("dst"), F.col("x").alias("px"))
+    d = mat.shape[1]
+    for _ in range(max_iter):
+        near = modes.mapInPandas(lambda it: _within_partition(it, bc, r2), "src long, dst long")
+        j = near.join(xs, "dst")
+        new = j.groupBy(F.col("src").alias("id")).agg(
+            F.array(*[F.avg(F.col("px")[i]) for i in range(d)]).alias("x"), F.count(F.lit(1)).alias("n"))
+        new = cut_lineage(new)
+        moved = (new.join(modes.select("id", F.col("x").alias("old")), "id")
+                 .agg(F.max(vec.sq_dist("x", "old"))).first()[0])
+        modes = new.select("id", "x")
+        if moved is None or moved <= tol * tol:
+            break
+    near = modes.mapInPandas(lambda it: _within_partition(it, bc, r2), "src long, dst long")
+    cnt = near.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    cand = modes.join(cnt, "id").orderBy(F.col("n").desc(), "id").toPandas()  # bounded (<= max_points)
+    kept = []
+    for _, r in cand.iterrows():
+        x = np.asarray(r["x"], dtype=float)
+        if all(np.sum((x - np.asarray(k[1])) ** 2) > r2 for k in kept):
+            kept.append((len(kept), list(map(float, x)), int(r["n"])))
+    return spark.createDataFrame(kept, "mode_id long, x array<double>, n long")
+
+
+def mean_shift_for_count(points: DataFrame, target: int, *, lo: float = 0.01, hi: float = 10.0,
+                         max_tries: int = 20) -> tuple[float, DataFrame]:
+    """Bisect the bandwidth (geometric) until the number of modes equals ``target``."""
+    import math
+    best = None
+    for _ in range(max_tries):
+        bw = math.sqrt(lo * hi)
+        modes = mean_shift(points, bw)
+        k = modes.count()
+        best = (bw, modes)
+        if k == target:
+            break
+        if k > target:
+            lo = bw
+        else:
+            hi = bw
+    return best
+
+
+# ----------------------------------------------------------------------------- spectral
+def spectral(edges: DataFrame, k: int = 10, max_iter: int = 20, weight: str = "w") -> DataFrame:
+    """Spectral-style clustering of an affinity graph with Spark's distributed power
+    iteration clustering (pseudo-eigenvector of the normalised affinity), ``id, cluster``."""
+    from pyspark.ml.clustering import PowerIterationClustering
+    pic = PowerIterationClustering(k=k, maxIter=max_iter, weightCol=weight, srcCol="src", dstCol="dst")
+    e = edges.where(F.col("src") < F.col("dst")).select("src", "dst", F.col(weight).cast("double").alias(weight))
+    return pic.assignClusters(e).select("id", "cluster")
+
+
+def minibatch(points: DataFrame, k: int, seed: int, head_rows: int, d: int, order_key=None) -> DataFrame:
+    """Lloyd k-means on the first ``head_rows`` rows, then one refinement pass (C7) over
+    the rest; returns ``centroid_id, x, n``."""
+    key = order_key if order_key is not None else rand.uniform("id", f"mb:{seed}")
+    numbered = with_row_ids(points.select("id", "x"), key)
+    head = numbered.where(F.col("row_id") < head_rows)
+    rest = numbered.where(F.col("row_id") >= head_rows)
+    cents = lloyd(head, k, seed, weight=None)
+    return refine(rest, cents.select("centroid_id", "x", "n"), d).select("centroid_id", "x", "n")

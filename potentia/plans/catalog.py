@@ -6,6 +6,7 @@ results that depend on summation order are rounded identically on both sides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1041,3 +1042,477 @@ def q_v7(spark, sf):
     cents, cv = centroid_problem(spark, sf)
     asg = N.nearest(li(spark, sf), cents)
     return V.out_of_sample(asg, cv).select("id", F.round("v", 6).alias("v"))
+
+
+# ----------------------------------------------------------------------- sources (S*), streaming (T*)
+def emb_lines(spark, sf):
+    """Text vector lines derived from embeddings: ``vec_id v1 .. v64``; every 7th vector gets
+    a non-float token (skipped by the reader) and every 11th is a lone label (too few fields)."""
+    e = load(spark, sf, "embeddings")
+    vals = F.array_join(F.transform("embedding", lambda v: v.cast("string")), " ")
+    line = (F.when(F.col("vec_id") % 11 == 5, F.col("vec_id").cast("string"))
+            .when(F.col("vec_id") % 7 == 3, F.concat_ws(" ", F.col("vec_id").cast("string"), F.lit("bad"), vals))
+            .otherwise(F.concat_ws("  ", F.col("vec_id").cast("string"), vals)))
+    return e.select(F.col("vec_id").alias("row_id"), line.alias("value"))
+
+
+EMB_LINES_KEEP = "vec_id % 11 <> 5 AND vec_id % 7 <> 3"
+
+
+@register("parse_vectors_S1", f"""
+SELECT CAST(vec_id AS VARCHAR) AS label, CAST(len(embedding) AS INTEGER) AS d,
+       round(CAST(embedding[1] AS DOUBLE), 9) AS x0, round(CAST(embedding[64] AS DOUBLE), 9) AS x63
+FROM embeddings WHERE {EMB_LINES_KEEP}
+""")
+def q_s1(spark, sf):
+    from potentia.sources import vectors
+    v = vectors.parse_vector_lines(emb_lines(spark, sf))
+    return v.select("label", F.size("x").alias("d"), F.round(F.col("x")[0], 9).alias("x0"),
+                    F.round(F.col("x")[63], 9).alias("x63"))
+
+
+@register("fixed_width_S2", f"""
+SELECT CAST(vec_id AS VARCHAR) AS label FROM embeddings WHERE {EMB_LINES_KEEP} AND len(embedding) = 64
+""")
+def q_s2(spark, sf):
+    from potentia.sources import vectors
+    return vectors.parse_vector_lines(emb_lines(spark, sf), width=64).select("label")
+
+
+@register("head_buffer_S3_S10", f"""
+SELECT CAST(vec_id AS VARCHAR) AS label FROM embeddings WHERE {EMB_LINES_KEEP} AND vec_id < 100
+""")
+def q_s10(spark, sf):
+    from potentia.sources import vectors
+    return vectors.head(vectors.parse_vector_lines(emb_lines(spark, sf)), 100).select("label")
+
+
+@register("batched_scan_S4", """
+WITH r AS (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_id FROM events)
+SELECT CAST(floor(row_id / 1000) AS BIGINT) AS batch_no, CAST(count(*) AS BIGINT) AS n,
+       CAST(min(row_id) AS BIGINT) AS first_row, round(sum(value), 6) AS total FROM r GROUP BY 1
+""")
+def q_s4(spark, sf):
+    from potentia.operators.cluster import with_row_ids
+    from potentia.sources import vectors
+    ev = load(spark, sf, "events").select(F.col("event_id").alias("id"), "ts", "value")
+    rows = with_row_ids(ev, F.col("ts"))
+    b = vectors.batches(rows, 1000)
+    return b.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"),
+                                     F.round(F.sum("value"), 6).alias("total"))
+
+
+def _scratch(spark, name):
+    import uuid
+    from potentia.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+@register("stream_ingest_T1", f"""
+SELECT CAST(vec_id AS VARCHAR) AS label, round(CAST(embedding[1] AS DOUBLE), 9) AS x0
+FROM embeddings WHERE {EMB_LINES_KEEP}
+""")
+def q_t1(spark, sf):
+    from potentia.streaming import stream as ST
+    src = _scratch(spark, "t1-src")
+    emb_lines(spark, sf).select("value").repartition(5).write.text(src)
+    out, _ = ST.run_to_table(ST.vector_stream(spark, src, files_per_trigger=2), _scratch(spark, "t1-out"))
+    return out.select("label", F.round(F.col("x")[0], 9).alias("x0"))
+
+
+@register("stream_assign_T4_T5", f"""
+WITH {ASSIGN_SQL.strip()}
+SELECT id, centroid_id, round(d2, 12) AS d2 FROM asg
+""")
+def q_t4(spark, sf):
+    from potentia.streaming import stream as ST
+    src = _scratch(spark, "t4-src")
+    li(spark, sf).select("id", "x").repartition(4).write.parquet(src)
+    s = ST.point_stream(spark, src, files_per_trigger=1)
+    out, rows = ST.run_to_table(ST.assign_stream(s, centroids100(spark, sf)), _scratch(spark, "t4-out"))
+    assert sum(rows) == li(spark, sf).count(), f"progress counted {sum(rows)} rows"
+    return out.select("id", "centroid_id", F.round("d2", 12).alias("d2"))
+
+
+# ----------------------------------------------------------------------- generators
+def _gen_query(gen, seed):
+    def q(spark, sf):
+        from potentia.sources import generators as GN
+        ids = load(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+        g = GN.over(ids, gen(), seed)
+        d = 3 if gen in (_sphere, _spiral) else (1 if gen is _line else 2)
+        return g.select("id", *[F.round(F.col("x")[i], 9).alias(f"c{i}") for i in range(d)])
+    return q
+
+
+def _line():
+    from potentia.sources import generators as GN
+    return GN.line(0.0, 3.0)
+
+
+def _sq_edge():
+    from potentia.sources import generators as GN
+    return GN.square_edge((0.0, 0.0), (1.0, 2.0))
+
+
+def _sq_fill():
+    from potentia.sources import generators as GN
+    return GN.square_fill((-1.0, 0.0), (1.0, 1.0))
+
+
+def _sphere():
+    from potentia.sources import generators as GN
+    return GN.eighth_sphere(2.0, 1, 0, 1)
+
+
+def _tri():
+    from potentia.sources import generators as GN
+    return GN.triangle([[0.0, 0.0], [2.0, 0.0], [0.0, 1.0]])
+
+
+def _spiral():
+    from potentia.sources import generators as GN
+    return GN.spiral(1.0, 3, 2.0)
+
+
+def _u(seed):
+    return rand.sql_uniform("p_partkey", seed)
+
+
+register("generate_line_S12", f"""
+SELECT p_partkey AS id, round({_u('1:u')} * 3.0 + 0.0, 9) AS c0 FROM part
+""")(_gen_query(_line, 1))
+
+register("generate_square_edge_S13", f"""
+WITH r AS (SELECT p_partkey AS id, {_u('2:u')} * 4.0 AS r FROM part),
+s AS (SELECT id, r, floor(r) AS side FROM r),
+t AS (SELECT id, r - side AS var, side % 2 AS xs, floor(side / 2) AS ys FROM s)
+SELECT id, round(var * xs * 1.0 + (1.0 - xs) * ys * 1.0 + 0.0, 9) AS c0,
+       round(var * (1.0 - xs) * 2.0 + xs * (1.0 - ys) * 2.0 + 0.0, 9) AS c1 FROM t
+""")(_gen_query(_sq_edge, 2))
+
+register("generate_square_fill_S14", f"""
+SELECT p_partkey AS id, round(2.0 * {_u('3:x')} + -1.0, 9) AS c0, round(1.0 * {_u('3:y')} + 0.0, 9) AS c1 FROM part
+""")(_gen_query(_sq_fill, 3))
+
+register("generate_sphere_S15", f"""
+WITH r AS (SELECT p_partkey AS id, {_u('4:z')} AS z, {math.pi / 2!r} * {_u('4:a')} AS a FROM part)
+SELECT id, round(2.0 * sqrt(1.0 - z * z) * cos(a) * 1.0, 9) AS c0,
+       round(2.0 * sqrt(1.0 - z * z) * sin(a) * -1.0, 9) AS c1, round(2.0 * z * 1.0, 9) AS c2 FROM r
+""")(_gen_query(_sphere, 4))
+
+register("generate_triangle_S16", f"""
+WITH r AS (SELECT p_partkey AS id, {_u('5:1')} AS u1, {_u('5:2')} AS u2 FROM part),
+f AS (SELECT id, CASE WHEN u1 + u2 > 1.0 THEN 1.0 - u1 ELSE u1 END AS d1,
+             CASE WHEN u1 + u2 > 1.0 THEN 1.0 - u2 ELSE u2 END AS d2 FROM r)
+SELECT id, round(0.0 + d1 * 2.0 + d2 * 0.0, 9) AS c0, round(0.0 + d1 * 0.0 + d2 * 1.0, 9) AS c1 FROM f
+""")(_gen_query(_tri, 5))
+
+register("generate_spiral_S18", f"""
+WITH r AS (SELECT p_partkey AS id, {_u('6:d')} * {2 * math.pi * 3!r} AS d FROM part)
+SELECT id, round(1.0 * cos(d), 9) AS c0, round(1.0 * sin(d), 9) AS c1, round({2.0 / (2 * math.pi * 3)!r} * d, 9) AS c2
+FROM r
+""")(_gen_query(_spiral, 6))
+
+
+def _cluster_centers():
+    from potentia.sources import generators as GN
+    return GN.cluster_centers([0.0, 0.0], 10.0, 5, 42)
+
+
+def _cluster_sql():
+    cs = _cluster_centers()
+    arr = "[" + ", ".join("[" + ", ".join(repr(float(v)) for v in c) + "]" for c in cs) + "]"
+    idx = f"CAST(least(floor({_u('7:c')} * 5.0), 4) AS INTEGER) + 1"
+    return f"""
+WITH r AS (SELECT p_partkey AS id, ({arr})[{idx}] AS c FROM part)
+SELECT id, round(c[1] + 0.5 * {rand.sql_normal('id', '7:n0')}, 9) AS c0,
+       round(c[2] + 0.5 * {rand.sql_normal('id', '7:n1')}, 9) AS c1 FROM r
+"""
+
+
+@register("generate_clusters_S17", _cluster_sql())
+def q_s17(spark, sf):
+    from potentia.sources import generators as GN
+    ids = load(spark, sf, "part").select(F.col("p_partkey").alias("id"))
+    g = GN.over(ids, GN.clusters(_cluster_centers(), 0.5), 7)
+    return g.select("id", F.round(F.col("x")[0], 9).alias("c0"), F.round(F.col("x")[1], 9).alias("c1"))
+
+
+@register("generate_grid_S19", """
+SELECT event_id AS id, round(event_id / (SELECT count(*) FROM events), 12) AS c0 FROM events
+""")
+def q_s19(spark, sf):
+    from potentia.sources import generators as GN
+    ev = load(spark, sf, "events").select(F.col("event_id").alias("id"))
+    n = ev.count()
+    return GN.over(ev, GN.grid_1d(n), 0).select("id", F.round(F.col("x")[0], 12).alias("c0"))
+
+
+def _rot_sql():
+    from potentia.sources import generators as GN
+    m = GN.rotation_matrix(6, 42)
+    cols = []
+    for i in range(6):
+        terms = " + ".join(f"{float(m[i, j])!r} * x[{j + 1}]" for j in range(4))
+        cols.append(f"round(0.0 + {terms}, 9) AS c{i}")
+    return f"WITH pts AS ({S.LINEITEM_POINTS}) SELECT id, {', '.join(cols)} FROM pts"
+
+
+@register("rotate_into_P13", _rot_sql())
+def q_p13(spark, sf):
+    from potentia.sources import generators as GN
+    r = GN.rotate_into(li(spark, sf), 6, 42)
+    return r.select("id", *[F.round(F.col("x")[i], 9).alias(f"c{i}") for i in range(6)])
+
+
+# ----------------------------------------------------------------------- evaluation (A8, A16, F12, E*)
+@register("accuracy_A8", FLAGSHIP_SQL.replace(
+    "SELECT f.id AS vec_id, p.label, l.label AS predicted, round(f.v, 9) AS v_max",
+    "SELECT round(avg(CASE WHEN p.label = l.label THEN 1.0 ELSE 0.0 END), 9) AS accuracy, "
+    "round(1.0 - avg(CASE WHEN p.label = l.label THEN 1.0 ELSE 0.0 END), 9) AS error_rate, "
+    "CAST(sum(CASE WHEN p.label = l.label THEN 0 ELSE 1 END) AS BIGINT) AS wrong, CAST(count(*) AS BIGINT) AS n"))
+def q_a8(spark, sf):
+    from potentia.operators import evaluate as E
+    pred = flows.classify_by_voltage(spark, sf)
+    a = E.accuracy(pred)
+    return a.select(F.round("accuracy", 9).alias("accuracy"), F.round("error_rate", 9).alias("error_rate"),
+                    "wrong", "n")
+
+
+@register("confusion_A8", FLAGSHIP_SQL.replace(
+    "SELECT f.id AS vec_id, p.label, l.label AS predicted, round(f.v, 9) AS v_max",
+    "SELECT p.label, l.label AS predicted, CAST(count(*) AS BIGINT) AS n").replace(
+    "WHERE f.rk = 1", "WHERE f.rk = 1 GROUP BY p.label, l.label"))
+def q_a8c(spark, sf):
+    from potentia.operators import evaluate as E
+    return E.confusion(flows.classify_by_voltage(spark, sf))
+
+
+@register("losses_A16", f"""
+WITH {KV_SQL.strip()},
+r AS (SELECT problem_id, v, row_number() OVER (PARTITION BY problem_id ORDER BY v, id) - 1 AS i,
+             count(*) OVER (PARTITION BY problem_id) AS n FROM kv),
+a AS (SELECT problem_id,
+        sqrt(sum(pow(v - i / (n - 1), 2))) AS u, sqrt(sum(pow(v - pow(10.0, i / (n - 1) - 1), 2))) AS e,
+        abs(max(v) FILTER (WHERE i = floor(n / 2)) - 0.5) AS med, abs(min(v) - 0.1) AS mn, stddev_pop(v) AS sd
+      FROM r GROUP BY problem_id)
+SELECT problem_id, round(u, 9) AS n_inf_uniform, round(e, 9) AS n_inf_exp, round(med, 9) AS median,
+       round(mn, 9) AS minimum, round(mn / sd, 5) AS min_with_std, round(e / sd, 5) AS exp_with_std FROM a
+""")
+def q_a16(spark, sf):
+    from potentia.operators import tune as TU
+    r = TU.losses(kernel_voltages(spark, sf))
+    return r.select("problem_id", *[F.round(c, 9).alias(c) for c in ("n_inf_uniform", "n_inf_exp", "median", "minimum")],
+                    *[F.round(c, 5).alias(c) for c in ("min_with_std", "exp_with_std")])
+
+
+@register("contested_F12", f"""
+WITH {KV_SQL.strip()},
+s AS (SELECT id, max(v) - min(v) AS spread FROM kv GROUP BY id),
+r AS (SELECT id, row_number() OVER (ORDER BY round(spread, 12), id) AS rk, count(*) OVER () AS n FROM s)
+SELECT id FROM r WHERE rk > CAST(floor(n * 0.5) AS BIGINT)
+""")
+def q_f12(spark, sf):
+    from potentia.operators import evaluate as E
+    return E.drop_least_contested(kernel_voltages(spark, sf), 0.5).select("id")
+
+
+@register("saturated_E6", f"""
+WITH {KV_SQL.strip()}
+SELECT id, max(v) > 0.9 AS saturated FROM kv GROUP BY id
+""")
+def q_e6(spark, sf):
+    from potentia.operators import evaluate as E
+    return E.saturated(kernel_voltages(spark, sf), 0.9)
+
+
+@register("stress_E3", f"""
+WITH cents AS ({CENTROID_SAMPLE_SQL}),
+p AS (SELECT a.centroid_id AS i, b.centroid_id AS j, sqrt({S.d2('a.x', 'b.x')}) AS d,
+             sqrt({S.d2('a.x[1:2]', 'b.x[1:2]')}) AS e FROM cents a JOIN cents b ON a.centroid_id < b.centroid_id)
+SELECT round(sum(pow(e - d, 2)), 9) AS stress FROM p
+""")
+def q_e3(spark, sf):
+    from potentia.operators import embed as EM
+    c = centroids100(spark, sf).select(F.col("centroid_id").alias("id"), "x")
+    layout = c.select("id", F.slice("x", 1, 2).alias("y"))
+    return EM.stress(layout, c).select(F.round("stress", 9).alias("stress"))
+
+
+@register("inlier_view_E5", f"""
+WITH p AS ({PART2_SQL}),
+c AS (SELECT avg(x[1]) AS c0, avg(x[2]) AS c1 FROM p),
+d AS (SELECT id, x, sqrt({S.d2('x', '[c.c0, c.c1]')}) AS dist FROM p, c),
+keep AS (SELECT * FROM d WHERE id NOT IN (SELECT id FROM d ORDER BY dist DESC, id DESC LIMIT 20))
+SELECT round(min(x[1]), 12) AS min0, round(max(x[1]), 12) AS max0, round(min(x[2]), 12) AS min1,
+       round(max(x[2]), 12) AS max1 FROM keep
+""")
+def q_e5(spark, sf):
+    from potentia.operators import embed as EM
+    lay = part2(spark, sf).select("id", F.col("x").alias("y"))
+    _, b = EM.inlier_view(lay, 20)
+    return b.select(*[F.round(c, 12).alias(c) for c in ("min0", "max0", "min1", "max1")])
+
+
+@register("per_class_centroids_C4_U2", f"""
+WITH pts AS ({S.EMB_POINTS}),
+r AS (SELECT label, id, x, row_number() OVER (PARTITION BY label ORDER BY {rand.sql_uniform('id', 13)}, id) AS rk
+      FROM pts),
+seeds AS (SELECT label, CAST(label AS BIGINT) * 3 + rk - 1 AS centroid_id, x FROM r WHERE rk <= 3),
+d AS (SELECT p.id, s.centroid_id, {S.d2('p.x', 's.x')} AS d2 FROM pts p JOIN seeds s ON s.label = p.label),
+a AS (SELECT id, centroid_id FROM (SELECT id, centroid_id, row_number() OVER (PARTITION BY id ORDER BY d2, centroid_id)
+      AS rk FROM d) WHERE rk = 1)
+SELECT a.centroid_id, CAST(count(*) AS BIGINT) AS n, round(avg(p.x[1]), 9) AS m0
+FROM a JOIN pts p USING (id) GROUP BY a.centroid_id
+""")
+def q_c4(spark, sf):
+    from potentia.operators import cluster as C
+    c = C.per_class_centroids(emb(spark, sf), 3, 13, 64, iters=1)
+    return c.select("centroid_id", "n", F.round(F.col("x")[0], 9).alias("m0"))
+
+
+# ----------------------------------------------------------------------- rows-only (random / iterative ML)
+@register("kmeans_pp_C1")
+def q_c1(spark, sf):
+    from potentia.operators import cluster as C
+    return C.kmeans_pp(li(spark, sf), 8, 3)
+
+
+@register("lloyd_kmeans_C2")
+def q_c2(spark, sf):
+    from potentia.operators import cluster as C
+    return C.lloyd(emb(spark, sf), 10, 1).select("centroid_id", "n")
+
+
+@register("streaming_kmeans_C5_C8_A17")
+def q_c8(spark, sf):
+    from potentia.operators import cluster as C
+    n = load(spark, sf, "lineitem").count()
+    res = C.streaming_kmeans(li(spark, sf), max_centroids=100, init_size=1000, batch_size=max(1000, n // 6), seed=0)
+    return res.stats
+
+
+@register("streaming_centroids_C6_C7_K3")
+def q_c7(spark, sf):
+    from potentia.operators import cluster as C
+    n = load(spark, sf, "lineitem").count()
+    res = C.streaming_kmeans(li(spark, sf), max_centroids=100, init_size=1000, batch_size=max(1000, n // 6), seed=0)
+    return res.centroids.select("centroid_id", "n")
+
+
+@register("minibatch_kmeans_C9")
+def q_c9(spark, sf):
+    from potentia.operators import cluster as C
+    return C.minibatch(li(spark, sf), 20, 1, 10_000, 4)
+
+
+@register("intrinsic_dimension_C11")
+def q_c11(spark, sf):
+    from potentia.operators import cluster as C
+    return C.intrinsic_dimension(li(spark, sf), 4, [2, 4, 8, 16], 5)
+
+
+@register("mean_shift_C12")
+def q_c12(spark, sf):
+    from potentia.operators import cluster as C
+    c = centroids100(spark, sf).select(F.col("centroid_id").alias("id"), "x")
+    return C.mean_shift(c, 0.3)
+
+
+@register("spectral_C13")
+def q_c13(spark, sf):
+    from potentia.operators import cluster as C, graph as G
+    e, _ = G.cosine_knn_graph(emb(spark, sf), 9)
+    return C.spectral(e, 10)
+
+
+@register("pca_E1")
+def q_e1(spark, sf):
+    from potentia.operators import embed as EM
+    return EM.pca_2d(emb(spark, sf))
+
+
+@register("mds_E2")
+def q_e2(spark, sf):
+    from potentia.operators import embed as EM
+    c = centroids100(spark, sf).select(F.col("centroid_id").alias("id"), "x")
+    return EM.mds_2d(c, iters=30)
+
+
+@register("two_region_V4")
+def q_v4(spark, sf):
+    from potentia.operators import graph as G, voltage as V
+    s = load(spark, sf, "supplier")
+    pts = s.select(F.col("s_suppkey").alias("id"),
+                   F.array((F.col("s_acctbal") + 1000.0) / 11000.0 * 3.0).alias("x"), F.lit(1.0).alias("weight"))
+    g = G.knn_graph(pts, 5, None, universal_ground=False)
+    x0 = F.col("x")[0]
+    lms = pts.where((x0 < 1.0) | (x0 > 2.0)).select(F.lit(0).alias("problem_id"), "id",
+                                                     F.when(x0 > 2.0, 1.0).otherwise(0.0).alias("voltage"))
+    return V.conjugate_gradient(g, lms, tol=1e-10)
+
+
+@register("local_solve_V5")
+def q_v5(spark, sf):
+    from potentia.operators import graph as G, voltage as V
+    pts = emb(spark, sf)
+    g = G.knn_graph(pts, 10, 0.01).persist()
+    cents = P.sample_k(pts, 10, 3).select(F.col("id").alias("centroid_id"), "x")
+    cells = N.nearest(pts, cents).select("id", "centroid_id")
+    cp = cents.select(F.col("centroid_id").alias("id"), "x", F.lit(1.0).alias("weight"))
+    cg = G.knn_graph(cp, 3, 0.01)
+    first = cents.agg(F.min("centroid_id")).first()[0]
+    lms = spark.createDataFrame([(0, int(first), 1.0)], "problem_id int, id long, voltage double")
+    cv = V.conjugate_gradient(cg, lms).select("problem_id", F.col("id").alias("centroid_id"), "v")
+    return V.local_solve(g, lms, cells, cv)
+
+
+@register("landmark_maps_V6")
+def q_v6(spark, sf):
+    from potentia.operators import embed as EM, graph as G, landmarks as L, voltage as V
+    pts = emb(spark, sf)
+    g = G.knn_graph(pts, 10, 0.01).persist()
+    v = V.conjugate_gradient(g, L.random_k(pts, 3, 4))
+    return EM.pca_2d(V.wide(v).select("id", F.col("v").alias("x")))
+
+
+@register("ground_search_O1")
+def q_o1(spark, sf):
+    from potentia.operators import graph as G, landmarks as L, tune as TU
+    pts = emb(spark, sf)
+    g = G.knn_graph(pts, 10, 1.0).persist()
+    lm = L.first_per_label(pts).where(F.col("problem_id") == 0).select("id", "voltage")
+    return TU.ground_search(g, lm, target=0.1, accuracy=0.01, radius=3, max_iter=8).tries
+
+
+def _compressed(spark, sf, k=30):
+    return P.sample_k(li(spark, sf), k, 7)
+
+
+@register("score_candidates_O2_O5")
+def q_o2(spark, sf):
+    from potentia.operators import tune as TU
+    pts = _compressed(spark, sf)
+    lm = pts.orderBy("id").limit(1).select("id", F.lit(1.0).alias("voltage"))
+    cands = [(0, -2.0, -3.0), (1, -1.5, -2.0), (2, -3.0, -5.0)]
+    return TU.score(pts, lm, cands, loss=TU.metric("min_with_std"))
+
+
+@register("grid_search_O3")
+def q_o3(spark, sf):
+    from potentia.operators import tune as TU
+    pts = _compressed(spark, sf)
+    lm = pts.orderBy("id").limit(1).select("id", F.lit(1.0).alias("voltage"))
+    c, g, tried = TU.grid_search(pts, lm, min_bound=-6.0, max_bound=0.0, granularity=3, epsilon=0.5,
+                                 approx_iters=10)
+    return tried
+
+
+@register("per_landmark_search_O4")
+def q_o4(spark, sf):
+    from potentia.operators import tune as TU
+    pts = _compressed(spark, sf)
+    ids = [r["id"] for r in pts.orderBy("id").limit(3).collect()]
+    return TU.per_landmark_search(pts, ids, min_bound=-6.0, max_bound=0.0, granularity=3, epsilon=1.0,
+                                  approx_iters=10)
