@@ -193,8 +193,7 @@ def streaming_kmeans(points: DataFrame, *, max_centroids: int = 1000, init_size:
     b = 0
     while len(cents) < max_centroids and b <= n_batches and z:
         batch = staged.where(F.col("batch_no") == b)
-        asg = N.nearest(batch, _bc_centroids(spark, cents))
-        d = asg.join(batch.select("id", "row_id", "x"), "id")
+        d = N.nearest_to_arrays(batch, [c[0] for c in cents], [c[1] for c in cents], carry=("x", "row_id"))
         room = max_centroids - len(cents)
         acc = accept(d, shift=min_d2, z=z, seed=f"{seed}:{b}", room=room, order="row_id")
         for r in acc.orderBy("row_id").collect():  # at most ``room`` rows
@@ -205,8 +204,10 @@ def streaming_kmeans(points: DataFrame, *, max_centroids: int = 1000, init_size:
     d = len(cents[0][1]) if cents else 0
     while b <= n_batches and cents:
         batch = staged.where(F.col("batch_no") == b)
-        asg = N.nearest(batch, _bc_centroids(spark, cents))
-        stats = {r["centroid_id"]: r for r in cell_sums(batch, asg, d).collect()}  # <= max_centroids rows
+        asg = N.nearest_to_arrays(batch, [c[0] for c in cents], [c[1] for c in cents], carry=("x",))
+        stats = {r["centroid_id"]: r for r in asg.groupBy("centroid_id").agg(  # <= max_centroids rows
+            F.count(F.lit(1)).alias("m"), F.array(*[F.sum(F.col("x")[i]) for i in range(d)]).alias("sx"),
+            F.sum("d2").alias("sd2")).collect()}
         new = []
         for cid, x, n in cents:
             s = stats.get(cid)

@@ -30,11 +30,15 @@ class Graph:
 
 
 def symmetrize(directed: DataFrame) -> DataFrame:
-    """Directed pairs (src, dst[, w]) -> both directions, each undirected pair once."""
+    """Directed pairs (src, dst[, w]) -> both directions, each undirected pair once.
+
+    Both directions come from one pass (explode of the pair and its reverse), so an upstream
+    kNN kernel runs once, then one shuffle removes pairs found from both ends."""
     cols = [c for c in directed.columns if c not in ("src", "dst")]
-    fwd = directed.select("src", "dst", *cols)
-    rev = directed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *cols)
-    return fwd.unionByName(rev).dropDuplicates(["src", "dst"])
+    both = F.explode(F.array(
+        F.struct(F.col("src").alias("src"), F.col("dst").alias("dst"), *[F.col(c) for c in cols]),
+        F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), *[F.col(c) for c in cols])))
+    return directed.select(both.alias("_e")).select("_e.*").dropDuplicates(["src", "dst"])
 
 
 def knn_edges(points: DataFrame, k: int, **kw) -> DataFrame:

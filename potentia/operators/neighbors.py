@@ -27,6 +27,18 @@ DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 _BLOCK_CELLS = 4_000_000  # query x index entries scored per numpy block (~32 MB of doubles)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a compute-bound kernel at least one input partition per core: a file with few
+    row groups arrives in few splits. Round-robin only when needed (large inputs already
+    have many splits); streaming frames are left as they are."""
+    if df.isStreaming:
+        return df
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
+
+
 # --------------------------------------------------------------------------- numpy kernels
 def _sq_dists(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """(b, N) squared distances, summed over coordinates in index order."""
@@ -48,6 +60,11 @@ def _topk_rows(dist: np.ndarray, k: int):
     if k <= 0 or b == 0:
         e = np.zeros(0, dtype=np.int64)
         return e, e, e
+    if k == 1:  # argmin keeps the first (smallest-id) position among ties
+        cols = dist.argmin(axis=1)
+        rows = np.arange(b)
+        ok = np.isfinite(dist[rows, cols])
+        return rows[ok], cols[ok], np.ones(int(ok.sum()), dtype=np.int64)
     if k == n:
         sel = np.isfinite(dist)
     else:
@@ -71,14 +88,35 @@ def _stack(series: pd.Series) -> np.ndarray:
     return np.stack(series.to_numpy()).astype(np.float64, copy=False)
 
 
-def _knn_partition(batches, bc, k: int, exclude_self: bool, with_weight: bool, group: bool = False):
+_FLAT_MAX_DIM = 512
+
+
+def _flatten(df: DataFrame, d: int) -> DataFrame:
+    """Ship vectors to Python workers as plain DOUBLE columns (zero-copy Arrow -> numpy)
+    instead of an array column (one Python object per row)."""
+    if d <= 0 or d > _FLAT_MAX_DIM:
+        return df
+    keep = [c for c in df.columns if c != "x"]
+    return df.select(*keep, *[F.col("x")[i].alias(f"_x{i}") for i in range(d)])
+
+
+def _matrix(pdf: pd.DataFrame) -> np.ndarray:
+    if "x" in pdf.columns:
+        return _stack(pdf["x"])
+    cols = [c for c in pdf.columns if c.startswith("_x")]
+    cols.sort(key=lambda c: int(c[2:]))
+    return pdf[cols].to_numpy(dtype=np.float64)
+
+
+def _knn_partition(batches, bc, k: int, exclude_self: bool, with_weight: bool, group: bool = False,
+                   carry: tuple = ()):
     ids, mat, wts = bc.value[:3]
     groups = bc.value[3] if group else None
     n = ids.shape[0]
     for pdf in batches:
         if len(pdf) == 0:
             continue
-        q = _stack(pdf["x"])
+        q = _matrix(pdf)
         qids = pdf["id"].to_numpy(dtype=np.int64)
         qw = pdf["weight"].to_numpy(dtype=np.float64) if with_weight else None
         step = max(1, _BLOCK_CELLS // max(n, 1))
@@ -95,6 +133,8 @@ def _knn_partition(batches, bc, k: int, exclude_self: bool, with_weight: bool, g
             if with_weight:
                 out["src_weight"] = qw[s:s + step][r]
                 out["dst_weight"] = wts[c]
+            for col in carry:  # pass-through query columns (saves a join back on id)
+                out[col] = pdf[col].to_numpy()[s:s + step][r]
             yield pd.DataFrame(out)
 
 
@@ -140,7 +180,26 @@ def knn(queries: DataFrame, index: DataFrame, k: int, *, exclude_self: bool = Fa
     def run(batches):
         return _knn_partition(batches, bc, k, exclude_self, with_weight, group)
 
-    return queries.select(*cols).mapInPandas(run, schema)
+    return _flatten(spread(queries.select(*cols)), d).mapInPandas(run, schema)
+
+
+def nearest_to_arrays(points: DataFrame, ids, mat, carry: tuple[str, ...] = ()) -> DataFrame:
+    """J1 against a centroid state already held on the driver (bounded, e.g. the streaming
+    k-means state): broadcast the arrays directly, no DataFrame round trip. ``carry`` columns
+    of ``points`` are passed through, so callers need no join back on id."""
+    order = np.argsort(np.asarray(ids, dtype=np.int64), kind="stable")
+    ids = np.asarray(ids, dtype=np.int64)[order]
+    mat = np.asarray(mat, dtype=np.float64)[order]
+    bc = points.sparkSession.sparkContext.broadcast((ids, mat, np.ones(ids.size)))
+    types = dict(points.dtypes)
+    extra = "".join(f", {c} {types[c]}" for c in carry)
+    cols = ["id"] + (["x"] if "x" not in carry else []) + list(carry)
+    src = spread(points.select(*cols))
+    if "x" not in carry:
+        src = _flatten(src, mat.shape[1])
+    res = src.mapInPandas(lambda it: _knn_partition(it, bc, 1, False, False, carry=tuple(carry)),
+                                           "src long, dst long, d2 double, rank int" + extra)
+    return res.select(F.col("src").alias("id"), F.col("dst").alias("centroid_id"), "d2", *carry)
 
 
 def nearest(points: DataFrame, centroids: DataFrame, *, centroid_id: str = "centroid_id",

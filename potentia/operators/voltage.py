@@ -68,11 +68,9 @@ def jacobi(graph: Graph, landmarks: DataFrame, *, max_iters: int = 10, tol: floa
         if not active:
             break
         cur = state.where(F.col("problem_id").isin(active)) if len(active) < len(pids) else state
-        s = (edges.join(cur.select("problem_id", F.col("id").alias("dst"), "v"), keys)
-             .groupBy("problem_id", F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("v")).alias("wv")))
-        nxt = (cur.join(s, ["problem_id", "id"], "left")
+        nxt = (_gather(cur, edges, keys, "v")
                .select("problem_id", "id", "inv", "fixed",
-                       F.coalesce("fixed", F.coalesce("wv", F.lit(0.0)) * F.col("inv")).alias("v"),
+                       F.coalesce("fixed", F.col("_wv") * F.col("inv")).alias("v"),
                        F.col("v").alias("v_old")))
         nxt, sums = checkpoint_with_sums(nxt, active, {"ss": (F.col("v") - F.col("v_old")) * (F.col("v") - F.col("v_old"))})
         steps = {p: sums[p]["ss"] ** 0.5 for p in active}
@@ -96,12 +94,25 @@ def jacobi(graph: Graph, landmarks: DataFrame, *, max_iters: int = 10, tol: floa
     return out
 
 
+def _gather(st: DataFrame, edges: DataFrame, keys: list[str], col: str) -> DataFrame:
+    """``st`` plus ``_wv = sum_j w_ij col_j`` in ONE shuffle: every node's own row joins the
+    edge contributions in a single grouped aggregation (state columns ride along via
+    ``first(ignorenulls)``) instead of an aggregate followed by a join back."""
+    state_cols = [c for c in st.columns if c not in ("problem_id", "id")]
+    contrib = (edges.join(st.select("problem_id", F.col("id").alias("dst"), col), keys)
+               .select("problem_id", F.col("src").alias("id"), (F.col("w") * F.col(col)).alias("_c")))
+    own = st.select("problem_id", "id", *state_cols, F.lit(0.0).alias("_c"), F.lit(True).alias("_own"))
+    u = own.unionByName(contrib, allowMissingColumns=True)
+    agg = u.groupBy("problem_id", "id").agg(
+        F.sum("_c").alias("_wv"), F.max("_own").alias("_own"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in state_cols])
+    return agg.where(F.col("_own")).drop("_own")
+
+
 def _matvec_into(st: DataFrame, edges: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
     """Add ``out = (A col)`` where ``A = diag - W`` restricted to the rows present in ``st``."""
-    wv = (edges.join(st.select("problem_id", F.col("id").alias("dst"), col), keys)
-          .groupBy("problem_id", F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col(col)).alias("_wv")))
-    return (st.join(wv, ["problem_id", "id"], "left")
-            .withColumn(out, F.col("diag") * F.col(col) - F.coalesce("_wv", F.lit(0.0))).drop("_wv"))
+    g = _gather(st, edges, keys, col)
+    return g.withColumn(out, F.col("diag") * F.col(col) - F.col("_wv")).drop("_wv")
 
 
 def conjugate_gradient(graph: Graph, landmarks: DataFrame, *, tol: float = 1e-12, max_iters: int = 500) -> DataFrame:
