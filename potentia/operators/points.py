@@ -26,12 +26,15 @@ def from_embeddings(emb: DataFrame) -> DataFrame:
 
 
 def lineitem_id() -> Column:
-    """Unique BIGINT row key: 60 bits of md5(orderkey:linenumber:partkey:suppkey).
+    """Unique BIGINT row key: 60 bits of md5(orderkey:linenumber:partkey:suppkey:qty:cents).
 
-    (orderkey, linenumber) alone repeats in the test tables; the four keys together do not.
+    (orderkey, linenumber) alone repeats in the test tables, and so can the four integer
+    keys; adding quantity and the price in integer cents makes every row distinct.
     """
     key = F.concat_ws(":", *[F.col(c).cast("string") for c in
-                             ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+                             ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+                      F.round(F.col("l_quantity")).cast("long").cast("string"),
+                      F.round(F.col("l_extendedprice") * 100).cast("long").cast("string"))
     return F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long")
 
 

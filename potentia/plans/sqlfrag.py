@@ -28,7 +28,9 @@ EMB_POINTS = ("SELECT vec_id AS id, list_transform(embedding, lambda v: CAST(v A
               "FROM embeddings")
 
 LINEITEM_ID = ("CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) "
-               "|| ':' || CAST(l_partkey AS VARCHAR) || ':' || CAST(l_suppkey AS VARCHAR)), 1, 15)) AS BIGINT)")
+               "|| ':' || CAST(l_partkey AS VARCHAR) || ':' || CAST(l_suppkey AS VARCHAR) "
+               "|| ':' || CAST(CAST(round(l_quantity) AS BIGINT) AS VARCHAR) "
+               "|| ':' || CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR)), 1, 15)) AS BIGINT)")
 
 LINEITEM_POINTS = (f"SELECT {LINEITEM_ID} AS id, "
                    "[l_quantity * 0.02, l_extendedprice * 0.00001, l_discount * 10.0, l_tax * 10.0] AS x "
