@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from potentia.functions import vec
@@ -124,12 +124,17 @@ def universal_ground(edges: DataFrame, ids: DataFrame, p_g: float) -> Graph:
     return Graph(edges, nodes, n, float(total))
 
 
+def _with_row_sums(edges: DataFrame) -> DataFrame:
+    """Off-diagonal edges plus their row sum ``_s``: partial aggregation then an equi join
+    (a hub row is summed across tasks, not gathered into one window task)."""
+    off = edges.where(F.col("src") != F.col("dst"))
+    sums = off.groupBy("src").agg(F.sum("w").alias("_s"))
+    return off.join(sums, "src")
+
+
 def row_stochastic(edges: DataFrame) -> DataFrame:
     """``w / rowsum`` with zero diagonal; a zero-degree row raises."""
-    w = Window.partitionBy("src")
-    s = F.sum("w").over(w)
-    return (edges.where(F.col("src") != F.col("dst"))
-            .withColumn("_s", s)
+    return (_with_row_sums(edges)
             .select("src", "dst",
                     F.when(F.col("_s") > 0, F.col("w") / F.col("_s"))
                     .otherwise(F.raise_error(F.lit("zero degree row"))).alias("w")))
@@ -138,8 +143,7 @@ def row_stochastic(edges: DataFrame) -> DataFrame:
 def literal_rescale(edges: DataFrame) -> DataFrame:
     """Literal off-diagonal rescale ``w * (1 - s) / s`` (s = off-diagonal row sum);
     a row sum above 1 or equal to 0 raises, as the original validation does."""
-    w = Window.partitionBy("src")
-    off = edges.where(F.col("src") != F.col("dst")).withColumn("_s", F.sum("w").over(w))
+    off = _with_row_sums(edges)
     return off.select("src", "dst",
                       F.when(F.col("_s") > 1, F.raise_error(F.lit("row sum above 1")))
                       .when(F.col("_s") == 0, F.raise_error(F.lit("zero degree row")))

@@ -125,8 +125,13 @@ def mean_center(points: DataFrame, d: int, by: list[str] | None = None) -> DataF
 
 
 def median_center(points: DataFrame, d: int) -> DataFrame:
-    """Coordinate-wise exact median (interpolated, as numpy)."""
-    return points.agg(F.array(*[F.percentile(F.col("x")[i], 0.5) for i in range(d)]).alias("center"))
+    """Coordinate-wise exact median (interpolated, as numpy), each from distributed ranks
+    (one long column melted from the vectors, ranked per coordinate)."""
+    from potentia.operators.ranking import quantile
+    melted = points.select(F.posexplode("x").alias("i", "v"))
+    med = {r["i"]: r["q"] for r in quantile(melted, "v", 0.5, ["i"]).collect()}  # d rows
+    spark = points.sparkSession
+    return spark.createDataFrame([([float(med[i]) for i in range(d)],)], "center array<double>")
 
 
 def drop_furthest(points: DataFrame, n: int, d: int) -> DataFrame:
@@ -147,7 +152,8 @@ def beyond_median_distance(points: DataFrame, d: int) -> DataFrame:
     center = median_center(points, d).first()["center"]
     c = F.array(*[F.lit(float(v)) for v in center])
     with_d = points.withColumn("dist", vec.euclidean("x", c))
-    med = with_d.agg(F.percentile("dist", 0.5).alias("m")).first()["m"]
+    from potentia.operators.ranking import quantile_value
+    med = quantile_value(with_d, "dist", 0.5)
     return with_d.where(F.col("dist") > F.lit(med))
 
 

@@ -673,9 +673,10 @@ SELECT problem_id, id, CAST(row_number() OVER (PARTITION BY problem_id ORDER BY
 FROM kv
 """)
 def q_w3(spark, sf):
-    from pyspark.sql import Window
-    w = Window.partitionBy("problem_id").orderBy(F.round("v", 12), "id")
-    return kernel_voltages(spark, sf).select("problem_id", "id", F.row_number().over(w).alias("rank"))
+    from potentia.operators.ranking import rank_in_groups
+    kv = kernel_voltages(spark, sf).withColumn("_v", F.round("v", 12))
+    r = rank_in_groups(kv, ["_v", "id"], ["problem_id"])
+    return r.select("problem_id", "id", (F.col("_rank") + 1).cast("int").alias("rank"))
 
 
 @register("rank_distribution_W4", f"""
