@@ -139,13 +139,16 @@ def _knn_partition(batches, bc, k: int, exclude_self: bool, with_weight: bool, g
 
 
 def _collect_index(index: DataFrame, max_bytes: int):
-    """Size-checked collection of the searched side (count first, then Arrow)."""
+    """Size-checked collection of the searched side (count first, then Arrow). The side is
+    persisted so the check and the collection evaluate its plan once."""
+    index = index.persist()
     stats = index.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
     n, d = int(stats["n"]), int(stats["d"] or 0)
     if n * max(d, 1) * 8 > max_bytes:
         return None, n, d
     cols = ["id", "x"] + [c for c in ("weight", "group") if c in index.columns]
     pdf = index.select(*cols).toPandas()
+    index.unpersist()
     pdf = pdf.sort_values("id", kind="stable")
     ids = pdf["id"].to_numpy(dtype=np.int64)
     mat = _stack(pdf["x"]) if n else np.zeros((0, d))

@@ -128,3 +128,26 @@ def test_streaming_kmeans_invariants(spark):
     assert stats["min_d2"] > 0 and stats["max_d2"] >= stats["min_d2"]
     if stats["mean_d2"] is not None:
         assert stats["mean_d2"] >= 0
+
+
+def test_foreach_batch_kmeans_equals_batch(spark, tmp_path):
+    """T2/T3 over micro-batches (one file per trigger) equals C6/C7 over batch_no."""
+    rng = np.random.default_rng(2)
+    n, init, bs = 650, 50, 100
+    pts = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(rng.random((n, 2)))],
+                                "id long, x array<double>").persist()
+    res = C.streaming_kmeans(pts, max_centroids=15, init_size=init, batch_size=bs, seed=4, order_key=F.col("id"))
+    st = res.stats.first()
+    src = str(tmp_path / "stream")
+    for b, lo in enumerate(range(init, n, bs)):
+        pts.where((F.col("id") >= lo) & (F.col("id") < lo + bs)).coalesce(1).write.mode("append").parquet(src)
+        import time
+        time.sleep(1.1)  # distinct modification times keep the file order
+    initial = [r["x"] for r in pts.where(F.col("id") < 10).orderBy("id").collect()]
+    s = ST.point_stream(spark, src, files_per_trigger=1)
+    state = ST.streaming_kmeans_stream(s, initial, max_centroids=15, shift=st["min_d2"], z=st["max_d2"] - st["min_d2"],
+                                       seed=4, name=f"t{tmp_path.name}")
+    batch = res.centroids.orderBy("centroid_id").collect()
+    assert [c[2] for c in state.centroids] == [r["n"] for r in batch]
+    assert np.allclose(np.array([c[1] for c in state.centroids]), np.array([r["x"] for r in batch]), atol=1e-9)
+    assert np.isclose(state.mean_d2, st["mean_d2"])
