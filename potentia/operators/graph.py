@@ -58,6 +58,7 @@ def with_ground(edges: DataFrame, ids: DataFrame, r: float | None, universal_gro
     """
     if universal_ground and (r is None or r <= 0):
         raise ValueError("Ground resistance r must be positive")
+    edges = edges.persist()  # the total below materialises it once for every later use
     n = ids.count()
     total = edges.agg(F.sum("w").alias("t")).first()["t"] or 0.0
     g = total / (r * n * n) if universal_ground else 0.0
@@ -116,6 +117,7 @@ def count_weighted(edges: DataFrame, centroids: DataFrame) -> DataFrame:
 
 def universal_ground(edges: DataFrame, ids: DataFrame, p_g: float) -> Graph:
     """Ground edge ``p_g / n`` per node (calling again replaces it; ground held at 0 V)."""
+    edges = edges.persist()
     n = ids.count()
     total = edges.agg(F.sum("w")).first()[0] or 0.0
     deg = edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg"))
