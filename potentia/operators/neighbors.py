@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from potentia.functions import vec
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+# Above this many searched rows a brute-force scan of the whole index per query costs more
+# than the cell-pruned join, even when the index would fit in a broadcast.
+DEFAULT_MAX_SCAN_ROWS = 50_000
 _BLOCK_CELLS = 4_000_000  # query x index entries scored per numpy block (~32 MB of doubles)
 
 
@@ -138,13 +141,13 @@ def _knn_partition(batches, bc, k: int, exclude_self: bool, with_weight: bool, g
             yield pd.DataFrame(out)
 
 
-def _collect_index(index: DataFrame, max_bytes: int):
+def _collect_index(index: DataFrame, max_bytes: int, max_rows: int | None = None):
     """Size-checked collection of the searched side (count first, then Arrow). The side is
     persisted so the check and the collection evaluate its plan once."""
     index = index.persist()
     stats = index.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
     n, d = int(stats["n"]), int(stats["d"] or 0)
-    if n * max(d, 1) * 8 > max_bytes:
+    if n * max(d, 1) * 8 > max_bytes or (max_rows is not None and n > max_rows):
         return None, n, d
     cols = ["id", "x"] + [c for c in ("weight", "group") if c in index.columns]
     pdf = index.select(*cols).toPandas()
@@ -160,7 +163,8 @@ def _collect_index(index: DataFrame, max_bytes: int):
 
 def knn(queries: DataFrame, index: DataFrame, k: int, *, exclude_self: bool = False,
         with_weight: bool = False, max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-        cells: int | None = None, probes: int = 3, group: bool = False) -> DataFrame:
+        cells: int | None = None, probes: int = 3, group: bool = False,
+        max_scan_rows: int | None = DEFAULT_MAX_SCAN_ROWS) -> DataFrame:
     """The k nearest ``index`` rows of every ``queries`` row.
 
     Both inputs carry ``id BIGINT, x ARRAY<DOUBLE>`` (and ``weight`` if ``with_weight``;
@@ -168,7 +172,7 @@ def knn(queries: DataFrame, index: DataFrame, k: int, *, exclude_self: bool = Fa
     Output: ``src, dst, d2, rank`` (+ ``src_weight, dst_weight``), ties by smaller id.
     """
     spark = queries.sparkSession
-    payload, n, d = _collect_index(index, max_broadcast_bytes)
+    payload, n, d = _collect_index(index, max_broadcast_bytes, None if group else max_scan_rows)
     if payload is None and group:
         raise ValueError("group-restricted kNN needs a broadcastable index")
     if payload is None:
@@ -363,7 +367,8 @@ def knn_cells(queries: DataFrame, index: DataFrame, k: int, *, exclude_self: boo
 
     spark = queries.sparkSession
     n_index = index.count()
-    cells = cells or max(16, int(np.sqrt(max(n_index, 1))))
+    # centres stay broadcastable (<= the scan limit), so assigning rows to cells never recurses
+    cells = cells or min(max(16, int(np.sqrt(max(n_index, 1)))), DEFAULT_MAX_SCAN_ROWS)
     cents = sample_k(index.select("id", "x"), cells, seed)
     assign = nearest(index.select("id", "x"), cents.withColumnRenamed("id", "centroid_id"),
                      max_broadcast_bytes=max_broadcast_bytes)
@@ -386,14 +391,45 @@ def knn_cells(queries: DataFrame, index: DataFrame, k: int, *, exclude_self: boo
     q = queries.select(F.col("id").alias("qid"), F.col("x").alias("qx"),
                        *([F.col("weight").alias("src_weight")] if with_weight else []))
 
-    def score(cands: DataFrame) -> DataFrame:
-        c = (cands.join(F.broadcast(chunks), "cell")
-             .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
-        j = c.join(q, "qid").join(idx, ["cell", "chunk"])
+    qmax = chunk_rows  # queries per scoring group; hot cells get their query side salted
+    d = int(cent_pdf["x"].map(len).max()) if len(cent_pdf) else 0
+    qflat = _flatten(q.withColumnRenamed("qx", "x"), d).withColumnRenamed("id", "qid")
+    iflat = _flatten(idx.withColumnRenamed("dx", "x"), d)
+    out_schema = "src long, dst long, d2 double" + (", src_weight double, dst_weight double" if with_weight else "")
+
+    def kernel(key, qp: pd.DataFrame, ip: pd.DataFrame) -> pd.DataFrame:
+        if len(qp) == 0 or len(ip) == 0:
+            return pd.DataFrame({c: [] for c in ["src", "dst", "d2"] + (["src_weight", "dst_weight"] if with_weight else [])})
+        qm, im = _matrix(qp), _matrix(ip)
+        qids = qp["qid"].to_numpy(dtype=np.int64)
+        order = np.argsort(ip["dst"].to_numpy(dtype=np.int64), kind="stable")
+        im = im[order]
+        iids = ip["dst"].to_numpy(dtype=np.int64)[order]
+        dist = _sq_dists(qm, im)
         if exclude_self:
-            j = j.where(F.col("qid") != F.col("dst"))
-        return j.select(F.col("qid").alias("src"), "dst", vec.sq_dist("qx", "dx").alias("d2"),
-                        *(["src_weight", "dst_weight"] if with_weight else []))
+            dist[qids[:, None] == iids[None, :]] = np.inf
+        r, c, _ = _topk_rows(dist, k)
+        out = {"src": qids[r], "dst": iids[c], "d2": dist[r, c]}
+        if with_weight:
+            out["src_weight"] = qp["src_weight"].to_numpy()[r]
+            out["dst_weight"] = ip["dst_weight"].to_numpy()[order][c]
+        return pd.DataFrame(out)
+
+    def score(cands: DataFrame) -> DataFrame:
+        """Per (cell, chunk, salt) group: numpy distances + top-k of every query in it."""
+        load_ = cands.groupBy("cell").agg(F.count(F.lit(1)).alias("_ql"))  # <= cells rows
+        plan = (chunks.join(load_, "cell")
+                .select("cell", "chunks", F.greatest(F.lit(1), F.ceil(F.col("_ql") / F.lit(qmax))).cast("int").alias("salts")))
+        qs = (cands.join(F.broadcast(plan), "cell")
+              .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+              .withColumn("salt", F.pmod(F.xxhash64("qid"), F.col("salts")).cast("int"))
+              .select("cell", "chunk", "salt", "qid")
+              .join(qflat, "qid"))
+        ix = (iflat.join(F.broadcast(plan.select("cell", "salts")), "cell")
+              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+              .drop("salts"))
+        g = qs.groupBy("cell", "chunk", "salt").cogroup(ix.groupBy("cell", "chunk", "salt"))
+        return g.applyInPandas(kernel, out_schema)
 
     def top(df: DataFrame) -> DataFrame:
         w = Window.partitionBy("src").orderBy("d2", "dst")
