@@ -289,9 +289,10 @@ def mean_shift(points: DataFrame, bandwidth: float, *, max_iter: int = 50, tol:
     Returns ``mode_id, x, n`` (n = points within bandwidth of the mode)."""
     import numpy as np
     spark = points.sparkSession
+    n = points.count()
+    if n > max_points:  # checked before anything is collected
+        raise ValueError(f"mean_shift is bounded to {max_points} points, got {n}")
     pdf = points.select("id", "x").toPandas().sort_values("id")
-    if len(pdf) > max_points:
-        raise ValueError(f"mean_shift is bounded to {max_points} points")
     ids = pdf["id"].to_numpy(dtype=np.int64)
     mat = np.stack(pdf["x"].to_numpy()).astype(float)
     bc = spark.sparkContext.broadcast((ids, mat))
