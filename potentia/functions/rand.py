@@ -47,3 +47,9 @@ def sql_uniform_open(key_sql: str, seed: int | str) -> str:
 def sql_normal(key_sql: str, seed: int | str) -> str:
     return (f"(sqrt(-2.0 * ln({sql_uniform_open(key_sql, f'{seed}:a')})) * "
             f"cos({2.0 * math.pi!r} * {sql_uniform(key_sql, f'{seed}:b')}))")
+
+
+def sql_uniform_expr(key_sql: str, seed_sql: str) -> str:
+    """Like :func:`sql_uniform` with the seed given as a SQL string expression."""
+    return (f"(('0x' || substr(md5(CAST({key_sql} AS VARCHAR) || ':' || {seed_sql}), 1, 13))"
+            f"::BIGINT::DOUBLE / {_TWO_52})")

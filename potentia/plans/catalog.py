@@ -1374,10 +1374,28 @@ def q_c4(spark, sf):
 
 
 # ----------------------------------------------------------------------- rows-only (random / iterative ML)
-@register("kmeans_pp_C1")
+def _kpp_sql(k: int, seed: int) -> str:
+    u0 = rand.sql_uniform("id", f"{seed}:0")
+    uk = rand.sql_uniform_expr("p.id", f"'{seed}:' || CAST(k.step AS VARCHAR)")
+    mind = f"list_min(list_transform(k.cx, lambda c: sqrt({S.d2('p.x', 'c')})))"
+    key = f"(-ln(1.0 - {uk}) / {mind})"
+    return f"""
+WITH RECURSIVE pts AS ({S.LINEITEM_POINTS}),
+f AS (SELECT id, x FROM pts ORDER BY -ln(1.0 - {u0}), id LIMIT 1),
+k AS (SELECT 1 AS step, [f.id] AS ids, [f.x] AS cx FROM f
+      UNION ALL
+      SELECT k.step + 1, list_append(k.ids, arg_min(p.id, {{'k': {key}, 'i': p.id}})),
+             list_append(k.cx, arg_min(p.x, {{'k': {key}, 'i': p.id}}))
+      FROM k, pts p WHERE k.step < {k} AND {mind} > 0 GROUP BY k.step, k.ids, k.cx)
+SELECT CAST(i - 1 AS BIGINT) AS centroid_id, ids[i] AS id
+FROM (SELECT ids FROM k WHERE step = {k}), range(1, {k + 1}) t(i)
+"""
+
+
+@register("kmeans_pp_C1", _kpp_sql(8, 3))
 def q_c1(spark, sf):
     from potentia.operators import cluster as C
-    return C.kmeans_pp(li(spark, sf), 8, 3)
+    return C.kmeans_pp(li(spark, sf), 8, 3).select("centroid_id", "id")
 
 
 @register("lloyd_kmeans_C2")
@@ -1441,8 +1459,23 @@ def q_e2(spark, sf):
     return EM.mds_2d(c, iters=30)
 
 
-@register("two_region_V4")
+V4_SQL = f"""
+WITH RECURSIVE
+pts AS (SELECT s_suppkey AS id, [(s_acctbal + 1000.0) / 11000.0 * 3.0] AS x FROM supplier),
+cnt AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM pts),
+{S.knn_edges_cte(5).strip()},
+deg AS (SELECT src AS id, sum(w) AS deg FROM edges GROUP BY src),
+nodes AS (SELECT id, 1.0 / deg AS inv FROM deg),
+lm AS (SELECT 0 AS problem_id, id, CAST(CASE WHEN x[1] > 2.0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS voltage
+       FROM pts WHERE x[1] < 1.0 OR x[1] > 2.0),
+{S.jacobi_state('edges', 'nodes', 'lm', 4000).strip()}
+SELECT problem_id, id, round(v, 6) AS v FROM state WHERE it = 4000
+"""
+
+
+@register("two_region_V4", V4_SQL)
 def q_v4(spark, sf):
+    """V4: region x<1 held at 0 V, region x>2 at 1 V, no ground, exact solve."""
     from potentia.operators import graph as G, voltage as V
     s = load(spark, sf, "supplier")
     pts = s.select(F.col("s_suppkey").alias("id"),
@@ -1451,7 +1484,8 @@ def q_v4(spark, sf):
     x0 = F.col("x")[0]
     lms = pts.where((x0 < 1.0) | (x0 > 2.0)).select(F.lit(0).alias("problem_id"), "id",
                                                      F.when(x0 > 2.0, 1.0).otherwise(0.0).alias("voltage"))
-    return V.conjugate_gradient(g, lms, tol=1e-10)
+    v = V.conjugate_gradient(g, lms, tol=1e-13)
+    return v.select("problem_id", "id", F.round("v", 6).alias("v"))
 
 
 @register("local_solve_V5")
