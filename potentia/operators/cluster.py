@@ -171,6 +171,9 @@ def streaming_kmeans(points: DataFrame, *, max_centroids: int = 1000, init_size:
     The staged stream is written once (partitioned by batch) so every batch reads only its
     own files; the centroid state (at most ``max_centroids`` rows) is the only driver state.
     """
+    for name, val in (("max_centroids", max_centroids), ("init_size", init_size), ("batch_size", batch_size)):
+        if val <= 0:
+            raise ValueError(f"{name} must be a positive integer")
     spark = points.sparkSession
     pts = points.select("id", vec.l2_normalize("x").alias("x") if normalize else "x")
     key = order_key if order_key is not None else rand.uniform("id", f"stream:{seed}")

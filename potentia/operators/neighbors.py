@@ -310,6 +310,8 @@ def radius_join_grid(points: DataFrame, r: float) -> DataFrame:
     nearby pairs are ever produced (no cross join). Output ``id1 < id2, d2 <= r^2``.
     """
     d = points.agg(F.max(F.size("x"))).first()[0]
+    if d > 6:  # 3^d probes per point: a low-dimension method (use knn / knn_cells above that)
+        raise ValueError(f"radius_join_grid is for low dimension (d <= 6), got d={d}")
     cell = F.transform("x", lambda v: F.floor(v / F.lit(float(r))))
     base = points.select("id", "x", cell.alias("cell"))
     offsets = [[]]

@@ -1420,6 +1420,32 @@ def q_c7(spark, sf):
     return res.centroids.select("centroid_id", "n")
 
 
+@register("stream_kmeans_T2_T3")
+def q_t2(spark, sf):
+    """The same seeding/refinement driven by micro-batches (one staged file per
+    trigger, ``foreachBatch``), centre scale from the head buffer as in the batch path."""
+    from potentia.operators.cluster import with_row_ids
+    from potentia.streaming import stream as ST
+    pts = li(spark, sf).select("id", "x")
+    rows = with_row_ids(pts, rand.uniform("id", "stream:0"))
+    n = rows.count()
+    init, bs = 1000, max(1000, (n - 1000) // 6 + 1)
+    buf = rows.where(F.col("row_id") < init)
+    mm = N.pairwise_min_max(buf, max_points=init).first()
+    src = _scratch(spark, "t2-src")
+    staged = rows.where(F.col("row_id") >= init).withColumn("b", F.floor((F.col("row_id") - init) / bs))
+    staged.repartition("b").sortWithinPartitions("b").write.partitionBy("b").parquet(src + "-staged")
+    import time as _t
+    for b in range(int((n - init + bs - 1) // bs)):
+        spark.read.parquet(f"{src}-staged/b={b}").select("id", "x").coalesce(1).write.mode("append").parquet(src)
+        _t.sleep(1.1)  # file order = batch order
+    initial = [r["x"] for r in buf.orderBy("row_id").limit(10).collect()]
+    st = ST.streaming_kmeans_stream(ST.point_stream(spark, src), initial, max_centroids=100,
+                                    shift=mm["min_d2"], z=mm["max_d2"] - mm["min_d2"], seed=0,
+                                    name=src.rsplit("/", 1)[-1])
+    return spark.createDataFrame([(c[0], int(c[2])) for c in st.centroids], "centroid_id long, n long")
+
+
 @register("minibatch_kmeans_C9")
 def q_c9(spark, sf):
     from potentia.operators import cluster as C

@@ -170,3 +170,14 @@ def test_zero_total_weight_raises(spark):
     from potentia.operators import points as P
     with pytest.raises(ValueError):
         P.normalize_weights(pts_1d(spark, [0, 1], weights=[0.0, 0.0]))
+
+
+def test_negative_inputs(spark):
+    from potentia.operators import points as P
+    pts = pts_1d(spark, [0, 1, 2])
+    for kw in ({"max_centroids": 0}, {"init_size": 0}, {"batch_size": -1}):
+        with pytest.raises(ValueError):
+            C.streaming_kmeans(pts, **kw)
+    mixed = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "id long, x array<double>")
+    with pytest.raises(ValueError):
+        P.dimension(mixed)
