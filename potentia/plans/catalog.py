@@ -1404,20 +1404,78 @@ def q_c2(spark, sf):
     return C.lloyd(emb(spark, sf), 10, 1).select("centroid_id", "n")
 
 
-@register("streaming_kmeans_C5_C8_A17")
+def _skm_sql(max_c: int = 100, init: int = 1000, seed_rows: int = 10, seed: int = 0) -> str:
+    """Streaming k-means (C5-C8) restated as a recursion over batches: one state row per
+    batch holding the centroid list and counters; a batch seeds while below the cap,
+    otherwise it refines the running means. Per-batch aggregates are taken in an inner
+    select, the list arithmetic on them one level up."""
+    ds = f"list_transform(s.cx, lambda c: {S.d2('p.x', 'c')})"
+    acc = (f"{rand.sql_uniform_expr('p.id', f"'{seed}:' || CAST(s.b AS VARCHAR)")} < "
+           f"least(greatest((list_min({ds}) - mm.mn) / (mm.mx - mm.mn), 0.0), 1.0) AND list_min({ds}) > 0")
+    mj = "len(list_filter(g.pl, lambda q: q.a = j))"
+    sij = "coalesce(list_sum(list_transform(list_filter(g.pl, lambda q: q.a = j), lambda q: q.x[i])), 0.0)"
+    refined = (f"list_transform(range(1, len(g.cx) + 1), lambda j: CASE WHEN {mj} > 0 THEN "
+               f"list_transform(range(1, len(g.cx[j]) + 1), lambda i: (g.cx[j][i] * g.cn[j] + {sij}) / (g.cn[j] + {mj})) "
+               f"ELSE g.cx[j] END)")
+    seeding = f"len(g.cx) < {max_c}"
+    new_acc = f"coalesce(list_slice(g.accl, 1, {max_c} - len(g.cx)), [])"
+    return f"""
+WITH RECURSIVE
+pts AS ({S.LINEITEM_POINTS}),
+ord AS (SELECT id, x, row_number() OVER (ORDER BY {rand.sql_uniform('id', f'stream:{seed}')}, id) - 1 AS row_id FROM pts),
+bs AS (SELECT greatest(1000, count(*) // 6) AS bs FROM pts),
+buf AS (SELECT * FROM ord WHERE row_id < {init}),
+mm AS (SELECT min({S.d2('a.x', 'b.x')}) FILTER (WHERE {S.d2('a.x', 'b.x')} > 0) AS mn, max({S.d2('a.x', 'b.x')}) AS mx
+       FROM buf a JOIN buf b ON a.id <> b.id),
+bat AS (SELECT id, x, row_id, CAST(floor((row_id - {init}) / bs.bs) AS BIGINT) AS b FROM ord, bs WHERE row_id >= {init}),
+st AS (
+  SELECT 0 AS b, list(x ORDER BY row_id) AS cx, list(CAST(1 AS BIGINT)) AS cn, CAST(0.0 AS DOUBLE) AS tot_d2,
+         CAST(0 AS BIGINT) AS tot_n, CAST(NULL AS DOUBLE) AS initial, CAST(NULL AS DOUBLE) AS mean_d2
+  FROM (SELECT * FROM buf ORDER BY row_id LIMIT {seed_rows})
+  UNION ALL
+  SELECT g.b + 1,
+    CASE WHEN {seeding} THEN list_concat(g.cx, {new_acc}) ELSE {refined} END,
+    CASE WHEN {seeding} THEN list_concat(g.cn, list_transform({new_acc}, lambda v: CAST(1 AS BIGINT)))
+         ELSE list_transform(range(1, len(g.cx) + 1), lambda j: g.cn[j] + {mj}) END,
+    CASE WHEN {seeding} THEN g.tot_d2 ELSE g.tot_d2 + g.sd END,
+    CASE WHEN {seeding} THEN g.tot_n ELSE g.tot_n + g.c END,
+    CASE WHEN {seeding} THEN g.initial ELSE coalesce(g.initial, (g.tot_d2 + g.sd) / (g.tot_n + g.c)) END,
+    CASE WHEN {seeding} THEN g.mean_d2 ELSE (g.tot_d2 + g.sd) / (g.tot_n + g.c) END
+  FROM (
+    SELECT s.b, s.cx, s.cn, s.tot_d2, s.tot_n, s.initial, s.mean_d2,
+           list({{'a': list_position({ds}, list_min({ds})), 'x': p.x}}) AS pl,
+           list(p.x ORDER BY p.row_id) FILTER (WHERE {acc}) AS accl,
+           sum(list_min({ds})) AS sd, count(*) AS c
+    FROM st s JOIN bat p ON p.b = s.b, mm
+    GROUP BY s.b, s.cx, s.cn, s.tot_d2, s.tot_n, s.initial, s.mean_d2) g),
+fin AS (SELECT * FROM st ORDER BY b DESC LIMIT 1)"""
+
+
+@register("streaming_kmeans_C5_C8_A17", _skm_sql() + """
+SELECT round(mm.mx, 12) AS max_d2, round(mm.mn, 12) AS min_d2, CAST(len(fin.cx) AS BIGINT) AS n_centroids,
+       round(fin.initial, 9) AS initial_mean_d2, round(fin.mean_d2, 9) AS mean_d2, fin.tot_n AS refined_rows
+FROM fin, mm
+""")
 def q_c8(spark, sf):
     from potentia.operators import cluster as C
     n = load(spark, sf, "lineitem").count()
     res = C.streaming_kmeans(li(spark, sf), max_centroids=100, init_size=1000, batch_size=max(1000, n // 6), seed=0)
-    return res.stats
+    st = res.stats
+    return st.select(F.round("max_d2", 12).alias("max_d2"), F.round("min_d2", 12).alias("min_d2"), "n_centroids",
+                     F.round("initial_mean_d2", 9).alias("initial_mean_d2"), F.round("mean_d2", 9).alias("mean_d2"),
+                     "refined_rows")
 
 
-@register("streaming_centroids_C6_C7_K3")
+@register("streaming_centroids_C6_C7_K3", _skm_sql() + """
+SELECT CAST(i - 1 AS BIGINT) AS centroid_id, fin.cn[i] AS n, round(fin.cx[i][1], 7) AS x0, round(fin.cx[i][2], 7) AS x1
+FROM fin, range(1, len(fin.cx) + 1) t(i)
+""")
 def q_c7(spark, sf):
     from potentia.operators import cluster as C
     n = load(spark, sf, "lineitem").count()
     res = C.streaming_kmeans(li(spark, sf), max_centroids=100, init_size=1000, batch_size=max(1000, n // 6), seed=0)
-    return res.centroids.select("centroid_id", "n")
+    return res.centroids.select("centroid_id", "n", F.round(F.col("x")[0], 7).alias("x0"),
+                                F.round(F.col("x")[1], 7).alias("x1"))
 
 
 @register("stream_kmeans_T2_T3")
