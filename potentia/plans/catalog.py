@@ -1510,10 +1510,31 @@ def q_c9(spark, sf):
     return C.minibatch(li(spark, sf), 20, 1, 10_000, 4)
 
 
-@register("intrinsic_dimension_C11")
+C11_SQL = f"""
+WITH pts AS ({S.LINEITEM_POINTS}),
+ks AS (SELECT * FROM (VALUES (2), (4), (8), (16)) t(k)),
+ordr AS (SELECT id, x, row_number() OVER (ORDER BY {rand.sql_uniform('id', 5)}, id) AS rk FROM pts),
+seeds AS (SELECT ks.k, o.id AS centroid_id, o.x FROM ks JOIN ordr o ON o.rk <= ks.k),
+a1 AS (SELECT k, id, centroid_id FROM (
+         SELECT s.k, p.id, s.centroid_id,
+                row_number() OVER (PARTITION BY s.k, p.id ORDER BY {S.d2('p.x', 's.x')}, s.centroid_id) AS r
+         FROM pts p JOIN seeds s ON true) WHERE r = 1),
+means AS (SELECT a1.k, a1.centroid_id, [avg(p.x[1]), avg(p.x[2]), avg(p.x[3]), avg(p.x[4])] AS x
+          FROM a1 JOIN pts p USING (id) GROUP BY a1.k, a1.centroid_id),
+a2 AS (SELECT k, d2 FROM (
+         SELECT m.k, p.id, {S.d2('p.x', 'm.x')} AS d2,
+                row_number() OVER (PARTITION BY m.k, p.id ORDER BY {S.d2('p.x', 'm.x')}, m.centroid_id) AS r
+         FROM pts p JOIN means m ON true) WHERE r = 1),
+dist AS (SELECT k, avg(sqrt(d2)) AS dist FROM a2 GROUP BY k)
+SELECT round(-1.0 / regr_slope(ln(dist), ln(k)), 6) AS dimension FROM dist
+"""
+
+
+@register("intrinsic_dimension_C11", C11_SQL)
 def q_c11(spark, sf):
     from potentia.operators import cluster as C
-    return C.intrinsic_dimension(li(spark, sf), 4, [2, 4, 8, 16], 5)
+    r = C.intrinsic_dimension(li(spark, sf), 4, [2, 4, 8, 16], 5)
+    return r.select(F.round("dimension", 6).alias("dimension"))
 
 
 @register("mean_shift_C12")
