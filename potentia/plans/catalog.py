@@ -1537,11 +1537,40 @@ def q_c11(spark, sf):
     return r.select(F.round("dimension", 6).alias("dimension"))
 
 
-@register("mean_shift_C12")
+def _meanshift_sql(bw: float = 0.3, iters: int = 50) -> str:
+    r2 = f"({bw!r} * {bw!r})"
+    return f"""
+WITH RECURSIVE
+cents AS ({CENTROID_SAMPLE_SQL}),
+p AS (SELECT centroid_id AS id, x FROM cents),
+ms AS (SELECT 0 AS it, id, x FROM p
+       UNION ALL
+       SELECT m.it + 1, m.id, [avg(q.x[1]), avg(q.x[2]), avg(q.x[3]), avg(q.x[4])]
+       FROM ms m JOIN p q ON {S.d2('m.x', 'q.x')} <= {r2}
+       WHERE m.it < {iters} GROUP BY m.it, m.id),
+fin AS (SELECT id, x FROM ms WHERE it = {iters}),
+cand AS (SELECT f.id, f.x, count(*) AS n FROM fin f JOIN p q ON {S.d2('f.x', 'q.x')} <= {r2} GROUP BY f.id, f.x),
+ordc AS (SELECT id, x, n, row_number() OVER (ORDER BY n DESC, id) AS pos FROM cand),
+keep AS (SELECT 0 AS pos, CAST([] AS DOUBLE[][]) AS kx, CAST([] AS BIGINT[]) AS kn
+         UNION ALL
+         SELECT k.pos + 1,
+                CASE WHEN len(list_filter(k.kx, lambda c: {S.d2('o.x', 'c')} <= {r2})) = 0
+                     THEN list_append(k.kx, o.x) ELSE k.kx END,
+                CASE WHEN len(list_filter(k.kx, lambda c: {S.d2('o.x', 'c')} <= {r2})) = 0
+                     THEN list_append(k.kn, o.n) ELSE k.kn END
+         FROM keep k JOIN ordc o ON o.pos = k.pos + 1),
+last AS (SELECT * FROM keep ORDER BY pos DESC LIMIT 1)
+SELECT CAST(i - 1 AS BIGINT) AS mode_id, last.kn[i] AS n, round(last.kx[i][1], 6) AS x0, round(last.kx[i][2], 6) AS x1
+FROM last, range(1, len(last.kx) + 1) t(i)
+"""
+
+
+@register("mean_shift_C12", _meanshift_sql())
 def q_c12(spark, sf):
     from potentia.operators import cluster as C
     c = centroids100(spark, sf).select(F.col("centroid_id").alias("id"), "x")
-    return C.mean_shift(c, 0.3)
+    m = C.mean_shift(c, 0.3)
+    return m.select("mode_id", "n", F.round(F.col("x")[0], 6).alias("x0"), F.round(F.col("x")[1], 6).alias("x1"))
 
 
 @register("spectral_C13")
