@@ -1685,3 +1685,52 @@ def q_o4(spark, sf):
     ids = [r["id"] for r in pts.orderBy("id").limit(3).collect()]
     return TU.per_landmark_search(pts, ids, min_bound=-6.0, max_bound=0.0, granularity=3, epsilon=1.0,
                                   approx_iters=10)
+
+
+# ----------------------------------------------------------------------- end-to-end flow (entry A)
+def _entry_a_sql() -> str:
+    base = _skm_sql()
+    return base + f""",
+cpts AS (SELECT CAST(i - 1 AS BIGINT) AS id, fin.cx[i] AS x, CAST(fin.cn[i] AS DOUBLE) AS weight
+         FROM fin, range(1, len(fin.cx) + 1) t(i)),
+wt AS (SELECT sum(weight) AS tot, CAST(count(*) AS DOUBLE) AS n FROM cpts),
+cp AS (SELECT id, x, weight / wt.tot AS w FROM cpts, wt),
+pairs AS (SELECT a.id AS src, b.id AS dst, {S.d2('a.x', 'b.x')} AS d2, a.w * b.w / 4.0 AS w
+          FROM cp a JOIN cp b ON a.id <> b.id),
+knn AS (SELECT src, dst, w FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rk FROM pairs)
+        WHERE rk <= 4),
+edges AS (SELECT DISTINCT src, dst, w FROM (SELECT src, dst, w FROM knn UNION ALL SELECT dst, src, w FROM knn)),
+tot AS (SELECT sum(w) AS t FROM edges),
+deg AS (SELECT src AS id, sum(w) AS deg FROM edges GROUP BY src),
+nodes AS (SELECT d.id, 1.0 / (d.deg + t.t / (0.01 * wt.n * wt.n)) AS inv FROM deg d, tot t, wt),
+lsel AS (SELECT id FROM cpts ORDER BY {rand.sql_uniform('id', 11)}, id LIMIT 3),
+lm AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS problem_id, id, 1.0::DOUBLE AS voltage FROM lsel),
+{S.jacobi_state('edges', 'nodes', 'lm', 300).strip()},
+asg AS (SELECT id, centroid_id FROM (
+          SELECT p.id, c.id AS centroid_id,
+                 row_number() OVER (PARTITION BY p.id ORDER BY {S.d2('p.x', 'c.x')}, c.id) AS r
+          FROM pts p JOIN cpts c ON true) WHERE r = 1)
+SELECT a.id, s.problem_id, round(s.v, 6) AS v FROM asg a JOIN state s ON s.it = 300 AND s.id = a.centroid_id
+"""
+
+
+@register("compressed_voltage_map_A", _entry_a_sql())
+def q_entry_a(spark, sf):
+    return flows.compressed_voltage_map(spark, sf)
+
+
+def _entry_c_sql() -> str:
+    return _skm_sql() + f""",
+cpts AS (SELECT CAST(i - 1 AS BIGINT) AS id, fin.cx[i] AS x FROM fin, range(1, len(fin.cx) + 1) t(i)),
+asg AS (SELECT id, centroid_id, d2 FROM (
+          SELECT p.id, c.id AS centroid_id, {S.d2('p.x', 'c.x')} AS d2,
+                 row_number() OVER (PARTITION BY p.id ORDER BY {S.d2('p.x', 'c.x')}, c.id) AS r
+          FROM pts p JOIN cpts c ON true) WHERE r = 1),
+r AS (SELECT centroid_id, id, d2, row_number() OVER (PARTITION BY centroid_id ORDER BY d2, id) AS rank FROM asg)
+SELECT centroid_id, id, round(d2, 12) AS d2, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
+"""
+
+
+@register("compress_and_dump_cells_C", _entry_c_sql())
+def q_entry_c(spark, sf):
+    return flows.compress_and_dump_cells(spark, sf, _scratch(spark, "entry-c-centroids"))
