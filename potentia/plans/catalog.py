@@ -1622,7 +1622,45 @@ def q_v4(spark, sf):
     return v.select("problem_id", "id", F.round("v", 6).alias("v"))
 
 
-@register("local_solve_V5")
+def _v5_sql() -> str:
+    off = 1 << 40
+    return f"""
+WITH RECURSIVE {EMB_GRAPH_SQL.strip()},
+gtot AS (SELECT sum(w) AS t FROM edges),
+cents AS (SELECT id AS centroid_id, x FROM pts ORDER BY {rand.sql_uniform('id', 3)}, id LIMIT 10),
+cells AS (SELECT id, centroid_id FROM (
+            SELECT p.id, c.centroid_id,
+                   row_number() OVER (PARTITION BY p.id ORDER BY {S.d2('p.x', 'c.x')}, c.centroid_id) AS r
+            FROM pts p JOIN cents c ON true) WHERE r = 1),
+cpts AS (SELECT centroid_id AS id, x FROM cents),
+ccnt AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM cpts),
+cpairs AS (SELECT a.id AS src, b.id AS dst, {S.d2('a.x', 'b.x')} AS d2 FROM cpts a JOIN cpts b ON a.id <> b.id),
+cknn AS (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS rk
+         FROM cpairs) WHERE rk <= 3),
+cedges AS (SELECT src, dst, ((1.0 / ccnt.n) * (1.0 / ccnt.n)) / 3.0 AS w
+           FROM (SELECT src, dst FROM cknn UNION SELECT dst, src FROM cknn), ccnt),
+ctot AS (SELECT sum(w) AS t FROM cedges),
+cnodes AS (SELECT d.id, 1.0 / (d.deg + t.t / (0.01 * c.n * c.n)) AS inv
+           FROM (SELECT src AS id, sum(w) AS deg FROM cedges GROUP BY src) d, ctot t, ccnt c),
+lm AS (SELECT 0 AS problem_id, min(centroid_id) AS id, 1.0::DOUBLE AS voltage FROM cents),
+{S.jacobi_state('cedges', 'cnodes', 'lm', 300).strip().replace('state AS (', 'cstate AS (').replace('FROM state s', 'FROM cstate s')},
+e2 AS (SELECT e.src, e.dst, e.w, a.centroid_id AS cs, b.centroid_id AS cd
+       FROM edges e JOIN cells a ON a.id = e.src JOIN cells b ON b.id = e.dst),
+border AS (SELECT src AS id, sum(w) AS bw FROM e2 WHERE cs <> cd GROUP BY src),
+virt AS (SELECT b.id AS src, c.centroid_id + {off} AS dst, b.bw AS w FROM border b JOIN cells c ON c.id = b.id),
+fedges AS (SELECT src, dst, w FROM e2 WHERE cs = cd
+           UNION ALL SELECT src, dst, w FROM virt UNION ALL SELECT dst, src, w FROM virt),
+fnodes AS (SELECT d.id, 1.0 / (d.deg + gt.t / (0.01 * cnt.n * cnt.n)) AS inv
+           FROM (SELECT src AS id, sum(w) AS deg FROM fedges GROUP BY src) d, gtot gt, cnt),
+flm AS (SELECT DISTINCT problem_id, id, voltage FROM (
+          SELECT s.problem_id, s.id + {off} AS id, s.v AS voltage FROM cstate s WHERE s.it = 300
+          UNION ALL SELECT problem_id, id, voltage FROM lm)),
+{S.jacobi_state('fedges', 'fnodes', 'flm', 300).strip()}
+SELECT problem_id, id, round(v, 6) AS v FROM state WHERE it = 300 AND id < {off}
+"""
+
+
+@register("local_solve_V5", _v5_sql())
 def q_v5(spark, sf):
     from potentia.operators import graph as G, voltage as V
     pts = emb(spark, sf)
@@ -1633,8 +1671,9 @@ def q_v5(spark, sf):
     cg = G.knn_graph(cp, 3, 0.01)
     first = cents.agg(F.min("centroid_id")).first()[0]
     lms = spark.createDataFrame([(0, int(first), 1.0)], "problem_id int, id long, voltage double")
-    cv = V.conjugate_gradient(cg, lms).select("problem_id", F.col("id").alias("centroid_id"), "v")
-    return V.local_solve(g, lms, cells, cv)
+    cv = V.conjugate_gradient(cg, lms, tol=1e-13).select("problem_id", F.col("id").alias("centroid_id"), "v")
+    v = V.local_solve(g, lms, cells, cv, tol=1e-13)
+    return v.select("problem_id", "id", F.round("v", 6).alias("v"))
 
 
 @register("landmark_maps_V6")
