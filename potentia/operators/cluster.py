@@ -90,7 +90,7 @@ def kmeans_pp(points: DataFrame, k: int, seed: int) -> DataFrame:
 def lloyd(points: DataFrame, k: int, seed: int, max_iter: int = 20, weight: str | None = "weight") -> DataFrame:
     """Lloyd k-means with k-means|| start via ``pyspark.ml`` (weights honoured)."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     df = points.select("id", array_to_vector("x").alias("features"),
                        *([F.col(weight).alias("w")] if weight and weight in points.columns else []))
     km = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="centroid_id")
@@ -101,7 +101,6 @@ def lloyd(points: DataFrame, k: int, seed: int, max_iter: int = 20, weight: str
     spark = points.sparkSession
     cents = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())],
                                   "centroid_id int, x array<double>")
-    _ = vector_to_array
     return cents.join(pred, "centroid_id", "left").select(F.col("centroid_id").cast("long"), "x",
                                                           F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -152,10 +151,6 @@ class Compressed:
     stats: DataFrame          # one row: max_d2, min_d2, seeded, initial_mean_d2, mean_d2, refined_rows
 
 
-def _bc_centroids(spark: SparkSession, cents: list[tuple[int, list[float], int]]):
-    return spark.createDataFrame([(c[0], c[1]) for c in cents], "centroid_id long, x array<double>")
-
-
 def streaming_kmeans(points: DataFrame, *, max_centroids: int = 1000, init_size: int = 1000,
                      batch_size: int = 1000, seed: int = 0, seed_rows: int = 10,
                      normalize: bool = False, order_key=None) -> Compressed:
@@ -262,7 +257,6 @@ def intrinsic_dimension(points: DataFrame, d: int, ks: list[int], seed: int) ->
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    _ = spark
     return out.agg((F.lit(-1.0) / F.regr_slope(F.log("dist"), F.log("k"))).alias("dimension"))
 
 

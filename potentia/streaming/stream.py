@@ -15,9 +15,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from potentia.functions import rand
 from potentia.operators import cluster as C
 from potentia.operators import neighbors as N
 from potentia.session import checkpoint_dir
@@ -122,5 +120,3 @@ def streaming_kmeans_stream(stream: DataFrame, initial: list[list[float]], *, ma
     q.awaitTermination()
     return st
 
-
-_ = (rand, T)
