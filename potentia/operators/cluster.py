@@ -286,6 +286,8 @@ def mean_shift(points: DataFrame, bandwidth: float, *, max_iter: int = 50, tol:
     Returns ``mode_id, x, n`` (n = points within bandwidth of the mode)."""
     import numpy as np
     spark = points.sparkSession
+    from potentia.session import ship_package
+    ship_package(spark)
     n = points.count()
     if n > max_points:  # checked before anything is collected
         raise ValueError(f"mean_shift is bounded to {max_points} points, got {n}")

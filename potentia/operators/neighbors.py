@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from potentia.functions import vec
+from potentia.session import ship_package
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 # Above this many searched rows a brute-force scan of the whole index per query costs more
@@ -172,6 +173,7 @@ def knn(queries: DataFrame, index: DataFrame, k: int, *, exclude_self: bool = Fa
     Output: ``src, dst, d2, rank`` (+ ``src_weight, dst_weight``), ties by smaller id.
     """
     spark = queries.sparkSession
+    ship_package(spark)
     payload, n, d = _collect_index(index, max_broadcast_bytes, None if group else max_scan_rows)
     if payload is None and group:
         raise ValueError("group-restricted kNN needs a broadcastable index")
@@ -197,6 +199,7 @@ def nearest_to_arrays(points: DataFrame, ids, mat, carry: tuple[str, ...] = ())
     order = np.argsort(np.asarray(ids, dtype=np.int64), kind="stable")
     ids = np.asarray(ids, dtype=np.int64)[order]
     mat = np.asarray(mat, dtype=np.float64)[order]
+    ship_package(points.sparkSession)
     bc = points.sparkSession.sparkContext.broadcast((ids, mat, np.ones(ids.size)))
     types = dict(points.dtypes)
     extra = "".join(f", {c} {types[c]}" for c in carry)
@@ -261,6 +264,7 @@ def all_pairs(points: DataFrame, *, max_points: int = 20_000, max_d2: float | No
     The operator's output *is* every pair, so it refuses inputs above ``max_points``
     (centroids, head buffers); the radius join on large inputs is :func:`radius_join_grid`.
     """
+    ship_package(points.sparkSession)
     payload, n, d = _collect_index(points, max_points * 8 * 4096)
     if payload is None or n > max_points:
         raise ValueError(f"all_pairs is bounded to {max_points} points, got {n}")
@@ -293,6 +297,7 @@ def _minmax_partition(batches, bc):
 def pairwise_min_max(points: DataFrame, *, max_points: int = 50_000) -> DataFrame:
     """Min positive and max squared distance over distinct pairs (D8 intended),
     without materialising pairs: per-partition partial min/max, then a global aggregate."""
+    ship_package(points.sparkSession)
     payload, n, d = _collect_index(points, max_points * 8 * 4096)
     if payload is None or n > max_points:
         raise ValueError(f"pairwise_min_max is bounded to {max_points} points, got {n}")
@@ -368,6 +373,7 @@ def knn_cells(queries: DataFrame, index: DataFrame, k: int, *, exclude_self: boo
     from potentia.operators.points import sample_k  # local import: avoid cycle
 
     spark = queries.sparkSession
+    ship_package(spark)
     n_index = index.count()
     # centres stay broadcastable (<= the scan limit), so assigning rows to cells never recurses
     cells = cells or min(max(16, int(np.sqrt(max(n_index, 1)))), DEFAULT_MAX_SCAN_ROWS)

@@ -31,6 +31,7 @@ def get_spark(cpus: int | str | None = None, app: str = "potentia",
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
@@ -93,3 +94,32 @@ def checkpoint_with_sums(df: DataFrame, keys: list, sums: dict, key_col: str = "
     out = cut_lineage(df.observe(obs, *aggs)) if aggs else cut_lineage(df)
     got = obs.get if aggs else {}
     return out, {k: {name: (got.get(f"{name}__{i}") or 0.0) for name in sums} for i, k in enumerate(keys)}
+
+
+_SHIPPED: set[str] = set()
+_ZIP: list[str] = []
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``potentia`` importable in the Python workers (the Arrow kernels live in it):
+    zip the package once and ``addPyFile`` it once per SparkContext - what ``--py-files``
+    does on a cluster. Idempotent and cheap after the first call."""
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    if not _ZIP:
+        root = os.path.dirname(os.path.abspath(__file__))
+        out = os.path.join(tempfile.mkdtemp(prefix="potentia-pkg-", dir="/tmp"), "potentia.zip")
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for dirpath, dirnames, files in os.walk(root):
+                dirnames[:] = [d for d in dirnames if d != "__pycache__"]
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(dirpath, f)
+                        z.write(full, os.path.join("potentia", os.path.relpath(full, root)))
+        _ZIP.append(out)
+    sc.addPyFile(_ZIP[0])
+    _SHIPPED.add(app)
