@@ -1404,7 +1404,8 @@ def q_c2(spark, sf):
     return C.lloyd(emb(spark, sf), 10, 1).select("centroid_id", "n")
 
 
-def _skm_sql(max_c: int = 100, init: int = 1000, seed_rows: int = 10, seed: int = 0) -> str:
+def _skm_sql(max_c: int = 100, init: int = 1000, seed_rows: int = 10, seed: int = 0,
+             bs_sql: str = "greatest(1000, count(*) // 6)", cap_order: str = "row_id") -> str:
     """Streaming k-means (C5-C8) restated as a recursion over batches: one state row per
     batch holding the centroid list and counters; a batch seeds while below the cap,
     otherwise it refines the running means. Per-batch aggregates are taken in an inner
@@ -1423,7 +1424,7 @@ def _skm_sql(max_c: int = 100, init: int = 1000, seed_rows: int = 10, seed: int
 WITH RECURSIVE
 pts AS ({S.LINEITEM_POINTS}),
 ord AS (SELECT id, x, row_number() OVER (ORDER BY {rand.sql_uniform('id', f'stream:{seed}')}, id) - 1 AS row_id FROM pts),
-bs AS (SELECT greatest(1000, count(*) // 6) AS bs FROM pts),
+bs AS (SELECT {bs_sql} AS bs FROM pts),
 buf AS (SELECT * FROM ord WHERE row_id < {init}),
 mm AS (SELECT min({S.d2('a.x', 'b.x')}) FILTER (WHERE {S.d2('a.x', 'b.x')} > 0) AS mn, max({S.d2('a.x', 'b.x')}) AS mx
        FROM buf a JOIN buf b ON a.id <> b.id),
@@ -1444,7 +1445,7 @@ st AS (
   FROM (
     SELECT s.b, s.cx, s.cn, s.tot_d2, s.tot_n, s.initial, s.mean_d2,
            list({{'a': list_position({ds}, list_min({ds})), 'x': p.x}}) AS pl,
-           list(p.x ORDER BY p.row_id) FILTER (WHERE {acc}) AS accl,
+           list(p.x ORDER BY p.{cap_order}) FILTER (WHERE {acc}) AS accl,
            sum(list_min({ds})) AS sd, count(*) AS c
     FROM st s JOIN bat p ON p.b = s.b, mm
     GROUP BY s.b, s.cx, s.cn, s.tot_d2, s.tot_n, s.initial, s.mean_d2) g),
@@ -1478,7 +1479,9 @@ def q_c7(spark, sf):
                                 F.round(F.col("x")[1], 7).alias("x1"))
 
 
-@register("stream_kmeans_T2_T3")
+@register("stream_kmeans_T2_T3", _skm_sql(bs_sql="greatest(1000, (count(*) - 1000) // 6 + 1)", cap_order="id") + """
+SELECT CAST(i - 1 AS BIGINT) AS centroid_id, fin.cn[i] AS n FROM fin, range(1, len(fin.cx) + 1) t(i)
+""")
 def q_t2(spark, sf):
     """The same seeding/refinement driven by micro-batches (one staged file per
     trigger, ``foreachBatch``), centre scale from the head buffer as in the batch path."""

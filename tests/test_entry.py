@@ -38,3 +38,18 @@ def test_query_matches_oracle(spark, name):
     h1, _ = digest(df.columns, [tuple(r) for r in df.collect()])
     h2, _ = digest([d[0] for d in cur.description], cur.fetchall())
     assert h1 == h2
+
+
+def test_kernels_import_from_any_cwd(tmp_path):
+    """Python workers get the package shipped (addPyFile), whatever the driver's cwd."""
+    import subprocess
+    import sys
+    code = (
+        "import importlib.util\n"
+        "spec = importlib.util.spec_from_file_location('e', '/root/repo/__spark_entry__.py')\n"
+        "E = importlib.util.module_from_spec(spec); spec.loader.exec_module(E)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "print('ROWS', E.queries()['self_knn_J3'](s, '/root/testdata/sf0.001').count())\n")
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
+    assert "ROWS 5000" in out.stdout, out.stderr[-2000:]
