@@ -137,14 +137,14 @@ def median_center(points: DataFrame, d: int) -> DataFrame:
 def drop_furthest(points: DataFrame, n: int, d: int) -> DataFrame:
     """Drop the n points furthest from the mean centre.
 
-    The centre is a d-vector scalar (collected), the ranking is a global top-n, so no
-    window over all rows: the n furthest are found by ``orderBy().limit(n)`` and anti-joined.
-    """
+    The centre is a d-vector scalar (collected); the n furthest are found by a distributed
+    rank on the distance (ties: larger id counts as further), so n may be any size."""
+    from potentia.operators.ranking import rank_in_groups
     center = mean_center(points, d).first()["center"]
     c = F.array(*[F.lit(float(v)) for v in center])
     with_d = points.withColumn("_dist", vec.euclidean("x", c))
-    far = with_d.orderBy(F.col("_dist").desc(), F.col("id").desc()).limit(n).select("id")
-    return with_d.join(far, "id", "left_anti").drop("_dist")
+    ranked = rank_in_groups(with_d, [F.col("_dist").desc(), F.col("id").desc()])
+    return ranked.where(F.col("_rank") >= F.lit(n)).drop("_dist", "_rank", "_n")
 
 
 def beyond_median_distance(points: DataFrame, d: int) -> DataFrame:
