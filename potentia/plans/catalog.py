@@ -1698,7 +1698,12 @@ def q_o1(spark, sf):
 
 
 def _compressed(spark, sf, k=30):
-    return P.sample_k(li(spark, sf), k, 7)
+    """Lineitem compressed to ``k`` weighted centroids (C8), as the original scores
+    parameter candidates on k-means partitions: ``id, x, weight = count``."""
+    from potentia.operators import cluster as C
+    n = load(spark, sf, "lineitem").count()
+    res = C.streaming_kmeans(li(spark, sf), max_centroids=k, init_size=1000, batch_size=max(1000, n // 6), seed=0)
+    return res.centroids.select(F.col("centroid_id").alias("id"), "x", F.col("n").cast("double").alias("weight")).persist()
 
 
 @register("score_candidates_O2_O5")
