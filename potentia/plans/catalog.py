@@ -1715,14 +1715,76 @@ def q_o2(spark, sf):
     return TU.score(pts, lm, cands, loss=TU.metric("min_with_std"))
 
 
-@register("grid_search_O3")
+def _grid_round_sql(r: int, center: str, window: float, gran: int = 3, iters: int = 10) -> str:
+    """CTEs for one grid round: candidates around ``center`` (a CTE with best_c, best_g),
+    count-weighted kernel edges, validity, Jacobi sweeps with the stop rule, loss."""
+    D = "::DOUBLE"
+    return f"""
+cand{r} AS (SELECT CAST((xc + {gran - 1}) * {2 * gran - 1} + (xg + {gran - 1}) AS INTEGER) AS problem_id,
+                   b.best_c + (xc{D} * {window!r}{D}) / {gran}{D} AS log_c, b.best_g + (xg{D} * {window!r}{D}) / {gran}{D} AS log_g
+            FROM {center} b, range({-(gran - 1)}, {gran}) a(xc), range({-(gran - 1)}, {gran}) c(xg)),
+ew{r} AS (SELECT c.problem_id, c.log_g, pp.src, pp.dst,
+                 exp(-pp.d2 / (2.0 * exp(c.log_c) * exp(c.log_c))) * pp.cw AS w FROM pp, cand{r} c),
+e{r} AS (SELECT * FROM ew{r} WHERE w > 0),
+ok{r} AS (SELECT problem_id FROM e{r} GROUP BY problem_id HAVING count(DISTINCT src) = (SELECT count(*) FROM cp)),
+nd{r} AS (SELECT e.problem_id, e.src AS id, 1.0 / (sum(e.w) + exp(max(e.log_g)) / (SELECT CAST(count(*) AS DOUBLE) FROM cp) * sum(e.w)) AS inv
+          FROM e{r} e JOIN ok{r} USING (problem_id) GROUP BY e.problem_id, e.src),
+es{r} AS (SELECT problem_id, src, dst, w FROM e{r} JOIN ok{r} USING (problem_id)
+          UNION ALL SELECT problem_id, id, id, 0.0 FROM nd{r}),
+js{r} AS (
+  SELECT 0 AS it, n.problem_id, n.id, CAST(CASE WHEN n.id = (SELECT id FROM lmk) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS v,
+         CAST(1.0 AS DOUBLE) AS prev, false AS frozen
+  FROM nd{r} n
+  UNION ALL
+  SELECT q.it, q.problem_id, q.id, q.v,
+         CASE WHEN q.frozen THEN q.prev ELSE q.step END,
+         q.frozen OR q.step >= q.prev
+  FROM (
+    SELECT g.*, sqrt(sum(pow(g.v - g.old, 2)) OVER (PARTITION BY g.problem_id)) AS step
+    FROM (
+      SELECT s.it + 1 AS it, s.problem_id, e.src AS id,
+             CASE WHEN bool_or(s.frozen) THEN max(CASE WHEN e.src = e.dst THEN s.v END)
+                  WHEN e.src = (SELECT id FROM lmk) THEN 1.0
+                  ELSE sum(e.w * s.v) * max(n.inv) END AS v,
+             max(CASE WHEN e.src = e.dst THEN s.v END) AS old,
+             max(s.prev) AS prev, bool_or(s.frozen) AS frozen
+      FROM js{r} s JOIN es{r} e ON e.dst = s.id AND e.problem_id = s.problem_id
+           JOIN nd{r} n ON n.id = e.src AND n.problem_id = s.problem_id
+      WHERE s.it < {iters}
+      GROUP BY s.it, s.problem_id, e.src) g) q),
+rk{r} AS (SELECT problem_id, v, row_number() OVER (PARTITION BY problem_id ORDER BY v, id) - 1 AS i,
+                 count(*) OVER (PARTITION BY problem_id) AS n FROM js{r} WHERE it = {iters}),
+loss{r} AS (SELECT problem_id, sqrt(sum(pow(v - pow(10.0, i{D} / (n - 1) - 1), 2))) / stddev_pop(v) AS loss
+            FROM rk{r} GROUP BY problem_id),
+tried{r} AS (SELECT {r} AS round, c.problem_id, c.log_c, c.log_g, l.loss FROM cand{r} c LEFT JOIN loss{r} l USING (problem_id)),
+best{r} AS (SELECT log_c AS best_c, log_g AS best_g FROM tried{r} WHERE loss IS NOT NULL ORDER BY loss, problem_id LIMIT 1)"""
+
+
+def _grid_sql() -> str:
+    base = _skm_sql(max_c=30)
+    return base + f""",
+cp AS (SELECT CAST(i - 1 AS BIGINT) AS id, fin.cx[i] AS x, CAST(fin.cn[i] AS DOUBLE) AS weight
+       FROM fin, range(1, len(fin.cx) + 1) t(i)),
+lmk AS (SELECT min(id) AS id FROM cp),
+pp AS (SELECT a.id AS src, b.id AS dst, {S.d2('a.x', 'b.x')} AS d2, a.weight * b.weight AS cw
+       FROM cp a JOIN cp b ON a.id <> b.id),
+start AS (SELECT -3.0::DOUBLE AS best_c, -3.0::DOUBLE AS best_g),
+{_grid_round_sql(0, 'start', 3.0).strip()},
+{_grid_round_sql(1, 'best0', 1.0).strip()}
+SELECT round, problem_id, round(log_c, 12) AS log_c, round(log_g, 12) AS log_g, round(loss, 9) AS loss
+FROM (SELECT * FROM tried0 UNION ALL SELECT * FROM tried1)
+"""
+
+
+@register("grid_search_O3", _grid_sql())
 def q_o3(spark, sf):
     from potentia.operators import tune as TU
     pts = _compressed(spark, sf)
     lm = pts.orderBy("id").limit(1).select("id", F.lit(1.0).alias("voltage"))
     c, g, tried = TU.grid_search(pts, lm, min_bound=-6.0, max_bound=0.0, granularity=3, epsilon=0.5,
                                  approx_iters=10)
-    return tried
+    return tried.select("round", "problem_id", F.round("log_c", 12).alias("log_c"),
+                        F.round("log_g", 12).alias("log_g"), F.round("loss", 9).alias("loss"))
 
 
 @register("per_landmark_search_O4")
