@@ -1715,10 +1715,18 @@ def q_o2(spark, sf):
     return TU.score(pts, lm, cands, loss=TU.metric("min_with_std"))
 
 
-def _grid_round_sql(r: int, center: str, window: float, gran: int = 3, iters: int = 10) -> str:
+def _grid_round_sql(r, center: str, window: float, gran: int = 3, iters: int = 10, lmk: str = "lmk",
+                    others: str | None = None) -> str:
     """CTEs for one grid round: candidates around ``center`` (a CTE with best_c, best_g),
-    count-weighted kernel edges, validity, Jacobi sweeps with the stop rule, loss."""
+    count-weighted kernel edges, validity, Jacobi sweeps with the stop rule, loss
+    (``exp_with_std``, or with ``others`` the O4 loss over those landmark nodes)."""
     D = "::DOUBLE"
+    if others is None:
+        loss_sql = f"""loss{r} AS (SELECT problem_id, sqrt(sum(pow(v - pow(10.0, i{D} / (n - 1) - 1), 2))) / stddev_pop(v) AS loss
+            FROM rk{r} GROUP BY problem_id)"""
+    else:
+        loss_sql = f"""loss{r} AS (SELECT problem_id, avg(pow(v - 0.1, 2)) / (stddev_pop(v) + 1e-8) AS loss
+            FROM js{r} WHERE it = {iters} AND id IN (SELECT id FROM {others}) GROUP BY problem_id)"""
     return f"""
 cand{r} AS (SELECT CAST((xc + {gran - 1}) * {2 * gran - 1} + (xg + {gran - 1}) AS INTEGER) AS problem_id,
                    b.best_c + (xc{D} * {window!r}{D}) / {gran}{D} AS log_c, b.best_g + (xg{D} * {window!r}{D}) / {gran}{D} AS log_g
@@ -1732,7 +1740,7 @@ nd{r} AS (SELECT e.problem_id, e.src AS id, 1.0 / (sum(e.w) + exp(max(e.log_g))
 es{r} AS (SELECT problem_id, src, dst, w FROM e{r} JOIN ok{r} USING (problem_id)
           UNION ALL SELECT problem_id, id, id, 0.0 FROM nd{r}),
 js{r} AS (
-  SELECT 0 AS it, n.problem_id, n.id, CAST(CASE WHEN n.id = (SELECT id FROM lmk) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS v,
+  SELECT 0 AS it, n.problem_id, n.id, CAST(CASE WHEN n.id = (SELECT id FROM {lmk}) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS v,
          CAST(1.0 AS DOUBLE) AS prev, false AS frozen
   FROM nd{r} n
   UNION ALL
@@ -1744,7 +1752,7 @@ js{r} AS (
     FROM (
       SELECT s.it + 1 AS it, s.problem_id, e.src AS id,
              CASE WHEN bool_or(s.frozen) THEN max(CASE WHEN e.src = e.dst THEN s.v END)
-                  WHEN e.src = (SELECT id FROM lmk) THEN 1.0
+                  WHEN e.src = (SELECT id FROM {lmk}) THEN 1.0
                   ELSE sum(e.w * s.v) * max(n.inv) END AS v,
              max(CASE WHEN e.src = e.dst THEN s.v END) AS old,
              max(s.prev) AS prev, bool_or(s.frozen) AS frozen
@@ -1754,9 +1762,8 @@ js{r} AS (
       GROUP BY s.it, s.problem_id, e.src) g) q),
 rk{r} AS (SELECT problem_id, v, row_number() OVER (PARTITION BY problem_id ORDER BY v, id) - 1 AS i,
                  count(*) OVER (PARTITION BY problem_id) AS n FROM js{r} WHERE it = {iters}),
-loss{r} AS (SELECT problem_id, sqrt(sum(pow(v - pow(10.0, i{D} / (n - 1) - 1), 2))) / stddev_pop(v) AS loss
-            FROM rk{r} GROUP BY problem_id),
-tried{r} AS (SELECT {r} AS round, c.problem_id, c.log_c, c.log_g, l.loss FROM cand{r} c LEFT JOIN loss{r} l USING (problem_id)),
+{loss_sql},
+tried{r} AS (SELECT {r if isinstance(r, int) else 0} AS round, c.problem_id, c.log_c, c.log_g, l.loss FROM cand{r} c LEFT JOIN loss{r} l USING (problem_id)),
 best{r} AS (SELECT log_c AS best_c, log_g AS best_g FROM tried{r} WHERE loss IS NOT NULL ORDER BY loss, problem_id LIMIT 1)"""
 
 
@@ -1787,13 +1794,35 @@ def q_o3(spark, sf):
                         F.round("log_g", 12).alias("log_g"), F.round("loss", 9).alias("loss"))
 
 
-@register("per_landmark_search_O4")
+def _per_landmark_sql(n_landmarks: int = 3) -> str:
+    base = _skm_sql(max_c=30)
+    parts = []
+    for j in range(n_landmarks):
+        parts.append(f"""lmk{j} AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS r FROM cp) WHERE r = {j + 1}),
+oth{j} AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY id) AS r FROM cp) WHERE r <= {n_landmarks} AND r <> {j + 1}),
+{_grid_round_sql(f"L{j}", 'start', 3.0, lmk=f'lmk{j}', others=f'oth{j}').strip()}""")
+    sel = " UNION ALL ".join(
+        f"SELECT (SELECT id FROM lmk{j}) AS id, round(exp(best_c), 9) AS c, round(exp(best_g), 9) AS p_g FROM bestL{j}"
+        for j in range(n_landmarks))
+    return base + f""",
+cp AS (SELECT CAST(i - 1 AS BIGINT) AS id, fin.cx[i] AS x, CAST(fin.cn[i] AS DOUBLE) AS weight
+       FROM fin, range(1, len(fin.cx) + 1) t(i)),
+pp AS (SELECT a.id AS src, b.id AS dst, {S.d2('a.x', 'b.x')} AS d2, a.weight * b.weight AS cw
+       FROM cp a JOIN cp b ON a.id <> b.id),
+start AS (SELECT -3.0::DOUBLE AS best_c, -3.0::DOUBLE AS best_g),
+{",".join(parts)}
+{sel}
+"""
+
+
+@register("per_landmark_search_O4", _per_landmark_sql())
 def q_o4(spark, sf):
     from potentia.operators import tune as TU
     pts = _compressed(spark, sf)
     ids = [r["id"] for r in pts.orderBy("id").limit(3).collect()]
-    return TU.per_landmark_search(pts, ids, min_bound=-6.0, max_bound=0.0, granularity=3, epsilon=1.0,
-                                  approx_iters=10)
+    r = TU.per_landmark_search(pts, ids, min_bound=-6.0, max_bound=0.0, granularity=3, epsilon=1.0,
+                               approx_iters=10)
+    return r.select("id", F.round("c", 9).alias("c"), F.round("p_g", 9).alias("p_g"))
 
 
 # ----------------------------------------------------------------------- end-to-end flow (entry A)
