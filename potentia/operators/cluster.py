@@ -202,10 +202,8 @@ def streaming_kmeans(points: DataFrame, *, max_centroids: int = 1000, init_size:
     d = len(cents[0][1]) if cents else 0
     while b <= n_batches and cents:
         batch = staged.where(F.col("batch_no") == b)
-        asg = N.nearest_to_arrays(batch, [c[0] for c in cents], [c[1] for c in cents], carry=("x",))
-        stats = {r["centroid_id"]: r for r in asg.groupBy("centroid_id").agg(  # <= max_centroids rows
-            F.count(F.lit(1)).alias("m"), F.array(*[F.sum(F.col("x")[i]) for i in range(d)]).alias("sx"),
-            F.sum("d2").alias("sd2")).collect()}
+        part = N.assign_and_sum(batch, [c[0] for c in cents], [c[1] for c in cents])
+        stats = {r["centroid_id"]: r for r in part.collect()}  # <= max_centroids rows
         new = []
         for cid, x, n in cents:
             s = stats.get(cid)

@@ -212,6 +212,48 @@ def nearest_to_arrays(points: DataFrame, ids, mat, carry: tuple[str, ...] = ())
     return res.select(F.col("src").alias("id"), F.col("dst").alias("centroid_id"), "d2", *carry)
 
 
+def _assign_sum_partition(batches, bc):
+    ids, mat, _ = bc.value
+    m, d = mat.shape
+    for pdf in batches:
+        if len(pdf) == 0:
+            continue
+        q = _matrix(pdf)
+        step = max(1, _BLOCK_CELLS // max(m, 1))
+        cnt = np.zeros(m, dtype=np.int64)
+        sx = np.zeros((m, d))
+        sd2 = np.zeros(m)
+        for s in range(0, q.shape[0], step):
+            dist = _sq_dists(q[s:s + step], mat)
+            a = dist.argmin(axis=1)  # first (smallest-id) centre among ties
+            dm = dist[np.arange(a.size), a]
+            cnt += np.bincount(a, minlength=m)
+            sd2 += np.bincount(a, weights=dm, minlength=m)
+            for j in range(d):
+                sx[:, j] += np.bincount(a, weights=q[s:s + step, j], minlength=m)
+        hit = np.nonzero(cnt)[0]
+        yield pd.DataFrame({"centroid_id": ids[hit], "m": cnt[hit], "sx": list(sx[hit]), "sd2": sd2[hit]})
+
+
+def assign_and_sum(points: DataFrame, ids, mat) -> DataFrame:
+    """J1 + A1/A2/A4 in one pass with map-side combine: every Arrow batch is assigned to the
+    nearest centre and reduced to per-centre partials (count, coordinate sums, sum of d2)
+    inside the kernel, so only <= centres rows per batch leave Python; Spark adds partials.
+    Returns ``centroid_id, m, sx, sd2`` for the non-empty cells."""
+    ship_package(points.sparkSession)
+    order = np.argsort(np.asarray(ids, dtype=np.int64), kind="stable")
+    ids = np.asarray(ids, dtype=np.int64)[order]
+    mat = np.asarray(mat, dtype=np.float64)[order]
+    d = mat.shape[1]
+    bc = points.sparkSession.sparkContext.broadcast((ids, mat, None))
+    src = _flatten(spread(points.select("id", "x")), d)
+    part = src.mapInPandas(lambda it: _assign_sum_partition(it, bc),
+                           "centroid_id long, m long, sx array<double>, sd2 double")
+    return part.groupBy("centroid_id").agg(
+        F.sum("m").alias("m"), F.array(*[F.sum(F.col("sx")[j]) for j in range(d)]).alias("sx"),
+        F.sum("sd2").alias("sd2"))
+
+
 def nearest(points: DataFrame, centroids: DataFrame, *, centroid_id: str = "centroid_id",
             max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
     """Nearest centroid per point -> ``id, centroid_id, d2`` (tie -> smaller centroid id)."""
