@@ -129,20 +129,24 @@ def per_class_centroids(points: DataFrame, per_class: int, seed: int, d: int, it
 # ----------------------------------------------------------------------------- streaming k-means
 def with_row_ids(df: DataFrame, order_key, parts: int | None = None) -> DataFrame:
     """Dense ``row_id`` 0..n-1 in ``order_key`` order without a single-partition window:
-    range-partition + sort, count rows per partition (one small action), add the offset."""
+    range-partition + sort; the position inside each partition comes from
+    ``monotonically_increasing_id`` (record number in the low 33 bits), the per-partition
+    counts (one small action) give the offsets - no second shuffle."""
     spark = df.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pid = F.spark_partition_id().cast("long")
     s = (df.withColumn("_key", order_key).repartitionByRange(parts, "_key", "id")
-         .sortWithinPartitions("_key", "id").withColumn("_pid", F.spark_partition_id()))
+         .sortWithinPartitions("_key", "id")
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(pid, 33)))
     s = cut_lineage(s)  # the counts and the numbering must see the same partitions
     counts = sorted((r["_pid"], r["c"]) for r in s.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
     offsets, acc = {}, 0
-    for pid, c in counts:
-        offsets[pid] = acc
+    for p_, c in counts:
+        offsets[p_] = acc
         acc += c
-    off = F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))]) if offsets else F.lit(None)
-    w = Window.partitionBy("_pid").orderBy("_key", "id")
-    return s.withColumn("row_id", (off[F.col("_pid")] + F.row_number().over(w) - 1).cast("long")).drop("_pid", "_key")
+    off = F.create_map(*[x for p_, o in offsets.items() for x in (F.lit(p_), F.lit(o))]) if offsets else F.lit(None)
+    return s.withColumn("row_id", (off[F.col("_pid")] + F.col("_pos")).cast("long")).drop("_pid", "_key", "_pos")
 
 
 @dataclass

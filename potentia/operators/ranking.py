@@ -22,17 +22,20 @@ def rank_in_groups(df: DataFrame, order: list[str | Column], groups: list[str] |
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
     keys = [F.col(g) for g in groups] + order_cols
+    pid = F.spark_partition_id().cast("long")
     s = (df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-         .withColumn("_pid", F.spark_partition_id()))
+         .withColumn("_pid", F.spark_partition_id())
+         .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(pid, 33)))
     s = cut_lineage(s)  # counts and numbering must see the same partitions
-    counts = s.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_c"))
+    # rows of a group are contiguous inside a sorted partition: local rank = pos - first pos
+    counts = s.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_first"))
     w_cum = Window.partitionBy(*groups).orderBy("_pid")  # partitions x groups rows: small
-    offs = counts.select("_pid", *groups,
+    offs = counts.select("_pid", *groups, "_first",
                          (F.sum("_c").over(w_cum) - F.col("_c")).alias("_off"),
                          F.sum("_c").over(Window.partitionBy(*groups)).alias(size_col))
-    local = F.row_number().over(Window.partitionBy("_pid", *groups).orderBy(*order_cols)) - 1
-    out = s.withColumn("_local", local).join(F.broadcast(offs), ["_pid", *groups])
-    return out.withColumn(rank_col, (F.col("_off") + F.col("_local")).cast("long")).drop("_pid", "_local", "_off")
+    out = s.join(F.broadcast(offs), ["_pid", *groups])
+    return (out.withColumn(rank_col, (F.col("_off") + F.col("_pos") - F.col("_first")).cast("long"))
+            .drop("_pid", "_pos", "_first", "_off"))
 
 
 def quantile(df: DataFrame, col: str, q: float, groups: list[str] | None = None) -> DataFrame:
