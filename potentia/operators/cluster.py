@@ -43,9 +43,18 @@ def cell_means(points: DataFrame, assign: DataFrame, d: int) -> DataFrame:
                     F.col("m").cast("long").alias("n"))
 
 
+def _centroid_arrays(centroids: DataFrame):
+    rows = centroids.select("centroid_id", "x").collect()  # bounded by the caller's k
+    return [r["centroid_id"] for r in rows], [list(r["x"]) for r in rows]
+
+
 def assign_average(points: DataFrame, centroids: DataFrame, d: int) -> DataFrame:
-    """One assign + average pass from given seeds (empty cells dropped)."""
-    return cell_means(points, N.nearest(points, centroids), d)
+    """One assign + average pass from given seeds (empty cells dropped). Assignment and
+    per-cell sums happen in one kernel pass (map-side combine), no join back on id."""
+    ids, mat = _centroid_arrays(centroids)
+    s = N.assign_and_sum(points, ids, mat)
+    return s.select("centroid_id", F.transform("sx", lambda v: v / F.col("m")).alias("x"),
+                    F.col("m").cast("long").alias("n"))
 
 
 def top_per_cell(assign: DataFrame, n: int = 5) -> DataFrame:
@@ -235,8 +244,8 @@ def streaming_kmeans(points: DataFrame, *, max_centroids: int = 1000, init_size:
 def refine(points: DataFrame, centroids: DataFrame, d: int) -> DataFrame:
     """C7 for one batch as a pure DataFrame step (A3): ``x' = (x n + sum) / (n + m)``, ``n' = n + m``.
     Used by the streaming sink; associative, so partial aggregation does the heavy lifting."""
-    asg = N.nearest(points, centroids.select("centroid_id", "x"))
-    s = cell_sums(points, asg, d)
+    ids, mat = _centroid_arrays(centroids)
+    s = N.assign_and_sum(points, ids, mat)
     j = centroids.join(s, "centroid_id", "left")
     m = F.coalesce("m", F.lit(0))
     x = F.when(F.col("m").isNull(), F.col("x")).otherwise(
