@@ -78,27 +78,25 @@ class StreamingKMeansState:
             return
         spark = batch.sparkSession
         pts = batch.select("id", "x")
-        cents = spark.createDataFrame([(c[0], c[1]) for c in self.centroids], "centroid_id long, x array<double>")
+        ids = [c[0] for c in self.centroids]
+        mat = [c[1] for c in self.centroids]
         if len(self.centroids) < self.max_centroids:
-            asg = N.nearest(pts, cents)
-            d = asg.join(pts, "id")
+            d = N.nearest_to_arrays(pts, ids, mat, carry=("x",))
             room = self.max_centroids - len(self.centroids)
             acc = C.accept(d, shift=self.shift, z=self.z, seed=f"{self.seed}:{batch_id}", room=room, order="id")
-            for r in acc.orderBy("id").collect():
+            for r in acc.orderBy("id").collect():  # at most ``room`` rows
                 self.centroids.append((len(self.centroids), list(r["x"]), 1))
         else:
-            d = len(self.centroids[0][1])
-            asg = N.nearest(pts, cents)
-            stats = {r["centroid_id"]: r for r in C.cell_sums(pts, asg, d).collect()}
+            stats = {r["centroid_id"]: r for r in N.assign_and_sum(pts, ids, mat).collect()}  # <= centroids
             new = []
             for cid, x, n in self.centroids:
-                s = stats.get(cid)
-                if s is None:
+                s_ = stats.get(cid)
+                if s_ is None:
                     new.append((cid, x, n))
                     continue
-                m = int(s["m"])
-                new.append((cid, [(xi * n + si) / (n + m) for xi, si in zip(x, s["sx"])], n + m))
-                self.total_d2 += float(s["sd2"])
+                m = int(s_["m"])
+                new.append((cid, [(xi * n + si) / (n + m) for xi, si in zip(x, s_["sx"])], n + m))
+                self.total_d2 += float(s_["sd2"])
                 self.total_n += m
             self.centroids = new
             self.mean_d2 = self.total_d2 / self.total_n if self.total_n else None
