@@ -181,3 +181,23 @@ def test_negative_inputs(spark):
     mixed = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "id long, x array<double>")
     with pytest.raises(ValueError):
         P.dimension(mixed)
+
+
+def test_rank_in_groups_matches_window(spark):
+    """Distributed ranks (range partition + in-partition positions) equal a window rank."""
+    from pyspark.sql import Window
+    from potentia.operators.ranking import quantile, rank_in_groups
+    rng = np.random.default_rng(3)
+    rows = [(int(g), int(i), float(np.round(v, 1))) for i, (g, v) in enumerate(zip(rng.integers(0, 4, 3000),
+                                                                                  rng.random(3000)))]
+    df = spark.createDataFrame(rows, "g int, id long, v double").repartition(7)
+    for order in (["v", "id"], [F.col("v").desc(), F.col("id").desc()]):
+        got = rank_in_groups(df, order, ["g"], parts=6)
+        w = Window.partitionBy("g").orderBy(*[F.col(o) if isinstance(o, str) else o for o in order])
+        exp = df.withColumn("_rank", (F.row_number().over(w) - 1).cast("long"))
+        assert got.select("id", "_rank").exceptAll(exp.select("id", "_rank")).count() == 0
+        assert got.select("_n").distinct().count() == 4  # one size per group
+    q = {r["g"]: r["q"] for r in quantile(df, "v", 0.5, ["g"]).collect()}
+    for gi in range(4):
+        vals = np.array([v for g, _, v in rows if g == gi])
+        assert np.isclose(q[gi], np.quantile(vals, 0.5))
