@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from potentia.llm import chat, langid, mixing, secrets, simhash
+from potentia.llm import bpe, chat, langid, mixing, secrets, simhash
 from potentia.llm.textio import fold_of
 from potentia.sources.tables import load
 
@@ -18,6 +19,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "n_langs"))
 
 
+def encode_digests(docs: DataFrame, ranks_file: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """Encode ``docs(doc_id, text)`` by a public rank file, decode the ids, digest both."""
+    ranks = bpe.read_ranks(public_tokenizers.path(ranks_file))
+    return bpe.round_trip_digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(load(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(load(spark, sf_dir, "documents")))
 
@@ -35,7 +46,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(load(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_secret_scan, op5_simhash_dedup, op7_mix_sources, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_secret_scan, op5_simhash_dedup, op7_mix_sources, op10_chat_format)}
 
 ORACLES: dict[str, str] = {
     # whole prefixes instead of hashes: a signature is the list of md5s of the turns so far
