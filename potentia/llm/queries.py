@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from potentia.llm import bpe, chat, langid, mixing, secrets, simhash
+from potentia.llm import bpe, chat, langid, mixing, secrets, simhash, toxicity
 from potentia.llm.textio import fold_of
 from potentia.sources.tables import load
 
@@ -33,6 +33,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(load(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    lexicon = toxicity.train(docs.where(fold_of("doc_id", 3) != 1), load(spark, sf_dir, "labels"))
+    return (toxicity.score(docs, lexicon)
+            .select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "score",
+                    F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+                    F.size("passages").alias("n_passages")))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(load(spark, sf_dir, "documents"), shingle=4, max_bits=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -46,7 +55,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(load(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_secret_scan, op5_simhash_dedup, op7_mix_sources, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_secret_scan, op4_toxicity, op5_simhash_dedup, op7_mix_sources, op10_chat_format)}
 
 ORACLES: dict[str, str] = {
     # whole prefixes instead of hashes: a signature is the list of md5s of the turns so far

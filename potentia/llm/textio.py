@@ -79,3 +79,33 @@ def word_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def count_words(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Words per row."""
     return np.diff(np.searchsorted(word_starts(raw, offsets), offsets)).astype(np.int64)
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BYTE = np.random.default_rng(2024).integers(0, (1 << 64) - 1, 256, dtype=np.uint64, endpoint=True)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit finaliser: every input bit reaches every output bit."""
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash of each word with A-Z lowered, words per row) of a text buffer."""
+    start = word_starts(raw, offsets)
+    per_row = np.diff(np.searchsorted(start, offsets)).astype(np.int64)
+    if not len(start):
+        return np.zeros(0, np.uint64), per_row
+    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
+    at = np.flatnonzero((raw != 0x20) & ((raw < 0x09) | (raw > 0x0D)))
+    first = np.searchsorted(at, start)
+    size = np.diff(np.append(first, len(at)))
+    inside = np.arange(len(at)) - np.repeat(first, size)
+    power = np.ones(int(size.max()), np.uint64)
+    power[1:] = _BASE
+    power = np.cumprod(power, dtype=np.uint64)
+    return mixed(np.add.reduceat(_BYTE[low[at]] * power[inside], first)), per_row
