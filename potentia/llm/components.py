@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,19 @@ def connected_components(edges: DataFrame) -> DataFrame:
     # stars now: every edge leads to its component's smallest node
     return (now.select(F.col("u").alias("node"), F.col("v").alias("component"))
             .unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+
+
+def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Union the pairs (a, b) in the flat parent array ``root`` (root[x] <= x)."""
+    while len(a):
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        if not len(a):
+            return
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root[:] = up

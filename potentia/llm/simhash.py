@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from potentia.llm.components import connected_components
+from potentia.llm.components import connected_components, unite
 from potentia.llm.textio import per_slice, stage
 
 _LEAF_PAIRS = 1 << 17
@@ -94,22 +94,6 @@ def _routes(fp: np.ndarray, tree: _Tree, levels: int, radius: int) -> tuple[np.n
     return row, shard, home
 
 
-def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Union the pairs (a, b) in the flat parent array ``root`` (root[x] <= x)."""
-    while len(a):
-        ra, rb = root[a], root[b]
-        apart = ra != rb
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        if not len(a):
-            return
-        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-        while True:
-            up = root[root]
-            if np.array_equal(up, root):
-                break
-            root[:] = up
-
-
 def _search(fp: np.ndarray, home: np.ndarray, tree: _Tree, level: int, radius: int, max_bits: int) -> np.ndarray:
     """Flat parents over ``fp`` after uniting every pair (home, any) within ``max_bits``."""
     root = np.arange(len(fp))
@@ -123,7 +107,7 @@ def _search(fp: np.ndarray, home: np.ndarray, tree: _Tree, level: int, radius: i
             for k in range(0, len(own), step):
                 some = own[k:k + step]
                 i, j = np.nonzero(np.bitwise_count(fp[some][:, None] ^ fp[near][None, :]) <= max_bits)
-                _unite(root, some[i], near[j])
+                unite(root, some[i], near[j])
             continue
         d_own, d_near = tree.distance(fp[own], at), tree.distance(fp[near], at)
         todo.append((own[d_own <= tree.inner], near[d_near <= tree.inner + radius], at + 1))
