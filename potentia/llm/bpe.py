@@ -245,8 +245,9 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, bytes binary")
 
 
-def round_trip_digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of their decoding."""
+def round_trip_digests(encoded: DataFrame, ranks: dict[bytes, int], with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of their decoding;
+    ``with_ids`` adds the ids."""
     from hashlib import sha256
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
     src = encoded.select("doc_id", "ids")
@@ -256,10 +257,11 @@ def round_trip_digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame
         for piece in _few(batches, "ids"):
             column = piece.column("ids")
             rows = column.to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()),
-                 pa.array([sha256(b" ".join(map(spelled.__getitem__, r))).hexdigest() for r in rows], pa.string()),
-                 pa.array([sha256(b).hexdigest() for b in decode_lists(column)], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, "
-                               "ids_sha256 string, decoded_sha256 string")
+            out = [piece.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()),
+                   pa.array([sha256(b" ".join(map(spelled.__getitem__, r))).hexdigest() for r in rows], pa.string()),
+                   pa.array([sha256(x).hexdigest() for x in decode_lists(column)], pa.string())]
+            yield pa.RecordBatch.from_arrays([*out, column] if with_ids else out, names)
+    kind = src.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if with_ids else [])
+    return src.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+                               + (", ids array<int>" if with_ids else ""))

@@ -37,16 +37,16 @@ WEIGHTS = (3.0, 1.0, 2.0)
 _TINY = 1e-9
 
 
-def word_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): words of the text, split at space and \\t to \\r."""
-    src = docs.select("doc_id", "source", "text")
+def word_sizes(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, source and size: words of the text, split at space and \\t to \\r."""
+    src = docs.select(*keep, "source", "text")
 
     def one(piece):
         size = count_words(*utf8_buffer(piece.column("text")))
-        return pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("source"), pa.array(size)],
-                                          ["doc_id", "source", "size"])
-    return src.mapInArrow(per_slice(one), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, "
-                                          f"source {src.schema['source'].dataType.simpleString()}, size long")
+        return pa.RecordBatch.from_arrays([*[piece.column(c) for c in (*keep, "source")], pa.array(size)],
+                                          [*keep, "source", "size"])
+    kinds = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in (*keep, "source"))
+    return src.mapInArrow(per_slice(one), f"{kinds}, size long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5,
@@ -100,9 +100,10 @@ def _pivot(size: np.ndarray, p: np.ndarray, draw: np.ndarray) -> np.ndarray:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0,
-        seed: int = 17, fan: int = 4096) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row of ``docs``."""
-    sizes = stage(word_sizes(docs), "mix-sizes")
+        seed: int = 17, fan: int = 4096, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns, source, size, source_size, target, copies and taken for every row of
+    ``docs``; the draws depend on the ``keep`` columns and the size."""
+    sizes = stage(word_sizes(docs, keep), "mix-sizes")
     sources = source_targets(sizes, weights, share, cap)
     largest = sources.agg(F.max("n_docs").alias("n")).first()["n"] or 0
     s = sources.select(F.col("source").alias("_source"), "source_no", "source_size", "target")
@@ -111,10 +112,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
             .withColumn("_want", F.when(F.col("size") > 0, want).otherwise(F.lit(0.0)))
             .withColumn("_whole", F.floor(F.col("_want") + F.lit(_TINY)))
             .withColumn("_p", F.greatest(F.col("_want") - F.col("_whole"), F.lit(0.0)))
-            .withColumn("_draw", uniform(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "size"),
-                                         seed)))
+            .withColumn("_draw", uniform(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keep],
+                                                     "size"), seed)))
     # the draw comes first in the order, so that groups mix large and small documents
-    rows = rank_in_groups(rows, ["_draw", "doc_id", "size"], ["source_no"], rank_col="_rank", size_col="_n").drop("_n")
+    rows = rank_in_groups(rows, ["_draw", *keep, "size"], ["source_no"], rank_col="_rank", size_col="_n").drop("_n")
     kinds = rows.schema
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -138,5 +139,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     for d in done[1:]:
         out = out.unionByName(d)
     copies = (F.col("_whole") + F.col("_p")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"),
+    return out.select(*keep, "source", "size", "source_size", F.col("target").cast("double").alias("target"),
                       copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+
+
+def mixed_corpus(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, columns unchanged, each as often as the mix takes it."""
+    named = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    # rows that are equal as a whole are drawn one by one and expanded together
+    copies = (mix(named, keep=("doc_id", "__row"), **options).groupBy("doc_id", "__row").agg(F.sum("copies").alias("__copies"))
+              .where("__copies > 0").withColumnRenamed("doc_id", "__id").withColumnRenamed("__row", "__key"))
+    rows = (named.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__key")))
+            .dropDuplicates(["doc_id", "__row"]))
+    return (rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
+            .select(*[F.col(f"`{c}`") for c in docs.columns]))
