@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from potentia.llm import bpe, chat, knlm, langid, mixing, secrets, simhash, toxicity
+from potentia.llm import ann, bpe, capdedup, chat, knlm, langid, mixing, secrets, simhash, toxicity
 from potentia.llm.textio import fold_of
 from potentia.sources.tables import load
 
@@ -59,11 +59,20 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capdedup.near_duplicates(load(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(load(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_secret_scan, op4_toxicity, op5_simhash_dedup, op6_lm_score, op7_mix_sources, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_secret_scan, op4_toxicity, op5_simhash_dedup, op6_lm_score, op7_mix_sources,
+                                    op8_nearest_neighbours, op9_embedding_dedup, op10_chat_format)}
 
 ORACLES: dict[str, str] = {
     # whole prefixes instead of hashes: a signature is the list of md5s of the turns so far
