@@ -143,42 +143,50 @@ def infer(texts: list[str | None], model: np.ndarray, rounds: int = 12, tol: flo
     return rows, pi, size
 
 
-def predict(docs: DataFrame, languages: list[str], model: np.ndarray, keep: tuple[str, ...] = ("doc_id",),
-            smooth: float = 0.25) -> DataFrame:
-    """``keep`` columns, ``lang_pred``, ``score`` (smoothed share of the words in that language)
-    and ``n_langs`` (size of the chosen language set). Reads the text alone."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    names = [*dict.fromkeys([*keep, "text"])]
+def _identify(texts: list[str | None], languages: list[str], model: np.ndarray, smooth: float):
+    """(language, score, size of the language set) of each text."""
+    pred, score, sets = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int32)
+    rows, pi, size = infer(texts, model)
+    if len(rows):
+        top = pi.argmax(axis=1)
+        share = np.minimum((pi.max(axis=1) * size + smooth) / (size + smooth * len(languages)), 1.0)
+        for i, r in enumerate(rows.tolist()):
+            if _LETTER.search(texts[r]):
+                pred[r], score[r], sets[r] = languages[top[i]], share[i], (pi[i] > 0).sum()
+    return pred, score, sets
+
+
+def predict(docs: DataFrame, languages: list[str], model: np.ndarray, smooth: float = 0.25) -> DataFrame:
+    """(doc_id, lang_pred, score, n_langs): the language, the smoothed share of the words in it and
+    the size of the chosen language set. Reads the text alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    src = docs.select("doc_id", "text")
 
     def run(batches):
         table = shared.value
 
         def one(piece):
-            texts = piece.column("text").to_pylist()
-            pred, score, sets = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int32)
-            rows, pi, size = infer(texts, table)
-            if len(rows):
-                top = pi.argmax(axis=1)
-                share = (pi.max(axis=1) * size + smooth) / (size + smooth * len(languages))
-                for i, r in enumerate(rows.tolist()):
-                    if _LETTER.search(texts[r]):
-                        pred[r], score[r], sets[r] = languages[top[i]], min(1.0, share[i]), (pi[i] > 0).sum()
-            return pa.RecordBatch.from_arrays([*[piece.column(c) for c in keep], pa.array(pred, pa.string()),
-                                               pa.array(score), pa.array(sets)],
-                                              [*keep, "lang_pred", "score", "n_langs"])
+            pred, score, sets = _identify(piece.column("text").to_pylist(), languages, table, smooth)
+            return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), pa.array(sets)],
+                                              ["doc_id", "lang_pred", "score", "n_langs"])
         yield from per_slice(one)(batches)
 
-    src = docs.select(*names)
-    kinds = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
-    return src.mapInArrow(run, f"{kinds}, lang_pred string, score double, n_langs int")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_langs int")
 
 
-def keep_identified(docs: DataFrame, training: Column, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, training: Column, least: float = 0.5, smooth: float = 0.25) -> DataFrame:
     """Rows whose language is identified with a share of at least ``least``; columns unchanged.
 
     ``training`` says which rows teach the model."""
     languages, model = train(docs.where(training))
-    names = tuple(docs.columns)
-    out = predict(docs.select(*[F.col(f"`{c}`") for c in names]), languages, model, keep=names)
-    return out.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select(*names)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        table = shared.value
+
+        def one(piece):
+            pred, score, _ = _identify(piece.column("text").to_pylist(), languages, table, smooth)
+            return piece.filter(pa.array([p != UND and s >= least for p, s in zip(pred, score.tolist())], pa.bool_()))
+        yield from per_slice(one)(batches)
+
+    return docs.mapInArrow(run, docs.schema)

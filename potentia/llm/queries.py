@@ -15,7 +15,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     fold = fold_of("doc_id", 3)
     languages, model = langid.train(docs.where(fold != 1))
-    return (langid.predict(docs.select("doc_id", "text"), languages, model)
+    return (langid.predict(docs, languages, model)
             .select("doc_id", (fold_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "n_langs"))
 
 
