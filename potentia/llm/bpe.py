@@ -256,9 +256,11 @@ def round_trip_digests(encoded: DataFrame, ranks: dict[bytes, int], with_ids: bo
         decode_lists, spelled = _decoder(shared.value), [b"%d" % i for i in range(max(shared.value.values()) + 1)]
         for piece in _few(batches, "ids"):
             column = piece.column("ids")
-            rows = column.to_pylist()
-            out = [piece.column("doc_id"), pa.array([len(r) for r in rows], pa.int64()),
-                   pa.array([sha256(b" ".join(map(spelled.__getitem__, r))).hexdigest() for r in rows], pa.string()),
+            sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes))
+            lines = (b" ".join(map(spelled.__getitem__, flat[a:b].tolist())) for a, b in zip(ends[:-1], ends[1:]))
+            out = [piece.column("doc_id"), pa.array(sizes.astype(np.int64)),
+                   pa.array([sha256(x).hexdigest() for x in lines], pa.string()),
                    pa.array([sha256(x).hexdigest() for x in decode_lists(column)], pa.string())]
             yield pa.RecordBatch.from_arrays([*out, column] if with_ids else out, names)
     kind = src.schema["doc_id"].dataType.simpleString()
