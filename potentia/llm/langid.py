@@ -174,7 +174,7 @@ def predict(docs: DataFrame, languages: list[str], model: np.ndarray, smooth: fl
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_langs int")
 
 
-def keep_identified(docs: DataFrame, training: Column, least: float = 0.5, smooth: float = 0.25) -> DataFrame:
+def keep_identified(docs: DataFrame, training: Column, least: float = 0.34, smooth: float = 0.25) -> DataFrame:
     """Rows whose language is identified with a share of at least ``least``; columns unchanged.
 
     ``training`` says which rows teach the model."""
