@@ -15,8 +15,11 @@ def explicit(spark, rows: list[tuple[int, int, float]]) -> DataFrame:
 
 
 def add(landmarks: DataFrame, more: DataFrame) -> DataFrame:
-    """L1 addLandmarks: union (later rows for the same node replace nothing; both kept distinct)."""
-    return landmarks.unionByName(more).dropDuplicates(["problem_id", "id"])
+    """L1 addLandmarks: union; a node that ``more`` names again in a problem takes its new voltage (the
+    highest, should ``more`` itself name it twice)."""
+    cols = landmarks.columns
+    new = more.groupBy("problem_id", "id").agg(*[F.max(c).alias(c) for c in cols if c not in ("problem_id", "id")])
+    return landmarks.join(new.select("problem_id", "id"), ["problem_id", "id"], "left_anti").select(*cols).unionByName(new.select(*cols))
 
 
 def closest_to(pts: DataFrame, target: list[float], problem_id: int = 0, voltage: float = 1.0,

@@ -3,19 +3,34 @@
 A *problem* is one set of fixed voltages (``landmarks(problem_id, id, voltage)``) on a shared
 graph; every node is also tied to the ground (0 V) through conductance ``g``. Free node i obeys
 
-    (deg_i + g_i) v_i - sum_j w_ij v_j = 0       (landmark nodes keep their voltage)
+    (deg_i + g_i) v_i - sum_j w_ij v_j = b_i     (landmark nodes keep their voltage)
 
-All problems advance together: one edge join and one grouped sum per sweep, so adding
-landmarks adds rows, not jobs. Lineage is cut with reliable checkpoints.
+with ``b`` the optional source terms (0 by default). All problems advance together: one edge join
+and one grouped sum per sweep, so adding landmarks adds rows, not jobs. Edges stay partitioned by
+``dst`` and the state by ``id`` (:class:`_Sweeper`), which leaves one exchange a sweep: the
+contributions. Lineage is cut with a reliable checkpoint every few sweeps.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from potentia.operators.graph import Graph
-from potentia.session import checkpoint_with_sums, cut_lineage
+from potentia.session import checkpoint_dir, cut_lineage
+
+#: Sweeps between two checkpoints. A sweep reads the state twice, so the logical plan doubles with
+#: each sweep until a checkpoint cuts it.
+CHECKPOINT_EVERY = 4
+
+
+class NotConverged(RuntimeError):
+    """A solve ended before its tolerance; ``residuals`` has the relative residual by problem."""
+
+    def __init__(self, residuals: dict[int, float], rounds: int):
+        super().__init__(f"{len(residuals)} problems did not converge in {rounds} rounds: {residuals}")
+        self.residuals = residuals
 
 
 def _problem_ids(landmarks: DataFrame) -> list[int]:
@@ -35,11 +50,71 @@ def _edge_keys(edges: DataFrame) -> list[str]:
     return ["dst", "problem_id"] if "problem_id" in edges.columns else ["dst"]
 
 
-def _literal_map(values: dict[int, float]):
-    items = []
-    for k, v in values.items():
-        items += [F.lit(int(k)), F.lit(float(v))]
-    return F.create_map(*items)
+class _Sweeper:
+    """Edges and state kept in one partitioning over the sweeps of a solve.
+
+    Both sides of the edge join are cached by the node that joins, the sums are grouped where the
+    state lies (a union of equally partitioned frames keeps their partitioning), so a sweep
+    moves the contributions alone. ``advance`` runs one job: it caches the new state, reduces it
+    per problem and releases the old one."""
+
+    def __init__(self, graph: Graph, pids: list[int]):
+        self.spark = graph.edges.sparkSession
+        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.keys = _edge_keys(graph.edges)
+        self.home = ["id", *self.keys[1:]]
+        self.place = {p: i for i, p in enumerate(pids)}
+        self.edges = self._keep(graph.edges.select("src", *self.keys, "w").repartition(self.parts, *self.keys))
+        self.edges.count()
+        self.held: list[DataFrame] = [self.edges]
+        self.state: DataFrame | None = None
+        self.sweeps = 0
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def start(self, state: DataFrame) -> None:
+        self.state = self._keep(state.repartition(self.parts, *self.home))
+
+    def per_problem(self, values: dict[int, float]) -> Column:
+        """A number looked up by problem: an array literal indexed by the problem's place."""
+        array = F.array(*[F.lit(float(values.get(p, 0.0))) for p in self.place])
+        return F.get(array, F.col("_q"))
+
+    def gather(self, state: DataFrame, col: str, active: list[int]) -> DataFrame:
+        """``state`` plus ``_wv = sum_j w_ij col_j`` for the active problems (0 for the others)."""
+        columns = [c for c in state.columns if c not in ("problem_id", "id")]
+        moving = state if len(active) == len(self.place) else state.where(
+            F.get(F.array(*[F.lit(p in set(active)) for p in self.place]), F.col("_q")))
+        contributions = (self.edges.join(moving.select("problem_id", F.col("id").alias("dst"), col).hint("shuffle_hash"), self.keys)
+                         .select("problem_id", F.col("src").alias("id"), (F.col("w") * F.col(col)).alias("_c"))
+                         .repartition(self.parts, *self.home))
+        own = state.select("problem_id", "id", F.lit(0.0).alias("_c"), F.lit(True).alias("_own"), *columns)
+        # a node's own row is the only one with state columns: max takes them along, by hash aggregation
+        summed = own.unionByName(contributions, allowMissingColumns=True).groupBy("problem_id", "id").agg(
+            F.sum("_c").alias("_wv"), F.max("_own").alias("_own"), *[F.max(c).alias(c) for c in columns])
+        return summed.where("_own").drop("_own")
+
+    def advance(self, state: DataFrame, sums: dict[str, Column]) -> dict[int, dict[str, float]]:
+        """Take ``state`` as the new state; per problem the sums of the given expressions."""
+        old, self.sweeps = self.state, self.sweeps + 1
+        self.state = self._keep(state)
+        rows = self.state.groupBy("problem_id").agg(*[F.sum(e).alias(n) for n, e in sums.items()]).collect()
+        if old is not None:
+            old.unpersist(blocking=False)
+        if self.sweeps % CHECKPOINT_EVERY == 0:
+            checkpoint_dir(self.spark)
+            cut = self.state.checkpoint(eager=True)  # written from the cache; keeps the partitioning
+            self.state.unpersist(blocking=False)
+            self.state = cut
+        return {r["problem_id"]: {n: r[n] or 0.0 for n in sums} for r in rows}
+
+    def finish(self, out: DataFrame) -> DataFrame:
+        """Write the result once and release what the solve held."""
+        out = cut_lineage(out)
+        for df in [*self.held, self.state]:
+            df.unpersist(blocking=False)
+        return out
 
 
 def jacobi(graph: Graph, landmarks: DataFrame, *, max_iters: int = 10, tol: float | None = None,
@@ -48,150 +123,134 @@ def jacobi(graph: Graph, landmarks: DataFrame, *, max_iters: int = 10, tol: floa
 
     Each problem stops at ``max_iters``, when its step norm falls to ``tol``, or (as the
     original loop does) right after a sweep whose step norm did not shrink (that sweep is kept).
-    Returns ``problem_id, id, v`` for every node and problem.
+    This is the truncated iteration: after t sweeps a node more than t hops from every landmark
+    still has exactly 0 V (:func:`unreached` names such nodes); use :func:`conjugate_gradient`
+    for the solution. Returns ``problem_id, id, v`` for every node and problem.
     """
     pids = _problem_ids(landmarks)
+    sweeper = _Sweeper(graph, pids)
     fixed = landmarks.select("problem_id", "id", F.col("voltage").alias("fixed"))
     pk = ["problem_id"] if "problem_id" in graph.nodes.columns else []
     base = (_per_problem(graph.nodes.select(*pk, "id", (F.lit(1.0) / (F.col("deg") + F.col("g"))).alias("inv")), pids)
             .join(fixed, ["problem_id", "id"], "left"))
-    state = base.select("problem_id", "id", "inv", "fixed", F.coalesce("fixed", F.lit(0.0)).alias("v"))
-    state = cut_lineage(state)
-    keys = _edge_keys(graph.edges)
-    edges = graph.edges.select("src", *keys, "w")
+    sweeper.start(base.select("problem_id", "id", _place(pids), "inv", "fixed", F.coalesce("fixed", F.lit(0.0)).alias("v")))
     # step norm before the first sweep: |v0 - 0| (as the original loop initialises it)
-    prev = {r["problem_id"]: r["s"] for r in
-            state.groupBy("problem_id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("s")).collect()}
+    prev = {r["problem_id"]: r["s"] for r in sweeper.state.groupBy("problem_id")
+            .agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("s")).collect()}
     active = list(pids)
-    done: list[DataFrame] = []
-    for it in range(1, max_iters + 1):
+    for _ in range(max_iters):
         if not active:
             break
-        cur = state.where(F.col("problem_id").isin(active)) if len(active) < len(pids) else state
-        nxt = (_gather(cur, edges, keys, "v")
-               .select("problem_id", "id", "inv", "fixed",
-                       F.coalesce("fixed", F.col("_wv") * F.col("inv")).alias("v"),
-                       F.col("v").alias("v_old")))
-        nxt, sums = checkpoint_with_sums(nxt, active, {"ss": (F.col("v") - F.col("v_old")) * (F.col("v") - F.col("v_old"))})
-        steps = {p: sums[p]["ss"] ** 0.5 for p in active}
-        state = nxt.drop("v_old")
+        moving = F.get(F.array(*[F.lit(p in set(active)) for p in pids]), F.col("_q"))
+        nxt = sweeper.gather(sweeper.state, "v", active).select(
+            "problem_id", "id", "_q", "inv", "fixed", F.col("v").alias("_old"),
+            F.when(moving, F.coalesce("fixed", F.col("_wv") * F.col("inv"))).otherwise(F.col("v")).alias("v"))
+        got = sweeper.advance(nxt.select("problem_id", "id", "_q", "inv", "fixed", "v",
+                                         (F.col("v") - F.col("_old")).alias("_step")),
+                              {"ss": F.col("_step") * F.col("_step")})
+        sweeper.state = sweeper.state.select("problem_id", "id", "_q", "inv", "fixed", "v")
         still = []
         for p in active:
-            step = steps.get(p, 0.0)
+            step = got.get(p, {"ss": 0.0})["ss"] ** 0.5
             stop = (tol is not None and step <= tol) or (stop_when_growing and step >= prev.get(p, float("inf")))
             prev[p] = step
             if not stop:
                 still.append(p)
-        if len(still) < len(active):
-            froze = [p for p in active if p not in still]
-            done.append(state.where(F.col("problem_id").isin(froze)).select("problem_id", "id", "v"))
-            state = state.where(F.col("problem_id").isin(still))
         active = still
-    parts = done + [state.select("problem_id", "id", "v")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _gather(st: DataFrame, edges: DataFrame, keys: list[str], col: str) -> DataFrame:
-    """``st`` plus ``_wv = sum_j w_ij col_j`` in ONE shuffle: every node's own row joins the
-    edge contributions in a single grouped aggregation (state columns ride along via
-    ``first(ignorenulls)``) instead of an aggregate followed by a join back."""
-    state_cols = [c for c in st.columns if c not in ("problem_id", "id")]
-    contrib = (edges.join(st.select("problem_id", F.col("id").alias("dst"), col), keys)
-               .select("problem_id", F.col("src").alias("id"), (F.col("w") * F.col(col)).alias("_c")))
-    own = st.select("problem_id", "id", *state_cols, F.lit(0.0).alias("_c"), F.lit(True).alias("_own"))
-    u = own.unionByName(contrib, allowMissingColumns=True)
-    agg = u.groupBy("problem_id", "id").agg(
-        F.sum("_c").alias("_wv"), F.max("_own").alias("_own"),
-        *[F.first(c, ignorenulls=True).alias(c) for c in state_cols])
-    return agg.where(F.col("_own")).drop("_own")
-
-
-def _matvec_into(st: DataFrame, edges: DataFrame, keys: list[str], col: str, out: str) -> DataFrame:
-    """Add ``out = (A col)`` where ``A = diag - W`` restricted to the rows present in ``st``."""
-    g = _gather(st, edges, keys, col)
-    return g.withColumn(out, F.col("diag") * F.col(col) - F.col("_wv")).drop("_wv")
-
-
-def conjugate_gradient(graph: Graph, landmarks: DataFrame, *, tol: float = 1e-12, max_iters: int = 500) -> DataFrame:
+    return sweeper.finish(sweeper.state.select("problem_id", "id", "v"))
+
+
+def unreached(voltages: DataFrame) -> DataFrame:
+    """``id`` of the nodes that are at exactly 0 V in every problem: no landmark's current has
+    arrived there (too few sweeps, or another component of the graph)."""
+    return voltages.groupBy("id").agg(F.max(F.abs(F.col("v"))).alias("_m")).where(F.col("_m") == 0).select("id")
+
+
+def _place(pids: list[int]) -> Column:
+    """The problem's place in ``pids`` as a column, by an array position."""
+    return (F.array_position(F.array(*[F.lit(int(p)) for p in pids]), F.col("problem_id").cast("int")) - 1).cast("int").alias("_q")
+
+
+def conjugate_gradient(graph: Graph, landmarks: DataFrame, *, tol: float = 1e-12, max_iters: int | None = None,
+                       sources: DataFrame | None = None, partial: bool = False) -> DataFrame:
     """V1: exact voltages by Jacobi-preconditioned conjugate gradient on the SPD system
 
-        (deg_i + g_i) v_i - sum_{j free} w_ij v_j = sum_{c fixed} w_ic v_c      (i free)
+        (deg_i + g_i) v_i - sum_{j free} w_ij v_j = sum_{c fixed} w_ic v_c + b_i     (i free)
 
-    Unknowns are the free nodes only (landmarks never enter the Krylov space). The
-    single-reduction (Chronopoulos-Gear) form is used: per round one edge join + grouped sum
-    for ``A u`` and one per-problem reduction of (r.u, Au.u, r.r), i.e. one Spark job per round.
-    alpha/beta return to the executors as a literal map keyed by ``problem_id``; problems
-    converge (relative residual <= tol) and freeze independently.
+    ``sources(problem_id, id, b)`` gives the optional terms b. Unknowns are the free nodes only
+    (landmarks never enter the Krylov space). The single-reduction (Chronopoulos-Gear) form is
+    used: a round is one job with one edge join, one exchange of its contributions, one
+    per-problem reduction of (r.u, Au.u, r.r). Problems converge (relative residual <= ``tol``)
+    and freeze independently. A problem whose residual has not improved for a hundred rounds, that
+    breaks down, or that reaches ``max_iters`` (default: no limit) raises :class:`NotConverged`,
+    unless ``partial`` asks for the last iterate.
     Returns ``problem_id, id, v`` for every node and problem.
     """
-    pids = _problem_ids(landmarks)
+    pids = sorted({*_problem_ids(landmarks), *(_problem_ids(sources) if sources is not None else [])})
+    sweeper = _Sweeper(graph, pids)
     fixed = landmarks.select("problem_id", "id", F.col("voltage").alias("fixed"))
-    keys = _edge_keys(graph.edges)
-    edges = graph.edges.select("src", *keys, "w")
     pk = ["problem_id"] if "problem_id" in graph.nodes.columns else []
     free = (_per_problem(graph.nodes.select(*pk, "id", (F.col("deg") + F.col("g")).alias("diag")), pids)
             .join(fixed.select("problem_id", "id"), ["problem_id", "id"], "left_anti"))
-    b = (edges.join(fixed.select("problem_id", F.col("id").alias("dst"), "fixed"), keys)
-         .groupBy("problem_id", F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("fixed")).alias("b")))
-    st = (free.join(b, ["problem_id", "id"], "left")
-          .select("problem_id", "id", "diag", F.lit(0.0).alias("x"), F.coalesce("b", F.lit(0.0)).alias("r"),
-                  F.lit(0.0).alias("p"), F.lit(0.0).alias("s")))
-    st = st.withColumn("u", F.col("r") / F.col("diag"))
+    b = (sweeper.edges.join(fixed.select("problem_id", F.col("id").alias("dst"), "fixed"), sweeper.keys)
+         .select("problem_id", F.col("src").alias("id"), (F.col("w") * F.col("fixed")).alias("b")))
+    if sources is not None:
+        b = b.unionByName(sources.select("problem_id", "id", "b"))
+    b = b.groupBy("problem_id", "id").agg(F.sum("b").alias("b"))
+    zero = F.lit(0.0)
+    # a node without any conductance is at 0 V: it has no current and stays out of the products
+    sweeper.start(free.join(b, ["problem_id", "id"], "left").select(
+        "problem_id", "id", _place(pids), F.when(F.col("diag") > 0, F.col("diag")).otherwise(F.lit(1.0)).alias("diag"),
+        zero.alias("x"), F.coalesce("b", zero).alias("r"), zero.alias("p"), zero.alias("s"))
+        .withColumn("u", F.col("r") / F.col("diag")))
     sums = {"gamma": F.col("r") * F.col("u"), "delta": F.col("w") * F.col("u"), "rr": F.col("r") * F.col("r")}
-
-    def step(df, ids):
-        out, got = checkpoint_with_sums(df, ids, sums)
-        return out, {p: (got[p]["gamma"], got[p]["delta"], got[p]["rr"]) for p in ids}
-
-    st, red = step(_matvec_into(st, edges, keys, "u", "w"), pids)
-    bnorm = {p: red.get(p, (0.0, 0.0, 0.0))[2] ** 0.5 for p in pids}
-    active = [p for p in pids if bnorm[p] > 0 and red.get(p, (0, 0, 0))[1] > 0]
-    done: list[DataFrame] = []
-    if len(active) < len(pids):
-        done.append(st.where(~F.col("problem_id").isin(active)).select("problem_id", "id", "x"))
-        st = st.where(F.col("problem_id").isin(active))
-    gamma = {p: red[p][0] for p in active}
-    alpha = {p: red[p][0] / red[p][1] for p in active}
-    beta = {p: 0.0 for p in active}
-    it = 0
-    while active and it < max_iters:
-        it += 1
-        a = _literal_map(alpha)[F.col("problem_id")]
-        bb = _literal_map(beta)[F.col("problem_id")]
-        p_new = F.col("u") + bb * F.col("p")
-        s_new = F.col("w") + bb * F.col("s")
-        nxt = st.select("problem_id", "id", "diag", p_new.alias("p"), s_new.alias("s"), "x", "r")
-        nxt = nxt.select("problem_id", "id", "diag", "p", "s", (F.col("x") + a * F.col("p")).alias("x"),
-                         (F.col("r") - a * F.col("s")).alias("r"))
-        nxt = nxt.withColumn("u", F.col("r") / F.col("diag"))
-        st, red = step(_matvec_into(nxt, edges, keys, "u", "w"), active)
+    columns = ["problem_id", "id", "_q", "diag", "x", "r", "p", "s", "u"]
+
+    def product(state: DataFrame, active: list[int]) -> DataFrame:
+        return sweeper.gather(state, "u", active).select(*columns, (F.col("diag") * F.col("u") - F.col("_wv")).alias("w"))
+
+    got = sweeper.advance(product(sweeper.state, pids), sums)
+    none = {"gamma": 0.0, "delta": 0.0, "rr": 0.0}
+    norm = {p: got.get(p, none)["rr"] ** 0.5 for p in pids}
+    active = [p for p in pids if norm[p] > 0]
+    gamma = {p: got[p]["gamma"] for p in active}
+    alpha = {p: got[p]["gamma"] / got[p]["delta"] for p in active if got[p]["delta"] > 0}
+    beta = dict.fromkeys(active, 0.0)
+    residual = dict.fromkeys(active, 1.0)
+    failed = {p: 1.0 for p in active if p not in alpha}
+    active = [p for p in active if p in alpha]
+    best = {p: (1.0, 0) for p in active}
+    rounds = 0
+    while active and (max_iters is None or rounds < max_iters):
+        rounds += 1
+        # a frozen problem has a step of 0 and keeps its x and r
+        a, c = sweeper.per_problem({p: alpha[p] for p in active}), sweeper.per_problem({p: beta[p] for p in active})
+        nxt = sweeper.state.select("problem_id", "id", "_q", "diag", "x", "r", (F.col("u") + c * F.col("p")).alias("p"),
+                                   (F.col("w") + c * F.col("s")).alias("s"))
+        nxt = (nxt.withColumn("x", F.col("x") + a * F.col("p")).withColumn("r", F.col("r") - a * F.col("s"))
+               .withColumn("u", F.col("r") / F.col("diag")))
+        got = sweeper.advance(product(nxt.select(*columns), active), sums)
         still = []
         for p in active:
-            g_new, delta, rr = red.get(p, (0.0, 0.0, 0.0))
-            if rr ** 0.5 <= tol * bnorm[p] or g_new == 0:
+            g_new, delta, rr = (got[p][k] for k in ("gamma", "delta", "rr"))
+            residual[p] = rr ** 0.5 / norm[p]
+            if residual[p] <= tol or g_new == 0:
                 continue
+            if residual[p] < best[p][0]:
+                best[p] = (residual[p], rounds)
             b_new = g_new / gamma[p]
             denom = delta - b_new * g_new / alpha[p]
-            if denom == 0:
+            if denom <= 0 or rounds - best[p][1] > 100:
+                failed[p] = residual[p]
                 continue
             beta[p], alpha[p], gamma[p] = b_new, g_new / denom, g_new
             still.append(p)
-        if len(still) < len(active):
-            froze = [p for p in active if p not in still]
-            done.append(st.where(F.col("problem_id").isin(froze)).select("problem_id", "id", "x"))
-            st = st.where(F.col("problem_id").isin(still))
-            alpha = {p: alpha[p] for p in still}
-            beta = {p: beta[p] for p in still}
         active = still
-    if active:  # max_iters reached: keep the last iterate
-        done.append(st.select("problem_id", "id", "x"))
-    out = fixed.select("problem_id", "id", F.col("fixed").alias("v"))
-    for d in done:
-        out = out.unionByName(d.select("problem_id", "id", F.col("x").alias("v")))
-    return out
+    failed |= {p: residual[p] for p in active}
+    if failed and not partial:
+        raise NotConverged(failed, rounds)
+    return sweeper.finish(fixed.select("problem_id", "id", F.col("fixed").alias("v")).unionByName(
+        sweeper.state.select("problem_id", "id", F.col("x").alias("v"))))
 
 
 def solve(graph: Graph, landmarks: DataFrame, method: str = "cg", **kw) -> DataFrame:
@@ -232,30 +291,32 @@ def out_of_sample(assignments: DataFrame, centroid_voltages: DataFrame) -> DataF
 
 
 def local_solve(graph: Graph, landmarks: DataFrame, cells: DataFrame, centroid_voltages: DataFrame,
-                **kw) -> DataFrame:
-    """V5: two-level solve. Points keep only edges inside their own cell; each point is also
-    tied to its cell centroid (whose voltage comes from the coarse solve) through the edge
-    weight it loses at the cell border, so every cell is an independent problem on one graph.
-
-    ``cells(id, centroid_id)`` assigns points to cells; ``centroid_voltages(problem_id, centroid_id, v)``.
+                neighbours: DataFrame, **kw) -> DataFrame:
+    """V5: two-level solve. Every cell is a problem of its own whose boundary is the centres of
+    the adjacent cells, at the voltages of the coarse solve.
+
+    A point keeps its edges inside its cell. An edge into an adjacent cell becomes a tie of the
+    same conductance to that cell's centre: its weight stays in the point's degree and, times the
+    centre's voltage, is a source term. Edges into cells that are not adjacent are left out.
+    ``landmarks`` are held as in the fine problem. Since no edge crosses a border, all cells are
+    solved at once.
+
+    ``cells(id, centroid_id)`` assigns points to cells, ``centroid_voltages(problem_id, centroid_id,
+    v)`` is the coarse solution, ``neighbours(c1, c2)`` the adjacent cells (J13, either order).
     """
-    e = (graph.edges.join(cells.select(F.col("id").alias("src"), F.col("centroid_id").alias("cs")), "src")
-         .join(cells.select(F.col("id").alias("dst"), F.col("centroid_id").alias("cd")), "dst"))
+    c = cells.select("id", "centroid_id")
+    e = (graph.edges.join(c.select(F.col("id").alias("src"), F.col("centroid_id").alias("cs")), "src")
+         .join(c.select(F.col("id").alias("dst"), F.col("centroid_id").alias("cd")), "dst"))
     inner = e.where(F.col("cs") == F.col("cd")).select("src", "dst", "w")
-    border = (e.where(F.col("cs") != F.col("cd")).groupBy(F.col("src").alias("id"))
-              .agg(F.sum("w").alias("bw")))
-    # border conductance goes to the neighbouring cells' centroid voltage: model it as a per-node
-    # source term by attaching a virtual fixed node per (cell) - expressed as extra edges to the
-    # centroid id shifted out of the point id space.
-    off = F.lit(1 << 40)
-    virt = (border.join(cells, "id").select(F.col("id").alias("src"), (F.col("centroid_id") + off).alias("dst"),
-                                           F.col("bw").alias("w")))
-    edges = inner.unionByName(virt).unionByName(virt.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
-    deg = edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg"))
-    g = graph.nodes.select("id", "g").agg(F.first("g")).first()[0]
-    nodes = deg.select("id", "deg", F.lit(float(g)).alias("g"))
-    fixed = (centroid_voltages.select("problem_id", (F.col("centroid_id") + off).alias("id"), F.col("v").alias("voltage"))
-             .unionByName(landmarks.select("problem_id", "id", "voltage")))
-    fixed = fixed.dropDuplicates(["problem_id", "id"])
-    res = conjugate_gradient(Graph(edges, nodes, graph.n, graph.total_w), fixed, **kw)
-    return res.where(F.col("id") < off)
+    adjacent = neighbours.select(F.col("c1").alias("cs"), F.col("c2").alias("cd")).unionByName(
+        neighbours.select(F.col("c2").alias("cs"), F.col("c1").alias("cd"))).distinct()
+    ties = (e.where(F.col("cs") != F.col("cd")).join(adjacent, ["cs", "cd"], "left_semi")
+            .groupBy(F.col("src").alias("id"), F.col("cd").alias("centroid_id")).agg(F.sum("w").alias("bw")))
+    sources = (ties.join(centroid_voltages.select("problem_id", "centroid_id", "v"), "centroid_id")
+               .groupBy("problem_id", "id").agg(F.sum(F.col("bw") * F.col("v")).alias("b")))
+    deg = (inner.select(F.col("src").alias("id"), "w").unionByName(ties.select("id", F.col("bw").alias("w")))
+           .groupBy("id").agg(F.sum("w").alias("deg")))
+    nodes = (graph.nodes.select("id", "g").join(deg, "id", "left")
+             .select("id", F.coalesce("deg", F.lit(0.0)).alias("deg"), "g"))
+    # landmarks may be absent from a problem: every coarse problem is a fine one
+    return conjugate_gradient(Graph(inner, nodes, graph.n, graph.total_w), landmarks, sources=sources, **kw)

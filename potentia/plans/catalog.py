@@ -63,7 +63,7 @@ state AS (
 fin AS (SELECT problem_id, id, v,
           row_number() OVER (PARTITION BY id ORDER BY v DESC, problem_id) AS rk
         FROM state WHERE it = 10)
-SELECT f.id AS vec_id, p.label, l.label AS predicted, round(f.v, 9) AS v_max
+SELECT f.id AS vec_id, p.label, CASE WHEN f.v > 0 THEN l.label END AS predicted, round(f.v, 9) AS v_max, f.v > 0 AS reached
 FROM fin f JOIN lm l ON l.problem_id = f.problem_id JOIN pts p ON p.id = f.id
 WHERE f.rk = 1
 """
@@ -694,11 +694,14 @@ def q_w4(spark, sf):
 
 
 @register("permutation_W5", f"""
-SELECT c_custkey AS id, round({rand.sql_uniform('c_custkey', 99)}, 15) AS sort_key FROM customer
+SELECT c_custkey AS id, row_number() OVER (ORDER BY {rand.sql_uniform('c_custkey', 99)}, c_custkey) - 1 AS position
+FROM customer
 """)
 def q_w5(spark, sf):
+    from potentia.operators.ranking import rank_in_groups
     c = load(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    return c.select("id", F.round(rand.uniform("id", 99), 15).alias("sort_key")).orderBy("sort_key")
+    r = rank_in_groups(c.withColumn("_key", rand.uniform("id", 99)), ["_key", "id"], rank_col="position")
+    return r.select("id", "position")
 
 
 @register("furthest_W6", f"""
@@ -730,11 +733,7 @@ SELECT CAST(floor(event_id / 1000) AS BIGINT) AS batch_no, CAST(count(*) AS BIGI
 """)
 def q_u3(spark, sf):
     ev = load(spark, sf, "events").withColumn("batch_no", F.floor(F.col("event_id") / 1000).cast("long"))
-    parts = [ev.where(F.col("batch_no") == b) for b in range(int(ev.agg(F.max("batch_no")).first()[0]) + 1)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    return ev.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
 @register("set_difference_U4", """
@@ -1061,15 +1060,13 @@ EMB_LINES_KEEP = "vec_id % 11 <> 5 AND vec_id % 7 <> 3"
 
 
 @register("parse_vectors_S1", f"""
-SELECT CAST(vec_id AS VARCHAR) AS label, CAST(len(embedding) AS INTEGER) AS d,
-       round(CAST(embedding[1] AS DOUBLE), 9) AS x0, round(CAST(embedding[64] AS DOUBLE), 9) AS x63
+SELECT CAST(vec_id AS VARCHAR) AS label, list_transform(embedding, lambda v: round(CAST(v AS DOUBLE), 9)) AS x
 FROM embeddings WHERE {EMB_LINES_KEEP}
 """)
 def q_s1(spark, sf):
     from potentia.sources import vectors
     v = vectors.parse_vector_lines(emb_lines(spark, sf))
-    return v.select("label", F.size("x").alias("d"), F.round(F.col("x")[0], 9).alias("x0"),
-                    F.round(F.col("x")[63], 9).alias("x63"))
+    return v.select("label", F.transform("x", lambda c: F.round(c, 9)).alias("x"))
 
 
 @register("fixed_width_S2", f"""
@@ -1081,7 +1078,7 @@ def q_s2(spark, sf):
 
 
 @register("head_buffer_S3_S10", f"""
-SELECT CAST(vec_id AS VARCHAR) AS label FROM embeddings WHERE {EMB_LINES_KEEP} AND vec_id < 100
+SELECT CAST(vec_id AS VARCHAR) AS label FROM embeddings WHERE {EMB_LINES_KEEP} ORDER BY vec_id LIMIT 100
 """)
 def q_s10(spark, sf):
     from potentia.sources import vectors
@@ -1109,6 +1106,111 @@ def _scratch(spark, name):
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}"
 
 
+_EMB_X9 = "list_transform(embedding, lambda v: round(CAST(v AS DOUBLE), 9)) AS x"
+
+
+def _x9(df, *cols):
+    return df.select(*cols, F.transform("x", lambda c: F.round(c, 9)).alias("x"))
+
+
+@register("json_points_K1_K2", f"SELECT vec_id AS id, {_EMB_X9} FROM embeddings")
+def q_k1(spark, sf):
+    from potentia.sources import sinks
+    path = _scratch(spark, "k1") + ".json"
+    sinks.write_points(emb(spark, sf).select("id", "x"), path)
+    return _x9(sinks.read_points(spark, path), "id")
+
+
+@register("csv_points_K2_S8", f"SELECT CAST(label AS VARCHAR) AS label, {_EMB_X9} FROM embeddings")
+def q_s8(spark, sf):
+    from potentia.sources import sinks
+    path = _scratch(spark, "s8") + ".csv"
+    sinks.write_points(emb(spark, sf), path)
+    return _x9(sinks.read_points(spark, path), "label")
+
+
+@register("text_points_K2_S1", f"""
+SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, CAST(vec_id AS VARCHAR) AS label, {_EMB_X9} FROM embeddings
+""")
+def q_k2(spark, sf):
+    """Sorted over several files, so that the line numbers over all of them are the row numbers."""
+    from potentia.sources import sinks
+    path = _scratch(spark, "k2") + ".txt"
+    sinks.write_points(emb(spark, sf).select("id", "x").repartitionByRange(7, "id").sortWithinPartitions("id"), path)
+    return _x9(sinks.read_points(spark, path), "row_id", "label")
+
+
+@register("voltage_files_K4", f"""
+WITH v AS (SELECT vec_id AS id, label AS problem_id, round(CAST(embedding[1] AS DOUBLE), 9) AS v FROM embeddings)
+SELECT problem_id, id, v FROM v
+""")
+def q_k4(spark, sf):
+    from potentia.sources import sinks
+    path = _scratch(spark, "k4")
+    sinks.write_voltages(load(spark, sf, "embeddings").select(F.col("label").alias("problem_id"), F.col("vec_id").alias("id"),
+                                                              F.round(F.col("embedding")[0].cast("double"), 9).alias("v")), path)
+    return spark.read.parquet(path).select("problem_id", "id", "v")
+
+
+@register("shuffled_text_K6", f"""
+WITH l AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id, event_type AS value FROM events)
+SELECT row_number() OVER (ORDER BY {rand.sql_uniform('row_id', 5)}, row_id) - 1 AS row_id, value FROM l
+""")
+def q_k6(spark, sf):
+    """A few distinct lines, often repeated: each line is drawn by its place, so equal lines part."""
+    from potentia.operators.ranking import rank_in_groups
+    from potentia.sources import sinks, vectors
+    path = _scratch(spark, "k6")
+    lines = rank_in_groups(load(spark, sf, "events").select("event_id", F.col("event_type").alias("value")),
+                           ["event_id"], rank_col="row_id")
+    sinks.write_shuffled_text(lines.select("row_id", "value"), path, 5)
+    return vectors.number_lines(spark.read.text(path))
+
+
+_SUPPLIER_X = "[round(s_acctbal, 2), round(s_nationkey * 0.5, 2)]"
+
+
+def _supplier_lines(spark, sf):
+    s = load(spark, sf, "supplier")
+    point = F.format_string("[%s, %s]", F.round("s_acctbal", 2).cast("string"), F.round(F.col("s_nationkey") * 0.5, 2).cast("string"))
+    return s.select("s_suppkey", point.alias("_p")).repartitionByRange(3, "s_suppkey").sortWithinPartitions("s_suppkey")
+
+
+@register("point_lines_S6", f"""
+SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS id, {_SUPPLIER_X} AS x FROM supplier
+""")
+def q_s6(spark, sf):
+    from potentia.sources import vectors
+    path = _scratch(spark, "s6")
+    line = F.concat(F.when(F.col("s_suppkey") % 10 == 0, F.lit("{\n")).otherwise(F.lit("")), "_p", F.lit(","))
+    _supplier_lines(spark, sf).select(line).write.text(path)
+    return vectors.read_point_stream_file(spark, path)
+
+
+@register("bare_array_S7", f"""
+SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS id, {_SUPPLIER_X} AS x FROM supplier
+""")
+def q_s7(spark, sf):
+    from potentia.sources import vectors
+    path = _scratch(spark, "s7")
+    _supplier_lines(spark, sf).select(F.concat(F.lit("["), "_p", F.lit(","))).write.text(path, lineSep=" ")
+    return vectors.read_bare_array_file(spark, path)
+
+
+@register("point_document_S5", f"""
+SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS id, {_SUPPLIER_X} AS x FROM supplier
+""")
+def q_s5(spark, sf):
+    """Part files of one document, its length declared in the last one."""
+    from potentia.sources import vectors
+    path = _scratch(spark, "s5")
+    lines = _supplier_lines(spark, sf)
+    lines.select(F.concat(F.lit('{"data": ['), "_p", F.lit(","))).write.text(path, lineSep=" ")
+    n = load(spark, sf, "supplier").count()
+    spark.createDataFrame([(f'], "length": {n}' + "}",)], "value string").write.mode("append").text(path)
+    return vectors.read_point_file(spark, path)
+
+
 @register("stream_ingest_T1", f"""
 SELECT CAST(vec_id AS VARCHAR) AS label, round(CAST(embedding[1] AS DOUBLE), 9) AS x0
 FROM embeddings WHERE {EMB_LINES_KEEP}
@@ -1269,7 +1371,7 @@ def q_p13(spark, sf):
 
 # ----------------------------------------------------------------------- evaluation (A8, A16, F12, E*)
 @register("accuracy_A8", FLAGSHIP_SQL.replace(
-    "SELECT f.id AS vec_id, p.label, l.label AS predicted, round(f.v, 9) AS v_max",
+    "SELECT f.id AS vec_id, p.label, CASE WHEN f.v > 0 THEN l.label END AS predicted, round(f.v, 9) AS v_max, f.v > 0 AS reached",
     "SELECT round(avg(CASE WHEN p.label = l.label THEN 1.0 ELSE 0.0 END), 9) AS accuracy, "
     "round(1.0 - avg(CASE WHEN p.label = l.label THEN 1.0 ELSE 0.0 END), 9) AS error_rate, "
     "CAST(sum(CASE WHEN p.label = l.label THEN 0 ELSE 1 END) AS BIGINT) AS wrong, CAST(count(*) AS BIGINT) AS n"))
@@ -1282,7 +1384,7 @@ def q_a8(spark, sf):
 
 
 @register("confusion_A8", FLAGSHIP_SQL.replace(
-    "SELECT f.id AS vec_id, p.label, l.label AS predicted, round(f.v, 9) AS v_max",
+    "SELECT f.id AS vec_id, p.label, CASE WHEN f.v > 0 THEN l.label END AS predicted, round(f.v, 9) AS v_max, f.v > 0 AS reached",
     "SELECT p.label, l.label AS predicted, CAST(count(*) AS BIGINT) AS n").replace(
     "WHERE f.rk = 1", "WHERE f.rk = 1 GROUP BY p.label, l.label"))
 def q_a8c(spark, sf):
@@ -1626,15 +1728,18 @@ def q_v4(spark, sf):
 
 
 def _v5_sql() -> str:
-    off = 1 << 40
+    """Cell by cell: inside a cell the fine edges; towards each adjacent cell (the two nearest
+    centres of some point) the lost conductance, fixed at that cell's centre voltage."""
     return f"""
 WITH RECURSIVE {EMB_GRAPH_SQL.strip()},
 gtot AS (SELECT sum(w) AS t FROM edges),
 cents AS (SELECT id AS centroid_id, x FROM pts ORDER BY {rand.sql_uniform('id', 3)}, id LIMIT 10),
-cells AS (SELECT id, centroid_id FROM (
-            SELECT p.id, c.centroid_id,
-                   row_number() OVER (PARTITION BY p.id ORDER BY {S.d2('p.x', 'c.x')}, c.centroid_id) AS r
-            FROM pts p JOIN cents c ON true) WHERE r = 1),
+near AS (SELECT p.id, c.centroid_id,
+                row_number() OVER (PARTITION BY p.id ORDER BY {S.d2('p.x', 'c.x')}, c.centroid_id) AS r
+         FROM pts p JOIN cents c ON true),
+cells AS (SELECT id, centroid_id FROM near WHERE r = 1),
+adj AS (SELECT DISTINCT a.centroid_id AS cs, b.centroid_id AS cd
+        FROM near a JOIN near b ON a.id = b.id AND a.r <= 2 AND b.r <= 2 AND a.centroid_id <> b.centroid_id),
 cpts AS (SELECT centroid_id AS id, x FROM cents),
 ccnt AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM cpts),
 cpairs AS (SELECT a.id AS src, b.id AS dst, {S.d2('a.x', 'b.x')} AS d2 FROM cpts a JOIN cpts b ON a.id <> b.id),
@@ -1649,17 +1754,18 @@ lm AS (SELECT 0 AS problem_id, min(centroid_id) AS id, 1.0::DOUBLE AS voltage FR
 {S.jacobi_state('cedges', 'cnodes', 'lm', 300).strip().replace('state AS (', 'cstate AS (').replace('FROM state s', 'FROM cstate s')},
 e2 AS (SELECT e.src, e.dst, e.w, a.centroid_id AS cs, b.centroid_id AS cd
        FROM edges e JOIN cells a ON a.id = e.src JOIN cells b ON b.id = e.dst),
-border AS (SELECT src AS id, sum(w) AS bw FROM e2 WHERE cs <> cd GROUP BY src),
-virt AS (SELECT b.id AS src, c.centroid_id + {off} AS dst, b.bw AS w FROM border b JOIN cells c ON c.id = b.id),
-fedges AS (SELECT src, dst, w FROM e2 WHERE cs = cd
-           UNION ALL SELECT src, dst, w FROM virt UNION ALL SELECT dst, src, w FROM virt),
-fnodes AS (SELECT d.id, 1.0 / (d.deg + gt.t / (0.01 * cnt.n * cnt.n)) AS inv
-           FROM (SELECT src AS id, sum(w) AS deg FROM fedges GROUP BY src) d, gtot gt, cnt),
-flm AS (SELECT DISTINCT problem_id, id, voltage FROM (
-          SELECT s.problem_id, s.id + {off} AS id, s.v AS voltage FROM cstate s WHERE s.it = 300
-          UNION ALL SELECT problem_id, id, voltage FROM lm)),
-{S.jacobi_state('fedges', 'fnodes', 'flm', 300).strip()}
-SELECT problem_id, id, round(v, 6) AS v FROM state WHERE it = 300 AND id < {off}
+ties AS (SELECT e.src AS id, e.cd, sum(e.w) AS w FROM e2 e JOIN adj ON adj.cs = e.cs AND adj.cd = e.cd GROUP BY e.src, e.cd),
+b AS (SELECT t.id, sum(t.w * s.v) AS b, sum(t.w) AS bw FROM ties t JOIN cstate s ON s.it = 300 AND s.id = t.cd GROUP BY t.id),
+fedges AS (SELECT src, dst, w FROM e2 WHERE cs = cd UNION ALL SELECT id, id, 0.0 FROM pts),
+fnodes AS (SELECT d.id, 1.0 / (d.deg + coalesce(b.bw, 0.0) + gt.t / (0.01 * cnt.n * cnt.n)) AS inv, coalesce(b.b, 0.0) AS b
+           FROM (SELECT src AS id, sum(w) AS deg FROM fedges GROUP BY src) d LEFT JOIN b ON b.id = d.id, gtot gt, cnt),
+state AS (
+  SELECT 0 AS it, n.id, CAST(coalesce(l.voltage, 0.0) AS DOUBLE) AS v FROM fnodes n LEFT JOIN lm l ON l.id = n.id
+  UNION ALL
+  SELECT s.it + 1, e.src, CAST(coalesce(max(l.voltage), (sum(e.w * s.v) + max(n.b)) * max(n.inv)) AS DOUBLE)
+  FROM state s JOIN fedges e ON e.dst = s.id JOIN fnodes n ON n.id = e.src LEFT JOIN lm l ON l.id = e.src
+  WHERE s.it < 400 GROUP BY s.it, e.src)
+SELECT 0 AS problem_id, id, round(v, 6) AS v FROM state WHERE it = 400
 """
 
 
@@ -1675,7 +1781,7 @@ def q_v5(spark, sf):
     first = cents.agg(F.min("centroid_id")).first()[0]
     lms = spark.createDataFrame([(0, int(first), 1.0)], "problem_id int, id long, voltage double")
     cv = V.conjugate_gradient(cg, lms, tol=1e-13).select("problem_id", F.col("id").alias("centroid_id"), "v")
-    v = V.local_solve(g, lms, cells, cv, tol=1e-13)
+    v = V.local_solve(g, lms, cells, cv, N.neighbour_cells(pts, cents), tol=1e-13)
     return v.select("problem_id", "id", F.round("v", 6).alias("v"))
 
 

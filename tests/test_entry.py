@@ -15,7 +15,7 @@ def test_entry_runs(spark):
     df = E.entry(spark)
     rows = df.collect()
     assert len(rows) > 0
-    assert df.columns == ["vec_id", "label", "predicted", "v_max"]
+    assert df.columns == ["vec_id", "label", "predicted", "v_max", "reached"]
     assert all(0.0 <= r["v_max"] <= 1.0 for r in rows)
 
 
