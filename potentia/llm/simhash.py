@@ -151,20 +151,24 @@ def links(fps: DataFrame, max_bits: int = 4, blocks: int = 3, shard_rows: int =
     return rows.groupBy("shard", "part").applyInPandas(meet, "u long, v long")
 
 
-def near_duplicates(marked: DataFrame, max_bits: int = 4, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` columns, ``fp`` and ``group`` (a fingerprint naming the component) per row of
-    ``marked`` (rows with ``fp``, already staged)."""
+def groups(marked: DataFrame, max_bits: int = 4) -> DataFrame:
+    """(fp, group), staged: each distinct fingerprint of ``marked(fp)`` with the fingerprint that names
+    its component."""
     distinct = stage(marked.select("fp").distinct(), "simhash-distinct")
     comp = connected_components(links(distinct, max_bits)).withColumnRenamed("node", "_node")
-    return (marked.join(comp, F.col("fp") == F.col("_node"), "left")
-            .select(*carry, "fp", F.coalesce("component", "fp").alias("group")))
+    named = distinct.join(comp, F.col("fp") == F.col("_node"), "left")
+    return stage(named.select("fp", F.coalesce("component", "fp").alias("group")), "simhash-groups")
 
 
 def classes(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): one row per document, the class named by its smallest doc_id."""
-    grouped = stage(near_duplicates(stage(fingerprints(docs, shingle), "simhash-fp"), max_bits), "simhash-groups")
-    least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return grouped.join(least, "group").select("doc_id", "fp", "component_id")
+    marked = stage(fingerprints(docs, shingle), "simhash-fp")
+    found = groups(marked, max_bits)
+    first = marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(found, "fp")
+    # both joins read staged tables, whose shuffles Spark can split where a group is large
+    least = stage(first.groupBy("group").agg(F.min("doc_id").alias("component_id")), "simhash-least")
+    named = stage(found.join(least, "group").select(F.col("fp").alias("_fp"), "component_id"), "simhash-classes")
+    return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -172,8 +176,9 @@ def deduplicate(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFra
     hash of the whole row."""
     named = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     marked = stage(fingerprints(named, shingle, ("doc_id", "__row")), "simhash-fp")
-    grouped = near_duplicates(marked, max_bits, ("doc_id", "__row"))
-    first = grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("k"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row"))
+    first = (marked.groupBy("fp").agg(least.alias("k")).join(groups(marked, max_bits), "fp")
+             .groupBy("group").agg(F.min("k").alias("k")))
     kept = first.select(F.col("k.doc_id").alias("_id"), F.col("k.__row").alias("_r")).distinct()
     # copies of one whole row meet here under one key
     return (named.join(kept, (F.col("__row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
