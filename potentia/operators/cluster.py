@@ -7,7 +7,8 @@ centroid state - bounded by the caller's ``k`` / ``max_centroids`` - ever reache
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -164,8 +165,69 @@ class Compressed:
     stats: DataFrame          # one row: max_d2, min_d2, seeded, initial_mean_d2, mean_d2, refined_rows
 
 
+@dataclass
+class CentroidState:
+    """What seeding and refinement carry from batch to batch: at most ``max_centroids`` rows and a few
+    numbers, on the driver."""
+    max_centroids: int
+    shift: float | None
+    z: float | None
+    seed: int = 0
+    centroids: list = field(default_factory=list)   # (centroid_id, x, n)
+    total_d2: float = 0.0
+    total_n: int = 0
+    initial_mean_d2: float | None = None
+    mean_d2: float | None = None
+
+    def take(self, batch: DataFrame, number: int, order: str) -> None:
+        """One batch of ``(id, x, order)`` rows: below the cap it seeds (C6, T2); the rows after the one
+        that fills the cap, and every later batch, refine (C7, T3)."""
+        if not self.centroids:
+            return
+        if len(self.centroids) < self.max_centroids:
+            if not self.z:
+                return
+            d = N.nearest_to_arrays(batch, [c[0] for c in self.centroids], [c[1] for c in self.centroids],
+                                    carry=tuple(dict.fromkeys(("x", order))) if order != "id" else ("x",))
+            room = self.max_centroids - len(self.centroids)
+            got = accept(d, shift=self.shift, z=self.z, seed=f"{self.seed}:{number}", room=room, order=order)
+            rows = got.select("x", order).orderBy(order).collect()  # at most ``room`` rows
+            self.centroids += [(len(self.centroids) + i, list(r["x"]), 1) for i, r in enumerate(rows)]
+            if len(self.centroids) < self.max_centroids:
+                return
+            batch = batch.where(F.col(order) > F.lit(rows[-1][order]))
+        self._refine(batch)
+
+    def _refine(self, batch: DataFrame) -> None:
+        part = N.assign_and_sum(batch, [c[0] for c in self.centroids], [c[1] for c in self.centroids])
+        sums = {r["centroid_id"]: r for r in part.collect()}  # <= max_centroids rows
+        new = []
+        for cid, x, n in self.centroids:
+            s = sums.get(cid)
+            if s is None:
+                new.append((cid, x, n))
+                continue
+            m = int(s["m"])
+            new.append((cid, [(xi * n + si) / (n + m) for xi, si in zip(x, s["sx"])], n + m))
+            self.total_d2 += float(s["sd2"])
+            self.total_n += m
+        self.centroids = new
+        if self.total_n:
+            self.mean_d2 = self.total_d2 / self.total_n
+            if self.initial_mean_d2 is None:
+                self.initial_mean_d2 = self.mean_d2
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([(c[0], [float(v) for v in c[1]], int(c[2])) for c in self.centroids],
+                                     "centroid_id long, x array<double>, n long")
+
+
+#: Rows a batch of a stream, at any size of the stream: part of the result, as in any mini-batch method.
+BATCH_ROWS = 10_000
+
+
 def streaming_kmeans(points: DataFrame, *, max_centroids: int = 1000, init_size: int = 1000,
-                     batch_size: int = 1000, seed: int = 0, seed_rows: int = 10,
+                     batch_size: int = BATCH_ROWS, seed: int = 0, seed_rows: int = 10,
                      normalize: bool = False, order_key=None) -> Compressed:
     """C5 -> C6 -> C7 (C8): one forward pass over a stream of points in three phases.
 
@@ -173,8 +235,8 @@ def streaming_kmeans(points: DataFrame, *, max_centroids: int = 1000, init_size:
     Phase 1: the first ``init_size`` rows give the distance scale (min/max pairwise d2, C5)
     and the first ``seed_rows`` of them the initial centroids. Phase 2: following batches
     add rows with probability ``clip((d2-min)/(max-min))`` (F7) until ``max_centroids``.
-    Phase 3: the remaining batches refine centroids by running weighted means (counters start
-    at 1) and track the mean squared distance (A3, A4, A17).
+    Phase 3: the rest of the batch that filled the cap and all further batches refine centroids by
+    running weighted means (counters start at 1) and track the mean squared distance (A3, A4, A17).
 
     The staged stream is written once (partitioned by batch) so every batch reads only its
     own files; the centroid state (at most ``max_centroids`` rows) is the only driver state.
@@ -189,8 +251,8 @@ def streaming_kmeans(points: DataFrame, *, max_centroids: int = 1000, init_size:
     staged = numbered.withColumn(
         "batch_no", F.when(F.col("row_id") < init_size, F.lit(-1))
         .otherwise(F.floor((F.col("row_id") - init_size) / F.lit(batch_size))).cast("long"))
-    path = f"{checkpoint_dir(spark).rstrip('/')}/stream-{abs(hash((init_size, batch_size, seed))) % 10**8}-{id(staged)}"
-    staged.write.mode("overwrite").partitionBy("batch_no").parquet(path)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    staged.write.partitionBy("batch_no").parquet(path)
     staged = spark.read.parquet(path)
     n_batches = staged.agg(F.max("batch_no")).first()[0]
     n_batches = -1 if n_batches is None else int(n_batches)
@@ -199,46 +261,14 @@ def streaming_kmeans(points: DataFrame, *, max_centroids: int = 1000, init_size:
     mm = N.pairwise_min_max(buf, max_points=max(init_size, 1)).first()
     max_d2, min_d2 = mm["max_d2"], mm["min_d2"]
     z = (max_d2 - min_d2) if (max_d2 is not None and min_d2 is not None) else None
-    cents = [(i, list(r["x"]), 1) for i, r in enumerate(buf.orderBy("row_id").limit(seed_rows).collect())]
-
-    b = 0
-    while len(cents) < max_centroids and b <= n_batches and z:
-        batch = staged.where(F.col("batch_no") == b)
-        d = N.nearest_to_arrays(batch, [c[0] for c in cents], [c[1] for c in cents], carry=("x", "row_id"))
-        room = max_centroids - len(cents)
-        acc = accept(d, shift=min_d2, z=z, seed=f"{seed}:{b}", room=room, order="row_id")
-        for r in acc.orderBy("row_id").collect():  # at most ``room`` rows
-            cents.append((len(cents), list(r["x"]), 1))
-        b += 1
-
-    total_d2, total_n, initial, mean_d2 = 0.0, 0, None, None
-    d = len(cents[0][1]) if cents else 0
-    while b <= n_batches and cents:
-        batch = staged.where(F.col("batch_no") == b)
-        part = N.assign_and_sum(batch, [c[0] for c in cents], [c[1] for c in cents])
-        stats = {r["centroid_id"]: r for r in part.collect()}  # <= max_centroids rows
-        new = []
-        for cid, x, n in cents:
-            s = stats.get(cid)
-            if s is None:
-                new.append((cid, x, n))
-                continue
-            m = int(s["m"])
-            new.append((cid, [(xi * n + si) / (n + m) for xi, si in zip(x, s["sx"])], n + m))
-            total_d2 += float(s["sd2"])
-            total_n += m
-        cents = new
-        mean_d2 = total_d2 / total_n if total_n else None
-        if initial is None:
-            initial = mean_d2
-        b += 1
-
-    cdf = spark.createDataFrame([(c[0], [float(v) for v in c[1]], int(c[2])) for c in cents],
-                                "centroid_id long, x array<double>, n long")
-    sdf = spark.createDataFrame([(max_d2, min_d2, len(cents), initial, mean_d2, total_n)],
+    state = CentroidState(max_centroids, min_d2, z, seed,
+                          [(i, list(r["x"]), 1) for i, r in enumerate(buf.orderBy("row_id").limit(seed_rows).collect())])
+    for b in range(n_batches + 1):
+        state.take(staged.where(F.col("batch_no") == b).select("id", "x", "row_id"), b, "row_id")
+    sdf = spark.createDataFrame([(max_d2, min_d2, len(state.centroids), state.initial_mean_d2, state.mean_d2, state.total_n)],
                                 "max_d2 double, min_d2 double, n_centroids long, initial_mean_d2 double, "
                                 "mean_d2 double, refined_rows long")
-    return Compressed(cdf, sdf)
+    return Compressed(state.frame(spark), sdf)
 
 
 def refine(points: DataFrame, centroids: DataFrame, d: int) -> DataFrame:

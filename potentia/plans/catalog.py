@@ -1507,7 +1507,7 @@ def q_c2(spark, sf):
 
 
 def _skm_sql(max_c: int = 100, init: int = 1000, seed_rows: int = 10, seed: int = 0,
-             bs_sql: str = "greatest(1000, count(*) // 6)", cap_order: str = "row_id") -> str:
+             batch: int = 10_000, cap_order: str = "row_id") -> str:
     """Streaming k-means (C5-C8) restated as a recursion over batches: one state row per
     batch holding the centroid list and counters; a batch seeds while below the cap,
     otherwise it refines the running means. Per-batch aggregates are taken in an inner
@@ -1522,22 +1522,24 @@ def _skm_sql(max_c: int = 100, init: int = 1000, seed_rows: int = 10, seed: int
                f"ELSE g.cx[j] END)")
     seeding = f"len(g.cx) < {max_c}"
     new_acc = f"coalesce(list_slice(g.accl, 1, {max_c} - len(g.cx)), [])"
+    # the row that fills the cap ends the seeding; the rest of its batch is the next step's input
+    fills = f"({seeding} AND len(g.cx) + len(coalesce(g.accl, [])) >= {max_c} AND g.accl[{max_c} - len(g.cx)].o < g.last)"
     return f"""
 WITH RECURSIVE
 pts AS ({S.LINEITEM_POINTS}),
 ord AS (SELECT id, x, row_number() OVER (ORDER BY {rand.sql_uniform('id', f'stream:{seed}')}, id) - 1 AS row_id FROM pts),
-bs AS (SELECT {bs_sql} AS bs FROM pts),
 buf AS (SELECT * FROM ord WHERE row_id < {init}),
 mm AS (SELECT min({S.d2('a.x', 'b.x')}) FILTER (WHERE {S.d2('a.x', 'b.x')} > 0) AS mn, max({S.d2('a.x', 'b.x')}) AS mx
        FROM buf a JOIN buf b ON a.id <> b.id),
-bat AS (SELECT id, x, row_id, CAST(floor((row_id - {init}) / bs.bs) AS BIGINT) AS b FROM ord, bs WHERE row_id >= {init}),
+bat AS (SELECT id, x, row_id, CAST(floor((row_id - {init}) / {batch}) AS BIGINT) AS b FROM ord WHERE row_id >= {init}),
 st AS (
-  SELECT 0 AS b, list(x ORDER BY row_id) AS cx, list(CAST(1 AS BIGINT)) AS cn, CAST(0.0 AS DOUBLE) AS tot_d2,
+  SELECT 0 AS b, CAST(-1 AS BIGINT) AS after, list(x ORDER BY row_id) AS cx, list(CAST(1 AS BIGINT)) AS cn, CAST(0.0 AS DOUBLE) AS tot_d2,
          CAST(0 AS BIGINT) AS tot_n, CAST(NULL AS DOUBLE) AS initial, CAST(NULL AS DOUBLE) AS mean_d2
   FROM (SELECT * FROM buf ORDER BY row_id LIMIT {seed_rows})
   UNION ALL
-  SELECT g.b + 1,
-    CASE WHEN {seeding} THEN list_concat(g.cx, {new_acc}) ELSE {refined} END,
+  SELECT CASE WHEN {fills} THEN g.b ELSE g.b + 1 END,
+    CASE WHEN {fills} THEN g.accl[{max_c} - len(g.cx)].o ELSE -1 END,
+    CASE WHEN {seeding} THEN list_concat(g.cx, list_transform({new_acc}, lambda v: v.x)) ELSE {refined} END,
     CASE WHEN {seeding} THEN list_concat(g.cn, list_transform({new_acc}, lambda v: CAST(1 AS BIGINT)))
          ELSE list_transform(range(1, len(g.cx) + 1), lambda j: g.cn[j] + {mj}) END,
     CASE WHEN {seeding} THEN g.tot_d2 ELSE g.tot_d2 + g.sd END,
@@ -1545,13 +1547,13 @@ st AS (
     CASE WHEN {seeding} THEN g.initial ELSE coalesce(g.initial, (g.tot_d2 + g.sd) / (g.tot_n + g.c)) END,
     CASE WHEN {seeding} THEN g.mean_d2 ELSE (g.tot_d2 + g.sd) / (g.tot_n + g.c) END
   FROM (
-    SELECT s.b, s.cx, s.cn, s.tot_d2, s.tot_n, s.initial, s.mean_d2,
+    SELECT s.b, s.cx, s.cn, s.tot_d2, s.tot_n, s.initial, s.mean_d2, max(p.{cap_order}) AS last,
            list({{'a': list_position({ds}, list_min({ds})), 'x': p.x}}) AS pl,
-           list(p.x ORDER BY p.{cap_order}) FILTER (WHERE {acc}) AS accl,
+           list({{'x': p.x, 'o': p.{cap_order}}} ORDER BY p.{cap_order}) FILTER (WHERE {acc}) AS accl,
            sum(list_min({ds})) AS sd, count(*) AS c
-    FROM st s JOIN bat p ON p.b = s.b, mm
+    FROM st s JOIN bat p ON p.b = s.b AND p.{cap_order} > s.after, mm
     GROUP BY s.b, s.cx, s.cn, s.tot_d2, s.tot_n, s.initial, s.mean_d2) g),
-fin AS (SELECT * FROM st ORDER BY b DESC LIMIT 1)"""
+fin AS (SELECT * FROM st ORDER BY b DESC, after DESC LIMIT 1)"""
 
 
 @register("streaming_kmeans_C5_C8_A17", _skm_sql() + """
@@ -1561,8 +1563,7 @@ FROM fin, mm
 """)
 def q_c8(spark, sf):
     from potentia.operators import cluster as C
-    n = load(spark, sf, "lineitem").count()
-    res = C.streaming_kmeans(li(spark, sf), max_centroids=100, init_size=1000, batch_size=max(1000, n // 6), seed=0)
+    res = C.streaming_kmeans(li(spark, sf), max_centroids=100, init_size=1000, seed=0)
     st = res.stats
     return st.select(F.round("max_d2", 12).alias("max_d2"), F.round("min_d2", 12).alias("min_d2"), "n_centroids",
                      F.round("initial_mean_d2", 9).alias("initial_mean_d2"), F.round("mean_d2", 9).alias("mean_d2"),
@@ -1570,43 +1571,38 @@ def q_c8(spark, sf):
 
 
 @register("streaming_centroids_C6_C7_K3", _skm_sql() + """
-SELECT CAST(i - 1 AS BIGINT) AS centroid_id, fin.cn[i] AS n, round(fin.cx[i][1], 7) AS x0, round(fin.cx[i][2], 7) AS x1
+SELECT CAST(i - 1 AS BIGINT) AS centroid_id, fin.cn[i] AS n, list_transform(fin.cx[i], lambda v: round(v, 7)) AS x
 FROM fin, range(1, len(fin.cx) + 1) t(i)
 """)
 def q_c7(spark, sf):
     from potentia.operators import cluster as C
-    n = load(spark, sf, "lineitem").count()
-    res = C.streaming_kmeans(li(spark, sf), max_centroids=100, init_size=1000, batch_size=max(1000, n // 6), seed=0)
-    return res.centroids.select("centroid_id", "n", F.round(F.col("x")[0], 7).alias("x0"),
-                                F.round(F.col("x")[1], 7).alias("x1"))
+    res = C.streaming_kmeans(li(spark, sf), max_centroids=100, init_size=1000, seed=0)
+    return res.centroids.select("centroid_id", "n", F.transform("x", lambda v: F.round(v, 7)).alias("x"))
 
 
-@register("stream_kmeans_T2_T3", _skm_sql(bs_sql="greatest(1000, (count(*) - 1000) // 6 + 1)", cap_order="id") + """
-SELECT CAST(i - 1 AS BIGINT) AS centroid_id, fin.cn[i] AS n FROM fin, range(1, len(fin.cx) + 1) t(i)
+@register("stream_kmeans_T2_T3", _skm_sql(cap_order="id") + """
+SELECT CAST(i - 1 AS BIGINT) AS centroid_id, fin.cn[i] AS n, list_transform(fin.cx[i], lambda v: round(v, 7)) AS x
+FROM fin, range(1, len(fin.cx) + 1) t(i)
 """)
 def q_t2(spark, sf):
-    """The same seeding/refinement driven by micro-batches (one staged file per
-    trigger, ``foreachBatch``), centre scale from the head buffer as in the batch path."""
-    from potentia.operators.cluster import with_row_ids
+    """The same seeding and refinement driven by micro-batches. Each batch's files arrive after
+    the batch before was taken and the query was stopped, so every batch resumes from the stored state."""
+    from potentia.operators.cluster import BATCH_ROWS, with_row_ids
     from potentia.streaming import stream as ST
-    pts = li(spark, sf).select("id", "x")
-    rows = with_row_ids(pts, rand.uniform("id", "stream:0"))
-    n = rows.count()
-    init, bs = 1000, max(1000, (n - 1000) // 6 + 1)
+    rows = with_row_ids(li(spark, sf).select("id", "x"), rand.uniform("id", "stream:0"))
+    init = 1000
     buf = rows.where(F.col("row_id") < init)
     mm = N.pairwise_min_max(buf, max_points=init).first()
-    src = _scratch(spark, "t2-src")
-    staged = rows.where(F.col("row_id") >= init).withColumn("b", F.floor((F.col("row_id") - init) / bs))
-    staged.repartition("b").sortWithinPartitions("b").write.partitionBy("b").parquet(src + "-staged")
-    import time as _t
-    for b in range(int((n - init + bs - 1) // bs)):
-        spark.read.parquet(f"{src}-staged/b={b}").select("id", "x").coalesce(1).write.mode("append").parquet(src)
-        _t.sleep(1.1)  # file order = batch order
+    path = _scratch(spark, "t2")
+    staged = rows.where(F.col("row_id") >= init).withColumn("b", F.floor((F.col("row_id") - init) / BATCH_ROWS))
+    staged.write.partitionBy("b").parquet(f"{path}/staged")
     initial = [r["x"] for r in buf.orderBy("row_id").limit(10).collect()]
-    st = ST.streaming_kmeans_stream(ST.point_stream(spark, src), initial, max_centroids=100,
-                                    shift=mm["min_d2"], z=mm["max_d2"] - mm["min_d2"], seed=0,
-                                    name=src.rsplit("/", 1)[-1])
-    return spark.createDataFrame([(c[0], int(c[2])) for c in st.centroids], "centroid_id long, n long")
+    state = None
+    for b in range(staged.agg(F.max("b")).first()[0] + 1):
+        spark.read.parquet(f"{path}/staged/b={b}").select("id", "x").write.mode("append").parquet(f"{path}/in")
+        state = ST.streaming_kmeans_stream(ST.point_stream(spark, f"{path}/in", files_per_trigger=1 << 20), initial,
+                                           max_centroids=100, shift=mm["min_d2"], z=mm["max_d2"] - mm["min_d2"], path=path)
+    return state.frame(spark).select("centroid_id", "n", F.transform("x", lambda v: F.round(v, 7)).alias("x"))
 
 
 @register("minibatch_kmeans_C9")
@@ -1807,8 +1803,7 @@ def _compressed(spark, sf, k=30):
     """Lineitem compressed to ``k`` weighted centroids (C8), as the original scores
     parameter candidates on k-means partitions: ``id, x, weight = count``."""
     from potentia.operators import cluster as C
-    n = load(spark, sf, "lineitem").count()
-    res = C.streaming_kmeans(li(spark, sf), max_centroids=k, init_size=1000, batch_size=max(1000, n // 6), seed=0)
+    res = C.streaming_kmeans(li(spark, sf), max_centroids=k, init_size=1000, seed=0)
     return res.centroids.select(F.col("centroid_id").alias("id"), "x", F.col("n").cast("double").alias("weight")).persist()
 
 

@@ -4,21 +4,18 @@
 * T4  stateless stream-static assignment: the centroid table is size-checked and broadcast,
       every micro-batch is scored by the same Arrow kernel as the batch path (append mode).
 * T2/T3 stateful seeding / refinement: the centroid state is global (not keyed), at most
-      ``max_centroids`` rows, so ``foreachBatch`` updates a versioned state table written per
-      ``batch_id`` (idempotent on replay after a failure).
+      ``max_centroids`` rows, so ``foreachBatch`` updates a table of versions, one a ``batch_id``,
+      which a restarted query reads back.
 * T5  progress: ``numInputRows`` per micro-batch from the query progress.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from potentia.operators import cluster as C
 from potentia.operators import neighbors as N
-from potentia.session import checkpoint_dir
 from potentia.sources.vectors import parse_vector_lines
 
 
@@ -52,69 +49,56 @@ def run_to_table(df: DataFrame, out_path: str, ckpt: str | None = None) -> tuple
     return spark.read.parquet(out_path), rows
 
 
-@dataclass
-class StreamingKMeansState:
-    """Driver-side handle on the versioned centroid state of T2/T3 (bounded by max_centroids)."""
-    path: str
-    max_centroids: int
-    shift: float
-    z: float
-    seed: int = 0
-    centroids: list = field(default_factory=list)   # (centroid_id, x, n)
-    total_d2: float = 0.0
-    total_n: int = 0
-    initial_mean_d2: float | None = None
-    mean_d2: float | None = None
-    done_batches: set = field(default_factory=set)
-
-    def _save(self, spark: SparkSession, batch_id: int) -> None:
-        df = spark.createDataFrame([(c[0], [float(v) for v in c[1]], int(c[2])) for c in self.centroids],
-                                   "centroid_id long, x array<double>, n long")
-        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+_STATE = ("batch_id long, shift double, z double, seed int, max_centroids int, total_d2 double, total_n long, "
+          "initial_mean_d2 double, mean_d2 double, centroids array<struct<centroid_id:long,x:array<double>,n:long>>")
+
+
+class StoredCentroids:
+    """The centroid state of T2/T3 as a table of versions, one folder a micro-batch.
+
+    A version holds the whole state after its batch. A new handle on the same folder goes on from
+    the last version, and a batch that a version exists for is a replay and changes nothing, so a
+    stopped or failed query resumes with the same result."""
+
+    def __init__(self, spark: SparkSession, path: str, initial: C.CentroidState):
+        self.spark, self.path, self.state, self.last = spark, path.rstrip("/"), initial, -1
+        row = self._latest()
+        if row is not None:
+            self.last = row["batch_id"]
+            self.state = C.CentroidState(row["max_centroids"], row["shift"], row["z"], row["seed"],
+                                         [(c["centroid_id"], list(c["x"]), c["n"]) for c in row["centroids"]],
+                                         row["total_d2"], row["total_n"], row["initial_mean_d2"], row["mean_d2"])
+
+    def _latest(self):
+        from pyspark.errors import AnalysisException
+        try:
+            versions = self.spark.read.schema(_STATE).parquet(f"{self.path}/v*")
+            return versions.orderBy(F.desc("batch_id")).first()
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return None
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch: seed while below the cap (T2), otherwise refine."""
-        if batch_id in self.done_batches:  # replayed batch: state already holds it
+        """One micro-batch: take it and write the version it leads to."""
+        if batch_id <= self.last:
             return
-        spark = batch.sparkSession
-        pts = batch.select("id", "x")
-        ids = [c[0] for c in self.centroids]
-        mat = [c[1] for c in self.centroids]
-        if len(self.centroids) < self.max_centroids:
-            d = N.nearest_to_arrays(pts, ids, mat, carry=("x",))
-            room = self.max_centroids - len(self.centroids)
-            acc = C.accept(d, shift=self.shift, z=self.z, seed=f"{self.seed}:{batch_id}", room=room, order="id")
-            for r in acc.orderBy("id").collect():  # at most ``room`` rows
-                self.centroids.append((len(self.centroids), list(r["x"]), 1))
-        else:
-            stats = {r["centroid_id"]: r for r in N.assign_and_sum(pts, ids, mat).collect()}  # <= centroids
-            new = []
-            for cid, x, n in self.centroids:
-                s_ = stats.get(cid)
-                if s_ is None:
-                    new.append((cid, x, n))
-                    continue
-                m = int(s_["m"])
-                new.append((cid, [(xi * n + si) / (n + m) for xi, si in zip(x, s_["sx"])], n + m))
-                self.total_d2 += float(s_["sd2"])
-                self.total_n += m
-            self.centroids = new
-            self.mean_d2 = self.total_d2 / self.total_n if self.total_n else None
-            if self.initial_mean_d2 is None:
-                self.initial_mean_d2 = self.mean_d2
-        self._save(spark, batch_id)
-        self.done_batches.add(batch_id)
+        self.state.take(batch.select("id", "x"), batch_id, "id")
+        s = self.state
+        row = (batch_id, s.shift, s.z, s.seed, s.max_centroids, float(s.total_d2), int(s.total_n), s.initial_mean_d2, s.mean_d2,
+               [(int(i), [float(v) for v in x], int(n)) for i, x, n in s.centroids])
+        self.spark.createDataFrame([row], _STATE).write.mode("overwrite").parquet(f"{self.path}/v{batch_id:012d}")
+        self.last = batch_id
 
 
 def streaming_kmeans_stream(stream: DataFrame, initial: list[list[float]], *, max_centroids: int,
-                            shift: float, z: float, seed: int = 0, name: str = "skm") -> StreamingKMeansState:
-    """T2+T3: run the seeding/refinement update on every micro-batch via ``foreachBatch``."""
-    spark = stream.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/{name}-state"
-    st = StreamingKMeansState(base, max_centroids, shift, z, seed,
-                              [(i, list(map(float, x)), 1) for i, x in enumerate(initial)])
-    q = (stream.writeStream.foreachBatch(lambda df, bid: st.update(df, bid))
-         .option("checkpointLocation", f"{base}-ckpt").trigger(availableNow=True).start())
+                            shift: float, z: float, path: str, seed: int = 0) -> C.CentroidState:
+    """T2+T3: seeding and refinement on every micro-batch via ``foreachBatch``, until the input is used
+    up. ``path`` holds the versions and the query's checkpoint; called again with the same path (after
+    a stop, a failure or for new files) it goes on where the last finished batch ended."""
+    store = StoredCentroids(stream.sparkSession, f"{path.rstrip('/')}/state", C.CentroidState(
+        max_centroids, shift, z, seed, [(i, list(map(float, x)), 1) for i, x in enumerate(initial)]))
+    q = (stream.writeStream.foreachBatch(lambda df, bid: store.update(df, bid))
+         .option("checkpointLocation", f"{path.rstrip('/')}/query").trigger(availableNow=True).start())
     q.awaitTermination()
-    return st
-
+    return store.state

@@ -52,10 +52,14 @@ def streaming_kmeans_np(ids, xs, max_centroids, init_size, batch_size, seed, see
         dist = _d2(bx, np.array(cents)).min(axis=1)
         p = np.clip((dist - mn) / z, 0, 1)
         acc = [i for i in range(len(bid)) if u(bid[i], f"{seed}:{b}") < p[i] and dist[i] > 0]
-        for i in acc[:max_centroids - len(cents)]:
+        acc = acc[:max_centroids - len(cents)]
+        for i in acc:
             cents.append(list(bx[i]))
             counts.append(1)
-        b += 1
+        if len(cents) == max_centroids and acc[-1] + 1 < len(bid):
+            batches[b] = (bid[acc[-1] + 1:], bx[acc[-1] + 1:])  # the rest of the batch refines
+        else:
+            b += 1
     cents = np.array(cents)
     counts = np.array(counts, dtype=np.int64)
     tot_d2, tot_n, initial, mean = 0.0, 0, None, None

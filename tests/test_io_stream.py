@@ -130,24 +130,43 @@ def test_streaming_kmeans_invariants(spark):
         assert stats["mean_d2"] >= 0
 
 
-def test_foreach_batch_kmeans_equals_batch(spark, tmp_path):
-    """T2/T3 over micro-batches (one file per trigger) equals C6/C7 over batch_no."""
+def test_seeding_batch_is_used_up(spark):
+    """Every row behind the one that fills the cap refines, whatever the batch size."""
+    rng = np.random.default_rng(1)
+    x = rng.random((900, 2))
+    pts = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(x)], "id long, x array<double>")
+    res = C.streaming_kmeans(pts, max_centroids=12, init_size=50, batch_size=10_000, seed=0, order_key=F.col("id"))
+    st = res.stats.first()
+    accepted = C.accept(N.nearest_to_arrays(pts.where("id >= 50"), list(range(10)), [list(map(float, v)) for v in x[:10]]),
+                        shift=st["min_d2"], z=st["max_d2"] - st["min_d2"], seed="0:0", room=2)
+    last = accepted.agg(F.max("id")).first()[0]
+    assert res.centroids.count() == 12 and st["refined_rows"] == 900 - last - 1 > 0
+
+
+def test_foreach_batch_kmeans_resumes_to_the_batch_answer(spark, tmp_path):
+    """Stopped after two micro-batches and started again (a new handle, state from storage), the
+    stream ends with the centroids of the batch run; a replayed batch changes nothing."""
     rng = np.random.default_rng(2)
     n, init, bs = 650, 50, 100
     pts = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(rng.random((n, 2)))],
                                 "id long, x array<double>").persist()
     res = C.streaming_kmeans(pts, max_centroids=15, init_size=init, batch_size=bs, seed=4, order_key=F.col("id"))
     st = res.stats.first()
-    src = str(tmp_path / "stream")
-    for b, lo in enumerate(range(init, n, bs)):
-        pts.where((F.col("id") >= lo) & (F.col("id") < lo + bs)).coalesce(1).write.mode("append").parquet(src)
-        import time
-        time.sleep(1.1)  # distinct modification times keep the file order
+    src, path = str(tmp_path / "stream"), str(tmp_path / "kmeans")
     initial = [r["x"] for r in pts.where(F.col("id") < 10).orderBy("id").collect()]
-    s = ST.point_stream(spark, src, files_per_trigger=1)
-    state = ST.streaming_kmeans_stream(s, initial, max_centroids=15, shift=st["min_d2"], z=st["max_d2"] - st["min_d2"],
-                                       seed=4, name=f"t{tmp_path.name}")
+
+    def go_on():
+        return ST.streaming_kmeans_stream(ST.point_stream(spark, src, files_per_trigger=100), initial, max_centroids=15,
+                                          shift=st["min_d2"], z=st["max_d2"] - st["min_d2"], seed=4, path=path)
+
+    for lo in range(init, n, bs):
+        pts.where((F.col("id") >= lo) & (F.col("id") < lo + bs)).write.mode("append").parquet(src)
+        state = go_on()  # a run for each batch: the query ends and starts again
     batch = res.centroids.orderBy("centroid_id").collect()
     assert [c[2] for c in state.centroids] == [r["n"] for r in batch]
     assert np.allclose(np.array([c[1] for c in state.centroids]), np.array([r["x"] for r in batch]), atol=1e-9)
     assert np.isclose(state.mean_d2, st["mean_d2"])
+    store = ST.StoredCentroids(spark, f"{path}/state", C.CentroidState(15, 0.0, 1.0))
+    before = list(store.state.centroids)
+    store.update(pts, 3)
+    assert store.last == 5 and store.state.centroids == before
