@@ -18,6 +18,9 @@ from __future__ import annotations
 import base64
 import uuid
 from collections import defaultdict
+from collections.abc import Callable
+from dataclasses import dataclass
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +34,7 @@ from potentia.llm.textio import slices
 from potentia.session import checkpoint_dir
 
 BLOCK_BYTES = 32 << 20
+_PIECE = 1 << 18  # words or ids that are put together at a time
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,10 +43,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+@dataclass(frozen=True)
+class Finish:
+    """A last step over (doc_id, ids) pieces: the columns after doc_id, and a function that makes the
+    step from the ranks."""
+    columns: str
+    make: Callable[[dict[bytes, int]], Callable[[pa.RecordBatch], pa.RecordBatch]]
+
+
 def _pack(a: np.ndarray) -> bytes:
     """Little-endian 32-bit numbers by byte planes, compressed."""
-    planes = np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    planes = np.ascontiguousarray(a.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.ravel().data)
 
 
 def _unpack(blob: bytes) -> np.ndarray:
@@ -65,8 +77,9 @@ def _blocks(docs: DataFrame, pattern: str) -> DataFrame:
         find, number = regex.compile(pattern).findall, 0
         part = TaskContext.get().partitionId()
 
-        def close(ids, lengths, codes, words):
-            codes = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
+        def close(ids, lengths, parts, words):
+            codes = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+            parts.clear()
             # the most frequent words get the smallest numbers
             order = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")
             new = np.empty(len(order), np.uint32)
@@ -112,8 +125,11 @@ def _stage_bucketed(blocks: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(doc_id, ids array<int>): the ids of every whole text, special tokens left out."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, finish: Finish | None = None) -> DataFrame:
+    """(doc_id, ids array<int>): the ids of every whole text, special tokens left out.
+
+    ``finish`` maps pieces of that result in the task that puts them together, instead of in a
+    Python worker of its own behind it."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)  # bounded by the vocabulary
     blocks = _stage_bucketed(_blocks(docs, pattern))
@@ -168,31 +184,38 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     merged = words.mapInArrow(merge, "block long, codes binary, sizes binary, ids binary")
     kind = docs.schema["doc_id"].dataType.simpleString()
     id_type = pa.int32()
+    columns = finish.columns if finish else "ids array<int>"
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        parts = [[_unpack(x) for x in right.column(c).to_pylist()] for c in ("codes", "sizes", "ids")]
-        codes, sizes, flat = [np.concatenate(p) if p else np.zeros(0, np.uint32) for p in parts]
-        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        out, last_step = [], finish.make(shared.value) if finish else None
+        codes, sizes, flat = [np.concatenate(p) if p else np.zeros(0, np.uint32) for p in
+                              ([_unpack(x) for x in right.column(c).to_pylist()] for c in ("codes", "sizes", "ids"))]
         start, size = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-        start[codes], size[codes] = starts, sizes
+        start[codes], size[codes] = np.cumsum(sizes, dtype=np.int64) - sizes, sizes
         for i in range(left.num_rows):
             doc_ids = left.column("doc_ids")[i].values
-            lengths = _unpack(left.column("lengths")[i].as_py()).astype(np.int64)
+            ends = np.cumsum(_unpack(left.column("lengths")[i].as_py()), dtype=np.int64)
             at = _unpack(left.column("codes")[i].as_py())
-            tokens = np.append(0, np.cumsum(size[at]))
-            bounds = tokens[np.append(0, np.cumsum(lengths))]
-            ids = np.empty(tokens[-1], np.int32)
-            for k in range(0, len(at), 1 << 20):
-                some = at[k:k + (1 << 20)]
-                ids[tokens[k]:tokens[k + len(some)]] = flat[_spread(start[some], size[some])]
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, id_type))
-            out.append(pa.Table.from_arrays([doc_ids, lists], names=["doc_id", "ids"]))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], left.schema.field("doc_ids").type.value_type),
-                                                           "ids": pa.array([], pa.list_(id_type))})
+            first = 0
+            while first < len(doc_ids):  # documents of about _PIECE words at a time
+                low = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, low + _PIECE, "right")))
+                some = at[low:ends[last - 1]]
+                tokens = np.append(0, np.cumsum(size[some]))
+                ids = flat[_spread(start[some], size[some])].astype(np.int32)
+                bounds = tokens[np.append(low, ends[first:last]) - low]
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, id_type))
+                piece = pa.RecordBatch.from_arrays([doc_ids.slice(first, last - first), lists], names=["doc_id", "ids"])
+                out.append(last_step(piece) if finish else piece)
+                first = last
+        if not out:  # no document: one empty piece has the columns
+            piece = pa.RecordBatch.from_arrays([pa.array([], left.schema.field("doc_ids").type.value_type),
+                                                pa.array([], pa.list_(id_type))], names=["doc_id", "ids"])
+            out.append(last_step(piece) if finish else piece)
+        return pa.Table.from_batches(out)
 
     return (blocks.select("block", "doc_ids", "lengths", "codes").groupBy("block")
-            .cogroup(merged.groupBy("block")).applyInArrow(reassemble, f"doc_id {kind}, ids array<int>"))
+            .cogroup(merged.groupBy("block")).applyInArrow(reassemble, f"doc_id {kind}, {columns}"))
 
 
 def _token_bytes(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +244,7 @@ def _decoder(ranks: dict[bytes, int]):
     return decode_lists
 
 
-def _few(batches, column: str, most: int = 1 << 20):
+def _few(batches, column: str, most: int = _PIECE):
     """Cut batches of id lists to about ``most`` ids."""
     for batch in batches:
         ends = np.cumsum(batch.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -245,16 +268,15 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, bytes binary")
 
 
-def round_trip_digests(encoded: DataFrame, ranks: dict[bytes, int], with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the ids and of their decoding;
-    ``with_ids`` adds the ids."""
-    from hashlib import sha256
-    shared = encoded.sparkSession.sparkContext.broadcast(ranks)
-    src = encoded.select("doc_id", "ids")
+def digests(with_ids: bool = False) -> Finish:
+    """n_tokens, ids_sha256 and decoded_sha256 of (doc_id, ids): the ids' decimal spelling, and the bytes
+    that they decode to; ``with_ids`` keeps the ids."""
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if with_ids else [])
 
-    def run(batches):
-        decode_lists, spelled = _decoder(shared.value), [b"%d" % i for i in range(max(shared.value.values()) + 1)]
-        for piece in _few(batches, "ids"):
+    def make(ranks: dict[bytes, int]):
+        decode_lists, spelled = _decoder(ranks), [b"%d" % i for i in range(max(ranks.values()) + 1)]
+
+        def one(piece: pa.RecordBatch) -> pa.RecordBatch:
             column = piece.column("ids")
             sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(sizes))
@@ -262,8 +284,8 @@ def round_trip_digests(encoded: DataFrame, ranks: dict[bytes, int], with_ids: bo
             out = [piece.column("doc_id"), pa.array(sizes.astype(np.int64)),
                    pa.array([sha256(x).hexdigest() for x in lines], pa.string()),
                    pa.array([sha256(x).hexdigest() for x in decode_lists(column)], pa.string())]
-            yield pa.RecordBatch.from_arrays([*out, column] if with_ids else out, names)
-    kind = src.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids"] if with_ids else [])
-    return src.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-                               + (", ids array<int>" if with_ids else ""))
+            return pa.RecordBatch.from_arrays([*out, column] if with_ids else out, names)
+
+        return one
+
+    return Finish("n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""), make)

@@ -22,7 +22,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encode_digests(docs: DataFrame, ranks_file: str = "byte_bpe_50k.tiktoken", with_ids: bool = False) -> DataFrame:
     """Encode ``docs(doc_id, text)`` by a public rank file, decode the ids, digest both."""
     ranks = bpe.read_ranks(public_tokenizers.path(ranks_file))
-    return bpe.round_trip_digests(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, with_ids)
+    return bpe.encode(docs, ranks, public_tokenizers.PATTERN, bpe.digests(with_ids))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
