@@ -1288,10 +1288,9 @@ SELECT p_partkey AS id, round({_u('1:u')} * 3.0 + 0.0, 9) AS c0 FROM part
 
 register("generate_square_edge_S13", f"""
 WITH r AS (SELECT p_partkey AS id, {_u('2:u')} * 4.0 AS r FROM part),
-s AS (SELECT id, r, floor(r) AS side FROM r),
-t AS (SELECT id, r - side AS var, side % 2 AS xs, floor(side / 2) AS ys FROM s)
-SELECT id, round(var * xs * 1.0 + (1.0 - xs) * ys * 1.0 + 0.0, 9) AS c0,
-       round(var * (1.0 - xs) * 2.0 + xs * (1.0 - ys) * 2.0 + 0.0, 9) AS c1 FROM t
+t AS (SELECT id, floor(r) AS side, r - floor(r) AS along FROM r)
+SELECT id, round(CASE side WHEN 0 THEN 0.0 WHEN 2 THEN 1.0 ELSE along * 1.0 END, 9) AS c0,
+       round(CASE side WHEN 1 THEN 2.0 WHEN 3 THEN 0.0 ELSE along * 2.0 END, 9) AS c1 FROM t
 """)(_gen_query(_sq_edge, 2))
 
 register("generate_square_fill_S14", f"""
@@ -1796,7 +1795,7 @@ def q_o1(spark, sf):
     pts = emb(spark, sf)
     g = G.knn_graph(pts, 10, 1.0).persist()
     lm = L.first_per_label(pts).where(F.col("problem_id") == 0).select("id", "voltage")
-    return TU.ground_search(g, lm, target=0.1, accuracy=0.01, radius=3, max_iter=8).tries
+    return TU.ground_search(g, lm, target=0.1, accuracy=0.01, radius=3).tries
 
 
 def _compressed(spark, sf, k=30):
