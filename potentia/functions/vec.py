@@ -123,4 +123,6 @@ def distance(name_or_fn: str | Callable[[Column, Column], Column]) -> Callable:
     """User-pluggable distance (X1): a name or any ``(Column, Column) -> Column``."""
     if callable(name_or_fn):
         return name_or_fn
+    if name_or_fn not in DISTANCES:
+        raise ValueError(f"unknown distance {name_or_fn!r}; one of {sorted(DISTANCES)}")
     return DISTANCES[name_or_fn]

@@ -73,26 +73,29 @@ def accept(d: DataFrame, *, shift: float, z: float, seed, room: int | None, orde
     return a.orderBy(order).limit(room) if room is not None else a
 
 
-def kmeans_pp(points: DataFrame, k: int, seed: int) -> DataFrame:
+def kmeans_pp(points: DataFrame, k: int, seed: int, distance: str = "euclidean") -> DataFrame:
     """K-means++ seeding where the next centre is drawn with probability proportional
-    to the *distance* (not squared) to the nearest chosen centre (weighted draw F9).
+    to the *distance* (not squared) to the nearest chosen centre (weighted draw F9); X1: ``distance``
+    names one of the library's distances.
 
     Each pick is one distributed pass; the running minimum distance is carried as a column
     and the table is checkpointed every few picks.
     """
+    dist = vec.distance(distance)
     pts = points.select("id", "x")
     first = pts.withColumn("_k", -F.log(rand.uniform_open("id", f"{seed}:0"))).orderBy("_k", "id").first()
     chosen = [(0, int(first["id"]), list(first["x"]))]
-    cur = pts.withColumn("min_d", vec.euclidean("x", F.array(*[F.lit(float(v)) for v in first["x"]])))
+    cur = pts.withColumn("min_d", dist("x", F.array(*[F.lit(float(v)) for v in first["x"]])))
     for i in range(1, k):
-        cur = cut_lineage(cur) if i % 5 == 0 else cur.persist()
+        if i % 5 == 0:
+            cur = cut_lineage(cur)
         key = -F.log(rand.uniform_open("id", f"{seed}:{i}")) / F.col("min_d")
         nxt = cur.where(F.col("min_d") > 0).withColumn("_k", key).orderBy("_k", "id").first()
         if nxt is None:
             break
         chosen.append((i, int(nxt["id"]), list(nxt["x"])))
         c = F.array(*[F.lit(float(v)) for v in nxt["x"]])
-        cur = cur.withColumn("min_d", F.least("min_d", vec.euclidean("x", c)))
+        cur = cur.withColumn("min_d", F.least("min_d", dist("x", c)))
     spark = points.sparkSession
     return spark.createDataFrame(chosen, "centroid_id long, id long, x array<double>")
 

@@ -6,9 +6,10 @@ the connection to the universal ground as a column (never as n extra edges).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from potentia.functions import vec
@@ -88,20 +89,23 @@ def transition(graph: Graph) -> tuple[DataFrame, DataFrame]:
 
 
 # ----------------------------------------------------------------------------- kernel graphs
-def kernel_edges(points: DataFrame, kernel: str, c: float, *, min_w: float = 0.0,
+def kernel_edges(points: DataFrame, kernel: str | Callable[[Column, float], Column], c: float, *, min_w: float = 0.0,
                  max_points: int = 20_000) -> DataFrame:
-    """Gaussian or radial kernel over all pairs of a bounded set, cut at ``min_w``.
+    """Gaussian or radial kernel over all pairs, cut at ``min_w``; X2: or any ``kernel(d2, c)`` that
+    takes and returns columns. An unknown name is an error.
 
-    Dense kernels are n^2 (survey 7.6.4); above ``max_points`` use kNN edges instead.
+    Dense kernels are n^2 rows (survey 7.6.4): on large inputs use kNN edges instead.
     Radial kernels only need pairs within c, so they run through the grid radius join.
     """
+    if not callable(kernel) and kernel not in ("radial", "gaussian"):
+        raise ValueError(f"unknown kernel {kernel!r}")
     if kernel == "radial":
         pairs = neighbors.radius_join_grid(points, c)
         directed = pairs.select(F.col("id1").alias("src"), F.col("id2").alias("dst"), F.lit(1.0).alias("w"))
     else:
         pairs = neighbors.all_pairs(points, max_points=max_points)
         directed = pairs.select(F.col("id1").alias("src"), F.col("id2").alias("dst"),
-                                vec.gaussian_kernel("d2", c).alias("w"))
+                                (kernel(F.col("d2"), c) if callable(kernel) else vec.gaussian_kernel("d2", c)).alias("w"))
     directed = directed.where(F.col("w") > F.lit(float(min_w)))
     rev = directed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     return directed.unionByName(rev)

@@ -28,7 +28,8 @@ DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
 # Above this many searched rows a brute-force scan of the whole index per query costs more
 # than the cell-pruned join, even when the index would fit in a broadcast.
 DEFAULT_MAX_SCAN_ROWS = 50_000
-_BLOCK_CELLS = 4_000_000  # query x index entries scored per numpy block (~32 MB of doubles)
+_BLOCK_CELLS = 1 << 17  # query x index entries scored per numpy block (1 MB of doubles: stays in cache)
+_PAIR_BLOCK = 4096  # rows of a block where all pairs are taken block by block
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -149,6 +150,7 @@ def _collect_index(index: DataFrame, max_bytes: int, max_rows: int | None = None
     stats = index.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
     n, d = int(stats["n"]), int(stats["d"] or 0)
     if n * max(d, 1) * 8 > max_bytes or (max_rows is not None and n > max_rows):
+        index.unpersist()
         return None, n, d
     cols = ["id", "x"] + [c for c in ("weight", "group") if c in index.columns]
     pdf = index.select(*cols).toPandas()
@@ -300,21 +302,64 @@ def _pairs_partition(batches, bc, max_d2: float | None):
             yield pd.DataFrame({"id1": qids[s:s + step][r], "id2": ids[c], "d2": dist[r, c]})
 
 
+def _block_pairs(points: DataFrame, n: int):
+    """Rows grouped by every pair of hashed blocks ``_a <= _b``: a pair of points meets in one group, a
+    group holds two blocks, and each row is sent to as many groups as there are blocks."""
+    blocks = -(-n // _PAIR_BLOCK)
+    rows = points.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_own"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return (rows.withColumn("_a", F.least("_own", "_other")).withColumn("_b", F.greatest("_own", "_other"))
+            .drop("_other").groupBy("_a", "_b"))
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, rows) of the two blocks of a group; the same ones twice on the diagonal."""
+    ids, x, own = pdf["id"].to_numpy(dtype=np.int64), _stack(pdf["x"]), pdf["_own"].to_numpy()
+    left, right = own == pdf["_a"].iloc[0], own == pdf["_b"].iloc[0]
+    return ids[left], x[left], ids[right], x[right]
+
+
+def _pairs_group(pdf: pd.DataFrame, max_d2: float | None) -> pd.DataFrame:
+    lid, lx, rid, rx = _sides(pdf)
+    diagonal, out = pdf["_a"].iloc[0] == pdf["_b"].iloc[0], []
+    step = max(1, _BLOCK_CELLS // max(len(rid), 1))
+    for s in range(0, len(lid), step):
+        dist = _sq_dists(lx[s:s + step], rx)
+        keep = lid[s:s + step][:, None] < rid[None, :] if diagonal else np.ones(dist.shape, bool)
+        if max_d2 is not None:
+            keep &= dist <= max_d2
+        i, j = np.nonzero(keep)
+        p, q = lid[s:s + step][i], rid[j]
+        out.append(pd.DataFrame({"id1": np.minimum(p, q), "id2": np.maximum(p, q), "d2": dist[i, j]}))
+    return pd.concat(out) if out else pd.DataFrame({"id1": [], "id2": [], "d2": []})
+
+
 def all_pairs(points: DataFrame, *, max_points: int = 20_000, max_d2: float | None = None) -> DataFrame:
-    """J4 (condensed, id1 < id2) and J5 (``max_d2`` = r^2): distances over a bounded set.
+    """J4 (condensed, id1 < id2) and J5 (``max_d2`` = r^2): distances of every pair.
 
-    The operator's output *is* every pair, so it refuses inputs above ``max_points``
-    (centroids, head buffers); the radius join on large inputs is :func:`radius_join_grid`.
-    """
+    Up to ``max_points`` rows the set is broadcast once and scored where its rows lie; beyond, pairs are
+    taken block by block. The result is the same; its size is the pairs', so the radius join on
+    large inputs is :func:`radius_join_grid`."""
     ship_package(points.sparkSession)
-    payload, n, d = _collect_index(points, max_points * 8 * 4096)
-    if payload is None or n > max_points:
-        raise ValueError(f"all_pairs is bounded to {max_points} points, got {n}")
+    payload, n, d = _collect_index(points, DEFAULT_MAX_BROADCAST_BYTES, max_points)
+    if payload is None:
+        return _block_pairs(points, n).applyInPandas(lambda pdf: _pairs_group(pdf, max_d2), "id1 long, id2 long, d2 double")
     bc = points.sparkSession.sparkContext.broadcast(payload)
     return points.select("id", "x").mapInPandas(
         lambda it: _pairs_partition(it, bc, max_d2), "id1 long, id2 long, d2 double")
 
 
+def _minmax_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    lid, lx, rid, rx = _sides(pdf)
+    lo, hi = np.inf, -np.inf
+    step = max(1, _BLOCK_CELLS // max(len(rid), 1))
+    for s in range(0, len(lid), step):
+        dist = _sq_dists(lx[s:s + step], rx)[lid[s:s + step][:, None] != rid[None, :]]
+        lo = min(lo, float(dist[dist > 0].min(initial=np.inf)))
+        hi = max(hi, float(dist.max(initial=-np.inf)))
+    return pd.DataFrame({"min_d2": [lo if np.isfinite(lo) else None], "max_d2": [hi if np.isfinite(hi) else None]})
+
+
 def _minmax_partition(batches, bc):
     ids, mat, _ = bc.value
     lo, hi = np.inf, -np.inf
@@ -338,14 +383,15 @@ def _minmax_partition(batches, bc):
 
 def pairwise_min_max(points: DataFrame, *, max_points: int = 50_000) -> DataFrame:
     """Min positive and max squared distance over distinct pairs (D8 intended),
-    without materialising pairs: per-partition partial min/max, then a global aggregate."""
+    without materialising pairs: partial min/max per partition (or, above ``max_points`` rows, per pair of
+    blocks), then a global aggregate."""
     ship_package(points.sparkSession)
-    payload, n, d = _collect_index(points, max_points * 8 * 4096)
-    if payload is None or n > max_points:
-        raise ValueError(f"pairwise_min_max is bounded to {max_points} points, got {n}")
-    bc = points.sparkSession.sparkContext.broadcast(payload)
-    part = points.select("id", "x").mapInPandas(lambda it: _minmax_partition(it, bc),
-                                                "min_d2 double, max_d2 double")
+    payload, n, d = _collect_index(points, DEFAULT_MAX_BROADCAST_BYTES, max_points)
+    if payload is None:
+        part = _block_pairs(points, n).applyInPandas(_minmax_group, "min_d2 double, max_d2 double")
+    else:
+        bc = points.sparkSession.sparkContext.broadcast(payload)
+        part = points.select("id", "x").mapInPandas(lambda it: _minmax_partition(it, bc), "min_d2 double, max_d2 double")
     return part.agg(F.min("min_d2").alias("min_d2"), F.max("max_d2").alias("max_d2"))
 
 
@@ -391,8 +437,9 @@ def _extra_cells_partition(batches, bc, probes: int, k: int):
             order = np.lexsort((np.broadcast_to(np.arange(cids.size), cd2.shape), cd2), axis=1)
             rank = np.empty_like(order)
             np.put_along_axis(rank, order, np.arange(cids.size)[None, :].repeat(cd2.shape[0], 0), axis=1)
-            lb = np.maximum(np.sqrt(cd2) - radius[None, :], 0.0) ** 2
-            need = (rank >= probes) & ((lb <= b[s:s + step][:, None]) | (got[s:s + step][:, None] < k))
+            # a little slack: rounding must not lose a row that ties at the k-th distance
+            lb = np.maximum(np.sqrt(cd2) * (1 - 1e-9) - radius[None, :] * (1 + 1e-9), 0.0) ** 2
+            need = (rank >= probes) & ((lb <= b[s:s + step][:, None] * (1 + 1e-9)) | (got[s:s + step][:, None] < k))
             r, c = np.nonzero(need)
             yield pd.DataFrame({"qid": qids[s:s + step][r], "cell": cids[c]})
 

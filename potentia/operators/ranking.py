@@ -2,8 +2,8 @@
 
 ``Window.partitionBy(g).orderBy(v)`` puts every row of a group in one task; for a voltage
 problem that is every point. Here the rows are range-partitioned on (group, order), each
-partition numbers its own slice, and per-(partition, group) counts - a table of at most
-partitions x groups rows - give the offsets. Ranks are exact and dense (0-based).
+partition numbers its own slice, and per-(partition, group) counts - groups are contiguous, so
+a table of at most partitions + groups rows - give the offsets. Ranks are exact and dense (0-based).
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ def rank_in_groups(df: DataFrame, order: list[str | Column], groups: list[str] |
     offs = counts.select("_pid", *groups, "_first",
                          (F.sum("_c").over(w_cum) - F.col("_c")).alias("_off"),
                          F.sum("_c").over(Window.partitionBy(*groups)).alias(size_col))
-    out = s.join(F.broadcast(offs), ["_pid", *groups])
+    # at most partitions + groups rows: Spark broadcasts them where that is small, or joins by partition
+    out = s.join(offs, ["_pid", *groups])
     return (out.withColumn(rank_col, (F.col("_off") + F.col("_pos") - F.col("_first")).cast("long"))
             .drop("_pid", "_pos", "_first", "_off"))
 

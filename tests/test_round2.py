@@ -5,9 +5,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from potentia.operators import cluster as C
 from potentia.operators import evaluate as E
 from potentia.operators import graph as G
 from potentia.operators import landmarks as L
+from potentia.operators import neighbors as N
 from potentia.operators import voltage as V
 from potentia.sources import sinks, vectors
 
@@ -117,3 +119,43 @@ def test_later_landmark_wins(spark):
     kind = "problem_id int, id long, voltage double"
     got = L.add(spark.createDataFrame([(0, 1, 0.2), (0, 2, 0.3)], kind), spark.createDataFrame([(0, 1, 0.7), (1, 1, 0.4)], kind))
     assert sorted(tuple(r) for r in got.collect()) == [(0, 1, 0.7), (0, 2, 0.3), (1, 1, 0.4)]
+
+
+def brute_pairs(x):
+    return {(i, j): float(((x[i] - x[j]) ** 2).sum()) for i in range(len(x)) for j in range(i + 1, len(x))}
+
+
+def test_pairs_by_blocks_equal_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(N, "_PAIR_BLOCK", 16)
+    x = np.random.default_rng(0).integers(0, 9, (90, 3)).astype(float)
+    pts = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<double>")
+    want = brute_pairs(x)
+    for most in (10, 1000):
+        got = {(r.id1, r.id2): r.d2 for r in N.all_pairs(pts, max_points=most).collect()}
+        assert got == want
+        mm = N.pairwise_min_max(pts, max_points=most).first()
+        assert mm.max_d2 == max(want.values()) and mm.min_d2 == min(v for v in want.values() if v > 0)
+    near = {(r.id1, r.id2) for r in N.all_pairs(pts, max_points=10, max_d2=4.0).collect()}
+    assert near == {p for p, d in want.items() if d <= 4.0}
+
+
+def test_knn_plans_agree_on_ties(spark):
+    """A grid is full of ties at the k-th distance: cells and broadcast give the same neighbours."""
+    pts = spark.createDataFrame([(i, [float(i % 20), float(i // 20)]) for i in range(400)], "id long, x array<double>")
+    a = {tuple(r) for r in N.knn(pts, pts, 5, exclude_self=True).select("src", "dst", "rank").collect()}
+    b = {tuple(r) for r in N.knn_cells(pts, pts, 5, exclude_self=True, cells=12).select("src", "dst", "rank").collect()}
+    assert a == b
+
+
+def test_kernels_and_distances_by_choice(spark):
+    pts = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "id long, x array<double>")
+    with pytest.raises(ValueError, match="unknown kernel"):
+        G.kernel_edges(pts, "gausian", 1.0)
+    e = {(r.src, r.dst): r.w for r in G.kernel_edges(pts, lambda d2, c: F.lit(c) / (d2 + 1), 2.0).collect()}
+    assert e[(0, 3)] == 0.2 and len(e) == 20
+    with pytest.raises(ValueError):
+        V.solve(line_graph(spark, 4), spark.createDataFrame([(0, 0, 1.0)], "problem_id int, id long, voltage double"), "magic")
+    square = spark.createDataFrame([(0, [0.0, 0.0]), (1, [3.0, 3.0]), (2, [0.0, 5.0])], "id long, x array<double>")
+    assert {r.id for r in C.kmeans_pp(square, 3, 1, distance="manhattan").collect()} == {0, 1, 2}
+    with pytest.raises(ValueError):
+        C.kmeans_pp(square, 2, 1, distance="no such")
