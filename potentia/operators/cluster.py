@@ -367,21 +367,19 @@ def mean_shift(points: DataFrame, bandwidth: float, *, max_iter: int = 50, tol:
 
 def mean_shift_for_count(points: DataFrame, target: int, *, lo: float = 0.01, hi: float = 10.0,
                          max_tries: int = 20) -> tuple[float, DataFrame]:
-    """Bisect the bandwidth (geometric) until the number of modes equals ``target``."""
+    """Bisect the bandwidth (geometric) until the number of modes equals ``target``; an error names
+    the nearest count if no try meets it."""
     import math
-    best = None
+    counts = {}
     for _ in range(max_tries):
-        bw = math.sqrt(lo * hi)
-        modes = mean_shift(points, bw)
-        k = modes.count()
-        best = (bw, modes)
+        bandwidth = math.sqrt(lo * hi)
+        modes = mean_shift(points, bandwidth)
+        k = counts[bandwidth] = modes.count()
         if k == target:
-            break
-        if k > target:
-            lo = bw
-        else:
-            hi = bw
-    return best
+            return bandwidth, modes
+        lo, hi = (bandwidth, hi) if k > target else (lo, bandwidth)
+    nearest = min(counts.items(), key=lambda c: abs(c[1] - target))
+    raise ValueError(f"no bandwidth gave {target} modes in {max_tries} tries; {nearest[0]:.6g} gave {nearest[1]}")
 
 
 # ----------------------------------------------------------------------------- spectral

@@ -139,27 +139,23 @@ asg AS (SELECT id, centroid_id, d2 FROM (SELECT id, centroid_id, d2,
 
 # ----------------------------------------------------------------------- projections (P*)
 @register("l2_normalize_P1", f"""
-WITH pts AS ({S.EMB_POINTS}),
-u AS (SELECT id, list_transform(x, lambda v: v / {S.norm('x')}) AS y FROM pts)
-SELECT id, round(y[1], 9) AS y0, round(y[64], 9) AS y63, round({S.norm('y')}, 9) AS norm FROM u
+WITH pts AS ({S.EMB_POINTS})
+SELECT id, list_transform(x, lambda v: round(v / {S.norm('x')}, 9)) AS y FROM pts
 """)
 def q_p1(spark, sf):
     from potentia.functions import vec
     u = emb(spark, sf).select("id", vec.l2_normalize("x").alias("y"))
-    return u.select("id", F.round(F.col("y")[0], 9).alias("y0"), F.round(F.col("y")[63], 9).alias("y63"),
-                    F.round(vec.norm("y"), 9).alias("norm"))
+    return u.select("id", F.transform("y", lambda v: F.round(v, 9)).alias("y"))
 
 
 @register("scale_P2", f"""
 WITH pts AS ({S.EMB_POINTS})
-SELECT id, round(list_transform(x, lambda v: v * {1 / 255.0!r})[1], 12) AS y0,
-       round(list_sum(list_transform(x, lambda v: v * {1 / 255.0!r})), 9) AS ysum FROM pts
+SELECT id, list_transform(x, lambda v: round(v * {1 / 255.0!r}, 9)) AS y FROM pts
 """)
 def q_p2(spark, sf):
     from potentia.functions import vec
     u = emb(spark, sf).select("id", vec.scale("x", 1 / 255.0).alias("y"))
-    return u.select("id", F.round(F.col("y")[0], 12).alias("y0"),
-                    F.round(F.aggregate("y", F.lit(0.0), lambda a, b: a + b), 9).alias("ysum"))
+    return u.select("id", F.transform("y", lambda v: F.round(v, 9)).alias("y"))
 
 
 @register("normalize_weights_P3", f"""
@@ -224,18 +220,14 @@ def q_p15(spark, sf):
                                    vec.coord("x", 2).alias("cz"))
 
 
-@register("wide_long_P16", f"""
-WITH l AS (SELECT vec_id AS id, CAST(embedding[i] AS DOUBLE) AS v, i - 1 AS problem_id
-           FROM embeddings, range(1, 65) t(i))
-SELECT id, CAST(count(*) AS INTEGER) AS n, round(first(v ORDER BY problem_id), 9) AS v_first,
-       round(first(v ORDER BY problem_id DESC), 9) AS v_last FROM l GROUP BY id
+@register("wide_long_P16", """
+SELECT vec_id AS id, i - 1 AS problem_id, round(CAST(embedding[i] AS DOUBLE), 9) AS v FROM embeddings, range(1, 65) t(i)
 """)
 def q_p16(spark, sf):
+    """Long to wide and back: every value of every point."""
     from potentia.operators import voltage as V
     lng = emb(spark, sf).select("id", F.posexplode("x").alias("problem_id", "v"))
-    w = V.wide(lng)
-    return w.select("id", F.size("v").alias("n"), F.round(F.col("v")[0], 9).alias("v_first"),
-                    F.round(F.element_at("v", -1), 9).alias("v_last"))
+    return V.long(V.wide(lng)).select("id", F.col("problem_id").cast("long").alias("problem_id"), F.round("v", 9).alias("v"))
 
 
 # ----------------------------------------------------------------------- filters (F*)
@@ -506,9 +498,9 @@ def q_a2(spark, sf):
 
 @register("running_mean_A3_A4", f"""
 WITH {ASSIGN_SQL.strip()},
-s AS (SELECT a.centroid_id, count(*) AS m, sum(p.x[1]) AS s0, sum(a.d2) AS sd2 FROM asg a JOIN pts p USING (id)
-      GROUP BY a.centroid_id)
-SELECT c.centroid_id, round((c.x[1] * 1 + coalesce(s.s0, 0)) / (1 + coalesce(s.m, 0)), 9) AS x0,
+s AS (SELECT a.centroid_id, count(*) AS m, [sum(p.x[1]), sum(p.x[2]), sum(p.x[3]), sum(p.x[4])] AS sx, sum(a.d2) AS sd2
+      FROM asg a JOIN pts p USING (id) GROUP BY a.centroid_id)
+SELECT c.centroid_id, list_transform(range(1, 5), lambda i: round((c.x[i] * 1 + coalesce(s.sx[i], 0)) / (1 + coalesce(s.m, 0)), 7)) AS x,
        CAST(1 + coalesce(s.m, 0) AS BIGINT) AS n,
        round((SELECT sum(d2) FROM asg) / (SELECT count(*) FROM asg), 12) AS mean_d2
 FROM cents c LEFT JOIN s USING (centroid_id)
@@ -518,19 +510,18 @@ def q_a3(spark, sf):
     cents = centroids100(spark, sf).withColumn("n", F.lit(1).cast("long"))
     r = C.refine(li(spark, sf), cents, 4).persist()
     tot = r.agg((F.sum("batch_d2") / F.sum("batch_n")).alias("m")).first()["m"]
-    return r.select("centroid_id", F.round(F.col("x")[0], 9).alias("x0"), "n",
+    return r.select("centroid_id", F.transform("x", lambda v: F.round(v, 7)).alias("x"), "n",
                     F.round(F.lit(tot), 12).alias("mean_d2"))
 
 
 @register("class_means_A5", f"""
-WITH pts AS ({S.EMB_POINTS})
-SELECT label, CAST(count(*) AS BIGINT) AS n, round(avg(x[1]), 9) AS m0, round(avg(x[64]), 9) AS m63
-FROM pts GROUP BY label
+WITH pts AS ({S.EMB_POINTS}),
+m AS (SELECT label, i, avg(x[i]) AS m, count(*) AS n FROM pts, range(1, 65) t(i) GROUP BY label, i)
+SELECT label, CAST(max(n) AS BIGINT) AS n, list(round(m, 9) ORDER BY i) AS center FROM m GROUP BY label
 """)
 def q_a5(spark, sf):
     m = P.mean_center(emb(spark, sf), 64, by=["label"])
-    return m.select("label", "n", F.round(F.col("center")[0], 9).alias("m0"),
-                    F.round(F.col("center")[63], 9).alias("m63"))
+    return m.select("label", "n", F.transform("center", lambda v: F.round(v, 9)).alias("center"))
 
 
 @register("degrees_A6", f"""
@@ -1429,19 +1420,6 @@ def q_e6(spark, sf):
     return E.saturated(kernel_voltages(spark, sf), 0.9)
 
 
-@register("stress_E3", f"""
-WITH cents AS ({CENTROID_SAMPLE_SQL}),
-p AS (SELECT a.centroid_id AS i, b.centroid_id AS j, sqrt({S.d2('a.x', 'b.x')}) AS d,
-             sqrt({S.d2('a.x[1:2]', 'b.x[1:2]')}) AS e FROM cents a JOIN cents b ON a.centroid_id < b.centroid_id)
-SELECT round(sum(pow(e - d, 2)), 9) AS stress FROM p
-""")
-def q_e3(spark, sf):
-    from potentia.operators import embed as EM
-    c = centroids100(spark, sf).select(F.col("centroid_id").alias("id"), "x")
-    layout = c.select("id", F.slice("x", 1, 2).alias("y"))
-    return EM.stress(layout, c).select(F.round("stress", 9).alias("stress"))
-
-
 @register("inlier_view_E5", f"""
 WITH p AS ({PART2_SQL}),
 c AS (SELECT avg(x[1]) AS c0, avg(x[2]) AS c1 FROM p),
@@ -1465,13 +1443,14 @@ seeds AS (SELECT label, CAST(label AS BIGINT) * 3 + rk - 1 AS centroid_id, x FRO
 d AS (SELECT p.id, s.centroid_id, {S.d2('p.x', 's.x')} AS d2 FROM pts p JOIN seeds s ON s.label = p.label),
 a AS (SELECT id, centroid_id FROM (SELECT id, centroid_id, row_number() OVER (PARTITION BY id ORDER BY d2, centroid_id)
       AS rk FROM d) WHERE rk = 1)
-SELECT a.centroid_id, CAST(count(*) AS BIGINT) AS n, round(avg(p.x[1]), 9) AS m0
-FROM a JOIN pts p USING (id) GROUP BY a.centroid_id
+SELECT centroid_id, max(n) AS n, list(round(m, 9) ORDER BY i) AS x FROM (
+  SELECT a.centroid_id, i, CAST(count(*) AS BIGINT) AS n, avg(p.x[i]) AS m
+  FROM a JOIN pts p USING (id), range(1, 65) t(i) GROUP BY a.centroid_id, i) GROUP BY centroid_id
 """)
 def q_c4(spark, sf):
     from potentia.operators import cluster as C
     c = C.per_class_centroids(emb(spark, sf), 3, 13, 64, iters=1)
-    return c.select("centroid_id", "n", F.round(F.col("x")[0], 9).alias("m0"))
+    return c.select("centroid_id", "n", F.transform("x", lambda v: F.round(v, 9)).alias("x"))
 
 
 # ----------------------------------------------------------------------- rows-only (random / iterative ML)
@@ -1637,19 +1616,28 @@ def q_c11(spark, sf):
     return r.select(F.round("dimension", 6).alias("dimension"))
 
 
+_C8_CENTS = "cents AS (SELECT CAST(i - 1 AS BIGINT) AS centroid_id, fin.cx[i] AS x FROM fin, range(1, len(fin.cx) + 1) t(i))"
+
+
+def c8_centroids(spark, sf):
+    """The whole of lineitem compressed to 100 centroids."""
+    from potentia.operators import cluster as C
+    cents = C.streaming_kmeans(li(spark, sf), max_centroids=100, init_size=1000, seed=0).centroids
+    return cents.select(F.col("centroid_id").alias("id"), "x").persist()
+
+
 def _meanshift_sql(bw: float = 0.3, iters: int = 50) -> str:
     r2 = f"({bw!r} * {bw!r})"
-    return f"""
-WITH RECURSIVE
-cents AS ({CENTROID_SAMPLE_SQL}),
+    return _skm_sql() + f""",
+{_C8_CENTS},
 p AS (SELECT centroid_id AS id, x FROM cents),
 ms AS (SELECT 0 AS it, id, x FROM p
        UNION ALL
        SELECT m.it + 1, m.id, [avg(q.x[1]), avg(q.x[2]), avg(q.x[3]), avg(q.x[4])]
        FROM ms m JOIN p q ON {S.d2('m.x', 'q.x')} <= {r2}
        WHERE m.it < {iters} GROUP BY m.it, m.id),
-fin AS (SELECT id, x FROM ms WHERE it = {iters}),
-cand AS (SELECT f.id, f.x, count(*) AS n FROM fin f JOIN p q ON {S.d2('f.x', 'q.x')} <= {r2} GROUP BY f.id, f.x),
+mfin AS (SELECT id, x FROM ms WHERE it = {iters}),
+cand AS (SELECT f.id, f.x, count(*) AS n FROM mfin f JOIN p q ON {S.d2('f.x', 'q.x')} <= {r2} GROUP BY f.id, f.x),
 ordc AS (SELECT id, x, n, row_number() OVER (ORDER BY n DESC, id) AS pos FROM cand),
 keep AS (SELECT 0 AS pos, CAST([] AS DOUBLE[][]) AS kx, CAST([] AS BIGINT[]) AS kn
          UNION ALL
@@ -1660,7 +1648,7 @@ keep AS (SELECT 0 AS pos, CAST([] AS DOUBLE[][]) AS kx, CAST([] AS BIGINT[]) AS
                      THEN list_append(k.kn, o.n) ELSE k.kn END
          FROM keep k JOIN ordc o ON o.pos = k.pos + 1),
 last AS (SELECT * FROM keep ORDER BY pos DESC LIMIT 1)
-SELECT CAST(i - 1 AS BIGINT) AS mode_id, last.kn[i] AS n, round(last.kx[i][1], 6) AS x0, round(last.kx[i][2], 6) AS x1
+SELECT CAST(i - 1 AS BIGINT) AS mode_id, last.kn[i] AS n, list_transform(last.kx[i], lambda v: round(v, 6)) AS x
 FROM last, range(1, len(last.kx) + 1) t(i)
 """
 
@@ -1668,9 +1656,20 @@ FROM last, range(1, len(last.kx) + 1) t(i)
 @register("mean_shift_C12", _meanshift_sql())
 def q_c12(spark, sf):
     from potentia.operators import cluster as C
-    c = centroids100(spark, sf).select(F.col("centroid_id").alias("id"), "x")
-    m = C.mean_shift(c, 0.3)
-    return m.select("mode_id", "n", F.round(F.col("x")[0], 6).alias("x0"), F.round(F.col("x")[1], 6).alias("x1"))
+    m = C.mean_shift(c8_centroids(spark, sf), 0.3)
+    return m.select("mode_id", "n", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+
+
+@register("stress_E3", _skm_sql() + f""",
+{_C8_CENTS},
+p AS (SELECT a.centroid_id AS i, b.centroid_id AS j, sqrt({S.d2('a.x', 'b.x')}) AS d,
+             sqrt({S.d2('a.x[1:2]', 'b.x[1:2]')}) AS e FROM cents a JOIN cents b ON a.centroid_id < b.centroid_id)
+SELECT round(sum(pow(e - d, 2)), 6) AS stress FROM p
+""")
+def q_e3(spark, sf):
+    from potentia.operators import embed as EM
+    c = c8_centroids(spark, sf)
+    return EM.stress(c.select("id", F.slice("x", 1, 2).alias("y")), c).select(F.round("stress", 6).alias("stress"))
 
 
 @register("spectral_C13")
@@ -1689,8 +1688,7 @@ def q_e1(spark, sf):
 @register("mds_E2")
 def q_e2(spark, sf):
     from potentia.operators import embed as EM
-    c = centroids100(spark, sf).select(F.col("centroid_id").alias("id"), "x")
-    return EM.mds_2d(c, iters=30)
+    return EM.mds_2d(c8_centroids(spark, sf))
 
 
 V4_SQL = f"""

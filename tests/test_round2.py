@@ -159,3 +159,13 @@ def test_kernels_and_distances_by_choice(spark):
     assert {r.id for r in C.kmeans_pp(square, 3, 1, distance="manhattan").collect()} == {0, 1, 2}
     with pytest.raises(ValueError):
         C.kmeans_pp(square, 2, 1, distance="no such")
+
+
+def test_mean_shift_bisects_to_the_count(spark):
+    rng = np.random.default_rng(1)
+    x = np.vstack([c + rng.normal(size=(12, 2)) * 0.05 for c in ((0, 0), (3, 0), (0, 3))])
+    pts = spark.createDataFrame([(i, [float(a), float(b)]) for i, (a, b) in enumerate(x)], "id long, x array<double>")
+    bandwidth, modes = C.mean_shift_for_count(pts, 3)
+    assert modes.count() == 3 and sorted(r.n for r in modes.collect()) == [12, 12, 12]
+    with pytest.raises(ValueError, match="no bandwidth"):
+        C.mean_shift_for_count(pts, 1000, max_tries=2)
