@@ -42,7 +42,7 @@ from potentia.llm.textio import slices, stage, utf8_buffer, word_hashes
 from potentia.session import checkpoint_dir
 
 END = np.uint64(0x5EED0E0D0E0D5EED)
-BLOCK_TOKENS = 3 << 20
+BLOCK_TOKENS = 2 << 20
 _OVER = 255  # pair counts from here on are kept apart
 
 
