@@ -22,7 +22,7 @@ from potentia.session import checkpoint_dir, cut_lineage
 
 #: Sweeps between two checkpoints. A sweep reads the state twice, so the logical plan doubles with
 #: each sweep until a checkpoint cuts it.
-CHECKPOINT_EVERY = 4
+CHECKPOINT_EVERY = 2
 
 
 class NotConverged(RuntimeError):
