@@ -49,7 +49,7 @@ def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    model = knlm.train(docs.where(fold_of("doc_id", 5) != 1))
+    model = knlm.train(docs.where(fold_of("doc_id", 5) != 1), order=3)
     return (knlm.score(docs, model)
             .select("doc_id", (fold_of("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                     "base_score", "score"))

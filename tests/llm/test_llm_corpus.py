@@ -82,6 +82,75 @@ def test_model_equals_dictionaries(spark):
     assert math.isclose(sum(p("the", w) for w in uni) + p("the", "never"), 1.0, rel_tol=1e-9)
 
 
+def plain_trigrams(train):
+    """log10 P(word | two words) by dictionaries; a first word has the start alone as context."""
+    uni, bi, tri = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in train:
+        x = ["<s>", *words(t), "</s>"]
+        uni.update(x[1:])
+        bi.update(zip(x, x[1:]))
+        tri.update(zip(x, x[1:], x[2:]))
+    before = collections.Counter((u, w) for _, u, w in tri)
+    adjusted = {(u, w): c if u == "<s>" else before[u, w] for (u, w), c in bi.items()}
+    counts = [collections.Counter(w for _, w in bi), adjusted, tri]
+    d = []
+    for c in counts:
+        seen = collections.Counter(c.values())
+        d.append([0, *knlm._discounts(np.array([seen[k] for k in (1, 2, 3, 4)]))])
+    spare = sum(d[0][min(b, 3)] for b in counts[0].values()) / len(bi)
+    sums = {}
+    for order in (1, 2):
+        for key, c in counts[order].items():
+            s = sums.setdefault(key[:-1], [0, 0.0])
+            s[0] += c
+            s[1] += d[order][min(c, 3)]
+
+    def p(context, w):
+        if not context:
+            b = counts[0].get(w, 0)
+            return max(b - d[0][min(b, 3)], 0) / len(bi) + spare / (len(uni) + 1)
+        lower, k = p(context[1:], w), len(context)
+        if context not in sums:
+            return lower
+        c, (total, left) = counts[k].get((*context, w), 0), sums[context]
+        return max(c - d[k][min(c, 3)], 0) / total + left / total * lower
+
+    return uni, p
+
+
+def test_order_3_equals_dictionaries(spark):
+    rows = lm_rows() + [(i, " ".join(["hot", "pair", f"x{i * 7 % 300}"] * 3)) for i in range(300, 700)] + [(901, "rare once"), (902, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    model = knlm.train(df.where("doc_id % 3 != 0"), ranges=9, order=3)
+    uni, p = plain_trigrams([t for i, t in rows if i is not None and i % 3])
+    width = model.words + 1
+    assert any(b % width for b in model.trigram_bounds)  # a common pair is cut
+    texts = collections.defaultdict(list)
+    for i, t in rows:
+        texts[i].append(t)
+    for r in knlm.score(df, model).collect():
+        x = ["<s>", *words(texts[r.doc_id][0]), "</s>"]
+        want = sum(math.log10(p(tuple(x[max(0, i - 2):i]), x[i])) for i in range(1, len(x)))
+        assert math.isclose(r.score, want, rel_tol=1e-9)
+    for context in (("w1", "w2"), ("hot", "pair"), ("<s>", "hot"), ("never", "w1"), ("<s>",)):
+        assert math.isclose(sum(p(context, w) for w in uni) + p(context, "never"), 1.0, rel_tol=1e-9)
+    short = spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "doc_id long, text string")
+    for rows_ in (short.limit(0), short.where("doc_id > 1"), short):
+        small, (_, q) = knlm.train(rows_, ranges=2, order=3), plain_trigrams([r.text for r in rows_.collect()] or [""])
+        for r in knlm.score(short, small).collect():
+            x = ["<s>", *words({1: "a"}.get(r.doc_id, "")), "</s>"]
+            want = sum(math.log10(q(tuple(x[max(0, i - 2):i]), x[i])) for i in range(1, len(x))) if small.words else 0.0
+            assert math.isclose(r.score, want, rel_tol=1e-9)
+    with pytest.raises(ValueError, match="order"):
+        knlm.train(df, order=4)
+
+
+def test_registered_language_model_sees_two_words(spark, monkeypatch):
+    orders, plain = [], knlm.train
+    monkeypatch.setattr(knlm, "train", lambda *a, **b: orders.append((m := plain(*a, **b)).order) or m)
+    assert Q.op6_lm_score(spark, SF).count() and orders == [3]
+
+
 def test_model_of_nothing(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = knlm.train(df.limit(0))
