@@ -144,8 +144,9 @@ def infer(texts: list[str | None], model: np.ndarray, rounds: int = 12, tol: flo
 
 
 def _identify(texts: list[str | None], languages: list[str], model: np.ndarray, smooth: float):
-    """(language, score, size of the language set) of each text."""
+    """(language, score, size of the language set, unsmoothed share of the words) of each text."""
     pred, score, sets = [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), np.int32)
+    plain = np.zeros(len(texts))
     rows, pi, size = infer(texts, model)
     if len(rows):
         top = pi.argmax(axis=1)
@@ -153,7 +154,8 @@ def _identify(texts: list[str | None], languages: list[str], model: np.ndarray,
         for i, r in enumerate(rows.tolist()):
             if _LETTER.search(texts[r]):
                 pred[r], score[r], sets[r] = languages[top[i]], share[i], (pi[i] > 0).sum()
-    return pred, score, sets
+                plain[r] = pi[i].max()
+    return pred, score, sets, plain
 
 
 def predict(docs: DataFrame, languages: list[str], model: np.ndarray, smooth: float = 0.25) -> DataFrame:
@@ -166,7 +168,7 @@ def predict(docs: DataFrame, languages: list[str], model: np.ndarray, smooth: fl
         table = shared.value
 
         def one(piece):
-            pred, score, sets = _identify(piece.column("text").to_pylist(), languages, table, smooth)
+            pred, score, sets, _ = _identify(piece.column("text").to_pylist(), languages, table, smooth)
             return pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), pa.array(sets)],
                                               ["doc_id", "lang_pred", "score", "n_langs"])
         yield from per_slice(one)(batches)
@@ -174,8 +176,9 @@ def predict(docs: DataFrame, languages: list[str], model: np.ndarray, smooth: fl
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_langs int")
 
 
-def keep_identified(docs: DataFrame, training: Column, least: float = 0.34, smooth: float = 0.25) -> DataFrame:
-    """Rows whose language is identified with a share of at least ``least``; columns unchanged.
+def keep_identified(docs: DataFrame, training: Column, least: float = 1 / 3, smooth: float = 0.25) -> DataFrame:
+    """Rows of which an identified language has at least the share ``least`` of the words, not
+    smoothed, so that it does not depend on how many languages there are; columns unchanged.
 
     ``training`` says which rows teach the model."""
     languages, model = train(docs.where(training))
@@ -185,8 +188,9 @@ def keep_identified(docs: DataFrame, training: Column, least: float = 0.34, smoo
         table = shared.value
 
         def one(piece):
-            pred, score, _ = _identify(piece.column("text").to_pylist(), languages, table, smooth)
-            return piece.filter(pa.array([p != UND and s >= least for p, s in zip(pred, score.tolist())], pa.bool_()))
+            pred, _, _, plain = _identify(piece.column("text").to_pylist(), languages, table, smooth)
+            # the EM stops within 2e-3 of a proportion
+            return piece.filter(pa.array([p != UND and s >= least - 2e-3 for p, s in zip(pred, plain.tolist())], pa.bool_()))
         yield from per_slice(one)(batches)
 
     return docs.mapInArrow(run, docs.schema)

@@ -66,6 +66,22 @@ def test_too_many_languages_is_an_error(spark):
         langid.train(df, max_languages=1)
 
 
+def test_keep_identified_with_many_languages(spark):
+    rng = np.random.default_rng(4)
+
+    def text(k, n):
+        return " ".join("".join(chr(0x4E00 + 100 * k + c) for c in rng.integers(0, 12, 4)) for _ in range(n))
+
+    rows = [(f"l{k}", text(k, 400)) for k in range(50)]
+    short = [(None, text(k, n)) for k in range(50) for n in (1, 2, 6)]
+    third = [(None, " ".join(text(k, n) for k, n in ((a, 10), (a + 1, 7), (a + 2, 7), (a + 3, 6)))) for a in range(0, 40, 4)]
+    scattered = [(None, " ".join(text(k, 10) for k in range(a, a + 5))) for a in range(0, 50, 5)]
+    df = spark.createDataFrame(rows + short + third + scattered, "lang string, text string").coalesce(2)
+    kept = {r.text for r in langid.keep_identified(df, df.lang.isNotNull()).collect()}
+    assert {t for _, t in rows + short + third} <= kept
+    assert not kept & {t for _, t in scattered}
+
+
 def test_keep_identified_keeps_columns(spark):
     df = odd_rows(spark)
     out = langid.keep_identified(df, df.lang.isNotNull())
