@@ -16,9 +16,9 @@ group returns at most k rows a query. The ``first`` nearest lists of a query are
 others, whose scans start from the k-th distance found there.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows
-with a null vec_id, take no part, as vectors of another length than the most frequent one (the
-shortest, if tied); a row repeated as a whole counts once; rows of the query's own vec_id are not its
-candidates; ties go to the smaller vec_id; a query with fewer than k candidates returns them all; an
+with a null vec_id, take no part; vectors of each length are indexed and searched on their own, one length
+after another, so a candidate has the query's length; a row repeated as a whole counts once; rows of the query's own vec_id are not its
+candidates; ties go to the smaller vec_id; a vec_id that asks at several lengths gets its k nearest over all of them; a query with fewer than k candidates returns them all; an
 empty table gives an empty one; extra columns are ignored.
 """
 
@@ -91,11 +91,29 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, probe_share: float
     ident = vectors.schema["vec_id"].dataType.simpleString()
     kind = vectors.schema["embedding"].dataType.simpleString()
     good = usable(vectors.where("vec_id IS NOT NULL").select("vec_id", "embedding", queries.alias("_query")))
-    dims = good.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    if not dims:
+    dims = good.groupBy("dim").agg(F.count(F.lit(1)).alias("count"), F.max("_query").alias("asked")).orderBy(F.desc("count"), "dim").collect()
+    found = [_search(good.where(F.col("dim") == r["dim"]).select("vec_id", "embedding", "_query"), r["dim"], r["count"], k, probe_share,
+                     least_probes, first, max_lists, sample_rows, sample_bytes, strictness, block, chunk_rows, chunk_queries)
+             for r in dims if r["asked"]]
+    if not found:
         return vectors.sparkSession.createDataFrame([], f"query_id {ident}, rank int, vec_id {ident}, score double")
-    dim, n = dims[0]["dim"], dims[0]["count"]
-    good = good.where(F.col("dim") == dim).select("vec_id", "embedding", "_query")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return _best(out, k).select("query_id", "rank", "vec_id", "score") if len(found) > 1 else out
+
+
+def _best(near: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return near.select("query_id", "vec_id", "score").distinct().withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _search(good: DataFrame, dim: int, n: int, k: int, probe_share: float, least_probes: int, first: int, max_lists: int, sample_rows: int,
+            sample_bytes: int, strictness: float, block: int, chunk_rows: int, chunk_queries: int) -> DataFrame:
+    """``search`` over the ``n`` vectors of one length."""
+    ident = good.schema["vec_id"].dataType.simpleString()
+    kind = good.schema["embedding"].dataType.simpleString()
     most = max(1, min(sample_rows, sample_bytes // (8 * dim)))
     sample = good.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).collect()
     turn = rotation(dim, 8)
@@ -170,14 +188,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, probe_share: float
             meet, f"query_id {ident}, vec_id {ident}, score double")
         return stage(near, "ann-near")
 
-    def best(near: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-        return near.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
-
     start = scanned(asked.where(F.col("place") < first).withColumn("bound", F.lit(float("inf"))))
-    bounds = (best(start).where(F.col("rank") == k)
+    bounds = (_best(start, k).where(F.col("rank") == k)
               # a little above the k-th distance, so that rounding loses no tie
               .select(F.col("query_id").alias("_id"), (F.col("score") * F.col("score") * (1 + 1e-9)).alias("_bound")))
     rest = (asked.where(F.col("place") >= first).join(bounds, F.col("query_id") == F.col("_id"), "left")
             .withColumn("bound", F.coalesce("_bound", F.lit(float("inf")))))
-    return best(start.unionByName(scanned(rest))).select("query_id", "rank", "vec_id", "score")
+    return _best(start.unionByName(scanned(rest)), k).select("query_id", "rank", "vec_id", "score")

@@ -204,3 +204,20 @@ def test_neighbours_fewer_than_k_and_ties(spark):
     assert [(r.vec_id, r.score) for r in got] == [(2, 1.0), (3, 1.0), (7, 1.0)]
     assert ann.search(df.limit(0), F.col("vec_id") == 0).count() == 0
     assert ann.search(df, F.lit(False)).count() == 0
+
+
+def test_neighbours_of_each_length(spark):
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8 if i < 40 else 5 if i < 60 else 3).tolist()) for i in range(61)] + [(2, rng.normal(size=5).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id").isin(2, 45, 60), k=4)
+    near = {}
+    for q, x in rows:
+        if q in (2, 45, 60):
+            near.setdefault(q, []).extend((float(np.sqrt(((np.array(x) - y) ** 2).sum())), v) for v, y in rows if v != q and len(y) == len(x))
+    for q in (2, 45, 60):  # 60 is alone with its length
+        want = sorted(near[q])[:4]
+        mine = sorted((r.rank, r.vec_id, r.score) for r in got.collect() if r.query_id == q)
+        assert [m[1] for m in mine] == [w[1] for w in want] and np.allclose([m[2] for m in mine], [w[0] for w in want])
+        assert [m[0] for m in mine] == list(range(1, len(want) + 1))
