@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from potentia.llm import ann, bpe, capdedup, chat, knlm, langid, mixing, secrets, simhash, toxicity
+from potentia.llm import ann, bpe, capdedup, chat, knlm, langid, mixing, secrets, simhash, toxicity, trie
 from potentia.llm.textio import fold_of
 from potentia.sources.tables import load
 
@@ -71,8 +71,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(load(spark, sf_dir, "conversations"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(load(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_secret_scan, op4_toxicity, op5_simhash_dedup, op6_lm_score, op7_mix_sources,
-                                    op8_nearest_neighbours, op9_embedding_dedup, op10_chat_format)}
+                                    op8_nearest_neighbours, op9_embedding_dedup, op10_chat_format, op13_conversation_trie)}
 
 ORACLES: dict[str, str] = {
     # whole prefixes instead of hashes: a signature is the list of md5s of the turns so far
@@ -91,4 +95,35 @@ SELECT p.conv_id, CAST((p.pos - 1) // 256 AS BIGINT) AS part, kept.n AS n_turns,
                   ORDER BY p.pos) AS text
 FROM p JOIN kept ON p.conv_id IS NOT DISTINCT FROM kept.conv_id
 GROUP BY p.conv_id, (p.pos - 1) // 256, kept.n, kept.n_copies""",
+    # crc32 bit by bit; nodes by the md5s of their turns; subtrees by the members' own prefixes
+    "op13_conversation_trie": """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+      FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS host,
+             xor(4294967295, list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+               lambda acc, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END),
+                                          xor(acc, b)), CAST(4294967295 AS BIGINT))) % 9 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.host AND t.pos <= c.h
+      UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+d AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, role, text FROM r),
+p AS (SELECT conv_id, depth, octet_length(encode(text)) AS bytes,
+             md5(string_agg(md5('r' || role || chr(31) || text), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS sig FROM d
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT depth, sig, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes FROM p GROUP BY depth, sig),
+m AS (SELECT p.conv_id AS member, p.depth, n.conv_id FROM p JOIN n USING (depth, sig)),
+up AS (SELECT n.conv_id, n.depth, n.n_convs, n.bytes, m.conv_id AS parent FROM n LEFT JOIN m ON m.member = n.conv_id AND m.depth = n.depth - 1),
+kids AS (SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY ALL),
+sums AS (SELECT m.conv_id, m.depth, count(*) FILTER (kids.n_children IS NULL) AS n_leaves, sum((up.n_convs - 1) * up.bytes) AS saved
+         FROM up LEFT JOIN kids ON kids.conv_id = up.conv_id AND kids.depth = up.depth
+         JOIN m ON m.member = up.conv_id AND m.depth <= up.depth GROUP BY ALL),
+last AS (SELECT member, max(depth) AS depth FROM m GROUP BY member),
+ends AS (SELECT m.conv_id, m.depth, string_agg(CAST(m.member AS VARCHAR), ',' ORDER BY m.member) AS ids
+         FROM last JOIN m ON m.member = last.member AND m.depth = last.depth GROUP BY ALL)
+SELECT up.conv_id, up.depth, up.parent AS parent_conv_id, up.n_convs, CAST(coalesce(kids.n_children, 0) AS BIGINT) AS n_children,
+       CAST(sums.n_leaves AS BIGINT) AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends.ids, '')) AS ends_sha256
+FROM up LEFT JOIN kids ON kids.conv_id = up.conv_id AND kids.depth = up.depth
+JOIN sums ON sums.conv_id = up.conv_id AND sums.depth = up.depth
+LEFT JOIN ends ON ends.conv_id = up.conv_id AND ends.depth = up.depth""",
 }
