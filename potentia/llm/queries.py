@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from potentia.llm import ann, bpe, capdedup, chat, knlm, langid, mixing, secrets, simhash, toxicity, trie
+from potentia.llm import ann, bpe, capdedup, chat, knlm, langid, mixing, secrets, simhash, toxicity, trie, warc
 from potentia.llm.textio import fold_of
 from potentia.sources.tables import load
 
@@ -71,12 +71,18 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(load(spark, sf_dir, "conversations"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(load(spark, sf_dir, "pages"), least=1000)
+    return (warc.read_archives(spark, archives.folder)
+            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(load(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_secret_scan, op4_toxicity, op5_simhash_dedup, op6_lm_score, op7_mix_sources,
-                                    op8_nearest_neighbours, op9_embedding_dedup, op10_chat_format, op13_conversation_trie)}
+                                    op8_nearest_neighbours, op9_embedding_dedup, op10_chat_format, op11_warc, op13_conversation_trie)}
 
 ORACLES: dict[str, str] = {
     # whole prefixes instead of hashes: a signature is the list of md5s of the turns so far
@@ -95,6 +101,15 @@ SELECT p.conv_id, CAST((p.pos - 1) // 256 AS BIGINT) AS part, kept.n AS n_turns,
                   ORDER BY p.pos) AS text
 FROM p JOIN kept ON p.conv_id IS NOT DISTINCT FROM kept.conv_id
 GROUP BY p.conv_id, (p.pos - 1) // 256, kept.n, kept.n_copies""",
+    "op11_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS bytes FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS target,
+             row_number() OVER (PARTITION BY page_id, html) - 1 AS nth FROM p)
+SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN bytes >= 1000 AND page_id IS DISTINCT FROM target THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN bytes >= 1000 AND page_id IS DISTINCT FROM target THEN target END AS refers_to,
+       'urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || ':' || sha1(html) || ':' || nth AS record_id
+FROM t""",
     # crc32 bit by bit; nodes by the md5s of their turns; subtrees by the members' own prefixes
     "op13_conversation_trie": """
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
