@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from potentia.llm import ann, bpe, capdedup, chat, knlm, langid, mixing, secrets, simhash, toxicity, trie, warc
+from potentia.llm import ann, bpe, capdedup, chat, covertree, knlm, langid, mixing, secrets, simhash, toxicity, trie, warc
 from potentia.llm.textio import fold_of
 from potentia.sources.tables import load
 
@@ -77,12 +77,17 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return covertree.mine(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, relabel=moved)
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.conversation_trie(load(spark, sf_dir, "conversations"))
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_byte_bpe, op3_secret_scan, op4_toxicity, op5_simhash_dedup, op6_lm_score, op7_mix_sources,
-                                    op8_nearest_neighbours, op9_embedding_dedup, op10_chat_format, op11_warc, op13_conversation_trie)}
+                                    op8_nearest_neighbours, op9_embedding_dedup, op10_chat_format, op11_warc, op12_hard_negatives, op13_conversation_trie)}
 
 ORACLES: dict[str, str] = {
     # whole prefixes instead of hashes: a signature is the list of md5s of the turns so far
@@ -110,6 +115,23 @@ SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, sha1(html) AS payload_di
        CASE WHEN bytes >= 1000 AND page_id IS DISTINCT FROM target THEN target END AS refers_to,
        'urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || ':' || sha1(html) || ':' || nth AS record_id
 FROM t""",
+    "op12_hard_negatives": """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+           FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same,
+             CAST(list_sum(list_transform(list_zip(a.x, v.x), lambda t: t[1] * t[2])) AS BIGINT) AS score
+      FROM v a JOIN v ON (v.vec_id <> a.vec_id OR v.label <> a.label) AND len(v.x) = len(a.x) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score,
+       s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 10""",
     # crc32 bit by bit; nodes by the md5s of their turns; subtrees by the members' own prefixes
     "op13_conversation_trie": """
 WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
