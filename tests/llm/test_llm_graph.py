@@ -164,6 +164,45 @@ def test_embeddings_links_recall(spark):
     assert sum(got.values()) >= 0.9 * (m.sum() - len(x))
 
 
+def planted(spark, seed=6):
+    """The given embeddings with near copies, a large group of near copies and one of equal vectors."""
+    p = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    rng = np.random.default_rng(seed)
+    base = np.stack(p.embedding).astype(float)
+    turns = lambda x, amount: x + rng.normal(size=x.shape) * amount * np.linalg.norm(x, axis=-1, keepdims=True) / 8
+    near = turns(base[:200], rng.uniform(0.1, 0.5, (200, 1)))
+    group = turns(np.repeat(base[300:301], 250, axis=0), 0.22)
+    same = np.repeat(base[301:302], 120, axis=0)
+    x = np.concatenate([base, near, group, same]).astype(np.float32)
+    label = np.concatenate([p.label, p.label[:200], np.repeat(p.label[300], 250), np.repeat(p.label[301], 120)])
+    rows = [(int(i), v.tolist(), int(lab)) for i, (v, lab) in enumerate(zip(x, label))]
+    return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+@pytest.mark.parametrize("parts, filter_rows", [(1, 4096), (7, 60)])
+def test_planted_links_recall(spark, parts, filter_rows):
+    rows, df = planted(spark)
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    lab = np.array([r[2] for r in rows])
+    m = (x @ x.T >= 0.93) & (lab[:, None] == lab[None, :])
+    np.fill_diagonal(m, False)
+    want = np.arange(len(rows))
+    unite(want, *np.nonzero(m))
+    got = {r.vec_id: r for r in capdedup.near_duplicates(df.repartition(parts), 0.93, filter_rows=filter_rows).collect()}
+    n = np.array([got[i].n_links for i in range(len(rows))])
+    assert m.sum() > 40_000 and n.sum() >= 0.99 * m.sum() and (n <= m.sum(axis=1)).all()
+    same = np.flatnonzero((x == x[-1]).all(axis=1))
+    assert len(same) == 121 and len({got[i].component_id for i in same}) == 1
+    assert np.mean([got[i].component_id == want[i] for i in range(len(rows))]) >= 0.995
+
+
+def test_one_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [0.0, 1.0], 0), (4, [0.0, 1.0], 0), (2, [0.0, 1.0], 0), (5, [1.0, 0.0], 1)]
+    out = capdedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == [(1, 1, 1), (2, 3, 1), (2, 3, 1), (3, 2, 1), (4, 2, 1), (5, 0, 5)]
+
+
 def test_neighbours_recall_and_exact_scores(spark):
     got = Q.op8_nearest_neighbours(spark, SF).toPandas()
     p = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
