@@ -305,80 +305,88 @@ def intrinsic_dimension(points: DataFrame, d: int, ks: list[int], seed: int) ->
 
 
 # ----------------------------------------------------------------------------- mean shift
-def _within_partition(batches, bc, r2: float):
-    import numpy as np
-    import pandas as pd
-    ids, mat = bc.value
-    for pdf in batches:
-        if len(pdf) == 0:
-            continue
-        q = np.stack(pdf["x"].to_numpy()).astype(float)
-        qids = pdf["id"].to_numpy(dtype=np.int64)
-        step = max(1, 4_000_000 // max(ids.shape[0], 1))
-        for s in range(0, q.shape[0], step):
-            dist = N._sq_dists(q[s:s + step], mat)
-            r, c = np.nonzero(dist <= r2)
-            yield pd.DataFrame({"src": qids[s:s + step][r], "dst": ids[c]})
-
-
-def mean_shift(points: DataFrame, bandwidth: float, *, max_iter: int = 50, tol: float = 1e-6,
-               max_points: int = 50_000) -> DataFrame:
+def mean_shift(points: DataFrame, bandwidth: float | list[float], *, max_iter: int = 50, tol: float = 1e-6, **index) -> DataFrame:
     """Flat-kernel mean shift. Every point starts a mode; each step moves a mode to the
-    mean of the points within ``bandwidth`` (a broadcast-index radius search over a bounded
-    point set), until no mode moves more than ``tol``. Converged modes closer than the
-    bandwidth merge, the one with more points in reach kept (ties: lower id).
-    Returns ``mode_id, x, n`` (n = points within bandwidth of the mode)."""
-    import numpy as np
-    spark = points.sparkSession
-    from potentia.session import ship_package
-    ship_package(spark)
-    n = points.count()
-    if n > max_points:  # checked before anything is collected
-        raise ValueError(f"mean_shift is bounded to {max_points} points, got {n}")
-    pdf = points.select("id", "x").toPandas().sort_values("id")
-    ids = pdf["id"].to_numpy(dtype=np.int64)
-    mat = np.stack(pdf["x"].to_numpy()).astype(float)
-    bc = spark.sparkContext.broadcast((ids, mat))
-    modes = points.select("id", "x")
-    r2 = float(bandwidth) ** 2
-    xs = points.select(F.col("id").alias("dst"), F.col("x").alias("px"))
-    d = mat.shape[1]
+    mean of the points within ``bandwidth`` (a radius search on the metric index, whose sums are
+    folded where the points lie), until no mode moves more than ``tol``. Converged modes closer than
+    the bandwidth merge, the one with more points in reach kept (ties: lower id).
+
+    Several bandwidths are problems of the same jobs. Merging is the greedy choice by (n, id) in
+    rounds: a mode stays when it is the densest undecided one within its reach, and takes away those
+    it reaches. Neither points nor modes are collected and their number is not limited; ``index``
+    goes to :class:`RadiusIndex`. A mode that has not come to rest after ``max_iter`` steps is taken as
+    it is. Returns ``problem_id, mode_id, x, n`` (n = points within bandwidth of the mode, mode ids in
+    order of density), without ``problem_id`` for a single bandwidth."""
+    from potentia.operators import radius as R
+    from potentia.operators.ranking import rank_in_groups
+    several = not isinstance(bandwidth, (int, float))
+    widths = [float(b) for b in (bandwidth if several else [bandwidth])]
+    base = cut_lineage(points.select("id", "x"))
+    found = R.RadiusIndex(base, **index)
+    # a mode is named by its problem and its place among the points: one long
+    numbered = rank_in_groups(base, ["id"]).select(F.col("_rank").alias("no"), "x")
+    problem = F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in range(len(widths))]).alias("p"), F.array(*[F.lit(b) for b in widths]).alias("r")))
+    modes = cut_lineage(numbered.select("no", "x", problem.alias("_p"))
+                        .select((F.col("_p.p").cast("long") * found.n + F.col("no")).alias("id"), "x", F.col("_p.r").alias("r")))
+    resting = None  # modes that moved no more than rounding: the points stand still, so they stay
     for _ in range(max_iter):
-        near = modes.mapInPandas(lambda it: _within_partition(it, bc, r2), "src long, dst long")
-        j = near.join(xs, "dst")
-        new = j.groupBy(F.col("src").alias("id")).agg(
-            F.array(*[F.avg(F.col("px")[i]) for i in range(d)]).alias("x"), F.count(F.lit(1)).alias("n"))
-        new = cut_lineage(new)
-        moved = (new.join(modes.select("id", F.col("x").alias("old")), "id")
-                 .agg(F.max(vec.sq_dist("x", "old"))).first()[0])
-        modes = new.select("id", "x")
-        if moved is None or moved <= tol * tol:
+        near = R.radius_sums(found, modes)
+        step = cut_lineage(modes.join(near, "id").select(
+            "id", F.transform("sx", lambda v: v / F.col("n")).alias("x"), "r", vec.sq_dist(F.transform("sx", lambda v: v / F.col("n")), F.col("x")).alias("moved")))
+        far = step.agg(F.max("moved").alias("m"), F.count_if(F.col("moved") > (tol * 1e-6) ** 2).alias("left")).first()
+        rest = step.where(F.col("moved") <= (tol * 1e-6) ** 2).select("id", "x", "r")
+        resting = rest if resting is None else resting.unionByName(rest)
+        modes = step.where(F.col("moved") > (tol * 1e-6) ** 2).select("id", "x", "r")
+        if far["m"] is None or far["m"] <= tol * tol:
             break
-    near = modes.mapInPandas(lambda it: _within_partition(it, bc, r2), "src long, dst long")
-    cnt = near.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    cand = modes.join(cnt, "id").orderBy(F.col("n").desc(), "id").toPandas()  # bounded (<= max_points)
-    kept = []
-    for _, r in cand.iterrows():
-        x = np.asarray(r["x"], dtype=float)
-        if all(np.sum((x - np.asarray(k[1])) ** 2) > r2 for k in kept):
-            kept.append((len(kept), list(map(float, x)), int(r["n"])))
-    return spark.createDataFrame(kept, "mode_id long, x array<double>, n long")
+    modes = cut_lineage(modes if resting is None else resting.unionByName(modes))
+    counted = cut_lineage(modes.join(R.radius_sums(found, modes).select("id", F.col("n").alias("rank")), "id"))
+    # problems side by side in one more coordinate, farther apart than any reach
+    gap = 4.0 * max(widths)
+    place = F.floor(F.col("id") / F.lit(max(found.n, 1)))
+    undecided = counted.withColumn("x", F.concat("x", F.array(place * F.lit(gap))))
+    kept = None
+    while not undecided.isEmpty():
+        there = R.RadiusIndex(undecided, carry=("rank",), **index)
+        best = R.best_in_reach(there, undecided).where("first = id").select("id")
+        chosen = cut_lineage(undecided.join(best, "id", "left_semi"))
+        # gone: the modes that a chosen one reaches, itself included
+        reached = there.search(chosen, R.Pairs()).select(F.col("dst").alias("id")).distinct()
+        undecided = cut_lineage(undecided.join(reached, "id", "left_anti"))
+        kept = chosen if kept is None else kept.unionByName(chosen)
+    if kept is None:
+        kept = undecided
+    kept = kept.select(place.alias("problem_id"), "id", F.slice("x", 1, max(found.dim, 1)).alias("x"), F.col("rank").alias("n"))
+    out = rank_in_groups(kept, [F.desc("n"), F.col("id")], ["problem_id"])
+    cols = [F.col("_rank").alias("mode_id"), "x", "n"]
+    return out.select(*(["problem_id"] if several else []), *cols)
 
 
 def mean_shift_for_count(points: DataFrame, target: int, *, lo: float = 0.01, hi: float = 10.0,
-                         max_tries: int = 20) -> tuple[float, DataFrame]:
-    """Bisect the bandwidth (geometric) until the number of modes equals ``target``; an error names
-    the nearest count if no try meets it."""
+                         max_tries: int = 20, ahead: int = 3, exact: bool = True, **index) -> tuple[float, DataFrame]:
+    """Bisect the bandwidth (geometric) until the number of modes equals ``target``; if no try meets it, an
+    error names the nearest count, or without ``exact`` that try is the result. The next ``ahead`` levels of the bisection are problems of
+    one mean shift, whose answers the search then follows: the same tries as one by one."""
     import math
-    counts = {}
-    for _ in range(max_tries):
-        bandwidth = math.sqrt(lo * hi)
-        modes = mean_shift(points, bandwidth)
-        k = counts[bandwidth] = modes.count()
-        if k == target:
-            return bandwidth, modes
-        lo, hi = (bandwidth, hi) if k > target else (lo, bandwidth)
+    counts: dict[float, int] = {}
+    while len(counts) < max_tries:
+        spans, level = [], [(lo, hi)]
+        for _ in range(min(ahead, max_tries - len(counts))):
+            spans += level
+            level = [s for a, b in level for s in ((a, math.sqrt(a * b)), (math.sqrt(a * b), b))]
+        widths = [math.sqrt(a * b) for a, b in spans]
+        modes = cut_lineage(mean_shift(points, widths, **index))
+        got = {r["problem_id"]: r["count"] for r in modes.groupBy("problem_id").count().collect()}
+        at = 0
+        while at < len(widths):
+            k = counts[widths[at]] = got.get(at, 0)
+            if k == target:
+                return widths[at], modes.where(F.col("problem_id") == at).drop("problem_id")
+            lo, hi = (widths[at], spans[at][1]) if k > target else (spans[at][0], widths[at])
+            at = 2 * at + (2 if k > target else 1)
     nearest = min(counts.items(), key=lambda c: abs(c[1] - target))
+    if not exact:
+        return nearest[0], mean_shift(points, nearest[0], **index)
     raise ValueError(f"no bandwidth gave {target} modes in {max_tries} tries; {nearest[0]:.6g} gave {nearest[1]}")
 
 

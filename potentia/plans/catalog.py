@@ -366,6 +366,16 @@ def q_j5(spark, sf):
     return N.radius_join_grid(part2(spark, sf), 0.02).select("id1", "id2", F.round("d2", 12).alias("d2"))
 
 
+@register("radius_join_64d_J5", f"""
+WITH p AS ({S.EMB_POINTS})
+SELECT a.id AS id1, b.id AS id2, round({S.d2('a.x', 'b.x')}, 10) AS d2
+FROM p a JOIN p b ON a.id < b.id WHERE {S.d2('a.x', 'b.x')} <= 1.1 * 1.1
+""")
+def q_j5_64d(spark, sf):
+    from potentia.operators import radius as R
+    return R.radius_join(emb(spark, sf), 1.1).select("id1", "id2", F.round("d2", 10).alias("d2"))
+
+
 @register("closest_to_J6", f"""
 WITH p AS ({PART2_SQL}),
 c AS (SELECT id, {S.d2('x', '[0.5, 0.95]')} AS dist FROM p
@@ -795,6 +805,16 @@ def q_g4(spark, sf):
     return gauss_edges(spark, sf).select("src", "dst", F.round("w", 12).alias("w"))
 
 
+@register("gaussian_cutoff_G4", f"""
+WITH p AS ({S.EMB_POINTS}),
+e AS (SELECT a.id AS src, b.id AS dst, exp(-{S.d2('a.x', 'b.x')} / (2.0 * 0.4 * 0.4)) AS w FROM p a JOIN p b ON a.id <> b.id)
+SELECT src, dst, round(w, 10) AS w FROM e WHERE w > 0.023
+""")
+def q_g4_cutoff(spark, sf):
+    from potentia.operators import graph as G
+    return G.kernel_edges(emb(spark, sf), "gaussian", 0.4, min_w=0.023).select("src", "dst", F.round("w", 10).alias("w"))
+
+
 @register("count_weighted_G5", f"""
 WITH {ASSIGN_SQL.strip()},
 cn AS (SELECT centroid_id, CAST(count(*) AS DOUBLE) AS n FROM asg GROUP BY centroid_id),
@@ -1660,6 +1680,53 @@ def q_c12(spark, sf):
     return m.select("mode_id", "n", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
 
 
+def _bisected_widths(lo: float = 0.01, hi: float = 10.0, levels: int = 4) -> list[float]:
+    """Every bandwidth that ``levels`` tries of the geometric bisection can come to, as a binary heap."""
+    spans, level = [], [(lo, hi)]
+    for _ in range(levels):
+        spans += level
+        level = [s for a, b in level for s in ((a, math.sqrt(a * b)), (math.sqrt(a * b), b))]
+    return [math.sqrt(a * b) for a, b in spans]
+
+
+def _bandwidth_search_sql(target: int = 2, iters: int = 50) -> str:
+    widths = ", ".join(f"({p}, CAST({w!r} AS DOUBLE))" for p, w in enumerate(_bisected_widths()))
+    reach = " + ".join(f"(m.x[{i}] - q.x[{i}]) * (m.x[{i}] - q.x[{i}])" for i in range(1, 5))
+    free = f"len(list_filter(k.kx, lambda c: {S.d2('o.x', 'c')} <= o.bw * o.bw)) = 0"
+    return _skm_sql() + f""",
+{_C8_CENTS},
+p AS (SELECT centroid_id AS id, x FROM cents),
+bws AS (SELECT * FROM (VALUES {widths}) t(p, bw)),
+ms AS (SELECT 0 AS it, b.p, b.bw, p.id, p.x FROM p, bws b
+       UNION ALL
+       SELECT m.it + 1, m.p, m.bw, m.id, [avg(q.x[1]), avg(q.x[2]), avg(q.x[3]), avg(q.x[4])]
+       FROM ms m JOIN p q ON {reach} <= m.bw * m.bw
+       WHERE m.it < {iters} GROUP BY m.it, m.p, m.bw, m.id),
+cand AS (SELECT m.p, m.bw, m.id, m.x, count(*) AS n FROM ms m JOIN p q ON {reach} <= m.bw * m.bw
+         WHERE m.it = {iters} GROUP BY m.p, m.bw, m.id, m.x),
+ordc AS (SELECT p, bw, id, x, n, row_number() OVER (PARTITION BY p ORDER BY n DESC, id) AS pos FROM cand),
+keep AS (SELECT 0 AS pos, p, CAST([] AS DOUBLE[][]) AS kx, CAST([] AS BIGINT[]) AS kn FROM bws
+         UNION ALL
+         SELECT k.pos + 1, k.p, CASE WHEN {free} THEN list_append(k.kx, o.x) ELSE k.kx END,
+                CASE WHEN {free} THEN list_append(k.kn, o.n) ELSE k.kn END
+         FROM keep k JOIN ordc o ON o.pos = k.pos + 1 AND o.p = k.p),
+modes AS (SELECT p, kx, kn, len(kx) AS n_modes FROM keep QUALIFY row_number() OVER (PARTITION BY p ORDER BY pos DESC) = 1),
+walk AS (SELECT 0 AS at, 1 AS tries
+         UNION ALL
+         SELECT 2 * w.at + CASE WHEN m.n_modes > {target} THEN 2 ELSE 1 END, w.tries + 1
+         FROM walk w JOIN modes m ON m.p = w.at WHERE m.n_modes <> {target})
+SELECT round(b.bw, 9) AS bandwidth, CAST(i - 1 AS BIGINT) AS mode_id, m.kn[i] AS n, list_transform(m.kx[i], lambda v: round(v, 6)) AS x
+FROM walk w JOIN modes m ON m.p = w.at JOIN bws b ON b.p = w.at, range(1, len(m.kx) + 1) t(i) WHERE m.n_modes = {target}
+"""
+
+
+@register("mean_shift_bandwidth_C12", _bandwidth_search_sql())
+def q_c12_search(spark, sf):
+    from potentia.operators import cluster as C
+    bandwidth, m = C.mean_shift_for_count(c8_centroids(spark, sf), 2, ahead=4, exact=False)
+    return m.select(F.round(F.lit(bandwidth), 9).alias("bandwidth"), "mode_id", "n", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
+
+
 @register("stress_E3", _skm_sql() + f""",
 {_C8_CENTS},
 p AS (SELECT a.centroid_id AS i, b.centroid_id AS j, sqrt({S.d2('a.x', 'b.x')}) AS d,
