@@ -391,21 +391,37 @@ def mean_shift_for_count(points: DataFrame, target: int, *, lo: float = 0.01, hi
 
 
 # ----------------------------------------------------------------------------- spectral
-def spectral(edges: DataFrame, k: int = 10, max_iter: int = 20, weight: str = "w") -> DataFrame:
-    """Spectral-style clustering of an affinity graph with Spark's distributed power
-    iteration clustering (pseudo-eigenvector of the normalised affinity), ``id, cluster``."""
-    from pyspark.ml.clustering import PowerIterationClustering
-    pic = PowerIterationClustering(k=k, maxIter=max_iter, weightCol=weight, srcCol="src", dstCol="dst")
-    e = edges.where(F.col("src") < F.col("dst")).select("src", "dst", F.col(weight).cast("double").alias(weight))
-    return pic.assignClusters(e).select("id", "cluster")
-
-
-def minibatch(points: DataFrame, k: int, seed: int, head_rows: int, d: int, order_key=None) -> DataFrame:
-    """Lloyd k-means on the first ``head_rows`` rows, then one refinement pass (C7) over
-    the rest; returns ``centroid_id, x, n``."""
+def spectral(edges: DataFrame, nodes: DataFrame, k: int = 10, **kw) -> DataFrame:
+    """K-means on the Laplacian's eigenvectors after the first, ``id, cluster`` (see ``operators.spectral``)."""
+    from potentia.operators.spectral import spectral_clusters
+    return spectral_clusters(edges, nodes, k, **kw)
+
+
+def minibatch(points: DataFrame, k: int, seed: int, head_rows: int, d: int, order_key=None, batch_size: int | None = None,
+              cents: DataFrame | None = None) -> DataFrame:
+    """A fit (Lloyd, or the given ``cents(centroid_id, x, n)``) on the first ``head_rows`` rows, then one partial
+    update a batch of ``batch_size`` rows (default: as many as the head): the batch is assigned to the centres as
+    they stand and each centre becomes the running mean of all it was given. Returns ``centroid_id, x, n``.
+
+    A batch is one pass that assigns and adds up inside the tasks; the state, k centres, is on the driver."""
+    import numpy as np
     key = order_key if order_key is not None else rand.uniform("id", f"mb:{seed}")
-    numbered = with_row_ids(points.select("id", "x"), key)
-    head = numbered.where(F.col("row_id") < head_rows)
-    rest = numbered.where(F.col("row_id") >= head_rows)
-    cents = lloyd(head, k, seed, weight=None)
-    return refine(rest, cents.select("centroid_id", "x", "n"), d).select("centroid_id", "x", "n")
+    size = batch_size or head_rows
+    numbered = with_row_ids(points.select("id", "x"), key).withColumn(
+        "batch_no", F.when(F.col("row_id") < head_rows, -1).otherwise(F.floor((F.col("row_id") - head_rows) / F.lit(size))).cast("long"))
+    path = f"{checkpoint_dir(points.sparkSession).rstrip('/')}/minibatch-{uuid.uuid4().hex}"
+    numbered.write.partitionBy("batch_no").parquet(path)  # a batch reads its own files
+    numbered = points.sparkSession.read.parquet(path)
+    cents = cents if cents is not None else lloyd(numbered.where("batch_no = -1"), k, seed, weight=None)
+    state = sorted((r["centroid_id"], list(r["x"]), r["n"]) for r in cents.collect())
+    ids = np.array([s[0] for s in state], np.int64)
+    mat, n = np.array([s[1] for s in state], float).reshape(len(state), d), np.array([s[2] for s in state], np.int64)
+    at = {int(c): i for i, c in enumerate(ids)}
+    last = numbered.agg(F.max("batch_no")).first()[0]
+    for no in range((last if last is not None else -1) + 1):
+        for r in N.assign_and_sum(numbered.where(F.col("batch_no") == no), ids, mat).collect():
+            i = at[r["centroid_id"]]
+            mat[i] = (mat[i] * n[i] + np.array(r["sx"])) / (n[i] + r["m"])
+            n[i] += r["m"]
+    return points.sparkSession.createDataFrame([(int(c), [float(v) for v in x], int(m)) for c, x, m in zip(ids, mat, n)],
+                                               "centroid_id long, x array<double>, n long")

@@ -81,6 +81,25 @@ def reground(graph: Graph, r: float) -> Graph:
     return Graph(graph.edges, graph.nodes.withColumn("g", F.lit(float(g))), graph.n, graph.total_w)
 
 
+def reset(graph: Graph, edges: DataFrame | None = None, g: float | DataFrame | None = None) -> Graph:
+    """The same nodes with new weights and/or a new ground. ``edges(src, dst, w)`` replaces the weights, so
+    degrees and total follow and the ground keeps its resistance; ``g`` is one conductance for all nodes or
+    a table ``id, g`` (nodes it does not name lose their ground)."""
+    nodes, n, total = graph.nodes, graph.n, graph.total_w
+    if edges is not None:
+        edges = edges.persist()
+        total = float(edges.agg(F.sum("w")).first()[0] or 0.0)
+        deg = edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("deg"))
+        same = F.col("g") * F.lit(total / graph.total_w if graph.total_w else 0.0)  # g = sum K / (r n^2)
+        nodes = (nodes.select("id", same.alias("g")).join(deg, "id", "left")
+                 .select("id", F.coalesce("deg", F.lit(0.0)).alias("deg"), "g"))
+    if isinstance(g, DataFrame):
+        nodes = nodes.drop("g").join(g.select("id", "g"), "id", "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
+    elif g is not None:
+        nodes = nodes.withColumn("g", F.lit(float(g)))
+    return Graph(edges if edges is not None else graph.edges, nodes, n, total)
+
+
 def transition(graph: Graph) -> tuple[DataFrame, DataFrame]:
     """Row-normalised operator entries ``p = w/(deg+g)`` and ``p_ground = g/(deg+g)``."""
     p = (graph.edges.join(graph.nodes.select(F.col("id").alias("src"), "deg", "g"), "src")

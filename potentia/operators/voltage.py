@@ -168,7 +168,7 @@ def unreached(voltages: DataFrame) -> DataFrame:
 
 def _place(pids: list[int]) -> Column:
     """The problem's place in ``pids`` as a column, by an array position."""
-    return (F.array_position(F.array(*[F.lit(int(p)) for p in pids]), F.col("problem_id").cast("int")) - 1).cast("int").alias("_q")
+    return (F.array_position(F.array(*[F.lit(int(p)).cast("long") for p in pids]), F.col("problem_id").cast("long")) - 1).cast("int").alias("_q")
 
 
 def conjugate_gradient(graph: Graph, landmarks: DataFrame, *, tol: float = 1e-12, max_iters: int | None = None,

@@ -577,16 +577,26 @@ def q_a7(spark, sf):
 
 @register("pairwise_min_max_A9_C5", f"""
 WITH pts AS ({S.LINEITEM_POINTS}),
-buf AS (SELECT * FROM pts ORDER BY id LIMIT 300),
+buf AS (SELECT * FROM pts ORDER BY {rand.sql_uniform('id', 'stream:0')}, id LIMIT 1000),
 d AS (SELECT {S.d2('a.x', 'b.x')} AS d2 FROM buf a JOIN buf b ON a.id <> b.id)
 SELECT round(min(d2) FILTER (WHERE d2 > 0), 12) AS min_d2, round(max(d2), 12) AS max_d2 FROM d
 """)
 def q_a9(spark, sf):
-    buf = li(spark, sf).orderBy("id").limit(300)
+    """The scale estimate over the stream's init buffer: its first 1,000 rows."""
+    buf = li(spark, sf).orderBy(rand.uniform("id", "stream:0"), "id").limit(1000)
     r = N.pairwise_min_max(buf)
     return r.select(F.round("min_d2", 12).alias("min_d2"), F.round("max_d2", 12).alias("max_d2"))
 
 
+@register("pairwise_min_max_whole_A9", f"""
+WITH p AS ({S.EMB_POINTS}), d AS (SELECT {S.d2('a.x', 'b.x')} AS d2 FROM p a JOIN p b ON a.id < b.id)
+SELECT round(min(d2) FILTER (WHERE d2 > 0), 10) AS min_d2, round(max(d2), 10) AS max_d2 FROM d
+""")
+def q_a9_whole(spark, sf):
+    r = N.pairwise_min_max(emb(spark, sf))
+    return r.select(F.round("min_d2", 10).alias("min_d2"), F.round("max_d2", 10).alias("max_d2"))
+
+
 @register("voltage_summary_A11", f"""
 WITH {KV_SQL.strip()},
 r AS (SELECT problem_id, v, row_number() OVER (PARTITION BY problem_id ORDER BY v, id) - 1 AS i,
@@ -991,6 +1001,32 @@ def q_v1(spark, sf):
     return emb_cg(spark, sf).select("problem_id", "id", F.round("v", 6).alias("v"))
 
 
+@register("selected_landmarks_F5", V1_SQL + """
+SELECT s.problem_id, s.id, p.label, round(s.v, 6) AS v FROM state s JOIN pts p ON p.id = s.id
+WHERE s.it = 300 AND s.problem_id IN (0, 4, 7) AND p.label IN (1, 3, 5)
+""")
+def q_f5_landmarks(spark, sf):
+    from potentia.operators import evaluate as EV
+    return EV.restricted(emb_cg(spark, sf), emb(spark, sf), [1, 3, 5], [0, 4, 7]).withColumn("v", F.round("v", 6))
+
+
+@register("reset_graph_G7", f"""
+WITH {EMB_NODES_SQL},
+e2 AS (SELECT src, dst, 2.0 * sqrt(w) AS w FROM edges),
+t2 AS (SELECT sum(w) AS t FROM e2)
+SELECT n.id, round(n.deg, 12) AS deg, CAST(CASE WHEN n.id % 10 = 0 THEN 0.5 ELSE 0.0 END AS DOUBLE) AS g_table,
+       round(d2.deg, 9) AS new_deg, round(n.g * t2.t / tot.t, 12) AS new_g
+FROM gnodes n JOIN (SELECT src AS id, sum(w) AS deg FROM e2 GROUP BY src) d2 USING (id), t2, tot
+""")
+def q_g7(spark, sf):
+    from potentia.operators import graph as G
+    g = emb_graph(spark, sf)
+    heavy = G.reset(g, edges=g.edges.select("src", "dst", (F.lit(2.0) * F.sqrt("w")).alias("w")))
+    tied = G.reset(g, g=g.nodes.where("id % 10 = 0").select("id", F.lit(0.5).alias("g")))
+    return (tied.nodes.select("id", F.round("deg", 12).alias("deg"), F.round("g", 12).alias("g_table"))
+            .join(heavy.nodes.select("id", F.round("deg", 9).alias("new_deg"), F.round("g", 12).alias("new_g")), "id"))
+
+
 @register("voltage_map_V3", V1_SQL + """
 SELECT id, CAST(count(*) AS INTEGER) AS n, round(first(v ORDER BY problem_id), 6) AS v_first,
        round(first(v ORDER BY problem_id DESC), 6) AS v_last FROM state WHERE it = 300 GROUP BY id
@@ -1609,6 +1645,66 @@ def q_c9(spark, sf):
     return C.minibatch(li(spark, sf), 20, 1, 10_000, 4)
 
 
+def _minibatch_sql(k: int = 20, size: int = 10_000) -> str:
+    """One state row a batch: the centres as a list, each the running mean of what it was given."""
+    ds = f"list_transform(s.cx, lambda c: {S.d2('r.x', 'c')})"
+    own = "list_filter(g.l, lambda q: q.a = i)"
+    mean = ", ".join(f"(g.cx[i][{d}] * g.cn[i] + coalesce(list_sum(list_transform({own}, lambda q: q.x[{d}])), 0.0)) / (g.cn[i] + len({own}))"
+                     for d in range(1, 5))
+    return f"""
+WITH RECURSIVE pts AS ({S.LINEITEM_POINTS}),
+ord AS (SELECT id, x, row_number() OVER (ORDER BY {rand.sql_uniform('id', 'mb:1')}, id) - 1 AS row_id FROM pts),
+first AS (SELECT x, row_number() OVER (ORDER BY {rand.sql_uniform('id', 5)}, id) AS i FROM pts QUALIFY i <= {k}),
+r AS (SELECT id, x, row_id // {size} AS b FROM ord),
+st AS (
+  SELECT CAST(0 AS BIGINT) AS b, list(x ORDER BY i) AS cx, list_transform(range(0, {k}), lambda i: CAST(1 AS BIGINT)) AS cn FROM first
+  UNION ALL
+  SELECT g.b + 1, list_transform(range(1, {k} + 1), lambda i: [{mean}]),
+         list_transform(range(1, {k} + 1), lambda i: CAST(g.cn[i] + len({own}) AS BIGINT))
+  FROM (SELECT s.b, first(s.cx) AS cx, first(s.cn) AS cn,
+               list({{'a': list_position({ds}, list_min({ds})), 'x': r.x}}) AS l
+        FROM st s JOIN r ON r.b = s.b GROUP BY s.b) g)
+SELECT CAST(i - 1 AS BIGINT) AS centroid_id, cn[i] AS n, list_transform(cx[i], lambda v: round(v, 7)) AS x
+FROM (SELECT * FROM st ORDER BY b DESC LIMIT 1), range(1, {k} + 1) t(i)
+"""
+
+
+@register("minibatch_updates_C9", _minibatch_sql())
+def q_c9_updates(spark, sf):
+    """The partial updates alone, from given centres: 10,000 rows a batch over the whole table."""
+    from pyspark.sql import Window
+    from potentia.operators import cluster as C
+    pts = li(spark, sf)
+    place = F.row_number().over(Window.orderBy(rand.uniform("id", 5), "id")) - 1  # twenty rows
+    first = P.sample_k(pts, 20, 5).select(place.cast("long").alias("centroid_id"), "x", F.lit(1).cast("long").alias("n"))
+    m = C.minibatch(pts, 20, 1, 0, 4, batch_size=10_000, cents=first)
+    return m.select("centroid_id", "n", F.transform("x", lambda v: F.round(v, 7)).alias("x"))
+
+
+@register("fitted_model_K5", f"""
+WITH {ASSIGN_SQL.strip()},
+m AS (SELECT a.centroid_id, [avg(p.x[1]), avg(p.x[2]), avg(p.x[3]), avg(p.x[4])] AS x, count(*) AS n
+      FROM asg a JOIN pts p USING (id) GROUP BY a.centroid_id),
+d2s AS (SELECT p.id, m.centroid_id, {S.d2('p.x', 'm.x')} AS d2 FROM pts p, m),
+near AS (SELECT id, centroid_id, d2 FROM d2s QUALIFY row_number() OVER (PARTITION BY id ORDER BY d2, centroid_id) = 1)
+SELECT m.centroid_id, CAST(m.n AS BIGINT) AS n_fit, CAST(count(near.id) AS BIGINT) AS n_near, round(coalesce(sum(near.d2), 0.0), 6) AS sum_d2,
+       CAST((SELECT count(*) FROM m) AS BIGINT) AS k, CAST(7 AS BIGINT) AS seed
+FROM m LEFT JOIN near USING (centroid_id) GROUP BY m.centroid_id, m.n
+""")
+def q_k5(spark, sf):
+    """Fit, save, load, assign with the loaded model."""
+    from potentia.operators import cluster as C
+    from potentia.sources import sinks
+    pts, path = li(spark, sf), _scratch(spark, "model")
+    sinks.write_model(C.assign_average(pts, centroids100(spark, sf), 4).where("n > 0"), path, {"seed": 7})
+    cents, settings = sinks.read_model(spark, path)
+    near = N.nearest(pts, cents.select("centroid_id", "x")).groupBy("centroid_id").agg(F.count(F.lit(1)).alias("n_near"), F.sum("d2").alias("s"))
+    return cents.join(near, "centroid_id", "left").select(
+        "centroid_id", F.col("n").alias("n_fit"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
+        F.round(F.coalesce("s", F.lit(0.0)), 6).alias("sum_d2"), F.lit(settings["k"]).cast("long").alias("k"),
+        F.lit(settings["seed"]).cast("long").alias("seed"))
+
+
 C11_SQL = f"""
 WITH pts AS ({S.LINEITEM_POINTS}),
 ks AS (SELECT * FROM (VALUES (2), (4), (8), (16)) t(k)),
@@ -1739,11 +1835,45 @@ def q_e3(spark, sf):
     return EM.stress(c.select("id", F.slice("x", 1, 2).alias("y")), c).select(F.round("stress", 6).alias("stress"))
 
 
+_CHECKED_VECTORS = 4
+
+
+def cosine_graph(spark, sf):
+    from potentia.operators import graph as G
+    edges, nodes = G.cosine_knn_graph(emb(spark, sf), 9)
+    return edges.persist(), nodes.persist()
+
+
+@register("laplacian_eigenvectors_C13", f"""
+WITH j AS (SELECT CAST(range AS INTEGER) AS j FROM range({_CHECKED_VECTORS}))
+SELECT 'residual' AS kind, CAST(vec_id AS BIGINT) AS a, j.j AS j, CAST(0.0 AS DOUBLE) AS value FROM embeddings, j
+UNION ALL SELECT 'product', CAST(a.j AS BIGINT), b.j, CAST(CASE WHEN a.j = b.j THEN 1.0 ELSE 0.0 END AS DOUBLE) FROM j a, j b
+""")
+def q_c13_vectors(spark, sf):
+    """(L y - value y) at each node and the vectors' products: the SQL says zeros and the unit matrix."""
+    from potentia.operators import graph as G, spectral as SP
+    edges, nodes = cosine_graph(spark, sf)
+    values, y = SP.laplacian_eigenvectors(edges, nodes, _CHECKED_VECTORS, tol=1e-8)
+    lap = G.normalized_laplacian(edges, nodes)
+    ly = (lap.join(y.select(F.col("id").alias("j"), F.posexplode("y").alias("p", "u")), "j")
+          .groupBy(F.col("i").alias("id"), "p").agg(F.sum(F.col("value") * F.col("u")).alias("ly")))
+    own = y.select("id", F.posexplode("y").alias("p", "u")).join(ly, ["id", "p"], "left")
+    value = F.get(F.array(*[F.lit(v) for v in values]), F.col("p"))
+    zero = F.lit(0.0)
+    left = own.select(F.lit("residual").alias("kind"), F.col("id").alias("a"), F.col("p").alias("j"),
+                      (F.round(F.coalesce("ly", zero) - value * F.col("u"), 6) + zero).alias("value"))
+    pairs = [(i, j) for i in range(len(values)) for j in range(len(values))]
+    sums = y.agg(*[F.sum(F.col("y")[i] * F.col("y")[j]).alias(f"p{i}_{j}") for i, j in pairs])
+    rows = F.array(*[F.struct(F.lit("product").alias("kind"), F.lit(i).cast("long").alias("a"), F.lit(j).alias("j"),
+                              (F.round(F.col(f"p{i}_{j}"), 6) + zero).alias("value")) for i, j in pairs])
+    return left.unionByName(sums.select(F.inline(rows)))
+
+
 @register("spectral_C13")
 def q_c13(spark, sf):
-    from potentia.operators import cluster as C, graph as G
-    e, _ = G.cosine_knn_graph(emb(spark, sf), 9)
-    return C.spectral(e, 10)
+    from potentia.operators import cluster as C
+    edges, nodes = cosine_graph(spark, sf)
+    return C.spectral(edges, nodes, 5, tol=1e-6)
 
 
 @register("pca_E1")
