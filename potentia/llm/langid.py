@@ -94,17 +94,26 @@ def train(docs: DataFrame, max_languages: int = 256) -> tuple[list[str], np.ndar
 
 
 def _em(lik: np.ndarray, start: np.ndarray, size: np.ndarray, pi: np.ndarray, rounds: int, tol: float):
-    """Proportions and log-likelihood of each document; ``lik`` [words, languages] row-scaled."""
-    of = np.repeat(np.arange(len(size)), size)
+    """Proportions and log-likelihood of each document; ``lik`` [words, languages] row-scaled. A document
+    stops by its own change, so it does not matter which others it is with."""
+    whole, out, here, live = lik, pi.copy(), np.arange(len(size)), np.ones(len(size), bool)
+    n, at = size, start
     for _ in range(rounds):
-        r = lik * pi[of]
+        r = lik * pi[np.repeat(np.arange(len(n)), n)]
         r /= r.sum(axis=1, keepdims=True)
-        new = np.add.reduceat(r, start, axis=0) / size[:, None]
-        done = np.abs(new - pi).max() < tol
-        pi = new
-        if done:
+        new = np.add.reduceat(r, at, axis=0) / n[:, None]
+        change = np.abs(new - pi).max(axis=1)
+        out[here[live]] = new[live]
+        live &= change >= tol
+        if not live.any():
             break
-    return pi, np.add.reduceat(np.log((lik * pi[of]).sum(axis=1)), start)
+        pi = new
+        if 2 * live.sum() < len(live):  # go on with the rest alone
+            lik, pi, here, n = lik[np.repeat(live, n)], new[live], here[live], n[live]
+            at = np.append(0, np.cumsum(n)[:-1])
+            live = np.ones(len(n), bool)
+    of = np.repeat(np.arange(len(size)), size)
+    return out, np.add.reduceat(np.log((whole * out[of]).sum(axis=1)), start)
 
 
 def infer(texts: list[str | None], model: np.ndarray, rounds: int = 12, tol: float = 2e-3,

@@ -173,6 +173,19 @@ def _code(gram: str) -> int:
     return a << 16 | b << 8 | c
 
 
+def _code_points(text: bytes, at: np.ndarray) -> np.ndarray:
+    """Code points before each of the ascending byte positions ``at``, all leads of characters, in one pass."""
+    if text.isascii():
+        return at
+    lead = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+    cuts = np.append(0, at)
+    some = np.flatnonzero(np.append(cuts[1:] > cuts[:-1], False))  # an empty stretch would count one
+    held = np.zeros(len(at), np.int64)
+    if len(some):
+        held[some] = np.add.reduceat(lead[:at[-1]], cuts[some], dtype=np.int64)
+    return np.cumsum(held)
+
+
 def _scanner(rules: tuple[Rule, ...]):
     """slice of texts -> per row a list of (start, rule number, end) in code points."""
     plans = [[[[_code(g) for g in sorted(alt)] for alt in clause] for clause in trigram_query(r)] for r in rules]
@@ -190,10 +203,11 @@ def _scanner(rules: tuple[Rule, ...]):
         for k, (rule, plan, pattern) in enumerate(zip(rules, plans, compiled)):
             for row in segment.candidates(plan, len(column)).tolist():
                 text = data[offsets[row]:offsets[row + 1]]
-                for m in pattern.finditer(text):
-                    if len(m[rule.group]) >= rule.least:
-                        start = len(text[:m.start()].decode())
-                        found[row].append((start, k, start + m.end() - m.start()))
+                spans = [m.span() for m in pattern.finditer(text) if len(m[rule.group]) >= rule.least]
+                if spans:
+                    s, e = np.array(spans).T
+                    first = _code_points(text, s)
+                    found[row] += zip(first.tolist(), [k] * len(s), (first + e - s).tolist())
         for spans in found:
             spans.sort()
         return found

@@ -54,6 +54,35 @@ def test_language_mixture_and_odd_rows(spark):
     assert langid.predict(empty(spark), languages, model).count() == 0
 
 
+def test_language_alone_together_and_repartitioned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    languages, model = langid.train(docs)
+    texts = [r.text for r in docs.select("text").limit(400).collect()] + ["the of le la und die", "", None, "of the " * 5000]
+    together = langid._identify(texts, languages, model, 0.25)
+    for i, t in enumerate(texts):
+        alone = langid._identify([t], languages, model, 0.25)
+        assert [x[0] for x in alone] == [x[i] for x in together]
+    rows = lambda df: sorted(map(tuple, langid.predict(df, languages, model).collect()))
+    assert rows(docs) == rows(docs.repartition(13, "text"))
+
+
+def test_language_em_restated(spark):
+    """The proportions of one document, by EM written out word by word."""
+    rng = np.random.default_rng(0)
+    lik = rng.uniform(0.05, 1.0, (40, 3)).astype(np.float32)
+    pi = np.full(3, 1 / 3)
+    for _ in range(12):
+        new = np.mean([w * pi / (w * pi).sum() for w in lik.astype(float)], axis=0)
+        stop = np.abs(new - pi).max() < 2e-3
+        pi = new
+        if stop:
+            break
+    other = rng.uniform(0.9, 1.0, (500, 3)).astype(np.float32)
+    got, value = langid._em(np.concatenate([lik, other]), np.array([0, 40]), np.array([40, 500]), np.full((2, 3), 1 / 3, np.float32), 12, 2e-3)
+    assert np.allclose(got[0], pi, atol=1e-5)
+    assert value[0] == pytest.approx(np.log(lik @ pi).sum(), abs=1e-3)
+
+
 def test_language_without_labels_is_und(spark):
     languages, model = langid.train(empty(spark))
     assert languages == []
@@ -185,6 +214,24 @@ def test_redaction(spark):
     assert tuple(got[2]) == (2, "clean", 5) and tuple(got[3]) == (3, None, None)
 
 
+def test_offsets_in_one_pass():
+    text = "é" * 3 + "key ñ" * 2 + "日本" + "z"
+    data = text.encode()
+    at = [i for i, b in enumerate(data) if b & 0xC0 != 0x80]
+    for some in (at, at[::3], at[-1:], at[:1]):
+        assert secrets._code_points(data, np.array(some)).tolist() == [len(data[:i].decode()) for i in some]
+    assert secrets._code_points(b"plain", np.array([0, 4])).tolist() == [0, 4]
+
+
+def test_a_long_text_with_many_secrets(spark):
+    import time
+    piece = "é deadbeef0123456789abcdef01 "
+    df = spark.createDataFrame([(1, piece * 400_000)], "doc_id long, text string")  # 12 MB
+    began = time.time()
+    got = secrets.find_secrets(df).selectExpr("size(spans) AS n", "spans[399999].start AS last").first()
+    assert (got.n, got.last) == (400_000, len(piece) * 399_999 + 2) and time.time() - began < 120
+
+
 # --- toxicity
 
 def brute_maximal(scores):
