@@ -103,6 +103,51 @@ def q_nearest(spark, sf):
     return N.nearest(pts, cents).select("id", "centroid_id", F.round("d2", 12).alias("d2"))
 
 
+_DISTANCES = {"manhattan": S.l1, "chebyshev": S.linf, "cosine": lambda a, b: f"(1.0 - {S.dotp(a, b)} / ({S.norm(a)} * {S.norm(b)}))"}
+
+
+def _by_distance_sql(tail: str) -> str:
+    near = ", ".join(f"""n_{k} AS (SELECT p.id, p.x, c.centroid_id, {f('p.x', 'c.x')} AS dist FROM pts p, cents c
+        QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY dist, c.centroid_id) = 1)""" for k, f in _DISTANCES.items())
+    return f"WITH pts AS ({S.LINEITEM_POINTS}), cents AS ({CENTROID_SAMPLE_SQL}), {near} {tail}"
+
+
+def _by_distance(spark, sf):
+    pts = li(spark, sf)
+    return pts, P.sample_k(pts, 100, 7).select(F.col("id").alias("centroid_id"), "x")
+
+
+@register("nearest_by_distance_X1_J1", _by_distance_sql(" UNION ALL ".join(
+    f"SELECT '{k}' AS distance, id, round(dist, 9) + 0.0 AS dist FROM n_{k}" for k in _DISTANCES)))
+def q_x1_nearest(spark, sf):
+    from potentia.operators import metrics as M
+    pts, cents = _by_distance(spark, sf)
+    parts = [M.nearest_by(pts, cents, k).select(F.lit(k).alias("distance"), "id", (F.round("dist", 9) + F.lit(0.0)).alias("dist")) for k in _DISTANCES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_CENTRE_SQL = {
+    "manhattan": "[" + ", ".join(f"median(x[{i}])" for i in range(1, 5)) + "]",
+    "chebyshev": "[" + ", ".join(f"(min(x[{i}]) + max(x[{i}])) / 2" for i in range(1, 5)) + "]",
+    "cosine": f"list_transform([{', '.join(f'avg(u[{i}])' for i in range(1, 5))}], lambda v: v)",
+}
+
+
+@register("centres_by_distance_X1_C3", _by_distance_sql(
+    f", u AS (SELECT centroid_id, list_transform(x, lambda v: v / {S.norm('x')}) AS u FROM n_cosine)"
+    f", uc AS (SELECT centroid_id, {_CENTRE_SQL['cosine']} AS x, count(*) AS n FROM u GROUP BY centroid_id) "
+    + " UNION ALL ".join(f"SELECT '{k}' AS distance, centroid_id, CAST(count(*) AS BIGINT) AS n, "
+                         f"list_transform({_CENTRE_SQL[k]}, lambda v: round(v, 8)) AS x FROM n_{k} GROUP BY centroid_id"
+                         for k in ("manhattan", "chebyshev"))
+    + f" UNION ALL SELECT 'cosine', centroid_id, CAST(n AS BIGINT), list_transform(x, lambda v: round(v / {S.norm('x')}, 8)) FROM uc"))
+def q_x1_centres(spark, sf):
+    from potentia.operators import metrics as M
+    pts, cents = _by_distance(spark, sf)
+    parts = [M.centres_by(pts, M.nearest_by(pts, cents, k), k, 4).select(
+        F.lit(k).alias("distance"), "centroid_id", "n", F.transform("x", lambda v: F.round(v, 8)).alias("x")) for k in _DISTANCES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 # ----------------------------------------------------------------------- shared derived tables
 REF4 = [0.5, 0.5, 0.5, 0.5]  # fixed reference point for the 4-D lineitem distance queries
 REF4_SQL = "[0.5, 0.5, 0.5, 0.5]"
