@@ -131,8 +131,8 @@ def kernel_edges(points: DataFrame, kernel: str | Callable[[Column, float], Colu
         weight = kernel(F.col("d2"), c) if callable(kernel) else vec.gaussian_kernel("d2", c)
     directed = pairs.select(F.col("id1").alias("src"), F.col("id2").alias("dst"), weight.alias("w"))
     directed = directed.where(F.col("w") > F.lit(float(min_w)))
-    rev = directed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
-    return directed.unionByName(rev)
+    # both directions of one reading: a union would make the pairs twice
+    return directed.select(F.inline(F.array(F.struct("src", "dst", "w"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))))
 
 
 def count_weighted(edges: DataFrame, centroids: DataFrame) -> DataFrame:
