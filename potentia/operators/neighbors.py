@@ -543,7 +543,8 @@ def knn_cells(queries: DataFrame, index: DataFrame, k: int, *, exclude_self: boo
 
 
 def neighbour_cells(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Adjacent cells = pairs of centres that are the two nearest of some point."""
+    """J13 seen by the data: pairs of centres that are the two nearest of some point. The ridges
+    themselves, also where no point lies, are ``voronoi.ridges``."""
     cents = centroids.select(F.col("centroid_id").alias("id"), "x")
     two = knn(points.select("id", "x"), cents, 2)
     pairs = (two.groupBy("src").agg(F.min("dst").alias("c1"), F.max("dst").alias("c2"),

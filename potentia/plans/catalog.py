@@ -2192,6 +2192,32 @@ SELECT a.id, s.problem_id, round(s.v, 6) AS v FROM asg a JOIN state s ON s.it =
 """
 
 
+def _ridges_sql() -> str:
+    """On the line halfway between two sites (``s`` along it), every other site ends the ridge on one side."""
+    return _skm_sql() + """,
+site AS (SELECT CAST(i - 1 AS BIGINT) AS id, fin.cx[i][1] AS x, fin.cx[i][2] AS y FROM fin, range(1, len(fin.cx) + 1) t(i)),
+two AS (SELECT a.id AS c1, b.id AS c2, a.x AS ax, a.y AS ay, b.x - a.x AS px, b.y - a.y AS py,
+               sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS len
+        FROM site a JOIN site b ON a.id < b.id),
+cut AS (SELECT t.c1, t.c2, 2.0 * ((s.y - ay) * px - (s.x - ax) * py) / len AS a,
+               (s.x - ax) * (s.x - ax) + (s.y - ay) * (s.y - ay) - ((s.x - ax) * px + (s.y - ay) * py) AS b
+        FROM two t JOIN site s ON s.id <> t.c1 AND s.id <> t.c2),
+ends AS (SELECT c1, c2, max(b / a) FILTER (WHERE a < 0) AS lo, min(b / a) FILTER (WHERE a > 0) AS hi,
+                coalesce(bool_and(b > 0) FILTER (WHERE a = 0), true) AS open
+         FROM cut GROUP BY c1, c2)
+SELECT c1, c2, round((hi - lo) / 2, 6) AS radius FROM ends
+WHERE open AND coalesce(lo < hi, true)
+"""
+
+
+@register("voronoi_ridges_J13", _ridges_sql())
+def q_j13_ridges(spark, sf):
+    """The cells of the compressed table that touch in the plane of its first two coordinates."""
+    from potentia.operators import voronoi as VO
+    plane = c8_centroids(spark, sf).select(F.col("id").alias("centroid_id"), F.slice("x", 1, 2).alias("x"))
+    return VO.ridges(plane).select("c1", "c2", F.round("radius", 6).alias("radius"))
+
+
 @register("compressed_voltage_map_A", _entry_a_sql())
 def q_entry_a(spark, sf):
     return flows.compressed_voltage_map(spark, sf)
