@@ -25,10 +25,14 @@ from potentia.functions import vec
 from potentia.session import ship_package
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 * 1024 * 1024
-# Above this many searched rows a brute-force scan of the whole index per query costs more
-# than the cell-pruned join, even when the index would fit in a broadcast.
+# Above this many searched rows of low dimension a brute-force scan of the whole index per query costs
+# more than the cell-pruned join, even when the index would fit in a broadcast.
 DEFAULT_MAX_SCAN_ROWS = 50_000
 _BLOCK_CELLS = 1 << 17  # query x index entries scored per numpy block (1 MB of doubles: stays in cache)
+# From this length on, a matrix product screens the rows and few exact distances are summed; and cells
+# around sampled centres prune so little that a scan of a broadcast index beats them at any size.
+_SCREEN_DIM = 8
+_SCREEN_CELLS = 1 << 21  # query x index entries screened per block (16 MB)
 _PAIR_BLOCK = 4096  # rows of a block where all pairs are taken block by block
 
 
@@ -87,6 +91,66 @@ def _topk_rows(dist: np.ndarray, k: int):
     return rows, cols, rank
 
 
+def _screened_topk(q: np.ndarray, x: np.ndarray, size: np.ndarray, k: int, banned: np.ndarray | None):
+    """(row, col, rank, d2) of each query's k nearest rows of ``x``, as ``_topk_rows(_sq_dists(q, x), k)``
+    finds them, from a matrix product and the exact distances of the rows near its k-th value.
+
+    ``size`` holds the rows' squared lengths. The product's distance and the one summed in index order
+    differ by less than ``slack``, so a row outside the k-th value by more than twice that is not among the k.
+    The k-th value itself is taken from the minima of groups of rows, which cannot lie below it.
+    Returns None where there are too few rows for that, or where lengths overflow.
+    """
+    n, d = x.shape
+    groups = n if k == 1 else max(256, 16 * k)
+    length = (q * q).sum(1)
+    if d < _SCREEN_DIM or n < 4 * max(256, 16 * k) or not (np.isfinite(size).all() and np.isfinite(length).all()):
+        return None
+    near = q @ x.T
+    near *= -2.0
+    near += size
+    if banned is not None:
+        near[banned] = np.inf
+    if k == 1:
+        bound = near.min(axis=1)
+    else:
+        wide = n // groups
+        least = near[:, :groups * wide].reshape(len(q), groups, wide).min(axis=2)
+        bound = np.partition(least, k - 1, axis=1)[:, k - 1]
+    slack = 8 * (d + 4) * np.finfo(np.float64).eps * (length + size.max())
+    rows, cols = np.divmod(np.flatnonzero(near <= (bound + 2 * slack)[:, None]), n)
+    if banned is not None:
+        real = np.isfinite(near[rows, cols])
+        rows, cols = rows[real], cols[real]
+    d2 = np.zeros(rows.size)
+    for j in range(d):
+        diff = q[rows, j] - x[cols, j]
+        d2 += diff * diff
+    order = np.lexsort((cols, d2, rows))
+    rows, cols, d2 = rows[order], cols[order], d2[order]
+    rank = np.arange(rows.size) - np.searchsorted(rows, rows, side="left") + 1
+    first = rank <= k
+    return rows[first], cols[first], rank[first], d2[first]
+
+
+def _nearest_rows(q: np.ndarray, x: np.ndarray, size: np.ndarray | None, k: int, banned_of):
+    """Blocks ``(start, row, col, rank, d2)`` of every query's k nearest rows; ``banned_of(start, end)`` marks
+    pairs that do not count (or is None)."""
+    n, d = x.shape if x.ndim == 2 else (0, 0)
+    screen = size is not None and d >= _SCREEN_DIM
+    step = max(1, (_SCREEN_CELLS if screen else _BLOCK_CELLS) // max(n, 1))
+    for s in range(0, q.shape[0], step):
+        qb = q[s:s + step]
+        banned = banned_of(s, s + len(qb)) if banned_of else None
+        got = _screened_topk(qb, x, size, k, banned) if screen else None
+        if got is None:
+            dist = _sq_dists(qb, x)
+            if banned is not None:
+                dist[banned] = np.inf
+            r, c, rk = _topk_rows(dist, k)
+            got = r, c, rk, dist[r, c]
+        yield (s, *got)
+
+
 def _stack(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))
@@ -118,38 +182,38 @@ def _knn_partition(batches, bc, k: int, exclude_self: bool, with_weight: bool, g
     ids, mat, wts = bc.value[:3]
     groups = bc.value[3] if group else None
     n = ids.shape[0]
+    size = (mat * mat).sum(axis=1) if n else None
     for pdf in batches:
         if len(pdf) == 0:
             continue
         q = _matrix(pdf)
         qids = pdf["id"].to_numpy(dtype=np.int64)
         qw = pdf["weight"].to_numpy(dtype=np.float64) if with_weight else None
-        step = max(1, _BLOCK_CELLS // max(n, 1))
-        for s in range(0, q.shape[0], step):
-            qb, idb = q[s:s + step], qids[s:s + step]
-            dist = _sq_dists(qb, mat)
-            if exclude_self:
-                dist[idb[:, None] == ids[None, :]] = np.inf
-            if group:
-                qg = pdf["group"].to_numpy()[s:s + step]
-                dist[qg[:, None] != groups[None, :]] = np.inf
-            r, c, rk = _topk_rows(dist, k)
-            out = {"src": idb[r], "dst": ids[c], "d2": dist[r, c], "rank": rk.astype(np.int32)}
+        qg = pdf["group"].to_numpy() if group else None
+
+        def banned_of(a, b):
+            mask = qids[a:b, None] == ids[None, :] if exclude_self else np.zeros((b - a, n), dtype=bool)
+            return mask | (qg[a:b, None] != groups[None, :]) if group else mask
+
+        for s, r, c, rk, d2 in _nearest_rows(q, mat, size, k, banned_of if exclude_self or group else None):
+            r = r + s
+            out = {"src": qids[r], "dst": ids[c], "d2": d2, "rank": rk.astype(np.int32)}
             if with_weight:
-                out["src_weight"] = qw[s:s + step][r]
+                out["src_weight"] = qw[r]
                 out["dst_weight"] = wts[c]
             for col in carry:  # pass-through query columns (saves a join back on id)
-                out[col] = pdf[col].to_numpy()[s:s + step][r]
+                out[col] = pdf[col].to_numpy()[r]
             yield pd.DataFrame(out)
 
 
-def _collect_index(index: DataFrame, max_bytes: int, max_rows: int | None = None):
+def _collect_index(index: DataFrame, max_bytes: int, max_rows: int | None = None, unless_wide: bool = False):
     """Size-checked collection of the searched side (count first, then Arrow). The side is
-    persisted so the check and the collection evaluate its plan once."""
+    persisted so the check and the collection evaluate its plan once. ``unless_wide`` lifts
+    ``max_rows``, not ``max_bytes``, for vectors long enough to be screened."""
     index = index.persist()
     stats = index.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("d")).first()
     n, d = int(stats["n"]), int(stats["d"] or 0)
-    if n * max(d, 1) * 8 > max_bytes or (max_rows is not None and n > max_rows):
+    if n * max(d, 1) * 8 > max_bytes or (max_rows is not None and n > max_rows and not (unless_wide and d >= _SCREEN_DIM)):
         index.unpersist()
         return None, n, d
     cols = ["id", "x"] + [c for c in ("weight", "group") if c in index.columns]
@@ -167,16 +231,20 @@ def _collect_index(index: DataFrame, max_bytes: int, max_rows: int | None = None
 def knn(queries: DataFrame, index: DataFrame, k: int, *, exclude_self: bool = False,
         with_weight: bool = False, max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
         cells: int | None = None, probes: int = 3, group: bool = False,
-        max_scan_rows: int | None = DEFAULT_MAX_SCAN_ROWS) -> DataFrame:
+        max_scan_rows: int | None = None) -> DataFrame:
     """The k nearest ``index`` rows of every ``queries`` row.
 
+    The index is broadcast and scanned up to ``max_broadcast_bytes`` and ``max_scan_rows`` rows (by default
+    50,000 below 8 dimensions, any number from there on), beyond that it goes through ``knn_cells``.
+
     Both inputs carry ``id BIGINT, x ARRAY<DOUBLE>`` (and ``weight`` if ``with_weight``;
     ``group`` if ``group=True``, which restricts matches to equal groups, e.g. per label).
     Output: ``src, dst, d2, rank`` (+ ``src_weight, dst_weight``), ties by smaller id.
     """
     spark = queries.sparkSession
     ship_package(spark)
-    payload, n, d = _collect_index(index, max_broadcast_bytes, None if group else max_scan_rows)
+    rows = DEFAULT_MAX_SCAN_ROWS if max_scan_rows is None else max_scan_rows
+    payload, n, d = _collect_index(index, max_broadcast_bytes, None if group else rows, unless_wide=max_scan_rows is None)
     if payload is None and group:
         raise ValueError("group-restricted kNN needs a broadcastable index")
     if payload is None:
@@ -502,11 +570,10 @@ def knn_cells(queries: DataFrame, index: DataFrame, k: int, *, exclude_self: boo
         order = np.argsort(ip["dst"].to_numpy(dtype=np.int64), kind="stable")
         im = im[order]
         iids = ip["dst"].to_numpy(dtype=np.int64)[order]
-        dist = _sq_dists(qm, im)
-        if exclude_self:
-            dist[qids[:, None] == iids[None, :]] = np.inf
-        r, c, _ = _topk_rows(dist, k)
-        out = {"src": qids[r], "dst": iids[c], "d2": dist[r, c]}
+        banned_of = (lambda a, b: qids[a:b, None] == iids[None, :]) if exclude_self else None
+        found = [(s + r, c, d2) for s, r, c, _, d2 in _nearest_rows(qm, im, (im * im).sum(axis=1), k, banned_of)]
+        r, c, d2 = (np.concatenate(part) for part in zip(*found))
+        out = {"src": qids[r], "dst": iids[c], "d2": d2}
         if with_weight:
             out["src_weight"] = qp["src_weight"].to_numpy()[r]
             out["dst_weight"] = ip["dst_weight"].to_numpy()[order][c]
