@@ -1936,9 +1936,8 @@ l{n} AS (SELECT sum(a.a * p.v * q.v) AS l FROM a{n} a JOIN v{n} p ON p.i = a.i J
 a{n + 1} AS MATERIALIZED (SELECT a.i, a.j, a.a - l * p.v * q.v AS a FROM a{n} a JOIN v{n} p ON p.i = a.i JOIN v{n} q ON q.i = a.j, l{n})"""
 
 
-@register("pca_E1", f"""
-WITH pts AS ({S.EMB_POINTS}),
-e AS (SELECT id, i, x[i] AS v FROM pts, range(1, (SELECT max(len(x)) FROM pts) + 1) t(i)),
+# planar PCA scores of a long table e(id, i, v)
+_PCA_SQL = f"""
 mu AS (SELECT i, avg(v) AS m FROM e GROUP BY i),
 c AS MATERIALIZED (SELECT id, i, v - m AS v FROM e JOIN mu USING (i)),
 a0 AS MATERIALIZED (SELECT p.i, q.i AS j, sum(p.v * q.v) AS a FROM c p JOIN c q USING (id) GROUP BY p.i, q.i),
@@ -1946,6 +1945,13 @@ a0 AS MATERIALIZED (SELECT p.i, q.i AS j, sum(p.v * q.v) AS a FROM c p JOIN c q
 {_top_vector_sql(1)}
 SELECT id, [round(sum(c.v * v0.v), 6) + 0.0, round(sum(c.v * v1.v), 6) + 0.0] AS y
 FROM c JOIN v0 USING (i) JOIN v1 USING (i) GROUP BY id
+"""
+
+
+@register("pca_E1", f"""
+WITH pts AS ({S.EMB_POINTS}),
+e AS (SELECT id, i, x[i] AS v FROM pts, range(1, (SELECT max(len(x)) FROM pts) + 1) t(i)),
+{_PCA_SQL.strip()}
 """)
 def q_e1(spark, sf):
     from potentia.operators import embed as EM
@@ -2045,13 +2051,21 @@ def q_v5(spark, sf):
     return v.select("problem_id", "id", F.round("v", 6).alias("v"))
 
 
-@register("landmark_maps_V6")
+@register("landmark_maps_V6", f"""
+WITH RECURSIVE {EMB_NODES_SQL},
+lsel AS (SELECT id FROM pts ORDER BY {rand.sql_uniform('id', 4)}, id LIMIT 3),
+lm AS (SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS problem_id, id, 1.0::DOUBLE AS voltage FROM lsel),
+{S.jacobi_state('edges', 'nodes', 'lm', 300).strip()},
+e AS (SELECT id, problem_id AS i, v FROM state WHERE it = 300),
+{_PCA_SQL.strip()}
+""")
 def q_v6(spark, sf):
     from potentia.operators import embed as EM, graph as G, landmarks as L, voltage as V
     pts = emb(spark, sf)
     g = G.knn_graph(pts, 10, 0.01).persist()
     v = V.conjugate_gradient(g, L.random_k(pts, 3, 4))
-    return EM.pca_2d(V.wide(v).select("id", F.col("v").alias("x")))
+    maps = EM.pca_2d(V.wide(v).select("id", F.col("v").alias("x")))
+    return maps.select("id", F.transform("y", lambda v: F.round(v, 6) + F.lit(0.0)).alias("y"))
 
 
 @register("ground_search_O1")
