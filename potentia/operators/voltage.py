@@ -13,10 +13,12 @@ contributions. Lineage is cut with a reliable checkpoint every few sweeps.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from potentia.operators.coarse import CoarseSpace
 from potentia.operators.graph import Graph
 from potentia.session import checkpoint_dir, cut_lineage
 
@@ -95,11 +97,14 @@ class _Sweeper:
             F.sum("_c").alias("_wv"), F.max("_own").alias("_own"), *[F.max(c).alias(c) for c in columns])
         return summed.where("_own").drop("_own")
 
-    def advance(self, state: DataFrame, sums: dict[str, Column]) -> dict[int, dict[str, float]]:
-        """Take ``state`` as the new state; per problem the sums of the given expressions."""
+    def advance(self, state: DataFrame, sums: dict[str, Column], cells: int = 0) -> dict[int, dict]:
+        """Take ``state`` as the new state; per problem the sums of the given expressions. With ``cells``
+        (their number), ``by_cell`` also has the sums of r, s and w by cell ``_z``, in the same job."""
         old, self.sweeps = self.state, self.sweeps + 1
         self.state = self._keep(state)
-        rows = self.state.groupBy("problem_id").agg(*[F.sum(e).alias(n) for n, e in sums.items()]).collect()
+        by = ["problem_id", "_z"] if cells else ["problem_id"]
+        parts = {**sums, **{f"_{c}": F.col(c) for c in ("r", "s", "w")}} if cells else sums
+        rows = self.state.groupBy(*by).agg(*[F.sum(e).alias(n) for n, e in parts.items()]).collect()
         if old is not None:
             old.unpersist(blocking=False)
         if self.sweeps % CHECKPOINT_EVERY == 0:
@@ -107,7 +112,16 @@ class _Sweeper:
             cut = self.state.checkpoint(eager=True)  # written from the cache; keeps the partitioning
             self.state.unpersist(blocking=False)
             self.state = cut
-        return {r["problem_id"]: {n: r[n] or 0.0 for n in sums} for r in rows}
+        if not cells:
+            return {r["problem_id"]: {n: r[n] or 0.0 for n in sums} for r in rows}
+        out: dict[int, dict] = {}
+        for r in sorted(rows, key=lambda r: (r["problem_id"], r["_z"])):
+            got = out.setdefault(r["problem_id"], {**dict.fromkeys(sums, 0.0), "by_cell": np.zeros((3, cells))})
+            for n in sums:
+                got[n] += r[n] or 0.0
+            if r["_z"] >= 0:
+                got["by_cell"][:, r["_z"]] = [r["_r"], r["_s"], r["_w"]]
+        return out
 
     def finish(self, out: DataFrame) -> DataFrame:
         """Write the result once and release what the solve held."""
@@ -172,7 +186,8 @@ def _place(pids: list[int]) -> Column:
 
 
 def conjugate_gradient(graph: Graph, landmarks: DataFrame, *, tol: float = 1e-12, max_iters: int | None = None,
-                       sources: DataFrame | None = None, partial: bool = False) -> DataFrame:
+                       sources: DataFrame | None = None, partial: bool = False,
+                       cells: DataFrame | None = None, trace: list[int] | None = None) -> DataFrame:
     """V1: exact voltages by Jacobi-preconditioned conjugate gradient on the SPD system
 
         (deg_i + g_i) v_i - sum_{j free} w_ij v_j = sum_{c fixed} w_ic v_c + b_i     (i free)
@@ -184,6 +199,9 @@ def conjugate_gradient(graph: Graph, landmarks: DataFrame, *, tol: float = 1e-12
     and freeze independently. A problem whose residual has not improved for a hundred rounds, that
     breaks down, or that reaches ``max_iters`` (default: no limit) raises :class:`NotConverged`,
     unless ``partial`` asks for the last iterate.
+    ``cells(id, centroid_id)`` adds the second level of :mod:`potentia.operators.coarse` to the preconditioner: a
+    round stays one job, whose reduction is by problem and cell, and the rounds stop growing with the
+    graph's diameter. The number of rounds is appended to ``trace``.
     Returns ``problem_id, id, v`` for every node and problem.
     """
     pids = sorted({*_problem_ids(landmarks), *(_problem_ids(sources) if sources is not None else [])})
@@ -198,18 +216,35 @@ def conjugate_gradient(graph: Graph, landmarks: DataFrame, *, tol: float = 1e-12
         b = b.unionByName(sources.select("problem_id", "id", "b"))
     b = b.groupBy("problem_id", "id").agg(F.sum("b").alias("b"))
     zero = F.lit(0.0)
+    coarse = CoarseSpace(graph, fixed, cells, pids) if cells is not None else None
+    if coarse is not None and not coarse.k:
+        coarse.release()
+        coarse = None
+    n_cells, cell = (coarse.k, ["_z"]) if coarse else (0, [])
+    if coarse:
+        free = free.join(coarse.numbered, "id", "left").withColumn("_z", F.coalesce("_z", F.lit(-1)))
     # a node without any conductance is at 0 V: it has no current and stays out of the products
     sweeper.start(free.join(b, ["problem_id", "id"], "left").select(
-        "problem_id", "id", _place(pids), F.when(F.col("diag") > 0, F.col("diag")).otherwise(F.lit(1.0)).alias("diag"),
-        zero.alias("x"), F.coalesce("b", zero).alias("r"), zero.alias("p"), zero.alias("s"))
-        .withColumn("u", F.col("r") / F.col("diag")))
+        "problem_id", "id", _place(pids), *cell, F.when(F.col("diag") > 0, F.col("diag")).otherwise(F.lit(1.0)).alias("diag"),
+        zero.alias("x"), F.coalesce("b", zero).alias("r"), zero.alias("p"), zero.alias("s")))
     sums = {"gamma": F.col("r") * F.col("u"), "delta": F.col("w") * F.col("u"), "rr": F.col("r") * F.col("r")}
-    columns = ["problem_id", "id", "_q", "diag", "x", "r", "p", "s", "u"]
+    kept = ["problem_id", "id", "_q", *cell, "diag", "x", "r", "p", "s"]
+
+    def preconditioned(state: DataFrame, cell_sums: dict[int, np.ndarray]) -> DataFrame:
+        u = F.col("r") / F.col("diag")
+        if not coarse:
+            return state.withColumn("u", u)
+        return state.join(coarse.correction(cell_sums), ["_q", "_z"], "left").select(
+            *kept, (u + F.coalesce("_c", zero)).alias("u"))
 
     def product(state: DataFrame, active: list[int]) -> DataFrame:
-        return sweeper.gather(state, "u", active).select(*columns, (F.col("diag") * F.col("u") - F.col("_wv")).alias("w"))
+        return sweeper.gather(state, "u", active).select(*kept, "u", (F.col("diag") * F.col("u") - F.col("_wv")).alias("w"))
 
-    got = sweeper.advance(product(sweeper.state, pids), sums)
+    first: dict[int, np.ndarray] = {}
+    if coarse:
+        for r in sweeper.state.groupBy("problem_id", "_z").agg(F.sum("r").alias("r")).where("_z >= 0").collect():
+            first.setdefault(r["problem_id"], np.zeros(n_cells))[r["_z"]] = r["r"]
+    got = sweeper.advance(product(preconditioned(sweeper.state, first), pids), sums, n_cells)
     none = {"gamma": 0.0, "delta": 0.0, "rr": 0.0}
     norm = {p: got.get(p, none)["rr"] ** 0.5 for p in pids}
     active = [p for p in pids if norm[p] > 0]
@@ -225,11 +260,12 @@ def conjugate_gradient(graph: Graph, landmarks: DataFrame, *, tol: float = 1e-12
         rounds += 1
         # a frozen problem has a step of 0 and keeps its x and r
         a, c = sweeper.per_problem({p: alpha[p] for p in active}), sweeper.per_problem({p: beta[p] for p in active})
-        nxt = sweeper.state.select("problem_id", "id", "_q", "diag", "x", "r", (F.col("u") + c * F.col("p")).alias("p"),
+        nxt = sweeper.state.select("problem_id", "id", "_q", *cell, "diag", "x", "r", (F.col("u") + c * F.col("p")).alias("p"),
                                    (F.col("w") + c * F.col("s")).alias("s"))
-        nxt = (nxt.withColumn("x", F.col("x") + a * F.col("p")).withColumn("r", F.col("r") - a * F.col("s"))
-               .withColumn("u", F.col("r") / F.col("diag")))
-        got = sweeper.advance(product(nxt.select(*columns), active), sums)
+        nxt = nxt.withColumn("x", F.col("x") + a * F.col("p")).withColumn("r", F.col("r") - a * F.col("s"))
+        # the new residual's cell sums follow from those of the round before, so no further job is needed
+        ahead = {p: (lambda r, s, w, p=p: r - alpha[p] * (w + beta[p] * s))(*got[p]["by_cell"]) for p in active} if coarse else {}
+        got = sweeper.advance(product(preconditioned(nxt, ahead).select(*kept, "u"), active), sums, n_cells)
         still = []
         for p in active:
             g_new, delta, rr = (got[p][k] for k in ("gamma", "delta", "rr"))
@@ -246,11 +282,16 @@ def conjugate_gradient(graph: Graph, landmarks: DataFrame, *, tol: float = 1e-12
             beta[p], alpha[p], gamma[p] = b_new, g_new / denom, g_new
             still.append(p)
         active = still
+    if trace is not None:
+        trace.append(rounds)
     failed |= {p: residual[p] for p in active}
     if failed and not partial:
         raise NotConverged(failed, rounds)
-    return sweeper.finish(fixed.select("problem_id", "id", F.col("fixed").alias("v")).unionByName(
+    out = sweeper.finish(fixed.select("problem_id", "id", F.col("fixed").alias("v")).unionByName(
         sweeper.state.select("problem_id", "id", F.col("x").alias("v"))))
+    if coarse:
+        coarse.release()
+    return out
 
 
 def solve(graph: Graph, landmarks: DataFrame, method: str = "cg", **kw) -> DataFrame:
