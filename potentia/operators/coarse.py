@@ -42,7 +42,7 @@ class CoarseSpace:
         self.spark = graph.edges.sparkSession
         self.place = {p: i for i, p in enumerate(pids)}
         room = max(1, math.isqrt(max_bytes // (8 * max(1, len(pids)))))
-        one = cells.where(F.col("centroid_id").isNotNull()).groupBy("id").agg(F.min("centroid_id").alias("centroid_id"))
+        one = cells.where(F.col("centroid_id").isNotNull()).groupBy("id").agg(F.min("centroid_id").alias("centroid_id")).persist()
         names = [r[0] for r in one.select("centroid_id").distinct().orderBy("centroid_id").limit(room + 1).collect()]
         if len(names) <= room:
             self.k = len(names)
@@ -53,6 +53,7 @@ class CoarseSpace:
             self.k = room
             self.numbered = one.select("id", F.pmod(F.xxhash64("centroid_id"), F.lit(room)).cast("int").alias("_z"))
         self.numbered = self.numbered.persist()
+        self._held = (self.numbered, one)
         try:
             self.inverse = self._inverses(graph, fixed.select("problem_id", "id")) if self.k else {}
         except BaseException:
@@ -100,7 +101,8 @@ class CoarseSpace:
         return F.broadcast(self.spark.createDataFrame(table))
 
     def release(self) -> None:
-        self.numbered.unpersist(blocking=False)
+        for df in self._held:
+            df.unpersist(blocking=False)
 
 
 def _inverse(matrix: np.ndarray) -> np.ndarray:

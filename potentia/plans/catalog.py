@@ -1046,6 +1046,17 @@ def q_v1(spark, sf):
     return emb_cg(spark, sf).select("problem_id", "id", F.round("v", 6).alias("v"))
 
 
+@register("two_level_voltages_V1", V1_SQL + """
+SELECT problem_id, id, round(v, 6) AS v FROM state WHERE it = 300
+""")
+def q_v1_two_level(spark, sf):
+    from potentia.operators import coarse as K, graph as G, landmarks as L, voltage as V
+    pts = emb(spark, sf)
+    g = G.knn_graph(pts, 10, 0.01).persist()
+    v = V.conjugate_gradient(g, L.first_per_label(pts), tol=1e-9, cells=K.around(pts, 64))
+    return v.select("problem_id", "id", F.round("v", 6).alias("v"))
+
+
 @register("selected_landmarks_F5", V1_SQL + """
 SELECT s.problem_id, s.id, p.label, round(s.v, 6) AS v FROM state s JOIN pts p ON p.id = s.id
 WHERE s.it = 300 AND s.problem_id IN (0, 4, 7) AND p.label IN (1, 3, 5)
