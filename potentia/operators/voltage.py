@@ -66,7 +66,8 @@ class _Sweeper:
         self.keys = _edge_keys(graph.edges)
         self.home = ["id", *self.keys[1:]]
         self.place = {p: i for i, p in enumerate(pids)}
-        self.edges = self._keep(graph.edges.select("src", *self.keys, "w").repartition(self.parts, *self.keys))
+        # a cache shows its whole lineage in each round's plan, so what made the graph is cut off first
+        self.edges = self._keep(cut_lineage(graph.edges.select("src", *self.keys, "w").repartition(self.parts, *self.keys)))
         self.edges.count()
         self.held: list[DataFrame] = [self.edges]
         self.state: DataFrame | None = None
@@ -76,7 +77,7 @@ class _Sweeper:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
 
     def start(self, state: DataFrame) -> None:
-        self.state = self._keep(state.repartition(self.parts, *self.home))
+        self.state = self._keep(cut_lineage(state.repartition(self.parts, *self.home)))
 
     def per_problem(self, values: dict[int, float]) -> Column:
         """A number looked up by problem: an array literal indexed by the problem's place."""
