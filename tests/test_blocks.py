@@ -61,13 +61,13 @@ def test_a_round_starts_one_job_and_no_query(spark, ring, monkeypatch):
     spark.sparkContext.setJobGroup("many-rounds", "")
     jobs = []
     try:
-        for rounds in (2, 12):
+        for rounds in (2, 2, 12):  # the first also fills the caches
             before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("many-rounds"))
             V.conjugate_gradient(ring, lms, tol=0.0, max_iters=rounds, partial=True)
             jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup("many-rounds")) - before)
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    assert jobs[1] - jobs[0] == 10
+    assert jobs[2] - jobs[1] == 10
 
 
 def test_jacobi_over_many_parts(spark, ring, monkeypatch):
