@@ -5,7 +5,8 @@
       every micro-batch is scored by the same Arrow kernel as the batch path (append mode).
 * T2/T3 stateful seeding / refinement: the centroid state is global (not keyed), at most
       ``max_centroids`` rows, so ``foreachBatch`` updates a table of versions, one a ``batch_id``,
-      which a restarted query reads back.
+      which a restarted query reads back. A micro-batch may hold many numbered batches: what a batch costs is
+      then a job on its own rows, not a start, a listing and a commit.
 * T5  progress: ``numInputRows`` per micro-batch from the query progress.
 """
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from potentia.operators import cluster as C
 from potentia.operators import neighbors as N
+from potentia.operators.staged import StagedPoints
 from potentia.sources.vectors import parse_vector_lines
 
 
@@ -79,11 +81,20 @@ class StoredCentroids:
                 raise
             return None
 
-    def update(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch: take it and write the version it leads to."""
+    def update(self, batch: DataFrame, batch_id: int, numbered: str | None = None) -> None:
+        """One micro-batch: take it and write the version it leads to. ``numbered`` names a column of numbers: the
+        micro-batch then holds a batch for each number, which are taken in that order, each a job on its own rows."""
         if batch_id <= self.last:
             return
-        self.state.take(batch.select("id", "x"), batch_id, "id")
+        if numbered is None:
+            self.state.take(batch.select("id", "x"), batch_id, "id")
+        else:
+            rows = batch.select("id", "x", F.col(numbered).alias("_b"))
+            sizes = sorted(tuple(r) for r in rows.groupBy("_b").count().collect())  # a row a batch
+            staged, lo = StagedPoints(rows, F.col("_b")), 0
+            for number, size in sizes:
+                self.state.take_staged(staged, lo, lo + size, number, by_id=True)
+                lo += size
         s = self.state
         row = (batch_id, s.shift, s.z, s.seed, s.max_centroids, float(s.total_d2), int(s.total_n), s.initial_mean_d2, s.mean_d2,
                [(int(i), [float(v) for v in x], int(n)) for i, x, n in s.centroids])
@@ -92,13 +103,13 @@ class StoredCentroids:
 
 
 def streaming_kmeans_stream(stream: DataFrame, initial: list[list[float]], *, max_centroids: int,
-                            shift: float, z: float, path: str, seed: int = 0) -> C.CentroidState:
+                            shift: float, z: float, path: str, seed: int = 0, numbered: str | None = None) -> C.CentroidState:
     """T2+T3: seeding and refinement on every micro-batch via ``foreachBatch``, until the input is used
-    up. ``path`` holds the versions and the query's checkpoint; called again with the same path (after
+    up; with ``numbered`` each holds the batches that this column numbers. ``path`` holds the versions and the query's checkpoint; called again with the same path (after
     a stop, a failure or for new files) it goes on where the last finished batch ended."""
     store = StoredCentroids(stream.sparkSession, f"{path.rstrip('/')}/state", C.CentroidState(
         max_centroids, shift, z, seed, [(i, list(map(float, x)), 1) for i, x in enumerate(initial)]))
-    q = (stream.writeStream.foreachBatch(lambda df, bid: store.update(df, bid))
+    q = (stream.writeStream.foreachBatch(lambda df, bid: store.update(df, bid, numbered))
          .option("checkpointLocation", f"{path.rstrip('/')}/query").trigger(availableNow=True).start())
     q.awaitTermination()
     return store.state
